@@ -11,6 +11,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # The version stamps and the message types of the frame format.
 EXTRA_VERSION = "1.1"
@@ -139,7 +140,7 @@ def phy_payload(h: Column) -> Column:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _sha3(data: pd.Series) -> pd.Series:
     return data.map(lambda b: None if b is None else hashlib.sha3_256(bytes(b)).hexdigest())
 

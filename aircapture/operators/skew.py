@@ -8,16 +8,13 @@
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Callable, Iterator
-
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from aircapture.operators.folds import Fold, arrow_folder
 from aircapture.session import scratch_path
 
 HOT_MIN_ROWS = 2_000_000
@@ -201,56 +198,6 @@ def sliced_row_number(df: DataFrame, keys: list[str], time: str, tie: str, slice
 
 # ---------------------------------------------------------------- sequential folds
 
-Fold = Callable[[object, dict[str, np.ndarray]], tuple[object, dict[str, np.ndarray]]]
-
-
-def _folder(columns: list[str], key: str, inputs: list[str], added: pa.Schema, fold: Fold, carry: bool):
-    """Arrow worker: rows arrive sorted by key; only the open state stays in memory."""
-
-    def column(batch: pa.RecordBatch, name: str) -> pa.Array:
-        return batch.column(batch.schema.get_field_index(name))
-
-    def output(arrays: list[pa.Array], states: list[bytes | None]) -> pa.RecordBatch:
-        names = [*columns, *added.names]
-        if carry:
-            return pa.RecordBatch.from_arrays([*arrays, pa.array(states, pa.binary())], names=[*names, "_state"])
-        return pa.RecordBatch.from_arrays(arrays, names=names)
-
-    def state_row(schema: pa.Schema, of_key: str, state: object) -> pa.RecordBatch:
-        passed = [pa.array([of_key]) if c == key else pa.nulls(1, schema.field(c).type) for c in columns]
-        return output([*passed, *[pa.nulls(1, f.type) for f in added]], [pickle.dumps(state)])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, state, schema = None, None, None
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            schema = batch.schema
-            key_of = column(batch, key).to_numpy(zero_copy_only=False)
-            starts = np.flatnonzero(np.r_[True, key_of[1:] != key_of[:-1]])
-            for lo, hi in zip(starts, np.r_[starts[1:], len(key_of)]):
-                part = batch.slice(lo, hi - lo)
-                if key_of[lo] != current:
-                    if carry and current is not None:
-                        yield state_row(schema, current, state)
-                    current, state = key_of[lo], None
-                if carry:
-                    stored = column(part, "_state")
-                    known = len(stored) - stored.null_count
-                    if known:
-                        state = pickle.loads(stored[0].as_py())
-                        part = part.slice(known)
-                if part.num_rows == 0:
-                    continue
-                state, new = fold(state, {c: column(part, c).to_numpy(zero_copy_only=False) for c in inputs})
-                computed = [pa.array(new[f.name], f.type, from_pandas=True) for f in added]
-                yield output([*[column(part, c) for c in columns], *computed], [None] * part.num_rows)
-        if carry and current is not None:
-            yield state_row(schema, current, state)
-
-    return run
-
-
 def ordered_fold(
     df: DataFrame,
     key: str,
@@ -282,7 +229,7 @@ def ordered_fold(
     def fold_all(rows: DataFrame, carry: bool) -> DataFrame:
         first = [F.col("_state").isNull()] if carry else []
         ordered = rows.repartition(key).sortWithinPartitions(key, *first, *order)
-        worker = _folder(columns, key, inputs, arrow_added, fold, carry)
+        worker = arrow_folder(columns, key, inputs, arrow_added, fold, carry)
         return ordered.mapInArrow(worker, carry_schema if carry else schema)
 
     if not hot:

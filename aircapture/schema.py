@@ -1,9 +1,7 @@
-"""Explicit schemas. Nothing in the package infers a schema from data."""
+"""Explicit schemas, as DDL text. Nothing in the package infers a schema from data."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 LORA = "struct<bandwidth:bigint,spreadingFactor:int,codeRate:string,polarizationInversion:boolean>"
 MODULATION = f"struct<type:string,lora:{LORA}>"
 FSK = "struct<datarate:bigint,frequencyDeviation:bigint>"
@@ -29,13 +27,13 @@ EXTRA = (
 DUP = "struct<version:string,is_duplicate:boolean,copy_of:string>"
 
 #: one reception, the common form of both generations of dumps
-PACKET = T.StructType.fromDDL(
+PACKET = (
     f"_id string, src_version int, time timestamp, phyPayload string, rxInfo {RX}, txInfo {TX}, "
     f"extra_infos {EXTRA}, dup_infos {DUP}"
 )
 
 #: third-generation dump: flat modulation, other field names
-PACKET_V3 = T.StructType.fromDDL(
+PACKET_V3 = (
     "_id string, mqtt_time timestamp, phyPayload string, "
     f"rxInfo struct<gatewayID:string,loRaSNR:double,uplinkID:string,{RX_COMMON}>, "
     "txInfo struct<frequency:bigint,modulation:string,"
@@ -43,29 +41,33 @@ PACKET_V3 = T.StructType.fromDDL(
 )
 
 #: fourth-generation dump: rxInfo may be a list of receptions
-PACKET_V4 = T.StructType.fromDDL(
+PACKET_V4 = (
     f"_id string, time timestamp, phyPayload string, rxInfo array<{RX}>, txInfo {TX}"
 )
 
 #: raw reception log, the input of the 300 ms collapse
-GATEWAY_RX = T.StructType.fromDDL(
+GATEWAY_RX = (
     "_id string, phyPayload string, rxInfo struct<mac:string,time:timestamp,timestamp:bigint,rssi:int,"
     "loRaSNR:double,crcStatus:string,channel:int,rfChain:int,antenna:int,board:int,size:int,"
     "frequency:bigint,codeRate:string,dataRate:struct<bandwidth:bigint,spreadFactor:int,modulation:string>>"
 )
 
 #: packets of a flow, in time order
-FLOW_PACKET = T.StructType.fromDDL(
+FLOW_PACKET = (
     "devAddr string, flow_id long, time_1st timestamp, interpkt_time_ms double, fCnt_diff long, fCnt long, "
     "SF int, time timestamp, phyPayload string, _id string, nb_duplicates long"
 )
 
 #: one row per flow
-FLOW = T.StructType.fromDDL(
+FLOW = (
     "devAddr string, flow_id long, fCnt_1st long, fCnt_last long, time_1st timestamp, time_last timestamp, "
     "mean_fCnt_diff double, median_fCnt_diff double, max_fCnt_diff long, nb_duplicates long, "
     "median_interpkt_time_ms double, max_interpkt_time_ms double, min_interpkt_time_ms double, nb_pkts long"
 )
 
 #: prefix table as shipped by network operators (tab separated)
-OPERATORS = T.StructType.fromDDL("netid string, prefix string, range string, name string, area string")
+OPERATORS = ("netid string, prefix string, range string, name string, area string")
+
+
+FLOW_PACKET_COLUMNS = tuple(part.split()[0] for part in FLOW_PACKET.split(", "))
+FLOW_COLUMNS = tuple(part.split()[0] for part in FLOW.split(", "))
