@@ -77,9 +77,7 @@ def _flat(df: DataFrame) -> DataFrame:
 @query("s1_read_packet_dump")
 def _(spark, sf):
     path = scratch_path(spark, "dump")
-    rows = R.packets(spark, sf)
-    source = F.struct(*[c for c in rows.columns if c != "_id"]).alias("_source")
-    rows.select("_id", source).write.option("compression", "gzip").json(path)
+    dumps.write_packet_dump(R.packets(spark, sf), path)
     return _flat(dumps.read_packet_dump(spark, path))
 
 
@@ -837,12 +835,16 @@ def _(spark, sf):
 # ---------------------------------------------------------------- streams
 
 
-def _stage(spark: SparkSession, rows: DataFrame, name: str, clock: tuple[str, ...] = ()) -> tuple[str, str]:
-    """Write rows as the source folder of a stream, then one row a month later that moves the watermark on."""
+def _stage(spark: SparkSession, rows: DataFrame, name: str, clock: Column | None = None) -> tuple[str, str]:
+    """Write rows as the source folder of a stream and name its output.
+
+    With ``clock`` a row of that kind is added a month later: it moves the
+    watermark past all others.
+    """
     path = scratch_path(spark, name)
     rows.write.parquet(path)
-    if clock:
-        late = spark.read.parquet(path).orderBy(F.desc("time")).limit(1)
+    if clock is not None:
+        late = spark.read.parquet(path).where(clock).orderBy(F.desc("time")).limit(1)
         moved = F.col("time") + F.expr("INTERVAL 30 DAYS")
         late = late.withColumn("_id", F.lit("clock")).withColumn("time", moved)
         if "rxInfo" in rows.columns:
@@ -871,7 +873,7 @@ def _(spark, sf):
         F.col(f"{R.LORA}.spreadingFactor").alias("spreadFactor"),
         F.col(f"{R.LORA}.codeRate").alias("codeRate"),
     )
-    source, out = _stage(spark, rows, "t2", ("clock",))
+    source, out = _stage(spark, rows, "t2", F.lit(True))
     stream = jobs.stream_collapse(spark.readStream.schema(rows.schema).parquet(source))
     jobs.run_available(stream, f"{out}/table", f"{out}/checkpoint")
     return _message_rows(spark.read.parquet(f"{out}/table"))
@@ -879,7 +881,7 @@ def _(spark, sf):
 
 @query("t3_stream_traffic")
 def _(spark, sf):
-    source, out = _stage(spark, R.flagged(spark, sf), "t3", ("clock",))
+    source, out = _stage(spark, R.flagged(spark, sf), "t3", P.all_ok_nodup())
     schema_of = spark.read.parquet(source).schema
     stream = jobs.stream_hourly(spark.readStream.schema(schema_of).parquet(source), P.SF, "SF")
     jobs.run_available(stream, f"{out}/table", f"{out}/checkpoint")

@@ -47,6 +47,20 @@ def read_packet_dump(spark: SparkSession, path: str, generation: str = "common")
     return lines.select("_id", "_source.*", "_corrupt")
 
 
+# Fixed value: dump times keep their microseconds.
+_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+
+
+def _documents(df: DataFrame, *extra: str) -> DataFrame:
+    source = F.struct(*[c for c in df.columns if c != "_id"]).alias("_source")
+    return df.select("_id", source, *[F.col(c) for c in extra])
+
+
+def write_packet_dump(df: DataFrame, path: str) -> None:
+    """One document per row, gzipped."""
+    _documents(df).write.option("compression", "gzip").option("timestampFormat", _TIME).json(path)
+
+
 def with_month(df: DataFrame) -> DataFrame:
     return df.withColumns({"year": F.year("time"), "month": F.month("time")})
 
@@ -57,14 +71,13 @@ def export_monthly(df: DataFrame, path: str, start_year: int = 2020, end_year: i
     Rows are spread by time range, so a task writes into few months and a big
     month is written by many tasks.
     """
-    source = F.struct(*[c for c in df.columns if c != "_id"]).alias("_source")
+    rows = _documents(df.where(F.year("time").between(start_year, end_year)), "time")
     (
-        df.where(F.year("time").between(start_year, end_year))
-        .select("_id", source, F.col("time"))
-        .repartitionByRange("time")
+        rows.repartitionByRange("time")
         .transform(with_month)
         .drop("time")
         .write.partitionBy("year", "month")
         .option("compression", "gzip")
+        .option("timestampFormat", _TIME)
         .json(path)
     )

@@ -27,6 +27,8 @@ def message_updater(window_us: int) -> Callable:
         anchor = None if anchor_us is None else (anchor_us, anchor_id)
         waiting = list(zip(held_us, held_id))
         for batch in batches:
+            if batch.empty:
+                continue
             stamps = pd.to_datetime(batch["time"], utc=True).astype("datetime64[us, UTC]").astype("int64")
             waiting += zip(stamps.tolist(), batch["_id"].tolist())
         waiting.sort()
