@@ -9,7 +9,7 @@ from __future__ import annotations
 import hashlib
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -73,70 +73,70 @@ def mtype(h: Column) -> Column:
     return F.shiftright(_unsigned(_slice(h, 0, 1)), 5)
 
 
-def fctrl(h: Column, mt: Column) -> Column:
-    byte = _unsigned(_slice(h, 5, 1))
-    uplink = mt.isin(*UPLINKS)
-    return F.struct(
-        _bit(byte, 0x80).alias("adr"),
-        _bit(byte, 0x40).alias("adrAckReq"),
-        _bit(byte, 0x20).alias("ack"),
-        F.when(uplink, _bit(byte, 0x10)).alias("classB"),
-        F.when(~uplink, _bit(byte, 0x10)).alias("fPending"),
-        byte.bitwiseAND(F.lit(0x0F)).alias("fOptsLen"),
-    )
-
+HEADER_COLUMNS = ("_n", "_b0", "_b5", "_mt")
 
-def fport(h: Column) -> Column:
-    """First byte after the header options, null when nothing follows them."""
-    at = F.lit(8) + _unsigned(_slice(h, 5, 1)).bitwiseAND(F.lit(0x0F))
-    frame_end = F.length(h) / 2 - 4
-    return F.when(at < frame_end, _unsigned(F.substr(h, at * 2 + 1, F.lit(2))))
 
+def with_header(df: DataFrame, h: str) -> DataFrame:
+    """Add the working columns every field is read from: size, first byte, control byte, message type.
 
-def mac_payload(h: Column, mt: Column) -> Column:
-    n = (F.length(h) / 2).cast("int")
-    is_request = (mt == JOIN_REQUEST) & (n == JOIN_REQUEST_FRAME)
-    is_accept = mt == JOIN_ACCEPT
-    is_data = (mt > JOIN_ACCEPT) & (n >= MIN_DATA_FRAME)
-    mac = F.substr(h, F.lit(3), (n - MIN_FRAME) * 2)
-    return F.struct(
-        F.when(is_data, fport(h)).alias("fPort"),
-        F.when(
-            is_data,
-            F.struct(
-                _reversed(h, 1, 4).alias("devAddr"),
-                _unsigned(_reversed(h, 6, 2)).alias("fCnt"),
-                fctrl(h, mt).alias("fCtrl"),
-            ),
-        ).alias("fhdr"),
-        F.when(is_request, _reversed(h, 1, 8)).alias("appEUI"),
-        F.when(is_request, _reversed(h, 9, 8)).alias("devEUI"),
-        F.when(is_request, _reversed(h, 17, 2)).alias("devNonce"),
-        F.when(is_accept, F.substring(mac, 1, 6)).alias("appnonce"),
-        F.when(is_accept, F.substring(mac, 7, 6)).alias("netid"),
-        F.when(is_accept, F.substring(mac, 13, 8)).alias("devaddr"),
-    )
+    Each is a column of its own so that it is computed once per frame, and so
+    that the generated code stays in pieces small enough to be compiled.
+    """
+    text = F.col(h)
+    return df.withColumns(
+        {
+            "_n": F.shiftright(F.length(text), 1),
+            "_b0": _unsigned(_slice(text, 0, 1)),
+            "_b5": _unsigned(_slice(text, 5, 1)),
+        }
+    ).withColumn("_mt", F.shiftright("_b0", 5))
 
 
 def phy_payload(h: Column) -> Column:
-    """The decoded frame; only the length for frames too short to hold a header and code."""
-    n = (F.length(h) / 2).cast("int")
+    """The decoded frame, from its hex text and the columns of ``with_header``.
+
+    Conditions sit on the leaves and the structs are never null, so that a
+    filter or projection of one field reduces to the expression of that field.
+    A frame too short for a header and code has only a length, an empty one nothing.
+    """
+    n, first, control, mt = (F.col(c) for c in HEADER_COLUMNS)
     whole = n >= MIN_FRAME
-    mt = mtype(h)
-    return F.when(
-        n > 0,
+    data = (mt > JOIN_ACCEPT) & (n >= MIN_DATA_FRAME)
+    uplink = mt.isin(*UPLINKS)
+    request = (mt == JOIN_REQUEST) & (n == JOIN_REQUEST_FRAME)
+    accept = (mt == JOIN_ACCEPT) & whole
+    mac = F.substr(h, F.lit(3), (n - MIN_FRAME) * 2)
+    options = control.bitwiseAND(F.lit(0x0F))
+    port_at = options + 8
+    fctrl = F.struct(
+        F.when(data, _bit(control, 0x80)).alias("adr"),
+        F.when(data, _bit(control, 0x40)).alias("adrAckReq"),
+        F.when(data, _bit(control, 0x20)).alias("ack"),
+        F.when(data & uplink, _bit(control, 0x10)).alias("classB"),
+        F.when(data & ~uplink, _bit(control, 0x10)).alias("fPending"),
+        F.when(data, options).alias("fOptsLen"),
+    )
+    fhdr = F.struct(
+        F.when(data, _reversed(h, 1, 4)).alias("devAddr"),
+        F.when(data, _unsigned(_reversed(h, 6, 2))).alias("fCnt"),
+        fctrl.alias("fCtrl"),
+    )
+    return F.struct(
+        F.when(n > 0, n).alias("length"),
+        F.when(whole, F.right(h, F.lit(8))).alias("mic"),
+        F.struct(
+            F.when(whole, mt).alias("mType"), F.when(whole, first.bitwiseAND(F.lit(3))).alias("major")
+        ).alias("mhdr"),
         F.struct(
-            n.alias("length"),
-            F.when(whole, F.right(h, F.lit(8))).alias("mic"),
-            F.when(
-                whole,
-                F.struct(
-                    mt.alias("mType"),
-                    _unsigned(_slice(h, 0, 1)).bitwiseAND(F.lit(3)).alias("major"),
-                ),
-            ).alias("mhdr"),
-            F.when(whole, mac_payload(h, mt)).alias("macPayload"),
-        ),
+            F.when(data & (port_at < n - 4), _unsigned(F.substr(h, port_at * 2 + 1, F.lit(2)))).alias("fPort"),
+            fhdr.alias("fhdr"),
+            F.when(request, _reversed(h, 1, 8)).alias("appEUI"),
+            F.when(request, _reversed(h, 9, 8)).alias("devEUI"),
+            F.when(request, _reversed(h, 17, 2)).alias("devNonce"),
+            F.when(accept, F.substring(mac, 1, 6)).alias("appnonce"),
+            F.when(accept, F.substring(mac, 7, 6)).alias("netid"),
+            F.when(accept, F.substring(mac, 13, 8)).alias("devaddr"),
+        ).alias("macPayload"),
     )
 
 

@@ -50,17 +50,22 @@ def flagged() -> Column:
     return F.col("dup_infos.is_duplicate").isNotNull()
 
 
+def decoded() -> Column:
+    """Decoded fields exist: the version stamp is set on every decoded row."""
+    return F.col("extra_infos.version").isNotNull()
+
+
 def original() -> Column:
     return F.col("dup_infos.is_duplicate") == F.lit(False)
 
 
 def has_extra(modulation: str = "rxInfo.modulation") -> Column:
     """Decoded LORA rows; the modulation is read from the field used before unification."""
-    return F.col("extra_infos").isNotNull() & is_lora(modulation)
+    return decoded() & is_lora(modulation)
 
 
 def has_extra_nodup() -> Column:
-    return original() & F.col("extra_infos").isNotNull() & is_lora()
+    return original() & decoded() & is_lora()
 
 
 def needs_decode(version: str = EXTRA_VERSION) -> Column:

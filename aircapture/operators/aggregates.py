@@ -117,7 +117,7 @@ def per_mtype(df: DataFrame) -> DataFrame:
 def gateway_first_seen(df: DataFrame) -> DataFrame:
     """Earliest decoded packet of each gateway, newest gateway first."""
     return (
-        df.where(F.col("extra_infos").isNotNull() & F.col("rxInfo.gatewayId").isNotNull())
+        df.where(predicates.decoded() & F.col("rxInfo.gatewayId").isNotNull())
         .groupBy(F.col("rxInfo.gatewayId").alias("gatewayId"))
         .agg(F.min("time").alias("min_time"))
         .orderBy(F.desc("min_time"), "gatewayId")
@@ -182,8 +182,8 @@ def progress(df: DataFrame, since: str, version: str = EXTRA_VERSION) -> DataFra
     return df.groupBy(F.col("txInfo.modulation.type").alias("modulation")).agg(
         F.count("*").alias("docs"),
         F.count_if(F.col("dup_infos").isNull()).alias("without_dup_infos"),
-        F.count_if(F.col("extra_infos").isNull()).alias("without_extra_infos"),
-        F.count_if(F.col("extra_infos").isNotNull()).alias("with_extra_infos"),
+        F.count_if(~predicates.decoded()).alias("without_extra_infos"),
+        F.count_if(predicates.decoded()).alias("with_extra_infos"),
         F.count_if(F.col("extra_infos.version") == version).alias("with_extra_version"),
         F.count_if(F.col("time") >= F.lit(since).cast("timestamp")).alias("since_date"),
     )

@@ -8,28 +8,23 @@ from pyspark.sql import functions as F
 from aircapture.functions import frame, predicates
 
 
-def _extra_infos(h: Column, payload: Column, version: str, exact_hash: bool) -> Column:
-    hashed = F.when(F.length(h) > 0, frame.content_hash(payload, exact_hash))
-    return F.when(
-        payload.isNotNull(),
-        F.struct(
-            F.lit(version).alias("version"),
-            hashed.alias("random"),
-            frame.phy_payload(h).alias("phyPayload"),
-        ),
+def _decoded(df: DataFrame, wanted: Column, version: str, payload: str, exact_hash: bool) -> DataFrame:
+    """Add ``_extra``, whose fields are null where ``wanted`` is false."""
+    worked = frame.with_header(df.withColumn("_hex", F.when(wanted, frame.payload_hex(F.col(payload)))), "_hex")
+    fields = F.struct(
+        F.when(wanted, F.lit(version)).alias("version"),
+        F.when(F.col("_n") > 0, frame.content_hash(F.col(payload), exact_hash)).alias("random"),
+        frame.phy_payload(F.col("_hex")).alias("phyPayload"),
     )
+    return worked.withColumn("_extra", fields).drop("_hex", *frame.HEADER_COLUMNS)
 
 
 def decode_frames(
     df: DataFrame, version: str = frame.EXTRA_VERSION, payload: str = "phyPayload", exact_hash: bool = False
 ) -> DataFrame:
-    """Set ``extra_infos`` of every row. A row without payload keeps a null there (see ``bad_frames``)."""
-    text = F.col(payload)
-    return (
-        df.withColumn("_hex", frame.payload_hex(text))
-        .withColumn("extra_infos", _extra_infos(F.col("_hex"), text, version, exact_hash))
-        .drop("_hex")
-    )
+    """Set ``extra_infos`` of every row. Without a payload its fields are null (see ``bad_frames``)."""
+    decoded = _decoded(df.drop("extra_infos"), F.col(payload).isNotNull(), version, payload, exact_hash)
+    return decoded.withColumnRenamed("_extra", "extra_infos")
 
 
 def decode_incremental(
@@ -40,20 +35,14 @@ def decode_incremental(
     A projection: rows already decoded pass through, so a restart costs one scan
     and no join.
     """
-    text = F.col(payload)
+    present = F.col(payload).isNotNull()
     if "extra_infos" not in df.columns:
-        fresh = decode_frames(df, version, payload, exact_hash)
-        kept = F.when(predicates.is_lora(), F.col("extra_infos"))
-        return fresh.withColumn("extra_infos", kept)
-    todo = predicates.needs_decode(version) & text.isNotNull()
-    return (
-        df.withColumn("_hex", F.when(todo, frame.payload_hex(text)))
-        .withColumn(
-            "extra_infos",
-            F.when(todo, _extra_infos(F.col("_hex"), text, version, exact_hash)).otherwise(F.col("extra_infos")),
-        )
-        .drop("_hex")
-    )
+        decoded = _decoded(df, predicates.is_lora() & present, version, payload, exact_hash)
+        return decoded.withColumnRenamed("_extra", "extra_infos")
+    marked = df.withColumn("_todo", F.coalesce(predicates.needs_decode(version) & present, F.lit(False)))
+    decoded = _decoded(marked, F.col("_todo"), version, payload, exact_hash)
+    renewed = F.when(F.col("_todo"), F.col("_extra")).otherwise(F.col("extra_infos"))
+    return decoded.withColumn("extra_infos", renewed).drop("_extra", "_todo")
 
 
 def bad_frames(df: DataFrame, payload: str = "phyPayload") -> DataFrame:

@@ -75,7 +75,7 @@ def candidate_window(
 
 def payload_batch(df: DataFrame, batch: DataFrame) -> DataFrame:
     """Rows whose payload occurs in ``batch``."""
-    return df.join(batch.select("phyPayload"), "phyPayload", "left_semi").select(*df.columns)
+    return df.join(batch.select("phyPayload").distinct(), "phyPayload", "left_semi").select(*df.columns)
 
 
 def flag_incremental(

@@ -37,7 +37,12 @@ def device_list(df: DataFrame) -> DataFrame:
 
 def pending_devices(devices: DataFrame, flows: DataFrame) -> DataFrame:
     """Devices that have no flow in the summary yet."""
-    return devices.join(flows.select("devAddr"), "devAddr", "left_anti")
+    return devices.join(flows.select("devAddr").distinct(), "devAddr", "left_anti")
+
+
+def heavy_devices(df: DataFrame, min_rows: int | None = None) -> list[int]:
+    """Hashes of busy device addresses, from decoded packets that need no duplicate flags yet."""
+    return heavy_hashes(df.select(F.col(predicates.DEVADDR).alias("devAddr")), ["devAddr"], min_rows)
 
 
 def flow_input(df: DataFrame) -> DataFrame:
@@ -60,6 +65,7 @@ def assign_flows(
     max_gap_ms: int = MAX_SILENCE_MS,
     hot_min_rows: int | None = None,
     epoch_us: int = 7 * 86_400_000_000,
+    hot: list[int] | None = None,
 ) -> DataFrame:
     """Split the non-duplicate packets of ``flow_input`` into flows.
 
@@ -69,11 +75,13 @@ def assign_flows(
     ``max_gap_ms``; otherwise it opens a flow.  Which flow fits depends on all
     earlier choices, so this is a fold, one key per device, in bounded memory;
     devices with at least ``hot_min_rows`` packets are folded epoch by epoch.
+    Pass ``hot`` (see ``heavy_devices``) where the packets come from a long plan.
     """
     originals = packets.where(~F.col("is_duplicate")).select(
         "devAddr", "fCnt", "SF", "time", "phyPayload", "_id", F.unix_micros("time").alias("_us")
     ).withColumn("_ms", F.unix_millis("time"))
-    hot = heavy_hashes(originals, ["devAddr"], hot_min_rows)
+    if hot is None:
+        hot = heavy_hashes(originals, ["devAddr"], hot_min_rows)
     folded = ordered_fold(
         originals, "devAddr", ["_ms", "_id"], ["_us", "fCnt"], _ADDED, flow_fold(max_fcnt, max_gap_ms),
         "time", hot, epoch_us,

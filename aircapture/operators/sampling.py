@@ -66,14 +66,14 @@ def first_unflagged_payload(df: DataFrame) -> DataFrame:
 
 def undecoded(df: DataFrame, limit: int = 2000) -> DataFrame:
     """Earliest packets without decoded fields."""
-    return df.where(F.col("extra_infos").isNull()).orderBy("time", "_id").limit(limit)
+    return df.where(~predicates.decoded()).orderBy("time", "_id").limit(limit)
 
 
 def device_packets(df: DataFrame, dev_addr: str) -> DataFrame:
     """Original packets of a device in time order: address, payload, time and frame counter."""
     fhdr = "extra_infos.phyPayload.macPayload.fhdr"
     return (
-        df.where(F.col("extra_infos").isNotNull() & predicates.original() & (F.lower(F.col(f"{fhdr}.devAddr")) == dev_addr.lower()))
+        df.where(predicates.decoded() & predicates.original() & (F.lower(F.col(f"{fhdr}.devAddr")) == dev_addr.lower()))
         .select(F.col(f"{fhdr}.devAddr").alias("devAddr"), "phyPayload", "time", F.col(f"{fhdr}.fCnt").alias("fCnt"))
         .orderBy("time")
     )

@@ -194,7 +194,7 @@ _register_predicate("f5_data", P.data)
 _register_predicate("f6_data_with_channel", P.data_with_channel)
 _register_predicate("f7_data_for_device", lambda: P.data_for_device(DEVICE))
 _register_predicate("f8_all_ok", P.all_ok, R.packets)
-_register_predicate("f9_all_ok_nodup", P.all_ok_nodup, R.flagged)
+_register_predicate("f9_all_ok_nodup", P.all_ok_nodup, R.enriched)
 _register_predicate("f11_time_between", lambda: P.time_between(LO, HI), R.packets)
 
 
@@ -208,7 +208,7 @@ def _(spark, sf):
 
 @query("f10_needs_dup_flag")
 def _(spark, sf):
-    rows = R.flagged(spark, sf)
+    rows = R.enriched(spark, sf)
     old = F.when(F.col("rxInfo.channel") < 3, F.lit("0.9")).otherwise(F.col("dup_infos.version"))
     rows = rows.withColumn("dup_infos", F.col("dup_infos").withField("version", old))
     return _ids(rows.where(P.needs_dup_flag(start=SINCE)))
@@ -239,7 +239,7 @@ def _(spark, sf):
 
 @query("f15_first_unflagged_payload")
 def _(spark, sf):
-    rows = R.flagged(spark, sf)
+    rows = R.enriched(spark, sf)
     todo = F.when(F.col("rxInfo.channel") != 3, F.col("dup_infos"))
     return K.first_unflagged_payload(rows.withColumn("dup_infos", todo))
 
@@ -311,7 +311,7 @@ def _(spark, sf):
 @query("e3_length_class")
 def _(spark, sf):
     body = F.col("extra_infos.phyPayload")
-    kind = F.when(body.isNull(), "empty").when(body["mhdr"].isNull(), "too_short").otherwise("decoded")
+    kind = F.when(body["length"].isNull(), "empty").when(body["mic"].isNull(), "too_short").otherwise("decoded")
     return E.decode_frames(R.reshaped_frames(spark, sf)).groupBy(kind.alias("class")).agg(F.count("*").alias("count"))
 
 
@@ -385,12 +385,12 @@ def _flags(df: DataFrame) -> DataFrame:
 
 @query("d1_flag_duplicates")
 def _(spark, sf):
-    return _flags(R.flagged(spark, sf))
+    return _flags(D.flag_duplicates(R.packets(spark, sf)))
 
 
 @query("d1_flag_duplicates_strict")
 def _(spark, sf):
-    return _flags(R.flagged(spark, sf, strict_keys=True))
+    return _flags(D.flag_duplicates(R.packets(spark, sf), strict_keys=True))
 
 
 @query("d1_flag_incremental")
@@ -438,7 +438,7 @@ def _(spark, sf):
 def _half_flagged(spark, sf) -> DataFrame:
     """Packets of which those from SPLIT on have no flag yet."""
     flag = F.when(F.col("time") < SPLIT, F.col("dup_infos"))
-    return R.flagged(spark, sf).withColumn("dup_infos", flag)
+    return R.enriched(spark, sf).withColumn("dup_infos", flag)
 
 
 @query("d4_payload_inventory")
@@ -453,7 +453,7 @@ def _(spark, sf):
 
 @query("d6_dups_per_original")
 def _(spark, sf):
-    return D.dups_per_original(R.flagged(spark, sf))
+    return D.dups_per_original(R.enriched(spark, sf))
 
 
 # ---------------------------------------------------------------- flows
@@ -493,7 +493,7 @@ def _(spark, sf):
 
 @query("w4_attach_duplicates")
 def _(spark, sf):
-    return _packet_columns(R.flow_packets(spark, sf))
+    return _packet_columns(W.infer_flow_packets(R.enriched(spark, sf)))
 
 
 @query("w4_unmatched_duplicates")
@@ -540,7 +540,7 @@ def _(spark, sf):
 
 @query("j3_duplicate_to_original")
 def _(spark, sf):
-    return J.duplicate_to_original(R.flagged(spark, sf))
+    return J.duplicate_to_original(R.enriched(spark, sf))
 
 
 @query("j4_flow_series")
@@ -553,7 +553,7 @@ def _(spark, sf):
 @query("j5_skip_processed")
 def _(spark, sf):
     rows = W.flow_input(R.enriched(spark, sf))
-    done = rows.where(F.col("time") < "2024-01-02").select("devAddr")
+    done = rows.where(F.col("time") < "2024-01-02").select("devAddr").distinct()
     return _ids(rows.join(done, "devAddr", "left_anti"))
 
 
@@ -582,22 +582,22 @@ def _(spark, sf):
 
 @query("a2_weekly_by_sf")
 def _(spark, sf):
-    return A.weekly_by_sf(R.flagged(spark, sf))
+    return A.weekly_by_sf(R.enriched(spark, sf))
 
 
 @query("a3_weekly_by_modulation")
 def _(spark, sf):
-    return A.weekly_by_modulation(R.flagged(spark, sf))
+    return A.weekly_by_modulation(R.enriched(spark, sf))
 
 
 @query("a4_per_weekday_per_day")
 def _(spark, sf):
-    return A.per_weekday_per_day(R.flagged(spark, sf))
+    return A.per_weekday_per_day(R.enriched(spark, sf))
 
 
 @query("a5_per_hour_per_day")
 def _(spark, sf):
-    return A.per_hour_per_day(R.flagged(spark, sf))
+    return A.per_hour_per_day(R.enriched(spark, sf))
 
 
 @query("a6_per_weekday")
@@ -760,12 +760,12 @@ def _(spark, sf):
 
 @query("x11_mean_ci_weekday")
 def _(spark, sf):
-    return _rounded_ci(X.mean_ci(A.per_weekday_per_day(R.flagged(spark, sf)), "day_of_week"))
+    return _rounded_ci(X.mean_ci(A.per_weekday_per_day(R.enriched(spark, sf)), "day_of_week"))
 
 
 @query("x11_mean_ci_hour")
 def _(spark, sf):
-    return _rounded_ci(X.mean_ci(A.per_hour_per_day(R.flagged(spark, sf)), "hour"))
+    return _rounded_ci(X.mean_ci(A.per_hour_per_day(R.enriched(spark, sf)), "hour"))
 
 
 def _rounded_ci(df: DataFrame) -> DataFrame:
@@ -798,7 +798,7 @@ def _(spark, sf):
 
 @query("k3_sorts")
 def _(spark, sf):
-    return R.flagged(spark, sf).orderBy("time", "dup_infos.is_duplicate", "_id").select(
+    return R.enriched(spark, sf).orderBy("time", "dup_infos.is_duplicate", "_id").select(
         "_id", "time", F.col("dup_infos.is_duplicate").alias("is_duplicate")
     )
 
@@ -881,7 +881,7 @@ def _(spark, sf):
 
 @query("t3_stream_traffic")
 def _(spark, sf):
-    source, out = _stage(spark, R.flagged(spark, sf), "t3", P.all_ok_nodup())
+    source, out = _stage(spark, R.enriched(spark, sf), "t3", P.all_ok_nodup())
     schema_of = spark.read.parquet(source).schema
     stream = jobs.stream_hourly(spark.readStream.schema(schema_of).parquet(source), P.SF, "SF")
     jobs.run_available(stream, f"{out}/table", f"{out}/checkpoint")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,10 +21,13 @@ def read_operators(spark: SparkSession, path: str) -> DataFrame:
 
 
 def packaged_operators(spark: SparkSession) -> DataFrame:
-    """The table shipped with the package (151 rows), sent from the driver so executors need no file."""
+    """The table shipped with the package (151 rows), as a local relation: executors need no file, and its
+    size is known to the planner."""
     with open(PACKAGED, encoding="utf-8") as f:
         lines = [line.rstrip("\n").split("\t") for line in f if not line.startswith("#")][1:]
-    rows = spark.createDataFrame([(line + [None])[:5] for line in lines], schema.OPERATORS)
+    columns = [part.split()[0] for part in schema.OPERATORS.split(", ")]
+    table = pd.DataFrame([(line + [None])[:5] for line in lines], columns=columns)
+    rows = spark.createDataFrame(table, schema.OPERATORS)
     return _with_bounds(rows, F.split("range", r"\s+-\s+"))
 
 

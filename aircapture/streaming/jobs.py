@@ -18,19 +18,25 @@ def stream_decode(packets: DataFrame, version: str = EXTRA_VERSION) -> DataFrame
     return decode_incremental(packets, version) if "extra_infos" in packets.columns else decode_frames(packets, version)
 
 
-def stream_collapse(receptions: DataFrame, window_ms: float = 300, delay: str = "10 seconds") -> DataFrame:
+def stream_collapse(
+    receptions: DataFrame, window_ms: float = 300, delay: str = "10 seconds", buckets: int = 256
+) -> DataFrame:
     """Receptions with the ``message_id`` they belong to.
 
     Input: ``_id, phyPayload, time, frequency, bandwidth, spreadFactor, codeRate``.
-    A reception waits in the state of its message key until the watermark has
-    passed it, so late ones within ``delay`` are still put in order; later ones
-    are dropped.  State per key: the open message and the waiting receptions.
+    A reception waits in state until the watermark has passed it, so late ones
+    within ``delay`` are still put in order; later ones are dropped.
+
+    Most message keys occur once, so state is kept per hash bucket of keys, not
+    per key: the receptions of the last ``delay`` and the messages still open.
+    Choose ``buckets`` as a small multiple of the shuffle partitions.
     """
-    key = F.concat_ws("|", "phyPayload", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in MESSAGE_COLUMNS])
+    parts = ["phyPayload", *MESSAGE_COLUMNS]
+    key = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in parts])
     return (
         receptions.withWatermark("time", delay)
-        .withColumn("_key", key)
-        .groupBy("_key")
+        .select(key.alias("key"), "time", "_id", F.pmod(F.xxhash64(*parts), F.lit(buckets)).alias("bucket"))
+        .groupBy("bucket")
         .applyInPandasWithState(
             message_updater(int(window_ms * 1000)),
             MESSAGE_SCHEMA,
