@@ -536,6 +536,6 @@ _add(
 
 # ---------------------------------------------------------------- streams: the batch results
 
-_add("t1_stream_decode", PKD, "SELECT id AS _id, mtype, dev AS dev_addr, fcnt FROM pkd")
+_add("t1_stream_decode", EN, "SELECT id AS _id, mtype, dev AS dev_addr, fcnt FROM en")
 _add("t2_stream_collapse", _messages(300), "SELECT id AS _id, message_id FROM msg")
 ORACLES["t3_stream_traffic"] = ORACLES["a2_weekly_by_sf"]

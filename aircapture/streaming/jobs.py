@@ -9,13 +9,13 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from aircapture.functions import predicates
 from aircapture.functions.frame import EXTRA_VERSION
-from aircapture.operators.decode import decode_frames, decode_incremental
+from aircapture.operators.decode import decode_incremental
 from aircapture.streaming.collapse import MESSAGE_COLUMNS, MESSAGE_SCHEMA, STATE_SCHEMA, message_updater
 
 
 def stream_decode(packets: DataFrame, version: str = EXTRA_VERSION) -> DataFrame:
-    """Decoded rows of a stream of packets; stateless, so a restart goes on at the checkpoint."""
-    return decode_incremental(packets, version) if "extra_infos" in packets.columns else decode_frames(packets, version)
+    """A stream of packets with its LORA frames decoded; stateless, so a restart goes on at the checkpoint."""
+    return decode_incremental(packets, version)
 
 
 def stream_collapse(
