@@ -140,15 +140,17 @@ def phy_payload(h: Column) -> Column:
     )
 
 
-@F.pandas_udf(StringType())
-def _sha3(data: pd.Series) -> pd.Series:
-    return data.map(lambda b: None if b is None else hashlib.sha3_256(bytes(b)).hexdigest())
-
-
 def content_hash(payload: Column, exact: bool = False) -> Column:
     """Repeatable pseudo-random value of a frame: SHA-256, or SHA3-256 when ``exact``."""
     data = payload_bytes(payload)
-    return _sha3(data) if exact else F.sha2(data, 256)
+    if not exact:
+        return F.sha2(data, 256)
+
+    # a local function, so that it is shipped by value
+    def sha3(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda b: None if b is None else hashlib.sha3_256(bytes(b)).hexdigest())
+
+    return F.pandas_udf(StringType())(sha3)(data)
 
 
 def bad_reason(h: Column, payload: Column) -> Column:

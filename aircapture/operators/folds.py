@@ -1,4 +1,8 @@
-"""Worker-side code of the sequential folds. Imports nothing of Spark, so workers load it fast."""
+"""Worker-side code of the sequential folds.
+
+Shipped to the workers by value (see ``skew``), so it imports nothing of this
+package, and states are stored as plain tuples.
+"""
 
 from __future__ import annotations
 
@@ -25,7 +29,7 @@ def arrow_folder(columns: list[str], key: str, inputs: list[str], added: pa.Sche
 
     def state_row(schema: pa.Schema, of_key: str, state: object) -> pa.RecordBatch:
         passed = [pa.array([of_key]) if c == key else pa.nulls(1, schema.field(c).type) for c in columns]
-        return output([*passed, *[pa.nulls(1, f.type) for f in added]], [pickle.dumps(state)])
+        return output([*passed, *[pa.nulls(1, f.type) for f in added]], [pickle.dumps(state.pack() if hasattr(state, "pack") else state)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, state, schema = None, None, None
@@ -90,6 +94,18 @@ class OpenFlows:
 
     _fields = ("last_ms", "last_fcnt", "longest", "ident", "since_us")
 
+    def pack(self) -> tuple:
+        return self.created, *[getattr(self, name)[: self.n] for name in self._fields]
+
+    @classmethod
+    def unpack(cls, packed: tuple) -> OpenFlows:
+        flows = cls()
+        flows.created, flows.n = packed[0], len(packed[1])
+        if flows.n:
+            for name, column in zip(cls._fields, packed[1:]):
+                setattr(flows, name, column.copy())
+        return flows
+
     def retire(self, before_ms: int) -> None:
         """Forget flows silent for so long that nothing can join them any more."""
         alive = np.flatnonzero(self.last_ms[: self.n] > before_ms)
@@ -112,7 +128,7 @@ class OpenFlows:
 
 def flow_fold(max_step: int, max_silence_ms: int):
     def fold(state, arrays):
-        flows = state if state is not None else OpenFlows()
+        flows = OpenFlows() if state is None else OpenFlows.unpack(state) if isinstance(state, tuple) else state
         us, fcnt = arrays["_us"], arrays["fCnt"]
         ms = us // 1000
         n = len(us)

@@ -9,14 +9,19 @@
 from __future__ import annotations
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from aircapture.operators import folds
 from aircapture.operators.folds import Fold, arrow_folder
 from aircapture.session import scratch_path
 
+# workers need not have this package installed
+cloudpickle.register_pickle_by_value(folds)
+
 HOT_MIN_ROWS = 2_000_000
 _MAX_HOT = 10_000
 _TRACKED = 65_536

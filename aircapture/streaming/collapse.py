@@ -1,4 +1,4 @@
-"""State update of the streaming message collapse. Imports nothing of Spark, so workers load it fast."""
+"""State update of the streaming message collapse. Shipped to the workers by value (see ``jobs``)."""
 
 from __future__ import annotations
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -10,8 +11,12 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from aircapture.functions import predicates
 from aircapture.functions.frame import EXTRA_VERSION
 from aircapture.operators.decode import decode_incremental
+from aircapture.streaming import collapse
 from aircapture.streaming.collapse import MESSAGE_COLUMNS, MESSAGE_SCHEMA, STATE_SCHEMA, message_updater
 
+# workers need not have this package installed
+cloudpickle.register_pickle_by_value(collapse)
+
 
 def stream_decode(packets: DataFrame, version: str = EXTRA_VERSION) -> DataFrame:
     """A stream of packets with its LORA frames decoded; stateless, so a restart goes on at the checkpoint."""
