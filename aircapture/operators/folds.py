@@ -81,82 +81,101 @@ def anchor_fold(window_us: int):
     return fold
 
 
-class OpenFlows:
-    """Open flows of one device in creation order, as parallel arrays with room to grow."""
+class FewFlows:
+    """Open flows of one device in creation order, as lists ``[ms, counter, longest pace, number, start]``."""
 
-    def __init__(self):
-        self.n, self.created = 0, 0
-        self.last_ms = np.empty(8, np.int64)
-        self.last_fcnt = np.empty(8, np.int64)
-        self.longest = np.empty(8, np.float64)
-        self.ident = np.empty(8, np.int64)
-        self.since_us = np.empty(8, np.int64)
+    LIMIT = 64
 
-    _fields = ("last_ms", "last_fcnt", "longest", "ident", "since_us")
+    def __init__(self, created: int = 0, rows=()):
+        self.created, self.rows = created, [list(r) for r in rows]
 
     def pack(self) -> tuple:
-        return self.created, *[getattr(self, name)[: self.n] for name in self._fields]
+        return self.created, self.rows
 
-    @classmethod
-    def unpack(cls, packed: tuple) -> OpenFlows:
-        flows = cls()
-        flows.created, flows.n = packed[0], len(packed[1])
-        if flows.n:
-            for name, column in zip(cls._fields, packed[1:]):
-                setattr(flows, name, column.copy())
-        return flows
+    def fitting(self):
+        """This, or the same flows as arrays when there are many."""
+        return self if len(self.rows) <= self.LIMIT else ManyFlows(self.created, self.rows)
 
     def retire(self, before_ms: int) -> None:
         """Forget flows silent for so long that nothing can join them any more."""
-        alive = np.flatnonzero(self.last_ms[: self.n] > before_ms)
+        self.rows = [r for r in self.rows if r[0] > before_ms]
+
+    def place(self, ms: int, fcnt: int, us: int, max_step: int, max_silence_ms: int) -> tuple:
+        """Number and start of the flow a packet belongs to, its pace and its counter step."""
+        for row in self.rows:
+            step, dt = fcnt - row[1], ms - row[0]
+            if 0 < step < max_step and 0 < dt < max_silence_ms:
+                pace = dt / step
+                if row[2] == 0 or pace <= 2 * row[2]:
+                    row[0], row[1], row[2] = ms, fcnt, max(row[2], pace)
+                    return row[3], row[4], pace, step
+        self.rows.append([ms, fcnt, 0.0, self.created, us])
+        self.created += 1
+        return self.created - 1, us, 0.0, 0
+
+
+class ManyFlows:
+    """The same with parallel arrays, for addresses shared by very many devices."""
+
+    _types = {"ms": np.int64, "fcnt": np.int64, "longest": np.float64, "number": np.int64, "start": np.int64}
+
+    def __init__(self, created: int, rows):
+        self.created, self.n = created, len(rows)
+        for name, values in zip(self._types, zip(*rows)):
+            column = np.empty(2 * self.n, self._types[name])
+            column[: self.n] = values
+            setattr(self, name, column)
+
+    def pack(self) -> tuple:
+        return self.created, list(zip(*[getattr(self, name)[: self.n].tolist() for name in self._types]))
+
+    def fitting(self):
+        return self if self.n > FewFlows.LIMIT // 2 else FewFlows(*self.pack())
+
+    def retire(self, before_ms: int) -> None:
+        alive = np.flatnonzero(self.ms[: self.n] > before_ms)
         if len(alive) < self.n:
-            for name in self._fields:
+            for name in self._types:
                 column = getattr(self, name)
                 column[: len(alive)] = column[alive]
             self.n = len(alive)
 
-    def add(self, ms: int, fcnt: int, us: int) -> int:
-        if self.n == len(self.last_ms):
-            for name in self._fields:
+    def place(self, ms: int, fcnt: int, us: int, max_step: int, max_silence_ms: int) -> tuple:
+        dt, step = ms - self.ms[: self.n], fcnt - self.fcnt[: self.n]
+        near = np.flatnonzero((step > 0) & (step < max_step) & (dt > 0) & (dt < max_silence_ms))
+        pace, longest = dt[near] / step[near], self.longest[near]
+        fits = np.flatnonzero((longest == 0) | (pace <= 2 * longest))
+        if len(fits):
+            at, pace = near[fits[0]], float(pace[fits[0]])
+            self.ms[at], self.fcnt[at], self.longest[at] = ms, fcnt, max(self.longest[at], pace)
+            return self.number[at], self.start[at], pace, step[at]
+        if self.n == len(self.ms):
+            for name in self._types:
                 column = getattr(self, name)
                 setattr(self, name, np.concatenate([column, np.empty_like(column)]))
-        at, self.n, self.created = self.n, self.n + 1, self.created + 1
-        self.last_ms[at], self.last_fcnt[at], self.longest[at] = ms, fcnt, 0.0
-        self.ident[at], self.since_us[at] = self.created - 1, us
-        return at
+        for name, value in zip(self._types, (ms, fcnt, 0.0, self.created, us)):
+            getattr(self, name)[self.n] = value
+        self.n, self.created = self.n + 1, self.created + 1
+        return self.created - 1, us, 0.0, 0
 
 
-def flow_fold(max_step: int, max_silence_ms: int):
+def flow_fold(max_step: int, max_silence_ms: int) -> Fold:
     def fold(state, arrays):
-        flows = OpenFlows() if state is None else OpenFlows.unpack(state) if isinstance(state, tuple) else state
-        us, fcnt = arrays["_us"], arrays["fCnt"]
-        ms = us // 1000
-        n = len(us)
-        ident, since = np.empty(n, np.int64), np.empty(n, np.int64)
-        pace, step = np.zeros(n, np.float64), np.zeros(n, np.int64)
-        flows.retire(int(ms[0]) - max_silence_ms)
-        for i in range(n):
-            if flows.n > 64 and i % 256 == 0:
-                flows.retire(int(ms[i]) - max_silence_ms)
-            dt = ms[i] - flows.last_ms[: flows.n]
-            df = fcnt[i] - flows.last_fcnt[: flows.n]
-            near = np.flatnonzero((df >= 1) & (df < max_step) & (dt > 0) & (dt < max_silence_ms))
-            per_step = dt[near] / df[near]
-            longest = flows.longest[near]
-            fits = np.flatnonzero((longest == 0) | (2 * longest >= per_step))
-            if len(fits):
-                at = near[fits[0]]
-                pace[i], step[i] = per_step[fits[0]], df[at]
-                flows.last_ms[at], flows.last_fcnt[at] = ms[i], fcnt[i]
-                flows.longest[at] = max(flows.longest[at], pace[i])
-            else:
-                at = flows.add(int(ms[i]), int(fcnt[i]), int(us[i]))
-            ident[i], since[i] = flows.ident[at], flows.since_us[at]
+        flows = FewFlows() if state is None else FewFlows(*state) if isinstance(state, tuple) else state
+        us = arrays["_us"].tolist()
+        placed = []
+        for i, (at_us, fcnt) in enumerate(zip(us, arrays["fCnt"].tolist())):
+            ms = at_us // 1000
+            if i % 64 == 0:
+                flows.retire(ms - max_silence_ms)
+                flows = flows.fitting()
+            placed.append(flows.place(ms, fcnt, at_us, max_step, max_silence_ms))
+        number, start, pace, step = zip(*placed)
         return flows, {
-            "flow_id": ident,
-            "_since_us": since,
-            "interpkt_time_ms": pace,
-            "fCnt_diff": step,
+            "flow_id": np.array(number, np.int64),
+            "_since_us": np.array(start, np.int64),
+            "interpkt_time_ms": np.array(pace, np.float64),
+            "fCnt_diff": np.array(step, np.int64),
         }
 
     return fold

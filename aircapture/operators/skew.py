@@ -178,7 +178,8 @@ def running_total(df: DataFrame, value: str, weight: Column | None = None, by: l
     )
     inside = Window.partitionBy(*by, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        sums.join(offsets, [*by, "_bucket"])
+        # a left join adds no filter to one side only, so both sides read the same exchange
+        sums.join(offsets, [*by, "_bucket"], "left")
         .withColumn("cumulative", F.sum("weight").over(inside) + F.coalesce("_before", F.lit(0)))
         .select(*by, value, "weight", "cumulative", "total")
     )
