@@ -36,10 +36,12 @@ def nested_counts(
     keyed = df.withColumns({k1: as_column(key1), k2: as_column(key2)}).where(F.col(k1).isNotNull())
     extra = [expr.alias(name) for name, expr in (metrics or {}).items()]
     counts = keyed.groupBy(k1, k2).agg(F.count("*").alias("count"), *extra)
-    kept = counts.where(F.col(k2).isNotNull())
+    kept = counts
     if size2 is not None:
-        order = Window.partitionBy(k1).orderBy(F.desc("count"), k2)
+        # rows without key2 rank last, so that both uses of the counts can share one exchange
+        order = Window.partitionBy(k1).orderBy(F.col(k2).isNull(), F.desc("count"), k2)
         kept = kept.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= size2).drop("_rank")
+    kept = kept.where(F.col(k2).isNotNull())
     if size1 is not None:
         totals = counts.groupBy(k1).agg(F.sum("count").alias("_total"))
         kept = kept.join(totals.orderBy(F.desc("_total"), k1).limit(size1).select(k1), k1, "left_semi")

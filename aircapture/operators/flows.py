@@ -77,7 +77,7 @@ def assign_flows(
     devices with at least ``hot_min_rows`` packets are folded epoch by epoch.
     Pass ``hot`` (see ``heavy_devices``) where the packets come from a long plan.
     """
-    originals = packets.where(~F.col("is_duplicate")).select(
+    originals = packets.where(~F.col("is_duplicate") & F.col("time").isNotNull()).select(
         "devAddr", "fCnt", "SF", "time", "phyPayload", "_id", F.unix_micros("time").alias("_us")
     ).withColumn("_ms", F.unix_millis("time"))
     if hot is None:

@@ -222,10 +222,11 @@ def ordered_fold(
     piece before (``None`` at first).  All other columns pass through as Arrow
     data.  ``key`` must be a string without nulls.
 
-    Keys in ``hot`` are folded one epoch of time after another: each epoch is a
-    job whose result, with the closing state of every key, is a table in the
-    shared folder that the next epoch reads.  No task sorts or holds more than an
-    epoch of a key and a lost executor repeats at most its part of one epoch.
+    Keys in ``hot`` are folded one epoch of time after another.  Their rows are
+    written to the shared folder once, split by epoch; each epoch is a job whose
+    result, with the closing state of every key, is a table that the next epoch
+    reads.  No task sorts or holds more than an epoch of a key and a lost executor
+    repeats at most its part of one epoch.  ``time`` must not be null.
     """
     columns, names = df.columns, [f.name for f in added.fields]
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in [*df.schema.fields, *added.fields]])
@@ -241,22 +242,28 @@ def ordered_fold(
     if not hot:
         return fold_all(df, False)
 
-    heavy = df.where(is_heavy([key], hot))
+    spark, root = df.sparkSession, scratch_path(df.sparkSession, "fold")
     epoch = F.floor(F.unix_micros(F.col(time)) / F.lit(epoch_us)).cast("long")
-    span = heavy.agg(F.min(epoch).alias("lo"), F.max(epoch).alias("hi")).first()
-    result = fold_all(df.where(~is_heavy([key], hot)), False)
-    if span["lo"] is None:
-        return result
-    spark = df.sparkSession
-    root = scratch_path(spark, "fold")
-    states = None
-    for e in range(span["lo"], span["hi"] + 1):
-        lo, hi = (F.timestamp_micros(F.lit(x * epoch_us)) for x in (e, e + 1))
-        rows = heavy.where((F.col(time) >= lo) & (F.col(time) < hi)).withColumn("_state", F.lit(None).cast("binary"))
+    (
+        df.where(is_heavy([key], hot))
+        .withColumn("_epoch", epoch)
+        .repartitionByRange("_epoch", time)
+        .write.partitionBy("_epoch")
+        .parquet(f"{root}/input")
+    )
+    written = T.StructType([*schema.fields[: len(columns)], T.StructField("_epoch", T.LongType())])
+    heavy = spark.read.schema(written).parquet(f"{root}/input")
+    epochs = sorted(r["_epoch"] for r in heavy.select("_epoch").distinct().collect())
+    states, paths = None, []
+    for e in epochs:
+        rows = heavy.where(F.col("_epoch") == e).drop("_epoch").withColumn("_state", F.lit(None).cast("binary"))
         if states is not None:
             rows = rows.unionByName(states)
-        path = f"{root}/epoch={e}"
-        fold_all(rows, True).write.parquet(path)
-        states = spark.read.schema(carry_schema).parquet(path).where("_state is not null").drop(*names)
-    done = spark.read.schema(carry_schema).parquet(*[f"{root}/epoch={e}" for e in range(span["lo"], span["hi"] + 1)])
+        paths.append(f"{root}/epoch-{e}")
+        fold_all(rows, True).write.parquet(paths[-1])
+        states = spark.read.schema(carry_schema).parquet(paths[-1]).where("_state is not null").drop(*names)
+    result = fold_all(df.where(~is_heavy([key], hot)), False)
+    if not paths:
+        return result
+    done = spark.read.schema(carry_schema).parquet(*paths)
     return result.unionByName(done.where("_state is null").drop("_state"))

@@ -294,6 +294,7 @@ _add(
 _FLAG = "id AS _id, '1.0' AS version, dup AS is_duplicate, copy_of"
 _add("d1_flag_duplicates", FL, f"SELECT {_FLAG} FROM fl")
 _add("d1_flag_duplicates_strict", PK + "," + _flags("pk", "payload, sf, bw, cr, freq", ""), f"SELECT {_FLAG} FROM fl")
+_add("d1_flag_duplicates_sliced", FL, f"SELECT {_FLAG} FROM fl")
 _add("d1_flag_incremental", FL, f"SELECT {_FLAG} FROM fl")
 
 
@@ -323,6 +324,7 @@ msg AS MATERIALIZED (
 
 _add("d2_assign_messages", _messages(300), "SELECT id AS _id, message_id FROM msg")
 _add("d2_assign_messages_150ms", _messages(150), "SELECT id AS _id, message_id FROM msg")
+_add("d2_assign_messages_sliced", _messages(300), "SELECT id AS _id, message_id FROM msg")
 _add(
     "d2_collapse_receptions", _messages(300),
     """SELECT message_id AS _id, CAST(0 AS INTEGER) AS part, any_value(payload) AS "phyPayload", any_value(freq) AS frequency,
@@ -351,6 +353,7 @@ _add("s11_write_read_flow_packets", FP, f"SELECT {_PACKET}, nd AS nb_duplicates
 _add("f16_flow_quality", FS, "SELECT dev AS \"devAddr\", flow_id, nb AS nb_pkts FROM fq")
 _add("w1_device_list", EN, "SELECT dev AS \"devAddr\", count(*) AS doc_count FROM en WHERE mtype = 2 AND dev IS NOT NULL GROUP BY 1")
 _add("w2_assign_flows", FP, "SELECT dev AS \"devAddr\", id AS _id, flow_id FROM fp")
+_add("w2_assign_flows_epochs", FP, "SELECT dev AS \"devAddr\", id AS _id, flow_id FROM fp")
 _add("w3_flow_packets", FP, f"SELECT {_PACKET} FROM fp")
 _add("w4_attach_duplicates", FP, f"SELECT {_PACKET}, nd AS nb_duplicates FROM fp")
 _add(

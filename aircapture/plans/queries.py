@@ -393,6 +393,12 @@ def _(spark, sf):
     return _flags(D.flag_duplicates(R.packets(spark, sf), strict_keys=True))
 
 
+@query("d1_flag_duplicates_sliced")
+def _(spark, sf):
+    # every payload with three receptions counts as heavy
+    return _flags(D.flag_duplicates(R.packets(spark, sf), hot_min_rows=3))
+
+
 @query("d1_flag_incremental")
 def _(spark, sf):
     # the first half was flagged by an earlier run
@@ -419,6 +425,11 @@ def _(spark, sf):
     return _message_rows(D.assign_messages(R.gateway_rx(spark, sf), window_ms=150))
 
 
+@query("d2_assign_messages_sliced")
+def _(spark, sf):
+    return _message_rows(D.assign_messages(R.gateway_rx(spark, sf), hot_min_rows=3))
+
+
 @query("d2_collapse_receptions")
 def _(spark, sf):
     rx = F.col("rxInfo")
@@ -485,6 +496,14 @@ def _(spark, sf):
     return told.select("devAddr", "_id", "flow_id")
 
 
+@query("w2_assign_flows_epochs")
+def _(spark, sf):
+    # the busier devices count as heavy and are folded week by week
+    packets = W.flow_input(R.enriched(spark, sf))
+    mean = packets.where("not is_duplicate").groupBy("devAddr").count().agg(F.avg("count")).first()[0] or 1
+    return W.assign_flows(packets, hot_min_rows=int(mean)).select("devAddr", "_id", "flow_id")
+
+
 @query("w3_flow_packets")
 def _(spark, sf):
     told = W.assign_flows(W.flow_input(R.enriched(spark, sf)))
@@ -835,55 +854,43 @@ def _(spark, sf):
 # ---------------------------------------------------------------- streams
 
 
-def _stage(spark: SparkSession, rows: DataFrame, name: str, clock: Column | None = None) -> tuple[str, str]:
-    """Write rows as the source folder of a stream and name its output.
+def _with_clock(spark: SparkSession, relation: R.Stored, sf: str, kind: Column) -> DataFrame:
+    """The stored relation as a stream, and one row of that kind a month later that moves the watermark past all."""
+    path = scratch_path(spark, "clock")
+    late = relation(spark, sf).where(kind).orderBy(F.desc("time")).limit(1)
+    moved = F.col("time") + F.expr("INTERVAL 30 DAYS")
+    late = late.withColumns({"_id": F.lit("clock"), "time": moved})
+    late.withColumn("rxInfo", F.col("rxInfo").withField("time", F.col("time"))).write.parquet(path)
+    clock = spark.readStream.schema(late.schema).parquet(path)
+    return relation.stream(spark, sf).unionByName(clock)
 
-    With ``clock`` a row of that kind is added a month later: it moves the
-    watermark past all others.
-    """
-    path = scratch_path(spark, name)
-    rows.write.parquet(path)
-    if clock is not None:
-        late = spark.read.parquet(path).where(clock).orderBy(F.desc("time")).limit(1)
-        moved = F.col("time") + F.expr("INTERVAL 30 DAYS")
-        late = late.withColumn("_id", F.lit("clock")).withColumn("time", moved)
-        if "rxInfo" in rows.columns:
-            late = late.withColumn("rxInfo", F.col("rxInfo").withField("time", F.col("time")))
-        late.write.mode("append").parquet(path)
-    return path, scratch_path(spark, f"{name}-out")
+
+def _finished(spark: SparkSession, stream: DataFrame) -> DataFrame:
+    out = scratch_path(spark, "stream")
+    jobs.run_available(stream, f"{out}/table", f"{out}/checkpoint")
+    return spark.read.parquet(f"{out}/table")
 
 
 @query("t1_stream_decode")
 def _(spark, sf):
-    source, out = _stage(spark, R.packets(spark, sf), "t1")
-    schema_of = spark.read.parquet(source).schema
-    stream = jobs.stream_decode(spark.readStream.schema(schema_of).parquet(source))
-    jobs.run_available(stream, f"{out}/table", f"{out}/checkpoint")
-    return spark.read.parquet(f"{out}/table").select(
+    return _finished(spark, jobs.stream_decode(R.packets.stream(spark, sf))).select(
         "_id", F.col(P.MTYPE).alias("mtype"), F.col(P.DEVADDR).alias("dev_addr"), F.col(f"{_MAC}.fhdr.fCnt").alias("fcnt")
     )
 
 
 @query("t2_stream_collapse")
 def _(spark, sf):
-    rows = R.packets(spark, sf).select(
+    receptions = _with_clock(spark, R.packets, sf, F.lit(True)).select(
         "_id", "phyPayload", "time",
         F.col("txInfo.frequency").alias("frequency"),
         F.col(f"{R.LORA}.bandwidth").alias("bandwidth"),
         F.col(f"{R.LORA}.spreadingFactor").alias("spreadFactor"),
         F.col(f"{R.LORA}.codeRate").alias("codeRate"),
     )
-    source, out = _stage(spark, rows, "t2", F.lit(True))
-    stream = jobs.stream_collapse(spark.readStream.schema(rows.schema).parquet(source))
-    jobs.run_available(stream, f"{out}/table", f"{out}/checkpoint")
-    return _message_rows(spark.read.parquet(f"{out}/table"))
+    return _message_rows(_finished(spark, jobs.stream_collapse(receptions)))
 
 
 @query("t3_stream_traffic")
 def _(spark, sf):
-    source, out = _stage(spark, R.enriched(spark, sf), "t3", P.all_ok_nodup())
-    schema_of = spark.read.parquet(source).schema
-    stream = jobs.stream_hourly(spark.readStream.schema(schema_of).parquet(source), P.SF, "SF")
-    jobs.run_available(stream, f"{out}/table", f"{out}/checkpoint")
-    hours = spark.read.parquet(f"{out}/table")
+    hours = _finished(spark, jobs.stream_hourly(_with_clock(spark, R.enriched, sf, P.all_ok_nodup()), P.SF, "SF"))
     return hours.groupBy("SF", text.week_start(F.col("hour_start"), A.ZONE).alias("week")).agg(F.sum("count").alias("count"))

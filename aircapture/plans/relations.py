@@ -17,24 +17,34 @@ LORA = "txInfo.modulation.lora"
 
 
 _STORED: dict[tuple[str, str, str], str] = {}
+Build = Callable[[SparkSession, str], DataFrame]
 
 
-def _stored(name: str, build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+class Stored:
     """A relation written once per application to the shared folder and read from there afterwards.
 
     Analyses read what the preprocessing has written, as in a real deployment:
     a scan with column pruning and pushed filters, not the whole chain again.
     """
 
-    def read(spark: SparkSession, sf_dir: str) -> DataFrame:
-        key = (spark.sparkContext.applicationId, name, sf_dir.rstrip("/"))
+    def __init__(self, name: str, build: Build):
+        self.name, self.build = name, build
+
+    def path(self, spark: SparkSession, sf_dir: str) -> str:
+        key = (spark.sparkContext.applicationId, self.name, sf_dir.rstrip("/"))
         if key not in _STORED:
-            path = scratch_path(use_utc(spark), name)
-            build(spark, sf_dir).write.parquet(path)
+            path = scratch_path(use_utc(spark), self.name)
+            self.build(spark, sf_dir).write.parquet(path)
             _STORED[key] = path
-        return use_utc(spark).read.parquet(_STORED[key])
+        return _STORED[key]
+
+    def __call__(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        return use_utc(spark).read.parquet(self.path(spark, sf_dir))
 
-    return read
+    def stream(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        """The stored files as a stream."""
+        path = self.path(spark, sf_dir)
+        return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
 
 
 def _flagged_and_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,11 +53,11 @@ def _flagged_and_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: common-schema packets
-packets = _stored("packets", read_packets)
+packets = Stored("packets", read_packets)
 #: packets with duplicate flags and, for LORA, decoded frames
-enriched = _stored("enriched", _flagged_and_decoded)
+enriched = Stored("enriched", _flagged_and_decoded)
 #: packets of the inferred flows
-flow_packets = _stored("flow_packets", lambda spark, sf_dir: infer_flow_packets(enriched(spark, sf_dir)))
+flow_packets = Stored("flow_packets", lambda spark, sf_dir: infer_flow_packets(enriched(spark, sf_dir)))
 
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,4 +140,4 @@ def _reshaped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: frames of all message types and lengths
-reshaped_frames = _stored("reshaped", _reshaped)
+reshaped_frames = Stored("reshaped", _reshaped)

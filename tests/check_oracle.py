@@ -26,15 +26,24 @@ def rows_of(columns: list[str], rows) -> list[tuple]:
     return sorted(plain, key=repr)
 
 
+KINDS = {
+    "VARCHAR": "string", "BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "BOOLEAN": "boolean", "DATE": "date",
+    "TIMESTAMP": "timestamp_ntz",
+}
+
+
 def difference(query, sql: str, spark, con, sf_dir: str) -> str | None:
     """``None`` when both give the same columns, column kinds and rows."""
     df = query(spark, sf_dir)
     mine = rows_of(df.columns, df.collect())
     answer = con.execute(sql)
     columns = [d[0] for d in answer.description]
+    kinds = {d[0]: KINDS.get(str(d[1]), str(d[1])) for d in answer.description}
     theirs = rows_of(columns, answer.fetchall())
     if sorted(df.columns) != sorted(columns):
         return f"columns {sorted(df.columns)} != {sorted(columns)}"
+    if dict(df.dtypes) != kinds:
+        return f"types {set(df.dtypes) ^ set(kinds.items())}"
     if len(mine) != len(theirs):
         return f"{len(mine)} rows != {len(theirs)}"
     for a, b in zip(mine, theirs):

@@ -1,6 +1,5 @@
 """Duplicates, messages and flows against plain-Python models, with and without heavy keys."""
 
-import datetime as dt
 import random
 
 import model
