@@ -30,7 +30,7 @@ def flag_duplicates(
     version: str = DUP_VERSION,
     strict_keys: bool = False,
     hot_min_rows: int | None = None,
-    slice_us: int = 3_600_000_000,
+    slice_rows: int | None = None,
 ) -> DataFrame:
     """Set ``dup_infos`` of every row.
 
@@ -43,7 +43,7 @@ def flag_duplicates(
     keys = ["phyPayload", *_RADIO] if strict_keys else ["phyPayload"]
     same = [] if strict_keys else list(_RADIO)
     hot = heavy_hashes(flat, keys, hot_min_rows)
-    chained = gap_chains(flat, keys, "time", "_id", int(gap_minutes * 60_000_000), same, hot, slice_us)
+    chained = gap_chains(flat, keys, "time", "_id", int(gap_minutes * 60_000_000), same, hot, slice_rows)
     return chained.withColumn("dup_infos", _dup_infos(version)).drop(*_RADIO, "chain_id", "chain_time")
 
 
@@ -83,6 +83,7 @@ def flag_incremental(
     version: str = DUP_VERSION,
     gap_minutes: float = GAP_MINUTES,
     hot_min_rows: int | None = None,
+    slice_rows: int | None = None,
 ) -> DataFrame:
     """New ``dup_infos`` for the rows of ``candidate_window`` only.
 
@@ -101,7 +102,7 @@ def flag_incremental(
     )
     hot = heavy_hashes(flat, ["phyPayload"], hot_min_rows)
     chained = gap_chains(
-        flat, ["phyPayload"], "time", "_label", int(gap_minutes * 60_000_000), list(_RADIO), hot
+        flat, ["phyPayload"], "time", "_label", int(gap_minutes * 60_000_000), list(_RADIO), hot, slice_rows
     )
     head = F.coalesce(F.col("chain_id._earlier"), F.col("chain_id._id"))
     return chained.withColumn(
@@ -135,8 +136,8 @@ def assign_messages(
     df: DataFrame,
     window_ms: float = WINDOW_MS,
     hot_min_rows: int | None = None,
-    slice_us: int = 3_600_000_000,
-    epoch_us: int = 7 * 86_400_000_000,
+    slice_rows: int | None = None,
+    epoch_rows: int | None = None,
 ) -> DataFrame:
     """Add ``message_id``: the first reception of the message a reception belongs to.
 
@@ -152,7 +153,7 @@ def assign_messages(
     )
     keys = ["phyPayload", *_MESSAGE_KEYS]
     hot = heavy_hashes(flat, keys, hot_min_rows)
-    chained = gap_chains(flat, keys, "_at", "_id", window_us, [], hot, slice_us).withColumn(
+    chained = gap_chains(flat, keys, "_at", "_id", window_us, [], hot, slice_rows).withColumn(
         "_us", F.unix_micros("_at")
     )
     late = F.col("_us") - F.unix_micros("chain_time") > window_us
@@ -168,7 +169,7 @@ def assign_messages(
         anchor_fold(window_us),
         "_at",
         hot_chains,
-        epoch_us,
+        epoch_rows,
     )
     return first.unionByName(folded).drop(*_MESSAGE_KEYS, "_at", "_us", "chain_id", "chain_time")
 

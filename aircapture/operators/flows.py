@@ -64,7 +64,7 @@ def assign_flows(
     max_fcnt: int = MAX_FCNT_STEP,
     max_gap_ms: int = MAX_SILENCE_MS,
     hot_min_rows: int | None = None,
-    epoch_us: int = 7 * 86_400_000_000,
+    epoch_rows: int | None = None,
     hot: list[int] | None = None,
 ) -> DataFrame:
     """Split the non-duplicate packets of ``flow_input`` into flows.
@@ -84,7 +84,7 @@ def assign_flows(
         hot = heavy_hashes(originals, ["devAddr"], hot_min_rows)
     folded = ordered_fold(
         originals, "devAddr", ["_ms", "_id"], ["_us", "fCnt"], _ADDED, flow_fold(max_fcnt, max_gap_ms),
-        "time", hot, epoch_us,
+        "time", hot, epoch_rows,
     )
     return folded.withColumn("time_1st", F.timestamp_micros("_since_us")).select(
         "devAddr", "flow_id", "time_1st", "interpkt_time_ms", "fCnt_diff", "fCnt", "SF", "time", "phyPayload", "_id"

@@ -1,6 +1,7 @@
 """Order-dependent building blocks that hold when one key owns a large share of the rows.
 
 ``heavy_hashes``   which keys are too big for one task (a sketch, no shuffle)
+``time_cuts``      instants that cut heavy keys into slices of even size
 ``gap_chains``     consecutive rows of a key closer than a gap form a chain
 ``running_total``  cumulative weight in value order, without a one-task window
 ``ordered_fold``   a sequential fold per key in bounded memory, epoch by epoch for heavy keys
@@ -23,6 +24,7 @@ from aircapture.session import scratch_path
 cloudpickle.register_pickle_by_value(folds)
 
 HOT_MIN_ROWS = 2_000_000
+EPOCH_ROWS = 20_000_000
 _MAX_HOT = 10_000
 _TRACKED = 65_536
 
@@ -49,6 +51,41 @@ def is_heavy(keys: list[str], hashes: list[int]) -> Column:
     return F.xxhash64(*keys).isin(hashes)
 
 
+def time_cuts(df: DataFrame, keys: list[str], time: str, hot: list[int], rows: int) -> list[int]:
+    """Instants (µs, whole milliseconds) that cut every heavy key into slices of about ``rows`` rows.
+
+    Rows of one millisecond stay together, so an order by milliseconds is kept. From a quantile sketch per heavy key; a key has at most 500 slices.  The list
+    on the driver is bounded by the number of slices, not of rows.
+    """
+    quantiles = [i / 500 for i in range(1, 500)]
+    us = F.unix_micros(F.col(time))
+    sketch = (
+        df.where(is_heavy(keys, hot) & F.col(time).isNotNull())
+        .groupBy(*keys)
+        .agg(F.count("*").alias("n"), F.percentile_approx(us, quantiles, 2000).alias("q"))
+        .withColumn("parts", F.least(F.ceil(F.col("n") / rows), F.lit(500)).cast("int"))
+        .where(F.col("parts") > 1)
+    )
+    at = F.transform(F.sequence(F.lit(1), F.col("parts") - 1), lambda i: (i * 500 / F.col("parts")).cast("int") - 1)
+    cut = F.transform(at, lambda i: F.get("q", F.greatest(i, F.lit(0))))
+    cuts = sketch.select(F.explode(cut).alias("us")).select((F.col("us") - F.pmod("us", F.lit(1000))).alias("cut"))
+    return sorted(r["cut"] for r in cuts.distinct().collect())
+
+
+def slice_of(time: Column, cuts: list[int]) -> Column:
+    """Number of cuts at or before an instant, by binary search; null for a null instant."""
+    if not cuts:
+        return F.when(time.isNotNull(), F.lit(0))
+    table, us = F.lit(cuts), F.unix_micros(time)
+    jumps = F.lit([1 << k for k in reversed(range(len(cuts).bit_length()))])
+    found = F.aggregate(
+        jumps,
+        F.lit(0),
+        lambda at, jump: F.when(F.get(table, at + jump - 1) <= us, at + jump).otherwise(at),
+    )
+    return F.when(time.isNotNull(), found)
+
+
 # ---------------------------------------------------------------- chains
 
 
@@ -78,15 +115,15 @@ def gap_chains(
     gap_us: int,
     same: list[str] | None = None,
     hot: list[int] | None = None,
-    slice_us: int = 3_600_000_000,
+    slice_rows: int | None = None,
 ) -> DataFrame:
     """Add ``chain_id``, ``chain_time`` (row id and time of the chain's first row).
 
     Rows of one key are ordered by (time, row_id); a row continues its chain when
     the row just before it is at most ``gap_us`` older and agrees on ``same``.
-    Keys in ``hot`` are cut into time slices that are chained in parallel; a
-    small table with one row per slice then joins the slices together, so no
-    task sees more than one slice of a heavy key.
+    Keys in ``hot`` are cut into time slices of about ``slice_rows`` rows that are
+    chained in parallel; a small table with one row per slice then joins the
+    slices together, so no task sees more than one slice of a heavy key.
     """
     same = same or []
     final = [*df.columns, "chain_id", "chain_time"]
@@ -98,9 +135,8 @@ def gap_chains(
         return finish(_chains_by_window(df, keys, time, row_id, gap_us, same))
 
     cold = _chains_by_window(df.where(~is_heavy(keys, hot)), keys, time, row_id, gap_us, same)
-    sliced = df.where(is_heavy(keys, hot)).withColumn(
-        "_slice", F.floor(F.unix_micros(F.col(time)) / F.lit(slice_us)).cast("long")
-    )
+    cuts = time_cuts(df, keys, time, hot, HOT_MIN_ROWS if slice_rows is None else slice_rows)
+    sliced = df.where(is_heavy(keys, hot)).withColumn("_slice", slice_of(F.col(time), cuts))
     parts = _chains_by_window(sliced, [*keys, "_slice"], time, row_id, gap_us, same)
 
     position = F.struct(time, row_id)
@@ -213,7 +249,7 @@ def ordered_fold(
     fold: Fold,
     time: str,
     hot: list[int] | None = None,
-    epoch_us: int = 7 * 86_400_000_000,
+    epoch_rows: int | None = None,
 ) -> DataFrame:
     """Append the columns ``added`` computed by a sequential fold over each key's rows.
 
@@ -222,9 +258,9 @@ def ordered_fold(
     piece before (``None`` at first).  All other columns pass through as Arrow
     data.  ``key`` must be a string without nulls.
 
-    Keys in ``hot`` are folded one epoch of time after another.  Their rows are
-    written to the shared folder once, split by epoch; each epoch is a job whose
-    result, with the closing state of every key, is a table that the next epoch
+    Keys in ``hot`` are folded one epoch of time after another, an epoch holding
+    about ``epoch_rows`` rows of a key.  Their rows are written to the shared
+    folder once, split by epoch; each epoch is a job whose result, with the closing state of every key, is a table that the next epoch
     reads.  No task sorts or holds more than an epoch of a key and a lost executor
     repeats at most its part of one epoch.  ``time`` must not be null.
     """
@@ -243,15 +279,15 @@ def ordered_fold(
         return fold_all(df, False)
 
     spark, root = df.sparkSession, scratch_path(df.sparkSession, "fold")
-    epoch = F.floor(F.unix_micros(F.col(time)) / F.lit(epoch_us)).cast("long")
+    cuts = time_cuts(df, [key], time, hot, EPOCH_ROWS if epoch_rows is None else epoch_rows)
     (
         df.where(is_heavy([key], hot))
-        .withColumn("_epoch", epoch)
+        .withColumn("_epoch", slice_of(F.col(time), cuts))
         .repartitionByRange("_epoch", time)
         .write.partitionBy("_epoch")
         .parquet(f"{root}/input")
     )
-    written = T.StructType([*schema.fields[: len(columns)], T.StructField("_epoch", T.LongType())])
+    written = T.StructType([*schema.fields[: len(columns)], T.StructField("_epoch", T.IntegerType())])
     heavy = spark.read.schema(written).parquet(f"{root}/input")
     epochs = sorted(r["_epoch"] for r in heavy.select("_epoch").distinct().collect())
     states, paths = None, []

@@ -396,7 +396,7 @@ def _(spark, sf):
 @query("d1_flag_duplicates_sliced")
 def _(spark, sf):
     # every payload with three receptions counts as heavy
-    return _flags(D.flag_duplicates(R.packets(spark, sf), hot_min_rows=3))
+    return _flags(D.flag_duplicates(R.packets(spark, sf), hot_min_rows=3, slice_rows=2))
 
 
 @query("d1_flag_incremental")
@@ -427,7 +427,7 @@ def _(spark, sf):
 
 @query("d2_assign_messages_sliced")
 def _(spark, sf):
-    return _message_rows(D.assign_messages(R.gateway_rx(spark, sf), hot_min_rows=3))
+    return _message_rows(D.assign_messages(R.gateway_rx(spark, sf), hot_min_rows=3, slice_rows=2))
 
 
 @query("d2_collapse_receptions")
@@ -498,10 +498,10 @@ def _(spark, sf):
 
 @query("w2_assign_flows_epochs")
 def _(spark, sf):
-    # the busier devices count as heavy and are folded week by week
+    # the busier devices count as heavy and are folded in a few epochs
     packets = W.flow_input(R.enriched(spark, sf))
     mean = packets.where("not is_duplicate").groupBy("devAddr").count().agg(F.avg("count")).first()[0] or 1
-    return W.assign_flows(packets, hot_min_rows=int(mean)).select("devAddr", "_id", "flow_id")
+    return W.assign_flows(packets, hot_min_rows=int(mean), epoch_rows=int(mean / 2) + 1).select("devAddr", "_id", "flow_id")
 
 
 @query("w3_flow_packets")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from aircapture.operators import duplicates as D
 from aircapture.operators import flows as W
 from aircapture.operators.decode import decode_frames
-from aircapture.operators.skew import heavy_hashes, running_total
+from aircapture.operators.skew import heavy_hashes, running_total, slice_of, time_cuts
 from aircapture.plans import relations as R
 
 T0 = 1_704_067_200_000_000
@@ -67,11 +67,11 @@ def told_flags(df):
     return {r["_id"]: r["c"] for r in df.select("_id", F.col("dup_infos.copy_of").alias("c")).collect()}
 
 
-@pytest.mark.parametrize("hot_min_rows, slice_us", [(None, 3_600_000_000), (100, 3_600_000_000), (2, 60_000_000)])
-def test_flags_match_model(spark, hot_min_rows, slice_us):
+@pytest.mark.parametrize("hot_min_rows, slice_rows", [(None, None), (100, None), (100, 40), (2, 3)])
+def test_flags_match_model(spark, hot_min_rows, slice_rows):
     rows = crowd(1, 1200, span_s=400_000)
     want = model.flags([(p, us, i, (f, s)) for i, us, p, f, s in rows])
-    got = told_flags(D.flag_duplicates(as_packets(spark, rows), hot_min_rows=hot_min_rows, slice_us=slice_us))
+    got = told_flags(D.flag_duplicates(as_packets(spark, rows), hot_min_rows=hot_min_rows, slice_rows=slice_rows))
     assert got == want and len(set(want.values())) < len(want)
 
 
@@ -106,19 +106,19 @@ def test_incremental_flags_equal_full(spark, tmp_path, hot_min_rows):
     path = str(tmp_path / "base")
     unify(D.flag_duplicates(df.where(F.col("time") < cut)), df.where(F.col("time") >= cut)).write.parquet(path)
     base = spark.read.parquet(path)
-    fresh = D.flag_incremental(base, hot_min_rows=hot_min_rows)
+    fresh = D.flag_incremental(base, hot_min_rows=hot_min_rows, slice_rows=20)
     assert fresh.count() < len(rows)
     assert told_flags(upsert(base, fresh)) == want
 
 
-@pytest.mark.parametrize("hot_min_rows, slice_us", [(None, 3_600_000_000), (20, 1_000_000), (20, 10_000_000)])
+@pytest.mark.parametrize("hot_min_rows, slice_rows", [(None, None), (20, 7), (20, 100)])
 @pytest.mark.parametrize("step_us", [1, 100_000])
-def test_messages_match_model(spark, hot_min_rows, slice_us, step_us):
+def test_messages_match_model(spark, hot_min_rows, slice_rows, step_us):
     # dense enough that sessions run on much longer than one message
     rows = crowd(4, 1000, span_s=100, step_us=step_us)
     want = model.messages([((p, f, s), us, i) for i, us, p, f, s in rows])
     told = D.assign_messages(
-        as_receptions(spark, rows), hot_min_rows=hot_min_rows, slice_us=slice_us, epoch_us=7_000_000
+        as_receptions(spark, rows), hot_min_rows=hot_min_rows, slice_rows=slice_rows, epoch_rows=100
     )
     assert {r["_id"]: r["message_id"] for r in told.select("_id", "message_id").collect()} == want
 
@@ -153,8 +153,8 @@ def flow_rows(seed, n, devices=4, span_days=40):
     return rows
 
 
-@pytest.mark.parametrize("hot_min_rows, epoch_days", [(None, 7), (100, 7), (1, 3)])
-def test_flows_match_model(spark, hot_min_rows, epoch_days):
+@pytest.mark.parametrize("hot_min_rows, epoch_rows", [(None, None), (100, 60), (1, 100)])
+def test_flows_match_model(spark, hot_min_rows, epoch_rows):
     rows = flow_rows(5, 700)
     want = model.flows([(d, T0 + us, i, f) for d, us, i, f in rows])
     df = spark.createDataFrame([(d, T0 + us, i, f) for d, us, i, f in rows], "devAddr string, us long, _id string, fCnt long")
@@ -162,7 +162,7 @@ def test_flows_match_model(spark, hot_min_rows, epoch_days):
         "devAddr", "_id", "fCnt", F.timestamp_micros("us").alias("time"), F.lit(7).alias("SF"), F.lit("x").alias("phyPayload"),
         F.lit(False).alias("is_duplicate"), F.col("_id").alias("copy_of"),
     )
-    told = W.assign_flows(df, hot_min_rows=hot_min_rows, epoch_us=epoch_days * 86_400_000_000)
+    told = W.assign_flows(df, hot_min_rows=hot_min_rows, epoch_rows=epoch_rows)
     got = {r["_id"]: (r["flow_id"], r["interpkt_time_ms"], r["fCnt_diff"]) for r in told.collect()}
     assert got == want
     assert max(f for f, _, _ in want.values()) > 3
@@ -203,6 +203,19 @@ def test_summary_counts_the_first_packet(spark, packets):
     assert flows.where("min_interpkt_time_ms <> 0").count() == 0
 
 
+def test_slices_are_even_and_in_order(spark):
+    rnd = random.Random(9)
+    rows = [("a", int(rnd.expovariate(1e-7))) for _ in range(4000)] + [("b", 5)] * 300
+    df = spark.createDataFrame([(k, us) for k, us in rows], "k string, us long").withColumn("t", F.timestamp_micros("us"))
+    cuts = time_cuts(df, ["k"], "t", heavy_hashes(df, ["k"], 200), 400)
+    assert cuts == sorted(set(cuts)) and 8 <= len(cuts) <= 10
+    got = df.select("k", "us", slice_of(F.col("t"), cuts).alias("s")).collect()
+    assert all(r["s"] == sum(c <= r["us"] for c in cuts) for r in got)
+    sizes = [sum(r["k"] == "a" and r["s"] == i for r in got) for i in range(len(cuts) + 1)]
+    assert max(sizes) < 500 and sum(sizes) == 4000
+    assert df.select(slice_of(F.lit(None).cast("timestamp"), cuts)).first()[0] is None
+
+
 def test_heavy_keys_are_found(spark):
     df = spark.createDataFrame([("a",)] * 500 + [(f"k{i}",) for i in range(800)] + [(None,)] * 300, "k string")
     found = heavy_hashes(df, ["k"], 200)
