@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from aircapture.functions import predicates
 from aircapture.functions.text import sample_key
 
-_DIRECT = 10_000
+_DIRECT = 100
 
 
 def hash_sample(df: DataFrame, n: int, row_id: str = "_id") -> DataFrame:
     """``n`` rows picked by a hash of payload and time: the same ones at every run.
 
-    For a large ``n`` a histogram of the first four hex digits (65 536 cells)
+    Beyond a handful a histogram of the first four hex digits (65 536 cells)
     tells which hashes can be among the first ``n``, so that only about ``n``
     rows, not ``n`` per task, go to the final sort.
     """

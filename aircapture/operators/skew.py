@@ -9,6 +9,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
@@ -27,6 +28,7 @@ HOT_MIN_ROWS = 2_000_000
 EPOCH_ROWS = 20_000_000
 _MAX_HOT = 10_000
 _TRACKED = 65_536
+_MAX_SLICES = 500
 
 
 def heavy_hashes(df: DataFrame, keys: list[str], min_rows: int | None = None) -> list[int]:
@@ -51,39 +53,51 @@ def is_heavy(keys: list[str], hashes: list[int]) -> Column:
     return F.xxhash64(*keys).isin(hashes)
 
 
-def time_cuts(df: DataFrame, keys: list[str], time: str, hot: list[int], rows: int) -> list[int]:
-    """Instants (µs, whole milliseconds) that cut every heavy key into slices of about ``rows`` rows.
+def time_cuts(df: DataFrame, keys: list[str], time: str, hot: list[int], rows: int) -> dict[int, list[int]]:
+    """For each heavy key (by hash) the instants that cut it into slices of about ``rows`` rows.
 
-    Rows of one millisecond stay together, so an order by milliseconds is kept. From a quantile sketch per heavy key; a key has at most 500 slices.  The list
-    on the driver is bounded by the number of slices, not of rows.
+    From a quantile sketch per key; at most 500 slices a key, so what reaches the
+    driver is bounded by the number of slices.  Instants are µs at whole
+    milliseconds: rows of one millisecond stay together, so an order by
+    milliseconds is kept.
     """
-    quantiles = [i / 500 for i in range(1, 500)]
+    quantiles = [i / _MAX_SLICES for i in range(1, _MAX_SLICES)]
     us = F.unix_micros(F.col(time))
     sketch = (
         df.where(is_heavy(keys, hot) & F.col(time).isNotNull())
-        .groupBy(*keys)
+        .groupBy(F.xxhash64(*keys).alias("h"))
         .agg(F.count("*").alias("n"), F.percentile_approx(us, quantiles, 2000).alias("q"))
-        .withColumn("parts", F.least(F.ceil(F.col("n") / rows), F.lit(500)).cast("int"))
+        .withColumn("parts", F.least(F.ceil(F.col("n") / rows), F.lit(_MAX_SLICES)).cast("int"))
         .where(F.col("parts") > 1)
     )
-    at = F.transform(F.sequence(F.lit(1), F.col("parts") - 1), lambda i: (i * 500 / F.col("parts")).cast("int") - 1)
-    cut = F.transform(at, lambda i: F.get("q", F.greatest(i, F.lit(0))))
-    cuts = sketch.select(F.explode(cut).alias("us")).select((F.col("us") - F.pmod("us", F.lit(1000))).alias("cut"))
-    return sorted(r["cut"] for r in cuts.distinct().collect())
+    at = F.transform(F.sequence(F.lit(1), F.col("parts") - 1), lambda i: (i * _MAX_SLICES / F.col("parts")).cast("int"))
+    cut = F.transform(at, lambda i: F.get("q", F.greatest(i - 1, F.lit(0))))
+    whole = F.array_sort(F.array_distinct(F.transform(cut, lambda c: c - F.pmod(c, F.lit(1000)))))
+    return {r["h"]: r["cuts"] for r in sketch.select("h", whole.alias("cuts")).collect()}
 
 
-def slice_of(time: Column, cuts: list[int]) -> Column:
-    """Number of cuts at or before an instant, by binary search; null for a null instant."""
+def with_slice(df: DataFrame, keys: list[str], time: str, cuts: dict[int, list[int]], name: str) -> DataFrame:
+    """Add the number of the key's cuts at or before the row's instant (null for a null instant)."""
+    known = F.col(time).isNotNull()
     if not cuts:
-        return F.when(time.isNotNull(), F.lit(0))
-    table, us = F.lit(cuts), F.unix_micros(time)
-    jumps = F.lit([1 << k for k in reversed(range(len(cuts).bit_length()))])
+        return df.withColumn(name, F.when(known, F.lit(0)))
+    table = df.sparkSession.createDataFrame(
+        pd.DataFrame({"_h": list(cuts), "_cuts": list(cuts.values())}), "_h long, _cuts array<long>"
+    )
+    # binary search: jump ahead by falling powers of two while the cut there is not later
+    jumps = F.lit([1 << k for k in reversed(range(_MAX_SLICES.bit_length()))])
+    us = F.unix_micros(F.col(time))
     found = F.aggregate(
         jumps,
         F.lit(0),
-        lambda at, jump: F.when(F.get(table, at + jump - 1) <= us, at + jump).otherwise(at),
+        lambda at, jump: F.when(F.get("_cuts", at + jump - 1) <= us, at + jump).otherwise(at),
+    )
+    return (
+        df.withColumn("_h", F.xxhash64(*keys))
+        .join(table, "_h", "left")
+        .withColumn(name, F.when(known, found))
+        .select(*df.columns, name)
     )
-    return F.when(time.isNotNull(), found)
 
 
 # ---------------------------------------------------------------- chains
@@ -136,7 +150,7 @@ def gap_chains(
 
     cold = _chains_by_window(df.where(~is_heavy(keys, hot)), keys, time, row_id, gap_us, same)
     cuts = time_cuts(df, keys, time, hot, HOT_MIN_ROWS if slice_rows is None else slice_rows)
-    sliced = df.where(is_heavy(keys, hot)).withColumn("_slice", slice_of(F.col(time), cuts))
+    sliced = with_slice(df.where(is_heavy(keys, hot)), keys, time, cuts, "_slice")
     parts = _chains_by_window(sliced, [*keys, "_slice"], time, row_id, gap_us, same)
 
     position = F.struct(time, row_id)
@@ -259,7 +273,7 @@ def ordered_fold(
     data.  ``key`` must be a string without nulls.
 
     Keys in ``hot`` are folded one epoch of time after another, an epoch holding
-    about ``epoch_rows`` rows of a key.  Their rows are written to the shared
+    about ``epoch_rows`` rows of a key; each key has its own epochs.  Their rows are written to the shared
     folder once, split by epoch; each epoch is a job whose result, with the closing state of every key, is a table that the next epoch
     reads.  No task sorts or holds more than an epoch of a key and a lost executor
     repeats at most its part of one epoch.  ``time`` must not be null.
@@ -281,8 +295,7 @@ def ordered_fold(
     spark, root = df.sparkSession, scratch_path(df.sparkSession, "fold")
     cuts = time_cuts(df, [key], time, hot, EPOCH_ROWS if epoch_rows is None else epoch_rows)
     (
-        df.where(is_heavy([key], hot))
-        .withColumn("_epoch", slice_of(F.col(time), cuts))
+        with_slice(df.where(is_heavy([key], hot)), [key], time, cuts, "_epoch")
         .repartitionByRange("_epoch", time)
         .write.partitionBy("_epoch")
         .parquet(f"{root}/input")
