@@ -36,15 +36,23 @@ def flag_duplicates(
 
     In (time, _id) order per payload a row is a duplicate when the row just
     before it has the same radio parameters and is at most ``gap_minutes`` older;
-    ``copy_of`` is the first row of its chain.  With ``strict_keys`` frames of
+    ``copy_of`` is the first row of its chain; a row without payload is its own
+    original.  With ``strict_keys`` frames of
     other radio parameters in between do not break a chain.  One shuffle.
     """
-    flat = df.withColumns({name: F.col(path) for name, path in _RADIO.items()})
-    keys = ["phyPayload", *_RADIO] if strict_keys else ["phyPayload"]
+    flat = _flat(df)
+    keys = ["phyPayload", "_solo", *_RADIO] if strict_keys else ["phyPayload", "_solo"]
     same = [] if strict_keys else list(_RADIO)
     hot = heavy_hashes(flat, keys, hot_min_rows)
     chained = gap_chains(flat, keys, "time", "_id", int(gap_minutes * 60_000_000), same, hot, slice_rows)
-    return chained.withColumn("dup_infos", _dup_infos(version)).drop(*_RADIO, "chain_id", "chain_time")
+    return chained.withColumn("dup_infos", _dup_infos(version)).drop(*_RADIO, "_solo", "chain_id", "chain_time")
+
+
+def _flat(df: DataFrame) -> DataFrame:
+    """Radio parameters as columns, and ``_solo``, which keeps rows without a payload apart from each other."""
+    return df.withColumns(
+        {**{name: F.col(path) for name, path in _RADIO.items()}, "_solo": F.when(F.col("phyPayload").isNull(), F.col("_id"))}
+    )
 
 
 def _dup_infos(version: str):
@@ -58,7 +66,7 @@ def _dup_infos(version: str):
 def payload_inventory(df: DataFrame, version: str = DUP_VERSION, start: str | None = None) -> DataFrame:
     """Payloads with unflagged rows: how many, and the earliest time."""
     return (
-        df.where(predicates.needs_dup_flag(version, start))
+        df.where(predicates.needs_dup_flag(version, start) & F.col("phyPayload").isNotNull())
         .groupBy("phyPayload")
         .agg(F.count("*").alias("doc_count"), F.min("time").alias("time"))
     )
@@ -97,9 +105,7 @@ def flag_incremental(
             (F.col("dup_infos.version") == version) & F.col("dup_infos.is_duplicate"), F.col("dup_infos.copy_of")
         ),
     )
-    flat = window.withColumns({name: F.col(path) for name, path in _RADIO.items()}).withColumn(
-        "_label", F.struct(F.col("_id"), F.col("_earlier"))
-    )
+    flat = _flat(window).withColumn("_label", F.struct(F.col("_id"), F.col("_earlier")))
     hot = heavy_hashes(flat, ["phyPayload"], hot_min_rows)
     chained = gap_chains(
         flat, ["phyPayload"], "time", "_label", int(gap_minutes * 60_000_000), list(_RADIO), hot, slice_rows

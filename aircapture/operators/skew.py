@@ -9,7 +9,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
@@ -81,9 +80,9 @@ def with_slice(df: DataFrame, keys: list[str], time: str, cuts: dict[int, list[i
     known = F.col(time).isNotNull()
     if not cuts:
         return df.withColumn(name, F.when(known, F.lit(0)))
-    table = df.sparkSession.createDataFrame(
-        pd.DataFrame({"_h": list(cuts), "_cuts": list(cuts.values())}), "_h long, _cuts array<long>"
-    )
+    # from Arrow, so that it is a local relation whose size the planner knows
+    rows = pa.table({"_h": pa.array(list(cuts), pa.int64()), "_cuts": pa.array(list(cuts.values()), pa.list_(pa.int64()))})
+    table = df.sparkSession.createDataFrame(rows)
     # binary search: jump ahead by falling powers of two while the cut there is not later
     jumps = F.lit([1 << k for k in reversed(range(_MAX_SLICES.bit_length()))])
     us = F.unix_micros(F.col(time))

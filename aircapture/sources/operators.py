@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,8 +26,8 @@ def packaged_operators(spark: SparkSession) -> DataFrame:
     with open(PACKAGED, encoding="utf-8") as f:
         lines = [line.rstrip("\n").split("\t") for line in f if not line.startswith("#")][1:]
     columns = [part.split()[0] for part in schema.OPERATORS.split(", ")]
-    table = pd.DataFrame([(line + [None])[:5] for line in lines], columns=columns)
-    rows = spark.createDataFrame(table, schema.OPERATORS)
+    cells = zip(*[(line + [None])[:5] for line in lines])
+    rows = spark.createDataFrame(pa.table({name: pa.array(values, pa.string()) for name, values in zip(columns, cells)}))
     return _with_bounds(rows, F.split("range", r"\s+-\s+"))
 
 

@@ -82,6 +82,13 @@ def test_flags_do_not_depend_on_row_order(spark):
     assert a == b
 
 
+@pytest.mark.parametrize("hot_min_rows", [None, 2])
+def test_rows_without_payload_or_radio(spark, hot_min_rows):
+    rows = [("a", 0, None, 1, 7), ("b", 1, None, 1, 7), ("c", 2, "p", None, None), ("d", 3, "p", None, None), ("e", 4, "p", 1, 7)]
+    got = told_flags(D.flag_duplicates(as_packets(spark, rows), hot_min_rows=hot_min_rows))
+    assert got == {"a": "a", "b": "b", "c": "c", "d": "c", "e": "e"}
+
+
 def test_interleaved_radios_break_chains_unless_strict(spark):
     rows = [("a", 0, "p", 1, 7), ("b", 1000, "p", 2, 7), ("c", 2000, "p", 1, 7), ("d", 3000, "p", 2, 7)]
     df = as_packets(spark, rows)
