@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import tempfile
 import types
@@ -41,9 +42,23 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of finished jobs that nothing refers to any more.
+
+    It does so when the driver collects its garbage, which a long chain of
+    checkpoints may not reach before the files fill the disks.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the shared folder, so that lost executors cost no more than the work since then."""
+    """Checkpoint in the shared folder, so that lost executors cost no more than the work since then.
+
+    What earlier steps have left on the disks is given up first.
+    """
     context = df.sparkSession.sparkContext
+    release(df.sparkSession)
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

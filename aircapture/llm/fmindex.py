@@ -35,8 +35,11 @@ class WaveletMatrix:
 
 
 class FmIndex:
-    """Index of one shard's word sequence. Suffixes are ordered by their first ``order`` words,
-    which is all that patterns of up to that length need."""
+    """Index of one shard's word sequence, which begins and ends with the separator 0.
+
+    Suffixes are ordered by their first ``order`` words, which is all that
+    patterns of up to that length need.
+    """
 
     def __init__(self, symbols: np.ndarray, sigma: int, order: int = 32) -> None:
         n = len(symbols)

@@ -13,15 +13,15 @@ from aircapture.llm.common import SEPARATOR, SPACES, cut, words
 SYMBOLS = "[#*$%&|<>]+"
 CAPITALS = "[A-Z]+"
 
-#: What a rule may look at: measures of one text.
+#: What a rule may look at: measures of one text, as SQL.
 FEATURES = {
-    "n_words": F.col("n_words").cast("double"),
-    "mean_word": F.try_divide(F.col("word_chars"), F.col("n_words")),
-    "symbol_share": F.try_divide(F.col("n_symbols"), F.col("word_chars")),
-    "dup_line_share": F.try_divide(F.col("n_dup_lines"), F.col("n_lines")),
-    "repeat_share": F.try_divide(F.col("n_repeat_words"), F.col("n_words")),
-    "capital_share": F.try_divide(F.col("n_capitals"), F.col("word_chars")),
-    "line_words": F.try_divide(F.col("n_words"), F.col("n_lines")),
+    "n_words": "cast(n_words AS double)",
+    "mean_word": "try_divide(word_chars, n_words)",
+    "symbol_share": "try_divide(n_symbols, word_chars)",
+    "dup_line_share": "try_divide(n_dup_lines, n_lines)",
+    "repeat_share": "try_divide(n_repeat_words, n_words)",
+    "capital_share": "try_divide(n_capitals, word_chars)",
+    "line_words": "try_divide(n_words, n_lines)",
 }
 
 
@@ -93,7 +93,7 @@ class Condition:
     threshold: float
 
     def column(self) -> Column:
-        value = FEATURES[self.feature]
+        value = F.expr(FEATURES[self.feature])
         return F.coalesce(value > self.threshold if self.above else value <= self.threshold, F.lit(False))
 
 
@@ -152,17 +152,17 @@ def learn(
     probs = [i / bins for i in range(1, bins)]
     low = (F.col("quality") == 0).cast("int")
     found = sample.agg(
-        *(F.percentile_approx(FEATURES[n], F.array(*map(F.lit, probs)), 2000).alias(n) for n in names)
+        *(F.percentile_approx(F.expr(FEATURES[n]), F.array(*map(F.lit, probs)), 2000).alias(n) for n in names)
     ).first()
     cuts = {n: sorted(set(found[n] or [])) for n in names}
     bin_of = lambda n: sum(
-        (F.when(FEATURES[n] > c, 1).otherwise(0) for c in cuts[n]), F.lit(0)
+        (F.when(F.expr(FEATURES[n]) > c, 1).otherwise(0) for c in cuts[n]), F.lit(0)
     )
     rows = cut(
         sample.select(
             low.alias("low"),
             (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)) < 2).alias("grow"),
-            F.array(*(F.when(FEATURES[n].isNotNull(), bin_of(n)) for n in names)).alias("bin"),
+            F.array(*(F.when(F.expr(FEATURES[n]).isNotNull(), bin_of(n)) for n in names)).alias("bin"),
         ).coalesce(4)
     )
     place = {n: i for i, n in enumerate(names)}

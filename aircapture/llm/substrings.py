@@ -7,40 +7,44 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
-from aircapture.llm.common import cut, rolling, word_numbers
+from aircapture.llm.common import cut, release, rolling, word_numbers
 from aircapture.llm.fmindex import FmIndex
 
 WINDOW = 20
-ANCHOR = 8
+ANCHOR = 6  # a window of 20 has 15 runs of 6, at most 16 for four bits
 #: Words of a shard that are indexed at a time.
 INDEXED = 600_000
 #: Stands for a null doc_id, which comes before all others.
 NO_ID = -(2**63)
 
 
-def anchors(text: bytes, window: int = WINDOW, k: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(number, first window, windows) of the anchors of a text.
+def anchors(text: bytes, window: int = WINDOW, k: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(number, first window, windows, whether the number comes again in the text) of the anchors of a text.
 
-    The anchor of a window is the first of its k-word runs with the least
-    number, so equal windows have the same anchor wherever they stand, and
-    neighbouring windows mostly share theirs.
+    The anchor of a window is that of its k-word runs with the least number, so
+    equal windows have anchors of the same number wherever they stand, and
+    neighbouring windows mostly share theirs. A number's last four bits give
+    way to those of its place, which the least of a window then tells.
     """
     g = rolling(word_numbers(text), k)
     n, span = len(g) - (window - k), window - k + 1
     if n <= 0:
         none = np.empty(0, np.int64)
-        return none, none, none
-    least = g[:n].copy()
-    for o in range(1, span):
-        np.minimum(least, g[o : o + n], out=least)
-    at = np.zeros(n, np.int64)
-    for o in reversed(range(span)):
-        np.copyto(at, np.arange(o, o + n), where=g[o : o + n] == least)
-    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    return g[at[first]].view(np.int64), first, np.diff(np.append(first, n))
+        return none, none, none, none.astype(bool)
+    low = np.uint64(15)
+    least, width = (g & ~low) | (np.arange(len(g)).astype(np.uint64) & low), 1
+    while 2 * width <= span:
+        least, width = np.minimum(least[:-width], least[width:]), 2 * width
+    least = np.minimum(least[:n], least[span - width : span - width + n])
+    first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+    numbers, at = least[first] & ~low, np.sort(g & ~low)
+    again = np.searchsorted(at, numbers, "right") - np.searchsorted(at, numbers) > 1
+    return numbers.view(np.int64), first, np.diff(np.append(first, n)), again
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -53,21 +57,27 @@ def _anchor_rows(rows: DataFrame, place: bool) -> DataFrame:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
                 found = [anchors((t or "").encode()) for t in part.column("text").to_pylist()]
-                numbers = np.concatenate([f[0] for f in found]) if found else np.empty(0, np.int64)
                 if not place:
-                    yield pa.RecordBatch.from_arrays([pa.array(numbers)], ["a"])
+                    # one that its text has again counts twice, since one snippet may hold both
+                    twice = [f[0][f[3]] for f in found]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[0] for f in found] + twice))], ["a"])
                     continue
-                n = [len(f[0]) for f in found]
-                of = lambda c: pa.array(np.repeat(part.column(c).to_numpy(), n))  # noqa: B023, E731
+                numbers = pa.array(np.concatenate([f[0] for f in found]))
+                d = pa.array(np.repeat(part.column("d").to_numpy(), [len(f[0]) for f in found]))
                 lows = pa.array(np.concatenate([f[1] for f in found]), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(numbers), of("d"), of("h"), lows], ["a", "d", "h", "s"])
+                yield pa.RecordBatch.from_arrays([numbers, d, lows], ["a", "d", "s"])
 
-    return rows.mapInArrow(run, "a long, d long, h long, s int" if place else "a long")
+    rows = rows.select("d", "text") if place else rows.select("text")
+    return rows.mapInArrow(run, "a long, d long, s int" if place else "a long")
+
+
+_PLACE = (("d", pa.int64()), ("h", pa.int64()), ("s", pa.int32()))
 
 
 def _index(snippets: DataFrame, window: int) -> DataFrame:
-    """For each distinct snippet (a, sid, text, first place d, h, s): the first place of each of its windows.
+    """For each distinct snippet (a, sid, text, first place d, h, s): the first place of each of its n windows.
 
+    ``firsts`` is null where that is the snippet's own first place ``p`` throughout.
     Snippets are dealt out by their anchor, so all that have a window in common
     are in one shard. A task indexes a shard in parts of whole anchors.
     """
@@ -102,10 +112,20 @@ def _index(snippets: DataFrame, window: int) -> DataFrame:
         h = np.array([x[1] for x in names], np.int64)[first >> 32]
         s = (first & 0xFFFFFFFF).astype(np.int32)
         places = pa.StructArray.from_arrays([pa.array(d), pa.array(h), pa.array(s)], ["d", "h", "s"])
-        offsets = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
+        # null where every window is first at the snippet's own first place
+        own = np.logical_and.reduceat(first == place[begins[of] + offset], np.cumsum(n) - n)
+        keep = np.repeat(~own, n)
+        offsets = pa.array(np.concatenate([[0], np.cumsum(np.where(own, 0, n))]), pa.int32())
+        mine = pa.StructArray.from_arrays([pa.array([r[c] for r in rows], k) for c, k in _PLACE], [c for c, _ in _PLACE])
         return pa.RecordBatch.from_arrays(
-            [pa.array([r["a"] for r in rows]), pa.array([r["sid"] for r in rows], pa.binary()), pa.ListArray.from_arrays(offsets, places)],
-            ["a", "sid", "firsts"],
+            [
+                pa.array([r["a"] for r in rows], pa.int64()),
+                pa.array([r["sid"] for r in rows], pa.int64()),
+                mine,
+                pa.array(n, pa.int32()),
+                pa.ListArray.from_arrays(offsets, places.filter(pa.array(keep)), mask=pa.array(own)),
+            ],
+            ["a", "sid", "p", "n", "firsts"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,63 +143,94 @@ def _index(snippets: DataFrame, window: int) -> DataFrame:
 
     return (
         snippets.repartition("a").sortWithinPartitions("a")
-        .mapInArrow(run, "a long, sid binary, firsts array<struct<d: long, h: long, s: int>>")
+        .mapInArrow(run, "a long, sid long, p struct<d: long, h: long, s: int>, n int, firsts array<struct<d: long, h: long, s: int>>")
     )
 
 
-def _prepared(docs: DataFrame, window: int) -> DataFrame:
-    """Each document, once joined with its anchors that occur more than once: digest, and its text if it has such."""
+def _packed(rows: DataFrame) -> DataFrame:
+    """d, h and each text compressed, with its number of words and digest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        for b in batches:
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
+                n, sha, packed = [], [], []
+                for t in part.column("text").to_pylist():
+                    raw = (t or "").encode()
+                    found = raw.split()
+                    n.append(len(found))
+                    sha.append(hashlib.sha256(b" ".join(found)).digest())
+                    packed.append(squeeze(raw))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("d"), part.column("h"), pa.array(n, pa.int64()), pa.array(sha), pa.array(packed)],
+                    ["d", "h", "n_words", "sha", "packed"],
+                )
+
+    return rows.mapInArrow(run, "d long, h long, n_words long, sha binary, packed binary")
+
+
+def _prepared(docs: DataFrame) -> DataFrame:
+    """Each document, once joined with its anchors that occur more than once: digest, and its text if it has such.
+
+    ``at`` has the first windows of those anchors. Rows of one doc_id share
+    them, so a row may have some of another text; they only add to what is
+    looked up.
+    """
     rows = _keyed(docs)
     counts = _anchor_rows(rows, place=False).groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
     again = _anchor_rows(rows, place=True).join(counts, "a")
-    by_doc = again.groupBy("d", "h").agg(F.sort_array(F.collect_set(F.struct("s", "a"))).alias("at"))
+    by_doc = again.groupBy("d").agg(F.collect_set("s").alias("at"))
+    joined = _packed(rows).join(by_doc, "d", "left")
+    return cut(joined.withColumn("packed", F.when(F.col("at").isNotNull(), F.col("packed"))))
+
+
+def _snippets(prepared: DataFrame, window: int, texts: bool) -> DataFrame:
+    """The passages around repeated anchors: (a, sid, d, h, s), with their text or without."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
-            n, sha, texts = [], [], []
-            for t, at in zip(b.column("text").to_pylist(), b.column("at"), strict=True):
-                found = (t or "").encode().split()
-                n.append(len(found))
-                sha.append(None if at.is_valid else hashlib.sha256(b" ".join(found)).hexdigest())
-                texts.append(t if at.is_valid else None)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("d"), b.column("h"), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(texts, pa.string()), b.column("at")],
-                ["d", "h", "n_words", "sha", "text", "at"],
-            )
-
-    joined = rows.join(by_doc, ["d", "h"], "left").select("d", "h", "text", "at")
-    schema = "d long, h long, n_words long, sha string, text string, at array<struct<s: int, a: long>>"
-    return cut(joined.mapInArrow(run, schema))
+            for part in (b.slice(at, 500) for at in range(0, b.num_rows, 500)):
+                out: tuple[list, ...] = ([], [], [], [], [], [])
+                for d, h, packed, at in zip(*(part.column(c).to_pylist() for c in ("d", "h", "packed", "at")), strict=True):
+                    raw = unpack(packed)
+                    found, wanted = raw.split(), set(at)
+                    for a, s, n in zip(*(x.tolist() for x in anchors(raw, window)[:3]), strict=True):
+                        if s in wanted:
+                            snippet = b" ".join(found[s : s + n + window - 1])
+                            row = (a, xxh3_64_intdigest(snippet) - 2**63, d, h, s, snippet)
+                            for held, v in zip(out, row, strict=True):
+                                held.append(v)
+                kinds = (*[pa.int64()] * 4, pa.int32(), pa.binary())
+                arrays = [pa.array(v, k) for v, k in zip(out, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays[: len(names)], names)
+
+    names = ["a", "sid", "d", "h", "s", *(["text"] if texts else [])]
+    affected = prepared.where("at is not null").select("d", "h", "packed", "at").dropDuplicates(["d", "h"])
+    return affected.mapInArrow(run, "a long, sid long, d long, h long, s int" + ", text binary" * texts)
 
 
 def _repeats(prepared: DataFrame, window: int) -> DataFrame:
     """d, h and ``again``: of each of a document's anchors (first window, whether each window occurs before)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: dict[str, list] = {c: [] for c in ("a", "sid", "d", "h", "s", "text")}
-            for d, h, t, at in zip(*(b.column(c).to_pylist() for c in ("d", "h", "text", "at")), strict=True):
-                found = t.encode().split()
-                wanted = {x["s"]: x["a"] for x in at}
-                for a, s, n in zip(*(x.tolist() for x in anchors(t.encode(), window)), strict=True):
-                    if wanted.get(s) == a:
-                        snippet = b" ".join(found[s : s + n + window - 1])
-                        for c, v in zip(out, (a, hashlib.blake2b(snippet, digest_size=16).digest(), d, h, s, snippet), strict=True):
-                            out[c].append(v)
-            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], list(out))
-
-    affected = prepared.where("at is not null").select("d", "h", "text", "at").dropDuplicates(["d", "h"])
-    schema = "a long, sid binary, d long, h long, s int, text binary"
-    snippets = affected.mapInArrow(run, schema)
-    distinct = snippets.groupBy("a", "sid").agg(F.min(F.struct("d", "h", "s")).alias("p"), F.first("text").alias("text"))
+    least = F.min(F.struct("d", "h", "s")).alias("p")
+    distinct = _snippets(prepared, window, texts=True).groupBy("a", "sid").agg(least, F.first("text").alias("text"))
     firsts = cut(_index(distinct.select("a", "sid", "p.d", "p.h", "p.s", "text"), window))
-    places = snippets.select("a", "sid", "d", "h", "s")
-    told = places.join(firsts, ["a", "sid"]).select(
+    release(prepared.sparkSession)
+    # a snippet's own first place is the first of all its windows unless the index knows an earlier one
+    told = _snippets(prepared, window, texts=False).join(firsts, ["a", "sid"]).select(
         "d", "h", "s",
-        F.transform("firsts", lambda f, o: f < F.struct(F.col("d"), F.col("h"), (F.col("s") + o).alias("s"))).alias("before"),
-    ).where(F.exists("before", lambda x: x))
-    return told.groupBy("d", "h").agg(F.collect_list(F.struct("s", "before")).alias("again"))
+        F.when(F.col("firsts").isNull(), F.array(F.struct("d", "h", "s") > F.col("p")))
+        .otherwise(
+            F.transform("firsts", lambda f, o: f < F.struct(F.col("d"), F.col("h"), (F.col("s") + o).alias("s")))
+        )
+        .alias("before"),
+        "n",
+    )
+    told = told.where(F.exists("before", lambda x: x))
+    # one flag stands for all windows of a snippet without variants
+    whole = F.when(F.size("before") < F.col("n"), F.array_repeat(F.get("before", F.lit(0)), F.col("n"))).otherwise(F.col("before"))
+    return told.groupBy("d", "h").agg(F.collect_list(F.struct("s", whole.alias("before"))).alias("again"))
 
 
 def spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -198,21 +249,22 @@ def spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     Only documents that share an anchor (see :func:`anchors`) reach the index:
     a window that occurs twice has the same anchor twice.
     """
-    prepared = _prepared(docs, window)
+    prepared = _prepared(docs)
+    release(docs.sparkSession)
     repeats = _repeats(prepared, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for b in (b.slice(at, 1000) for b in batches for at in range(0, b.num_rows, 1000)):
             removed, sha, texts, ranges = [], [], [], []
-            columns = (b.column(c).to_pylist() for c in ("text", "sha", "again"))
-            for t, digest, again in zip(*columns, strict=True):
+            for packed, digest, again in zip(*(b.column(c).to_pylist() for c in ("packed", "sha", "again")), strict=True):
                 if not again:
                     removed.append(0)
-                    sha.append(digest or hashlib.sha256(b" ".join((t or "").encode().split())).hexdigest())
+                    sha.append(digest.hex())
                     texts.append(None)
                     ranges.append([])
                     continue
-                found = t.encode().split()
+                found = unpack(packed).split()
                 cover = np.zeros(len(found) + 1, np.int64)
                 for x in again:
                     at = x["s"] + np.flatnonzero(x["before"])
@@ -227,11 +279,11 @@ def spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 ranges.append([{"start": int(a), "end": int(e)} for a, e in edge.reshape(-1, 2)])
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays(
-                [b.column("d"), b.column("h"), b.column("n_words"), pa.array(removed, pa.int64()), pa.array(sha), pa.array(texts, pa.string()), pa.array(ranges, kind)],
+                [b.column("d"), b.column("h"), b.column("n_words"), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(texts, pa.string()), pa.array(ranges, kind)],
                 ["d", "h", "n_words", "n_removed", "kept_sha256", "kept_text", "spans"],
             )
 
-    joined = prepared.select("d", "h", "n_words", "sha", "text").join(repeats, ["d", "h"], "left")
+    joined = prepared.select("d", "h", "n_words", "sha", "packed").join(repeats, ["d", "h"], "left")
     out = joined.mapInArrow(
         run,
         "d long, h long, n_words long, n_removed long, kept_sha256 string, kept_text string, spans array<struct<start: int, end: int>>",
