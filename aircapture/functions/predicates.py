@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from aircapture.functions.frame import DUP_VERSION, EXTRA_VERSION
 from aircapture.functions.text import tokens
 
-# Fixed value: the date of the first correct packet of the corpus.
+# Fixed value: the date of the first correct packet of the corpus, for callers that want data from then on only.
 DATASET_START = "2020-09-01"
 
 MTYPE = "extra_infos.phyPayload.mhdr.mType"
@@ -76,11 +76,15 @@ def not_data() -> Column:
     return ~F.col(MTYPE).eqNullSafe(F.lit(DATA_UP)) & is_lora()
 
 
-def data(start: str = DATASET_START) -> Column:
-    return (F.col(MTYPE) == DATA_UP) & is_lora() & (F.col("time") >= _day(start)) & flagged()
+def _since(start: str | None) -> Column:
+    return F.lit(True) if start is None else F.col("time") >= _day(start)
 
 
-def data_with_channel(start: str = DATASET_START) -> Column:
+def data(start: str | None = None) -> Column:
+    return (F.col(MTYPE) == DATA_UP) & is_lora() & _since(start) & flagged()
+
+
+def data_with_channel(start: str | None = None) -> Column:
     present = data(start)
     for name in ("rxInfo.channel", "rxInfo.snr", "rxInfo.rssi", "rxInfo.crcStatus", SF):
         present = present & F.col(name).isNotNull()
@@ -89,15 +93,16 @@ def data_with_channel(start: str = DATASET_START) -> Column:
 
 def data_for_device(dev_addr: str | None = None) -> Column:
     """Data packets with a duplicate flag, of one device or (``None``) of any known device."""
-    of_device = F.col(DEVADDR).isNotNull() if dev_addr is None else F.lower(F.col(DEVADDR)) == dev_addr.lower()
+    # decoded addresses are lower case
+    of_device = F.col(DEVADDR).isNotNull() if dev_addr is None else F.col(DEVADDR) == dev_addr.lower()
     return (F.col(MTYPE) == DATA_UP) & of_device & flagged()
 
 
-def all_ok(start: str = DATASET_START) -> Column:
-    return is_lora() & crc_ok() & (F.col("time") >= _day(start))
+def all_ok(start: str | None = None) -> Column:
+    return is_lora() & crc_ok() & _since(start)
 
 
-def all_ok_nodup(start: str = DATASET_START) -> Column:
+def all_ok_nodup(start: str | None = None) -> Column:
     return all_ok(start) & original()
 
 

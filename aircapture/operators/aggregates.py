@@ -11,25 +11,23 @@ from aircapture.functions.text import SHORT_DAYS, day_name, week_start
 from aircapture.operators.flows import device_list
 from aircapture.operators.joins import shorten_names, with_operator
 
-# Default bucket limit of a nested count, zone of the weekly histograms, widest heat map row.
-DEFAULT_SIZE = 10
+# Fixed value: zone of the weekly histograms.
 ZONE = "Europe/Paris"
-MAX_DUPS = 10
 
 
 def nested_counts(
     df: DataFrame,
     key1: str | Column,
     key2: str | Column,
-    size1: int | None = DEFAULT_SIZE,
-    size2: int | None = DEFAULT_SIZE,
+    size1: int | None = None,
+    size2: int | None = None,
     metrics: dict[str, Column] | None = None,
     names: tuple[str, str] = ("key1", "key2"),
 ) -> DataFrame:
-    """Counts per (key1, key2), keeping the biggest ``size1`` keys and ``size2`` sub-keys of each.
+    """Counts per (key1, key2); on request only the biggest ``size1`` keys and ``size2`` sub-keys of each.
 
     Bigger count first, then smaller key; rows without either key are left out
-    (a key1 still ranks by all its rows).  ``None`` keeps everything.
+    (a key1 still ranks by all its rows).
     """
     k1, k2 = names
     as_column = lambda key: F.col(key) if isinstance(key, str) else key
@@ -126,14 +124,14 @@ def gateway_first_seen(df: DataFrame) -> DataFrame:
     )
 
 
-def per_device_gateway(df: DataFrame, max_devices: int | None = None, max_gateways: int = 20) -> DataFrame:
+def per_device_gateway(df: DataFrame, max_devices: int | None = None, max_gateways: int | None = None) -> DataFrame:
     return nested_counts(
         df.where(predicates.has_extra_nodup()), predicates.DEVADDR, "rxInfo.gatewayId", max_devices, max_gateways,
         names=("devAddr", "gatewayId"),
     )
 
 
-def per_deveui_gateway(df: DataFrame, max_devices: int | None = None, max_gateways: int = 20) -> DataFrame:
+def per_deveui_gateway(df: DataFrame, max_devices: int | None = None, max_gateways: int | None = None) -> DataFrame:
     return nested_counts(
         df.where(predicates.has_extra_nodup()), predicates.DEVEUI, "rxInfo.gatewayId", max_devices, max_gateways,
         names=("devEUI", "gatewayId"),
@@ -169,12 +167,12 @@ def operator_traffic(df: DataFrame, operators: DataFrame) -> DataFrame:
     )
 
 
-def dups_by_hour(flow_packets: DataFrame, max_dups: int = MAX_DUPS) -> DataFrame:
-    """Packets by number of duplicates (below ``max_dups``) and hour of day, missing cells zero."""
+def dups_by_hour(flow_packets: DataFrame, max_dups: int | None = None) -> DataFrame:
+    """Packets by number of duplicates (on request only below ``max_dups``) and hour of day, missing cells zero."""
     hours = range(24)
+    rows = flow_packets if max_dups is None else flow_packets.where(F.col("nb_duplicates") < max_dups)
     return (
-        flow_packets.where(F.col("nb_duplicates") < max_dups)
-        .groupBy("nb_duplicates")
+        rows.groupBy("nb_duplicates")
         .agg(*[F.count_if(F.hour("time") == h).alias(f"h{h:02d}") for h in hours])
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,10 +75,18 @@ def payload_inventory(df: DataFrame, version: str = DUP_VERSION, start: str | No
 def candidate_window(
     df: DataFrame, version: str = DUP_VERSION, gap_minutes: float = GAP_MINUTES, start: str | None = None
 ) -> DataFrame:
-    """Rows whose flag may change: payloads of unflagged rows, from ``gap_minutes`` before the first of them."""
+    """Rows whose flag may change.
+
+    Of payloads with unflagged rows, those from ``gap_minutes`` before the
+    first of them; and unflagged rows without a payload or without a time,
+    which are their own originals.
+    """
     todo = payload_inventory(df, version, start).select("phyPayload", F.col("time").alias("_first"))
     back = F.col("_first") - F.expr(f"INTERVAL {int(gap_minutes * 60)} SECONDS")
-    return df.join(todo, "phyPayload").where(F.col("time") >= back).drop("_first").select(*df.columns)
+    unflagged = predicates.needs_dup_flag(version, start)
+    timed = df.join(todo, "phyPayload").where(F.col("time") >= back).select(*df.columns)
+    alone = df.where(unflagged & (F.col("phyPayload").isNull() | F.col("time").isNull()))
+    return timed.unionByName(alone)
 
 
 def payload_batch(df: DataFrame, batch: DataFrame) -> DataFrame:
@@ -93,23 +101,27 @@ def flag_incremental(
     hot_min_rows: int | None = None,
     slice_rows: int | None = None,
 ) -> DataFrame:
-    """New ``dup_infos`` for the rows of ``candidate_window`` only.
+    """New ``dup_infos`` for the rows of ``candidate_window`` only; the same as flagging all rows anew.
 
-    A chain whose first row in the window was already a duplicate goes on from
-    the original recorded for it, which lies before the window.  Put the result
-    back with ``upsert``.
+    The first row of a payload in the window lies before every change, and so
+    does the row before it: if it was a duplicate, it still is, of the original
+    recorded for it. All later rows are chained anew.  Put the result back with
+    ``upsert``.
     """
-    window = candidate_window(df, version, gap_minutes).withColumn(
-        "_earlier",
-        F.when(
-            (F.col("dup_infos.version") == version) & F.col("dup_infos.is_duplicate"), F.col("dup_infos.copy_of")
-        ),
+    window = candidate_window(df, version, gap_minutes)
+    known = (F.col("dup_infos.version") == version) & F.col("dup_infos.is_duplicate")
+    first = window.where("time is not null").groupBy("phyPayload").agg(
+        F.min_by(
+            F.struct("_id", F.when(known, F.col("dup_infos.copy_of")).alias("copy_of")), F.struct("time", "_id")
+        ).alias("_first")
     )
-    flat = _flat(window).withColumn("_label", F.struct(F.col("_id"), F.col("_earlier")))
-    hot = heavy_hashes(flat, ["phyPayload"], hot_min_rows)
-    chained = gap_chains(
-        flat, ["phyPayload"], "time", "_label", int(gap_minutes * 60_000_000), list(_RADIO), hot, slice_rows
+    window = window.join(first, "phyPayload", "left").withColumn(
+        "_earlier", F.when(F.col("_first._id") == F.col("_id"), F.col("_first.copy_of"))
     )
+    flat = _flat(window.drop("_first")).withColumn("_label", F.struct(F.col("_id"), F.col("_earlier")))
+    keys = ["phyPayload", "_solo"]
+    hot = heavy_hashes(flat, keys, hot_min_rows)
+    chained = gap_chains(flat, keys, "time", "_label", int(gap_minutes * 60_000_000), list(_RADIO), hot, slice_rows)
     head = F.coalesce(F.col("chain_id._earlier"), F.col("chain_id._id"))
     return chained.withColumn(
         "dup_infos",
@@ -180,51 +192,40 @@ def assign_messages(
     return first.unionByName(folded).drop(*_MESSAGE_KEYS, "_at", "_us", "chain_id", "chain_time")
 
 
-def collapse_receptions(df: DataFrame, part_size: int = 10_000, **options) -> DataFrame:
-    """One row per message with its receptions as the array ``rxInfo``, earliest first.
+def _reception() -> list[Column]:
+    rx = F.col("rxInfo")
+    names = ("channel", "rfChain", "loRaSNR", "timestamp", "mac", "rssi", "crcStatus")
+    return [rx["time"].alias("time"), F.col("_id"), *[rx[name].alias(name) for name in names]]
 
-    A message with more than ``part_size`` receptions continues in further rows
-    (``part`` 1, 2, ...), so an array never outgrows a task.
+
+def collapse_receptions(df: DataFrame, **options) -> DataFrame:
+    """One row per message: the header of its first reception, and all receptions as the array ``rxInfo``, earliest first.
+
+    A message spans one window, so its receptions are those of the gateways
+    within it. ``message_receptions`` has the same as a table of rows.
     """
-    told = assign_messages(df, **options)
     rx = F.col("rxInfo")
-    reception = F.struct(
-        rx["time"].alias("time"),
-        F.col("_id"),
-        rx["channel"].alias("channel"),
-        rx["rfChain"].alias("rfChain"),
-        rx["loRaSNR"].alias("loRaSNR"),
-        rx["timestamp"].alias("timestamp"),
-        rx["mac"].alias("mac"),
-        rx["rssi"].alias("rssi"),
-        rx["crcStatus"].alias("crcStatus"),
+    header = F.struct(
+        "phyPayload", *[rx[name].alias(name) for name in ("antenna", "dataRate", "frequency", "board", "size", "codeRate")]
     )
-    sizes = told.groupBy("message_id").agg(F.count("*").alias("_n"))
-    big = sizes.where(F.col("_n") > part_size)
-    pick = F.pmod(F.xxhash64("_id"), F.ceil(F.col("_n") / part_size)).cast("int")
     return (
-        told.join(big, "message_id", "left")
-        .withColumn("part", F.when(F.col("_id") == F.col("message_id"), 0).otherwise(F.coalesce(pick, F.lit(0))))
-        .groupBy(F.col("message_id").alias("_id"), "part")
+        assign_messages(df, **options)
+        .groupBy(F.col("message_id").alias("_id"))
         .agg(
-            F.min_by(
-                F.struct(
-                    "phyPayload",
-                    rx["antenna"].alias("antenna"),
-                    rx["dataRate"].alias("dataRate"),
-                    rx["frequency"].alias("frequency"),
-                    rx["board"].alias("board"),
-                    rx["size"].alias("size"),
-                    rx["codeRate"].alias("codeRate"),
-                ),
-                F.struct(rx["time"], F.col("_id")),
-            ).alias("_message"),
-            F.array_sort(F.collect_list(reception)).alias("rxInfo"),
+            F.min_by(header, F.struct(rx["time"], F.col("_id"))).alias("_message"),
+            F.array_sort(F.collect_list(F.struct(*_reception()))).alias("rxInfo"),
         )
-        .select("_id", "part", "_message.*", "rxInfo")
+        .select("_id", "_message.*", "rxInfo")
     )
 
 
+def message_receptions(df: DataFrame, **options) -> DataFrame:
+    """One row per reception: its message, its 1-based position in it, and its fields."""
+    order = Window.partitionBy("message_id").orderBy("time", "_id")
+    rows = assign_messages(df, **options).select("message_id", *_reception())
+    return rows.withColumn("position", F.row_number().over(order))
+
+
 def reception_stats(messages: DataFrame) -> DataFrame:
     """Messages and receptions, from rows with a ``message_id``."""
     return messages.agg(

@@ -75,6 +75,7 @@ def assign_flows(
     ``max_gap_ms``; otherwise it opens a flow.  Which flow fits depends on all
     earlier choices, so this is a fold, one key per device, in bounded memory;
     devices with at least ``hot_min_rows`` packets are folded epoch by epoch.
+    Packets without a time are in no flow; ``untimed_packets`` returns them.
     Pass ``hot`` (see ``heavy_devices``) where the packets come from a long plan.
     """
     originals = packets.where(~F.col("is_duplicate") & F.col("time").isNotNull()).select(
@@ -91,6 +92,11 @@ def assign_flows(
     )
 
 
+def untimed_packets(packets: DataFrame) -> DataFrame:
+    """Original packets that no flow can take because they have no time."""
+    return packets.where(~F.col("is_duplicate") & F.col("time").isNull())
+
+
 def attach_duplicates(flow_packets: DataFrame, packets: DataFrame) -> DataFrame:
     """Add ``nb_duplicates``: the flagged copies of each packet, counted before the join."""
     copies = packets.where("is_duplicate").groupBy(F.col("copy_of").alias("_id")).agg(F.count("*").alias("_n"))

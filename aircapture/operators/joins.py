@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # The text for an address outside all ranges, and two names too long for reports.
@@ -19,15 +19,11 @@ def with_operator(df: DataFrame, operators: DataFrame, dev_addr: str = "devAddr"
 
     Ranges are spread over blocks of 2^25 addresses, so the range join has an
     equality to hash on; whether the table is broadcast is left to its size.
-    Ranges must not overlap.
+    Where ranges overlap, the last row of the table wins: they are made
+    disjoint first, so a packet never matches twice.
     """
     address = F.conv(F.col(dev_addr), 16, 10).cast("long")
-    ranges = operators.select(
-        F.col("name").alias("operator"),
-        "lo",
-        "hi",
-        F.explode(F.sequence(F.shiftright("lo", _BLOCK_BITS), F.shiftright("hi", _BLOCK_BITS))).alias("_block"),
-    )
+    ranges = _disjoint(operators).select(F.col("name").alias("operator"), "lo", "hi", "_block")
     keyed = df.withColumn("_addr", address).withColumn("_in", F.shiftright("_addr", _BLOCK_BITS))
     inside = (F.col("_in") == F.col("_block")) & F.col("_addr").between(F.col("lo"), F.col("hi"))
     return (
@@ -37,6 +33,23 @@ def with_operator(df: DataFrame, operators: DataFrame, dev_addr: str = "devAddr"
     )
 
 
+def _disjoint(operators: DataFrame) -> DataFrame:
+    """(name, lo, hi, _block): per block, the stretches between range ends, with the last range that covers each."""
+    size = 1 << _BLOCK_BITS
+    blocks = F.explode(F.sequence(F.shiftright("lo", _BLOCK_BITS), F.shiftright("hi", _BLOCK_BITS)))
+    numbered = operators.select("name", "lo", "hi", F.monotonically_increasing_id().alias("_row"), blocks.alias("_block"))
+    clipped = numbered.select(
+        "name", "_row", "_block",
+        F.greatest("lo", F.col("_block") * size).alias("_lo"),
+        F.least("hi", F.col("_block") * size + size - 1).alias("_hi"),
+    )
+    ends = clipped.select("_block", F.explode(F.array("_lo", F.col("_hi") + 1)).alias("lo")).distinct()
+    order = Window.partitionBy("_block").orderBy("lo")
+    stretches = ends.withColumn("hi", F.lead("lo").over(order) - 1).where("hi is not null")
+    covering = stretches.join(clipped, "_block").where(F.col("lo").between(F.col("_lo"), F.col("_hi")))
+    return covering.groupBy("_block", "lo", "hi").agg(F.max_by("name", "_row").alias("name"))
+
+
 def shorten_names(df: DataFrame, column: str = "operator") -> DataFrame:
     return df.replace(SHORT_NAMES, subset=[column])
 

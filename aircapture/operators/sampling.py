@@ -51,12 +51,16 @@ def page(df: DataFrame, keys: list[str], size: int, after: tuple | None = None)
     return df.orderBy(*keys).limit(size)
 
 
-def lookup_id(df: DataFrame, row_id: str, limit: int = 10) -> DataFrame:
-    return df.where(F.col("_id") == row_id).limit(limit)
+def _at_most(df: DataFrame, limit: int | None) -> DataFrame:
+    return df if limit is None else df.limit(limit)
 
 
-def lookup_payload(df: DataFrame, payload: str, limit: int = 10) -> DataFrame:
-    return df.where(F.col("phyPayload") == payload).orderBy("time", "_id").limit(limit)
+def lookup_id(df: DataFrame, row_id: str, limit: int | None = None) -> DataFrame:
+    return _at_most(df.where(F.col("_id") == row_id), limit)
+
+
+def lookup_payload(df: DataFrame, payload: str, limit: int | None = None) -> DataFrame:
+    return _at_most(df.where(F.col("phyPayload") == payload).orderBy("time", "_id"), limit)
 
 
 def first_unflagged_payload(df: DataFrame) -> DataFrame:
@@ -64,18 +68,22 @@ def first_unflagged_payload(df: DataFrame) -> DataFrame:
     return df.where(F.col("dup_infos.version").isNull()).select("phyPayload").orderBy("phyPayload").limit(1)
 
 
-def undecoded(df: DataFrame, limit: int = 2000) -> DataFrame:
-    """Earliest packets without decoded fields."""
-    return df.where(~predicates.decoded()).orderBy("time", "_id").limit(limit)
+def undecoded(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """Packets without decoded fields, earliest first."""
+    return _at_most(df.where(~predicates.decoded()).orderBy("time", "_id"), limit)
 
 
 def device_packets(df: DataFrame, dev_addr: str) -> DataFrame:
-    """Original packets of a device in time order: address, payload, time and frame counter."""
+    """Original packets of a device in (time, _id) order: address, payload, time and frame counter.
+
+    Decoded addresses are lower case, so the plain column is compared and the
+    scan can skip by it.
+    """
     fhdr = "extra_infos.phyPayload.macPayload.fhdr"
     return (
-        df.where(predicates.decoded() & predicates.original() & (F.lower(F.col(f"{fhdr}.devAddr")) == dev_addr.lower()))
+        df.where(predicates.decoded() & predicates.original() & (F.col(f"{fhdr}.devAddr") == dev_addr.lower()))
+        .orderBy("time", "_id")
         .select(F.col(f"{fhdr}.devAddr").alias("devAddr"), "phyPayload", "time", F.col(f"{fhdr}.fCnt").alias("fCnt"))
-        .orderBy("time")
     )
 
 

@@ -1,6 +1,6 @@
 """Order-dependent building blocks that hold when one key owns a large share of the rows.
 
-``heavy_hashes``   which keys are too big for one task (a sketch, no shuffle)
+``heavy_hashes``   which keys are too big for one task (an exact count, partial before its shuffle)
 ``time_cuts``      instants that cut heavy keys into slices of even size
 ``gap_chains``     consecutive rows of a key closer than a gap form a chain
 ``running_total``  cumulative weight in value order, without a one-task window
@@ -25,27 +25,20 @@ cloudpickle.register_pickle_by_value(folds)
 
 HOT_MIN_ROWS = 2_000_000
 EPOCH_ROWS = 20_000_000
-_MAX_HOT = 10_000
-_TRACKED = 65_536
-_MAX_SLICES = 500
 
 
 def heavy_hashes(df: DataFrame, keys: list[str], min_rows: int | None = None) -> list[int]:
-    """Hashes of the keys with at least ``min_rows`` rows, biggest first.
+    """Hashes of all keys with at least ``min_rows`` rows, biggest first.
 
-    One pass over the key columns with a frequent-items sketch: tasks send
-    sketches of fixed size, not rows, and at most 10 000 numbers reach the
-    driver.  Every key above 1/10 000 of the rows is found.  The answer steers
-    how rows are spread over tasks and never what the result is.
+    An exact count of the key hashes over the key columns only, summed in each
+    task before its exchange by hash; the driver gets one number per heavy key,
+    at most the rows over ``min_rows``.  The answer steers how rows are spread
+    over tasks and never what the result is.
     """
     min_rows = HOT_MIN_ROWS if min_rows is None else min_rows
-    top = (
-        df.select(F.xxhash64(*keys).alias("h"))
-        .agg(F.expr(f"approx_top_k(h, {_MAX_HOT}, {_TRACKED})").alias("top"))
-        .select(F.inline("top"))
-        .where(F.col("count") >= min_rows)
-    )
-    return [row["item"] for row in top.select("item").collect()]
+    counts = df.select(F.xxhash64(*keys).alias("h")).groupBy("h").agg(F.count("*").alias("n"))
+    heavy = counts.where(F.col("n") >= min_rows).collect()
+    return [r["h"] for r in sorted(heavy, key=lambda r: (-r["n"], r["h"]))]
 
 
 def is_heavy(keys: list[str], hashes: list[int]) -> Column:
@@ -55,21 +48,24 @@ def is_heavy(keys: list[str], hashes: list[int]) -> Column:
 def time_cuts(df: DataFrame, keys: list[str], time: str, hot: list[int], rows: int) -> dict[int, list[int]]:
     """For each heavy key (by hash) the instants that cut it into slices of about ``rows`` rows.
 
-    From a quantile sketch per key; at most 500 slices a key, so what reaches the
-    driver is bounded by the number of slices.  Instants are µs at whole
-    milliseconds: rows of one millisecond stay together, so an order by
-    milliseconds is kept.
+    From a quantile sketch per key, as fine as the biggest key needs, so no
+    slice grows with the input; the driver gets the slices' ends.  Instants are
+    µs at whole milliseconds: rows of one millisecond stay together, so an order
+    by milliseconds is kept.
     """
-    quantiles = [i / _MAX_SLICES for i in range(1, _MAX_SLICES)]
+    heavy = df.where(is_heavy(keys, hot) & F.col(time).isNotNull())
+    h = F.xxhash64(*keys).alias("h")
+    biggest = heavy.groupBy(h).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    most = max(2, -(-biggest // rows))
+    quantiles = [i / most for i in range(1, most)]
     us = F.unix_micros(F.col(time))
     sketch = (
-        df.where(is_heavy(keys, hot) & F.col(time).isNotNull())
-        .groupBy(F.xxhash64(*keys).alias("h"))
-        .agg(F.count("*").alias("n"), F.percentile_approx(us, quantiles, 2000).alias("q"))
-        .withColumn("parts", F.least(F.ceil(F.col("n") / rows), F.lit(_MAX_SLICES)).cast("int"))
+        heavy.groupBy(h)
+        .agg(F.count("*").alias("n"), F.percentile_approx(us, quantiles, 4 * max(most, 500)).alias("q"))
+        .withColumn("parts", F.ceil(F.col("n") / rows).cast("int"))
         .where(F.col("parts") > 1)
     )
-    at = F.transform(F.sequence(F.lit(1), F.col("parts") - 1), lambda i: (i * _MAX_SLICES / F.col("parts")).cast("int"))
+    at = F.transform(F.sequence(F.lit(1), F.col("parts") - 1), lambda i: (i * most / F.col("parts")).cast("int"))
     cut = F.transform(at, lambda i: F.get("q", F.greatest(i - 1, F.lit(0))))
     whole = F.array_sort(F.array_distinct(F.transform(cut, lambda c: c - F.pmod(c, F.lit(1000)))))
     return {r["h"]: r["cuts"] for r in sketch.select("h", whole.alias("cuts")).collect()}
@@ -84,7 +80,7 @@ def with_slice(df: DataFrame, keys: list[str], time: str, cuts: dict[int, list[i
     rows = pa.table({"_h": pa.array(list(cuts), pa.int64()), "_cuts": pa.array(list(cuts.values()), pa.list_(pa.int64()))})
     table = df.sparkSession.createDataFrame(rows)
     # binary search: jump ahead by falling powers of two while the cut there is not later
-    jumps = F.lit([1 << k for k in reversed(range(_MAX_SLICES.bit_length()))])
+    jumps = F.lit([1 << k for k in reversed(range(max(map(len, cuts.values())).bit_length()))])
     us = F.unix_micros(F.col(time))
     found = F.aggregate(
         jumps,
@@ -136,7 +132,8 @@ def gap_chains(
     the row just before it is at most ``gap_us`` older and agrees on ``same``.
     Keys in ``hot`` are cut into time slices of about ``slice_rows`` rows that are
     chained in parallel; a small table with one row per slice then joins the
-    slices together, so no task sees more than one slice of a heavy key.
+    slices together, so no task sees more than one slice of a heavy key.  A row
+    without a time is a chain of its own; those of heavy keys pass the windows by.
     """
     same = same or []
     final = [*df.columns, "chain_id", "chain_time"]
@@ -149,7 +146,9 @@ def gap_chains(
 
     cold = _chains_by_window(df.where(~is_heavy(keys, hot)), keys, time, row_id, gap_us, same)
     cuts = time_cuts(df, keys, time, hot, HOT_MIN_ROWS if slice_rows is None else slice_rows)
-    sliced = with_slice(df.where(is_heavy(keys, hot)), keys, time, cuts, "_slice")
+    heavy = df.where(is_heavy(keys, hot))
+    untimed = heavy.where(F.col(time).isNull()).withColumns({"chain_id": F.col(row_id), "chain_time": F.col(time)})
+    sliced = with_slice(heavy.where(F.col(time).isNotNull()), keys, time, cuts, "_slice")
     parts = _chains_by_window(sliced, [*keys, "_slice"], time, row_id, gap_us, same)
 
     position = F.struct(time, row_id)
@@ -190,7 +189,7 @@ def gap_chains(
             F.col("_chain")
         ),
     )
-    return finish(cold).unionByName(finish(hot_rows))
+    return finish(cold).unionByName(finish(hot_rows)).unionByName(untimed.select(*final))
 
 
 # ---------------------------------------------------------------- cumulative weights

@@ -53,8 +53,8 @@ def flow_reception(flow_packets: DataFrame) -> DataFrame:
 
 
 def prr_by_sf(flows: DataFrame, flow_packets: DataFrame) -> DataFrame:
-    """Distribution of the reception rate per spreading factor 7 .. 12, weighted by packets."""
-    rates = flow_reception(flow_series(flows, flow_packets)).where(F.col("SF").between(7, 12))
+    """Distribution of the reception rate per spreading factor, weighted by packets."""
+    rates = flow_reception(flow_series(flows, flow_packets))
     return ecdf(rates, "prr", "nb_pkts", ["SF"])
 
 

@@ -183,7 +183,7 @@ WITH = "WITH "
 RAW = "id AS _id, t AS time, payload AS \"phyPayload\", {v} AS src_version, gw AS gateway, rssi, snr, channel, crc, freq AS frequency, modt AS modulation, bw AS bandwidth, sf, cr AS code_rate"
 RAW4 = RAW.format(v="CAST(4 AS INTEGER)")
 PERIOD = "t >= TIMESTAMP '2024-01-05' AND t < TIMESTAMP '2024-01-10'"
-DEV = "dev = '0367698e'"
+DEV = "dev = '03676b8e'"
 
 
 def _sql(base: str, body: str) -> str:
@@ -239,13 +239,13 @@ _add("f9_all_ok_nodup", FL, "SELECT id AS _id FROM fl WHERE modt = 'LORA' AND cr
 _add("f10_needs_dup_flag", PK, "SELECT id AS _id FROM pk WHERE channel < 3 AND t >= TIMESTAMP '2024-01-10'")
 _add("f11_time_between", PK, f"SELECT id AS _id FROM pk WHERE {PERIOD}")
 _add("f12_lookup_id", PK, f"SELECT {RAW4} FROM pk WHERE id = '500-0'")
-_add("f12_lookup_payload", PK, f"SELECT {RAW4} FROM pk WHERE payload = (SELECT min(payload) FROM pk) ORDER BY t, id LIMIT 10")
+_add("f12_lookup_payload", PK, f"SELECT {RAW4} FROM pk WHERE payload = (SELECT min(payload) FROM pk)")
 ORACLES["f13_match_any_token"] = (
     "SELECT doc_id FROM documents WHERE list_has_any(regexp_split_to_array(lower(text), '[^\\pL\\pN]+'), ['license', 'network'])"
 )
 _add("f14_device_packets", EN, f"SELECT dev AS \"devAddr\", payload AS \"phyPayload\", t AS time, fcnt AS \"fCnt\" FROM en WHERE {DEV} AND NOT dup")
 _add("f15_first_unflagged_payload", PK, "SELECT min(payload) AS \"phyPayload\" FROM pk WHERE channel = 3")
-_add("f15_undecoded", PK, "SELECT id AS _id, t AS time, payload AS \"phyPayload\" FROM pk WHERE modt <> 'LORA' ORDER BY t, id LIMIT 200")
+_add("f15_undecoded", PK, "SELECT id AS _id, t AS time, payload AS \"phyPayload\" FROM pk WHERE modt <> 'LORA'")
 _add("f17_drop_incomplete", PK, "SELECT id AS _id, rssi, snr AS \"loRaSNR\", channel, sf AS \"spreadingFactor\" FROM pk WHERE channel <> 2 AND sf <> 9")
 _add("p1_flatten_hits", PK, "SELECT id AS _id, t AS time, rssi, snr AS \"loRaSNR\", crc AS \"crcStatus\", channel, sf AS \"spreadingFactor\" FROM pk")
 
@@ -327,10 +327,14 @@ _add("d2_assign_messages_150ms", _messages(150), "SELECT id AS _id, message_id F
 _add("d2_assign_messages_sliced", _messages(300), "SELECT id AS _id, message_id FROM msg")
 _add(
     "d2_collapse_receptions", _messages(300),
-    """SELECT message_id AS _id, CAST(0 AS INTEGER) AS part, any_value(payload) AS "phyPayload", any_value(freq) AS frequency,
+    """SELECT message_id AS _id, any_value(payload) AS "phyPayload", any_value(freq) AS frequency,
   any_value(cr) AS code_rate, CAST(count(*) AS INTEGER) AS receptions, string_agg(gw, ',' ORDER BY t, id) AS gateways,
   max(rssi) AS best_rssi FROM msg GROUP BY message_id""",
 )
+_add(
+    "d2_receptions", _messages(300),
+    "SELECT message_id, CAST(row_number() OVER (PARTITION BY message_id ORDER BY t, id) AS INTEGER) AS position, id AS _id, t AS time, gw AS gateway, rssi FROM msg",
+)
 _add("d3_reception_stats", _messages(300), "SELECT count(DISTINCT message_id) AS messages, count(*) AS receptions FROM msg")
 _add("d4_payload_inventory", PK, "SELECT payload AS \"phyPayload\", count(*) AS doc_count, min(t) AS time FROM pk WHERE t >= TIMESTAMP '2024-01-16' GROUP BY 1")
 _add(
@@ -421,7 +425,7 @@ _add(
 )
 _add("a14_operator_traffic", EN + _ops(), f"SELECT {_SHORT} AS operator, count(*) AS doc_count FROM en {_OPERATOR} WHERE mtype = 2 AND dev IS NOT NULL GROUP BY 1")
 _HOURS = ", ".join(f"count(*) FILTER (hour(t) = {h}) AS h{h:02d}" for h in range(24))
-_add("a15_dups_by_hour", FP, f"SELECT nd AS nb_duplicates, {_HOURS} FROM fp WHERE nd < 10 GROUP BY 1")
+_add("a15_dups_by_hour", FP, f"SELECT nd AS nb_duplicates, {_HOURS} FROM fp GROUP BY 1")
 _add(
     "a16_progress", EN,
     """SELECT modt AS modulation, count(*) AS docs, CAST(0 AS BIGINT) AS without_dup_infos,
@@ -457,7 +461,7 @@ ORACLES["x1_ecdf_lineitem_price"] = _ecdf(
 _add("x2_prr_span", FS, "SELECT dev AS \"devAddr\", flow_id, round(nb / nullif(f2 - f1, 0)::DOUBLE, 6) AS prr FROM fs")
 _RATES = """(SELECT dev, flow_id, 1 / nullif(avg(fd), 0) AS prr, CAST(round_even(avg(sf), 0) AS INTEGER) AS sf, avg(nd) AS nd, count(*) AS nb
   FROM fp WHERE (dev, flow_id) IN (SELECT dev, flow_id FROM fq) GROUP BY 1, 2)"""
-_add("x3_prr_by_sf", FS, "SELECT * REPLACE (round(prr, 9) AS prr) FROM (" + _ecdf(f"{_RATES} WHERE sf BETWEEN 7 AND 12", "prr", "nb", "sf", "SF") + ")")
+_add("x3_prr_by_sf", FS, "SELECT * REPLACE (round(prr, 9) AS prr) FROM (" + _ecdf(f"{_RATES} WHERE sf IS NOT NULL", "prr", "nb", "sf", "SF") + ")")
 _add("x4_prr_vs_dups", FS, f"SELECT dev AS \"devAddr\", flow_id, round(prr, 6) AS prr, round(nd, 6) AS nb_duplicates, nb AS nb_pkts FROM {_RATES}")
 _LASTED = "(epoch_us(t2) - epoch_us(t1))"
 _add("x5_mean_interpkt", FS, f"SELECT dev AS \"devAddr\", flow_id, round({_LASTED} / 1000.0::DOUBLE / nullif(f2 - f1, 0), 3) AS mean_ms FROM fs")

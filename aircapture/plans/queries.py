@@ -32,7 +32,7 @@ LO, HI = "2024-01-05", "2024-01-09"
 SPLIT = "2024-01-16"
 SINCE = "2024-01-10"
 LOOKUP_EVENT = "500-0"
-DEVICE = "0367698e"  # the fourth device address of the derived relation
+DEVICE = "03676b8e"  # the fourth device address of the derived relation
 
 
 def query(name: str):
@@ -246,7 +246,7 @@ def _(spark, sf):
 
 @query("f15_undecoded")
 def _(spark, sf):
-    return K.undecoded(R.enriched(spark, sf), 200).select("_id", "time", "phyPayload")
+    return K.undecoded(R.enriched(spark, sf)).select("_id", "time", "phyPayload")
 
 
 @query("f16_flow_quality")
@@ -434,13 +434,19 @@ def _(spark, sf):
 def _(spark, sf):
     rx = F.col("rxInfo")
     return D.collapse_receptions(R.gateway_rx(spark, sf)).select(
-        "_id", "part", "phyPayload", "frequency", F.col("codeRate").alias("code_rate"),
+        "_id", "phyPayload", "frequency", F.col("codeRate").alias("code_rate"),
         F.size(rx).alias("receptions"),
         F.array_join(F.transform(rx, lambda x: x["mac"]), ",").alias("gateways"),
         F.array_max(F.transform(rx, lambda x: x["rssi"])).alias("best_rssi"),
     )
 
 
+@query("d2_receptions")
+def _(spark, sf):
+    rows = D.message_receptions(R.gateway_rx(spark, sf))
+    return rows.select("message_id", "position", "_id", "time", F.col("mac").alias("gateway"), "rssi")
+
+
 @query("d3_reception_stats")
 def _(spark, sf):
     return D.reception_stats(D.assign_messages(R.gateway_rx(spark, sf)))

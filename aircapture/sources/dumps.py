@@ -65,13 +65,19 @@ def with_month(df: DataFrame) -> DataFrame:
     return df.withColumns({"year": F.year("time"), "month": F.month("time")})
 
 
-def export_monthly(df: DataFrame, path: str, start_year: int = 2020, end_year: int = 2025) -> None:
-    """Gzipped dumps in one folder per year and month.
+def export_monthly(df: DataFrame, path: str, start_year: int | None = None, end_year: int | None = None) -> None:
+    """Gzipped dumps in one folder per year and month, on request of some years only.
+
+    Rows without a time go to the folder of a null year and month.
 
     Rows are spread by time range, so a task writes into few months and a big
     month is written by many tasks.
     """
-    rows = _documents(df.where(F.year("time").between(start_year, end_year)), "time")
+    if start_year is not None:
+        df = df.where(F.year("time") >= start_year)
+    if end_year is not None:
+        df = df.where(F.year("time") <= end_year)
+    rows = _documents(df, "time")
     (
         rows.repartitionByRange("time")
         .transform(with_month)

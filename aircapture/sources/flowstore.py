@@ -17,7 +17,9 @@ def read_flows(spark: SparkSession, path: str) -> DataFrame:
     """The flow summary, or an empty one when there is none yet."""
     try:
         return spark.read.schema(schema.FLOW).parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema.FLOW)
 
 

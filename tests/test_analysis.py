@@ -28,7 +28,7 @@ def test_missing_fields(spark, rows):
 
 
 def test_filters_reach_the_scan(spark, rows):
-    plan = rows.where(P.data_for_device("0367698e")).select("_id")._jdf.queryExecution().executedPlan().toString()
+    plan = rows.where(P.data_for_device("03676b8e")).select("_id")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan and "mType" in plan.split("PushedFilters")[1]
     schema = plan.split("ReadSchema")[1]
     assert "gatewayId" not in schema and "frequency" not in schema and "mic" not in schema

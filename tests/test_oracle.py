@@ -4,6 +4,7 @@ import pytest
 from check_oracle import connection, difference
 
 from __spark_entry__ import entry, oracle_sql, queries
+from aircapture.plans.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -11,7 +12,7 @@ def con(sf_dir):
     return connection(sf_dir)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, sf_dir, name):
     assert name in oracle_sql()
     assert difference(queries()[name], oracle_sql()[name], spark, con, sf_dir) is None

@@ -140,12 +140,38 @@ def test_message_window_is_anchored_not_chained(spark):
     assert tuple(stats) == (3, 4)
 
 
-def test_big_messages_continue_in_parts(spark):
-    rows = [(f"r{i:03d}", i * 1000, "p", 1, 7) for i in range(200)]
-    got = D.collapse_receptions(as_receptions(spark, rows), part_size=40).collect()
-    assert len(got) > 3 and {r["_id"] for r in got} == {"r000"}
-    assert sorted(x["_id"] for r in got for x in r["rxInfo"]) == [r[0] for r in rows]
-    assert any(r["part"] == 0 and r["rxInfo"][0]["_id"] == "r000" for r in got)
+def test_a_message_is_one_row_with_the_header_of_its_first_reception(spark):
+    rows = [(f"r{i:03d}", i * 1000, "p", 1, 7) for i in range(50)]
+    df = as_receptions(spark, rows).withColumn(
+        "rxInfo", F.col("rxInfo").withField("antenna", F.substring("_id", 2, 3).cast("int"))
+    )
+    (got,) = D.collapse_receptions(df).collect()
+    assert got["_id"] == "r000" and got["antenna"] == 0
+    assert [x["_id"] for x in got["rxInfo"]] == [r[0] for r in rows]
+    told = D.message_receptions(df).orderBy("position").collect()
+    assert [(r["message_id"], r["position"], r["_id"]) for r in told] == [("r000", i + 1, r[0]) for i, r in enumerate(rows)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_incremental_flags_equal_a_full_run(spark, seed):
+    """Late, interleaved, payload-less and time-less rows, arriving in any order."""
+    rnd = random.Random(seed)
+    rows = [
+        (f"r{i:03d}", rnd.randrange(40) * 10_000_000, rnd.choice("pq"), 1, rnd.choice((7, 8))) for i in range(120)
+    ]
+    full = as_packets(spark, rows).withColumns(
+        {
+            "phyPayload": F.when(F.col("_id") != "r005", F.col("phyPayload")),
+            "time": F.when(F.col("_id") != "r009", F.col("time")),
+        }
+    )
+    want = told_flags(D.flag_duplicates(full, gap_minutes=1))
+    new = [r[0] for r in rows if rnd.random() < 0.3] + ["r005", "r009"]
+    stored = D.flag_duplicates(full.where(~F.col("_id").isin(new)), gap_minutes=1)
+    none = F.lit(None).cast(stored.schema["dup_infos"].dataType)
+    merged = stored.unionByName(full.where(F.col("_id").isin(new)).withColumn("dup_infos", none).select(*stored.columns))
+    changed = told_flags(D.flag_incremental(merged, gap_minutes=1))
+    assert {**told_flags(stored), **changed} == want
 
 
 def flow_rows(seed, n, devices=4, span_days=40):

@@ -4,6 +4,7 @@ import gzip
 import json
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from aircapture import schema
@@ -71,6 +72,26 @@ def test_monthly_export_reads_back(spark, packets, tmp_path):
     assert back.select(cols).exceptAll(january.select(cols)).count() == 0 and back.count() == january.count()
 
 
+def test_monthly_export_keeps_every_year_and_rows_without_a_time(spark, packets, tmp_path):
+    times = ["2019-03-01 00:00:00", "2026-07-01 00:00:00", None]
+    rows = packets.limit(3).withColumn("n", F.row_number().over(Window.orderBy("_id")))
+    rows = rows.withColumn("time", F.get(F.array(*map(F.lit, times)), F.col("n") - 1).cast("timestamp")).drop("n")
+    path = str(tmp_path / "out")
+    dumps.export_monthly(rows, path)
+    back = spark.read.schema("_id string, year int, month int").json(path)
+    assert {(r["year"], r["month"]) for r in back.collect()} == {(2019, 3), (2026, 7), (None, None)}
+    dumps.export_monthly(rows, str(tmp_path / "some"), 2020, 2030)
+    assert spark.read.schema("_id string").json(str(tmp_path / "some")).count() == 1
+
+
+def test_the_last_of_overlapping_ranges_wins(spark):
+    ops = packaged_operators(spark)
+    rows = [("n", "p", "r", "A", None, 0, 100), ("n", "p", "r", "B", None, 50, 70), ("n", "p", "r", "C", None, 60, 1 << 26)]
+    some = spark.createDataFrame([(f"{a:08x}",) for a in (0, 50, 59, 60, 70, 71, 1 << 26)], "devAddr string")
+    got = [r["operator"] for r in J.with_operator(some, spark.createDataFrame(rows, ops.schema).coalesce(1)).orderBy("devAddr").collect()]
+    assert got == ["A", "B", "B", "C", "C", "C", "C"]
+
+
 def test_anonymise(spark, packets):
     plain, salted = M.anonymise(packets), M.anonymise(packets, salt="s")
     assert "phyPayload" not in plain.columns
