@@ -296,6 +296,15 @@ _add("d1_flag_duplicates", FL, f"SELECT {_FLAG} FROM fl")
 _add("d1_flag_duplicates_strict", PK + "," + _flags("pk", "payload, sf, bw, cr, freq", ""), f"SELECT {_FLAG} FROM fl")
 _add("d1_flag_duplicates_sliced", FL, f"SELECT {_FLAG} FROM fl")
 _add("d1_flag_incremental", FL, f"SELECT {_FLAG} FROM fl")
+_EVENT = "CAST(split_part(id, '-', 1) AS BIGINT)"
+_add(
+    "d1_flag_incremental_late",
+    PK
+    + f""",
+pkl AS (SELECT * REPLACE (CASE WHEN {_EVENT} % 97 <> 1 THEN payload END AS payload, CASE WHEN {_EVENT} % 97 <> 2 THEN t END AS t) FROM pk),"""
+    + _flags("pkl", "(CASE WHEN payload IS NULL OR t IS NULL THEN id ELSE payload END)"),
+    f"SELECT {_FLAG} FROM fl",
+)
 
 
 def _messages(window_ms: int) -> str:
@@ -372,6 +381,10 @@ _add(
   SELECT dev FROM en WHERE mtype = 2 AND dev IS NOT NULL AND t < TIMESTAMP '2024-01-02') GROUP BY 1""",
 )
 _add("w7_flow_lookup", FP, f"SELECT {_PACKET}, nd AS nb_duplicates FROM fp WHERE {DEV}")
+_add(
+    "w7_flow_lookup_first", FP,
+    f"SELECT {_PACKET}, nd AS nb_duplicates FROM fp WHERE {DEV} AND t1 = (SELECT max(t1) FROM fp WHERE {DEV})",
+)
 
 # ---------------------------------------------------------------- joins
 
@@ -379,6 +392,13 @@ _OPERATOR = "LEFT JOIN ops ON CAST('0x' || dev AS BIGINT) BETWEEN ops.lo AND ops
 _SHORT = """CASE coalesce(name, 'UNKOWN') WHEN 'Shenzhen Tencent Computer Systems Company Limited' THEN 'Shenzhen Tencent'
   WHEN 'NTT (Nippon Telephone and Telegraph)' THEN 'NTT' ELSE coalesce(name, 'UNKOWN') END"""
 _add("j1_with_operator", EN + _ops(), f"SELECT id AS _id, dev AS \"devAddr\", coalesce(name, 'UNKOWN') AS operator FROM en {_OPERATOR} WHERE dev IS NOT NULL")
+_add("s9_read_operators", EN + _ops(), f"SELECT coalesce(name, 'UNKOWN') AS operator, count(*) AS docs FROM en {_OPERATOR} WHERE dev IS NOT NULL GROUP BY 1")
+_ADDRESS = "CAST('0x' || dev AS BIGINT)"
+_add(
+    "j1_with_operator_overlap", EN,
+    f"""SELECT id AS _id, dev AS "devAddr", CASE WHEN {_ADDRESS} BETWEEN 33554432 AND 134217733 THEN 'mid'
+  WHEN {_ADDRESS} <= 67108864 THEN 'low' ELSE 'all' END AS operator FROM en WHERE dev IS NOT NULL""",
+)
 _add("j2_shorten_names", EN + _ops(), f"SELECT DISTINCT dev AS \"devAddr\", {_SHORT} AS operator FROM en {_OPERATOR} WHERE mtype = 2 AND dev IS NOT NULL")
 _add("j3_duplicate_to_original", FL, "SELECT o.id AS original_id, o.t AS original_time, d.id AS duplicate_id, d.t AS duplicate_time FROM fl d JOIN fl o ON o.id = d.copy_of WHERE d.dup AND NOT o.dup")
 _add("j4_flow_series", FS, "SELECT dev AS \"devAddr\", flow_id, id AS _id FROM fp WHERE (dev, flow_id) IN (SELECT dev, flow_id FROM fq)")

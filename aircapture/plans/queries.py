@@ -22,7 +22,7 @@ from aircapture.operators import statistics as X
 from aircapture.plans import relations as R
 from aircapture.session import scratch_path
 from aircapture.sources import dumps, flowstore
-from aircapture.sources.operators import packaged_operators
+from aircapture.sources.operators import packaged_operators, read_operators
 from aircapture.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -410,6 +410,21 @@ def _(spark, sf):
     return _flags(M.upsert(base, D.flag_incremental(base)))
 
 
+@query("d1_flag_incremental_late")
+def _(spark, sf):
+    # rows of any time arrive late, and some have no payload or no time
+    event = F.split("_id", "-")[0].cast("long")
+    bare = F.pmod(event, F.lit(97))
+    rows = R.packets(spark, sf).withColumns(
+        {"phyPayload": F.when(bare != 1, F.col("phyPayload")), "time": F.when(bare != 2, F.col("time"))}
+    )
+    late = F.pmod(event, F.lit(5)) == 0
+    path = scratch_path(spark, "flagged")
+    M.unify(D.flag_duplicates(rows.where(~late)), rows.where(late)).write.parquet(path)
+    base = spark.read.parquet(path)
+    return _flags(M.upsert(base, D.flag_incremental(base)))
+
+
 def _message_rows(df: DataFrame) -> DataFrame:
     return df.select("_id", "message_id")
 
@@ -548,9 +563,38 @@ def _(spark, sf):
     return _packet_columns(W.flow_lookup(flowstore.read_flow_packets(spark, path, DEVICE), DEVICE))
 
 
+@query("w7_flow_lookup_first")
+def _(spark, sf):
+    path = scratch_path(spark, "series")
+    flowstore.write_flow_packets(R.flow_packets(spark, sf), path)
+    device = flowstore.read_flow_packets(spark, path, DEVICE)
+    began = device.agg(F.max("time_1st")).first()[0]
+    return _packet_columns(W.flow_lookup(flowstore.read_flow_packets(spark, path, DEVICE, began), DEVICE, began))
+
+
 # ---------------------------------------------------------------- joins
 
 
+@query("s9_read_operators")
+def _(spark, sf):
+    # the table as a file, as a user has it, on the addresses of the data
+    path = scratch_path(spark, "operators")
+    lines = packaged_operators(spark).select(F.concat_ws("\t", "netid", "prefix", "range", "name", F.coalesce("area", F.lit(""))))
+    lines.coalesce(1).write.text(path)
+    rows = R.enriched(spark, sf).where(F.col(P.DEVADDR).isNotNull()).select(F.col(P.DEVADDR).alias("devAddr"))
+    ops = read_operators(spark, path, header=False)
+    return J.with_operator(rows, ops).groupBy("operator").agg(F.count("*").alias("docs"))
+
+
+@query("j1_with_operator_overlap")
+def _(spark, sf):
+    # later rows: one over everything, then two over parts of it
+    rows = R.enriched(spark, sf).where(F.col(P.DEVADDR).isNotNull()).select("_id", F.col(P.DEVADDR).alias("devAddr"))
+    whole, low, mid = ("all", 0, 2**32 - 1), ("low", 0, 2**26), ("mid", 2**25, 2**27 + 5)
+    ops = spark.createDataFrame([whole, low, mid], "name string, lo long, hi long").coalesce(1)
+    return J.with_operator(rows, ops)
+
+
 @query("j1_with_operator")
 def _(spark, sf):
     rows = R.enriched(spark, sf).where(F.col(P.DEVADDR).isNotNull()).select("_id", F.col(P.DEVADDR).alias("devAddr"))

@@ -13,10 +13,10 @@ from aircapture import schema
 PACKAGED = os.path.join(os.path.dirname(os.path.dirname(__file__)), "data", "operators.tsv")
 
 
-def read_operators(spark: SparkSession, path: str) -> DataFrame:
-    """Tab-separated prefix table with the bounds of each range as numbers."""
+def read_operators(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
+    """Tab-separated prefix table, with or without a header line, with the bounds of each range as numbers."""
     bounds = F.split("range", r"\s+-\s+")
-    rows = spark.read.schema(schema.OPERATORS).csv(path, sep="\t", header=True, comment="#", enforceSchema=True)
+    rows = spark.read.schema(schema.OPERATORS).csv(path, sep="\t", header=header, comment="#", enforceSchema=True)
     return _with_bounds(rows, bounds)
 
 

@@ -21,3 +21,8 @@ def test_query(spark, con, sf_dir, name):
 def test_entry(spark):
     rows = entry(spark)
     assert rows.columns == ["operator", "doc_count"] and rows.count() > 0
+
+
+@pytest.mark.parametrize("name", ["f7_data_for_device", "f14_device_packets", "w7_flow_lookup", "w7_flow_lookup_first"])
+def test_lookups_find_something(spark, sf_dir, name):
+    assert queries()[name](spark, sf_dir).count() > 0
