@@ -195,39 +195,49 @@ def gap_chains(
 # ---------------------------------------------------------------- cumulative weights
 
 
+#: Stretches that the distinct values of a facet are cut into.
+_STRETCHES = 1024
+
+
 def running_total(df: DataFrame, value: str, weight: Column | None = None, by: list[str] | None = None) -> DataFrame:
     """Rows ``(by, value, weight, cumulative, total)``, one per distinct value, in value order.
 
-    Values are summed first, then cut into buckets on a fixed logarithmic grid
-    that keeps their order.  Only the bucket sums (at most about 1 000 per power
-    of two) go through a window of one facet; the values run inside their bucket.
+    Values are summed first.  Quantiles of a facet's distinct values then cut it
+    into stretches of about equal numbers of them, wherever they lie.  Only the
+    sums of the stretches go through a window of one facet; the values run
+    inside their stretch.
     """
     by = by or []
     weight = F.lit(1) if weight is None else weight
     v = F.col(value).cast("double")
-    bucket = F.signum(v) * F.floor(F.log2(F.abs(v) + 1) * 1024)
     keep = F.col(value).isNotNull() & ~F.isnan(v)
     for name in by:
         keep = keep & F.col(name).isNotNull()
-    sums = (
-        df.where(keep)
-        .groupBy(*by, value)
-        .agg(F.sum(weight).alias("weight"))
-        .withColumn("_bucket", bucket.cast("long"))
+    facet = by or ["_all"]
+    sums = df.where(keep).groupBy(*by, value).agg(F.sum(weight).alias("weight"))
+    if not by:
+        sums = sums.withColumn("_all", F.lit(0))
+    quantiles = [i / _STRETCHES for i in range(1, _STRETCHES)]
+    ends = sums.groupBy(*facet).agg(F.array_distinct(F.percentile_approx(v, quantiles, 4 * _STRETCHES)).alias("_ends"))
+    # binary search: jump ahead by falling powers of two while the end there is below the value
+    jumps = F.lit([1 << k for k in reversed(range(_STRETCHES.bit_length()))])
+    stretch = F.aggregate(
+        jumps, F.lit(0), lambda at, jump: F.when(F.get("_ends", at + jump - 1) < v, at + jump).otherwise(at)
     )
-    facet = [F.col(name) for name in by] or [F.lit(0)]
-    in_order = Window.partitionBy(*facet).orderBy("_bucket")
+    # few numbers for each facet, so the planner sends them to the values rather than the values to them
+    sums = sums.join(ends, facet, "left").withColumn("_stretch", stretch).drop("_ends")
+    in_order = Window.partitionBy(*facet).orderBy("_stretch")
     offsets = (
-        sums.groupBy(*by, "_bucket")
+        sums.groupBy(*facet, "_stretch")
         .agg(F.sum("weight").alias("_w"))
         .withColumn("_before", F.sum("_w").over(in_order.rowsBetween(Window.unboundedPreceding, -1)))
         .withColumn("total", F.sum("_w").over(Window.partitionBy(*facet)))
         .drop("_w")
     )
-    inside = Window.partitionBy(*by, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*facet, "_stretch").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     return (
         # a left join adds no filter to one side only, so both sides read the same exchange
-        sums.join(offsets, [*by, "_bucket"], "left")
+        sums.join(offsets, [*facet, "_stretch"], "left")
         .withColumn("cumulative", F.sum("weight").over(inside) + F.coalesce("_before", F.lit(0)))
         .select(*by, value, "weight", "cumulative", "total")
     )

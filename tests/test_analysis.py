@@ -121,3 +121,19 @@ def test_pages_lose_no_ties(spark):
 def test_flatten_lists(spark, packets):
     listed = packets.withColumn("rxInfo", F.col("rxInfo").withField("rssi", F.array("rxInfo.rssi")))
     assert K.flatten_fields(listed).exceptAll(K.flatten_fields(packets)).count() == 0
+
+
+def test_dense_values_are_spread_over_many_stretches(spark):
+    from aircapture.operators.skew import running_total
+
+    n = 100_000
+    rows = spark.range(n).select((1000 + F.col("id") / (1000 * n)).alias("v"), (F.col("id") % 3 + 1).alias("w"))
+    out = running_total(rows, "v", F.col("w"))
+    got = out.orderBy("v").select("cumulative", "total").collect()
+    want = 0
+    for i, r in enumerate(got):
+        want += i % 3 + 1
+        assert r["cumulative"] == want
+    assert len(got) == n and {r["total"] for r in got} == {want}
+    ends = [int(got[-1]["total"] * k / 8) for k in range(1, 8)]
+    assert len({next(i for i, r in enumerate(got) if r["cumulative"] >= e) // (n // 8) for e in ends}) == 7
