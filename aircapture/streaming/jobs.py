@@ -24,7 +24,7 @@ def stream_decode(packets: DataFrame, version: str = EXTRA_VERSION) -> DataFrame
 
 
 def stream_collapse(
-    receptions: DataFrame, window_ms: float = 300, delay: str = "10 seconds", buckets: int = 256
+    receptions: DataFrame, window_ms: float = 300, delay: str = "10 seconds", buckets: int | None = None
 ) -> DataFrame:
     """Receptions with the ``message_id`` they belong to.
 
@@ -34,8 +34,11 @@ def stream_collapse(
 
     Most message keys occur once, so state is kept per hash bucket of keys, not
     per key: the receptions of the last ``delay`` and the messages still open.
-    Choose ``buckets`` as a small multiple of the shuffle partitions.
+    ``buckets`` is four times the shuffle partitions unless given; it must stay
+    the same over restarts of a stream.
     """
+    if buckets is None:
+        buckets = 4 * int(receptions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = ["phyPayload", *MESSAGE_COLUMNS]
     key = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in parts])
     return (
