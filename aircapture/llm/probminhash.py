@@ -173,7 +173,7 @@ def _remaining(members: DataFrame, agree: float) -> DataFrame:
     ij = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, "block").alias("i"), F.greatest(o, "block").alias("j"))
     )
-    dealt = dealt.withColumn("ij", F.explode(ij)).select("band", "ij.i", "ij.j", "block", "id", "component", "registers")
+    dealt = dealt.withColumn("ij", F.explode(ij)).select("band", "nth", "ij.i", "ij.j", "block", "id", "component", "registers")
 
     def compare(rows: pa.Table) -> pa.RecordBatch | None:
         i, j, block = rows["i"][0].as_py(), rows["j"][0].as_py(), rows["block"].to_numpy()
@@ -181,12 +181,16 @@ def _remaining(members: DataFrame, agree: float) -> DataFrame:
         regs = np.frombuffer(b"".join(rows["registers"].to_pylist()), np.uint16).reshape(len(ids), -1)
         a, b = np.flatnonzero(block == i), np.flatnonzero(block == j)
         us, vs = [], []
+        nth = rows["nth"][0].as_py()
         for r in a:
             apart = b[comp[b] != comp[r]]
             if i == j:
                 apart = apart[apart > r]
             if len(apart):
-                close = apart[(regs[apart] == regs[r]).mean(1) >= agree]
+                same = regs[apart] == regs[r]
+                # a pair leaves in the first band that it shares, and in no other
+                first = same.reshape(len(apart), BANDS, ROWS).all(2).argmax(1)
+                close = apart[(same.mean(1) >= agree) & (first == nth)]
                 us += [min(ids[r], ids[c]) for c in close]
                 vs += [max(ids[r], ids[c]) for c in close]
         return pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["center", "other"]) if us else None
@@ -239,7 +243,7 @@ def _candidates(members: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(labels, members["id"] == labels["node"], "left").select(
-        "band", "id", "score", F.coalesce("component", "id").alias("component")
+        "band", "nth", "id", "score", F.coalesce("component", "id").alias("component")
     )
 
 
@@ -257,10 +261,10 @@ def groups(docs: DataFrame, least: float = LEAST, rounds: int = 2, agree: float
     times against another one not joined to it yet). Members still in different
     components are then compared with each other, by their registers, and
     exactly if a share of ``agree`` or more is equal (by default the threshold
-    less four standard errors). So a band full of copies costs one comparison
+    less three standard errors). So a band full of copies costs one comparison
     each, and no link of texts that share a band is left out.
     """
-    agree = least - 4 * (least * (1 - least) / REGISTERS) ** 0.5 if agree is None else agree
+    agree = least - 3 * (least * (1 - least) / REGISTERS) ** 0.5 if agree is None else agree
     signed = cut(signatures(docs))
     # ids of classes are dealt out once and then stored
     classes = (
@@ -270,9 +274,9 @@ def groups(docs: DataFrame, least: float = LEAST, rounds: int = 2, agree: float
         .withColumn("id", F.monotonically_increasing_id())
     )
     classes = cut(classes)
-    banded = classes.select("id", F.explode("bands").alias("band"))
+    banded = classes.select("id", F.posexplode("bands").alias("nth", "band"))
     shared = cut(banded.join(banded.groupBy("band").agg(F.count("*").alias("m")).where("m > 1"), "band"))
-    members = shared.join(shared.groupBy("id").agg(F.sum("m").alias("score")), "id").select("band", "id", "score")
+    members = shared.join(shared.groupBy("id").agg(F.sum("m").alias("score")), "id").select("band", "nth", "id", "score")
     wanted = members.select("id").distinct().join(classes.select("id", "of"), "id")
     hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     texts = cut(
