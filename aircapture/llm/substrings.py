@@ -214,8 +214,11 @@ def _snippets(prepared: DataFrame, window: int, texts: bool) -> DataFrame:
 def _repeats(prepared: DataFrame, window: int) -> DataFrame:
     """d, h and ``again``: of each of a document's anchors (first window, whether each window occurs before)."""
     least = F.min(F.struct("d", "h", "s")).alias("p")
-    distinct = _snippets(prepared, window, texts=True).groupBy("a", "sid").agg(least, F.first("text").alias("text"))
-    firsts = cut(_index(distinct.select("a", "sid", "p.d", "p.h", "p.s", "text"), window))
+    distinct = _snippets(prepared, window, texts=False).groupBy("a", "sid").agg(least)
+    # the text of a snippet is sent once, by the document that has it first
+    owners = distinct.groupBy("p.d", "p.h").agg(F.collect_set("p.s").alias("at"))
+    owners = prepared.where("at is not null").select("d", "h", "packed").join(owners, ["d", "h"])
+    firsts = cut(_index(_snippets(owners, window, texts=True), window))
     release(prepared.sparkSession)
     # a snippet's own first place is the first of all its windows unless the index knows an earlier one
     told = _snippets(prepared, window, texts=False).join(firsts, ["a", "sid"]).select(
