@@ -18,7 +18,7 @@ SPACE = "▁"
 #: Weight of a byte piece: worse than any piece of the vocabulary.
 BYTE_SCORE = -20.0
 #: Remembered segments of a worker; it starts anew when full.
-MEMORY = 700_000
+MEMORY = 350_000
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
