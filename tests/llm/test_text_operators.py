@@ -225,5 +225,20 @@ def test_templates_are_classes_of_equal_occurrence(spark):
     assert "html/body.page/article/p" not in once
 
 
+@pytest.mark.parametrize(
+    "around",
+    [
+        "<div class='content with-sidebar'>{}</div>", "<main class='no-sidebar'>{}</main>", "<article class='post ad-free'>{}</article>",
+        "<div id='page' class='has-cookie-notice'><article>{}</article></div>", "<div role='form'>{}</div>", "<form>{}</form>",
+        *(f"<div><{t}>no</div><div>{{}}</div>" for t in ("template", "svg", "math", "select", "object", "canvas", "noscript")),
+        "<svg><g><p>{}</p>", "<noscript>no<article>{}</article>", "<p><svg><path d=''/><text>no</text></svg></p><p>{}</p>",
+    ],
+)
+def test_no_name_or_open_element_takes_the_story(around):
+    story = "The whole story of the day."
+    page = templates.Page(f"<html><body><nav>n</nav>{around.format(story)}<div class='ad'>buy</div></body></html>")
+    assert page.text() == story
+
+
 def test_text_digest_of_removed_words():
     assert hashlib.sha256(b"").hexdigest() == hashlib.sha256(b" ".join([])).hexdigest()
