@@ -240,5 +240,17 @@ def test_no_name_or_open_element_takes_the_story(around):
     assert page.text() == story
 
 
+def test_copies_of_a_page_take_no_text(spark):
+    def page(said):
+        return f"<html><body><div class=top>Our house</div><div class=story><p>{said}</p></div></body></html>"
+
+    rows = [(i, "http://a.example/", page("copied story")) for i in range(60)] + [(100 + i, "http://a.example/", page(f"story {i}")) for i in range(4)]
+    rows += [(200 + i, "http://b.example/", page("copied story")) for i in range(30)]
+    rows += [(300 + i, "http://c.example/", page(f"a story that others copied word by word and again</p><p>seen {i}")) for i in range(30)]
+    text = {r["page_id"]: r["text"] for r in templates.extract(pages(spark, rows)).collect()}
+    assert {text[i] for i in range(60)} == {"copied story"} and [text[100 + i] for i in range(4)] == [f"story {i}" for i in range(4)]
+    assert all("copied story" in text[200 + i] and "copied word by word" in text[300 + i] for i in range(30))
+
+
 def test_text_digest_of_removed_words():
     assert hashlib.sha256(b"").hexdigest() == hashlib.sha256(b" ".join([])).hexdigest()
