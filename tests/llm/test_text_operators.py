@@ -252,5 +252,16 @@ def test_copies_of_a_page_take_no_text(spark):
     assert all("copied story" in text[200 + i] and "copied word by word" in text[300 + i] for i in range(30))
 
 
+def test_the_template_decides_in_articles_too(spark):
+    teasers = "<html><body><div class=story><p>Long story {n} told here</p></div><article class=teaser><a href=x>More {n}</a> to read {n}</article></body></html>"
+    constant = "<html><body><article><h1>Head {n}</h1><p>Story {n}.</p><div>All stories of our house</div></article><div>Our address</div></body></html>"
+    rows = [(i, "http://a.example/", teasers.replace("{n}", str(i))) for i in range(8)]
+    rows += [(10 + i, "http://b.example/", constant.replace("{n}", str(i))) for i in range(8)]
+    rows += [(20, "http://b.example/", constant.replace("{n}", "x").split(" of our house")[0])]
+    text = {r["page_id"]: r["text"] for r in templates.extract(pages(spark, rows)).collect()}
+    for i in range(8):
+        assert f"Long story {i} told here" in text[i] and text[10 + i] == f"Head {i} Story {i}."
+
+
 def test_text_digest_of_removed_words():
     assert hashlib.sha256(b"").hexdigest() == hashlib.sha256(b" ".join([])).hexdigest()
