@@ -39,11 +39,35 @@ def normalise_v3(df: DataFrame) -> DataFrame:
     )
 
 
-def normalise_v4(df: DataFrame) -> DataFrame:
-    """Fourth-generation packets in the common schema; of a list of receptions the first is kept."""
+def _receptions(df: DataFrame) -> Column:
+    """The receptions of fourth-generation packets as a list; null or empty if there is none."""
     kind = df.schema["rxInfo"].dataType
     rx = F.col("rxInfo")
     if isinstance(kind, VariantType):
+        one = F.try_variant_get(rx, "$", schema.RX)
+        listed = F.schema_of_variant(rx).startswith("ARRAY")
+        return F.when(listed, F.try_variant_get(rx, "$", f"array<{schema.RX}>")).when(one.isNotNull(), F.array(one))
+    if isinstance(kind, ArrayType):
+        return rx
+    return F.when(rx.isNotNull(), F.array(rx))
+
+
+def normalise_v4(df: DataFrame, explode: bool = False) -> DataFrame:
+    """Fourth-generation packets in the common schema.
+
+    Of a list of receptions the first is kept, as the reference does;
+    :func:`dropped_receptions` counts the others. With ``explode`` each is a
+    row: the first under the packet's ``_id``, those at position k > 0 of the
+    list under ``_id#k``. A packet without receptions stays one row.
+    """
+    kind = df.schema["rxInfo"].dataType
+    rx = F.col("rxInfo")
+    if explode:
+        columns = [F.col(f"`{c}`") for c in df.columns if c not in ("_id", "rxInfo")]
+        df = df.select("_id", *columns, F.posexplode_outer(_receptions(df)).alias("_position", "rxInfo"))
+        nth = F.concat_ws("#", "_id", F.col("_position").cast("string"))
+        df = df.withColumn("_id", F.when(F.col("_position") > 0, nth).otherwise(F.col("_id"))).drop("_position")
+    elif isinstance(kind, VariantType):
         rx = F.coalesce(F.try_variant_get(rx, "$[0]", schema.RX), F.try_variant_get(rx, "$", schema.RX))
     elif isinstance(kind, ArrayType):
         rx = F.get(rx, F.lit(0))
@@ -56,6 +80,17 @@ def normalise_v4(df: DataFrame) -> DataFrame:
     )
 
 
+def dropped_receptions(df: DataFrame) -> DataFrame:
+    """One row: ``packets`` of the fourth generation, their ``receptions``, and those ``dropped`` without ``explode``."""
+    n = F.coalesce(F.size(_receptions(df)), F.lit(0))
+    n = F.when(n > 0, n).otherwise(0)
+    return df.agg(
+        F.count("*").alias("packets"),
+        F.coalesce(F.sum(n), F.lit(0)).cast("long").alias("receptions"),
+        F.coalesce(F.sum(F.greatest(n - 1, F.lit(0))), F.lit(0)).cast("long").alias("dropped"),
+    )
+
+
 def unify(*frames: DataFrame) -> DataFrame:
     """One table of all generations; fields a generation lacks are null."""
     result = frames[0]

@@ -203,6 +203,16 @@ _add("s1_read_packet_dump", PK, f"SELECT {RAW4} FROM pk")
 _add("s2_export_monthly", PK, "SELECT CAST(year(t) AS INTEGER) AS year, CAST(month(t) AS INTEGER) AS month, count(*) AS docs, count(DISTINCT id) AS ids FROM pk GROUP BY 1, 2")
 _add("s3_normalise_v3", PK, "SELECT id AS _id, t AS time, CAST(3 AS INTEGER) AS src_version, gw AS gateway, snr, 'up-' || id AS uplink, modt AS modulation, cr AS code_rate, sf FROM pk")
 _add("s4_normalise_v4", PK, "SELECT " + RAW4.replace("modt AS modulation", "'LORA' AS modulation") + " FROM pk")
+LISTS = "k AS (SELECT *, split_part(id, '-', 1) AS event, CAST(split_part(id, '-', 2) AS INTEGER) AS copy FROM pk)"
+_add(
+    "s4_normalise_v4_receptions", PK + ", " + LISTS,
+    "SELECT CASE WHEN copy = 0 THEN event ELSE event || '#' || copy END AS _id, first_value(t) OVER (PARTITION BY event ORDER BY copy) AS time,"
+    " CAST(4 AS INTEGER) AS src_version, gw AS gateway, rssi, snr, 'LORA' AS modulation, sf FROM k",
+)
+_add(
+    "s4_dropped_receptions", PK + ", " + LISTS,
+    "SELECT count(DISTINCT event) AS packets, count(*) AS receptions, count(*) - count(DISTINCT event) AS dropped FROM k",
+)
 _add(
     "s5_unify", PK,
     "SELECT " + RAW.format(v="CAST(CASE WHEN t < TIMESTAMP '2024-01-16' THEN 3 ELSE 4 END AS INTEGER)").replace(

@@ -108,6 +108,17 @@ def _(spark, sf):
     return _flat(M.normalise_v4(R.as_v4(R.packets(spark, sf))))
 
 
+@query("s4_normalise_v4_receptions")
+def _(spark, sf):
+    rows = M.normalise_v4(R.as_v4_lists(R.packets(spark, sf)), explode=True)
+    return _flat(rows).select("_id", "time", "src_version", "gateway", "rssi", "snr", "modulation", "sf")
+
+
+@query("s4_dropped_receptions")
+def _(spark, sf):
+    return M.dropped_receptions(R.as_v4_lists(R.packets(spark, sf)))
+
+
 @query("s5_unify")
 def _(spark, sf):
     rows = R.packets(spark, sf)

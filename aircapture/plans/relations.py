@@ -126,6 +126,21 @@ def as_v4(df: DataFrame) -> DataFrame:
     return df.select("_id", "time", "phyPayload", F.array("rxInfo").alias("rxInfo"), "txInfo")
 
 
+def as_v4_lists(df: DataFrame) -> DataFrame:
+    """Common packets in the fourth-generation shape, all receptions of an event (``_id`` is event-copy) in one list.
+
+    Frame and time are those of the first copy.
+    """
+    event, copy = F.substring_index("_id", "-", 1), F.substring_index("_id", "-", -1).cast("int")
+    listed = F.sort_array(F.collect_list(F.struct(copy.alias("copy"), "time", "phyPayload", "rxInfo", "txInfo")))
+    rows = df.groupBy(event.alias("_id")).agg(listed.alias("all"))
+    first = F.col("all")[0]
+    return rows.select(
+        "_id", first["time"].alias("time"), first["phyPayload"].alias("phyPayload"), F.col("all.rxInfo").alias("rxInfo"),
+        first["txInfo"].alias("txInfo"),
+    )
+
+
 def _reshaped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every packet's frame with its message type replaced by one of all eight and cut to one of 40 lengths.
 

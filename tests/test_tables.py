@@ -63,6 +63,19 @@ def test_both_generations_become_one_table(spark, tmp_path):
     }
 
 
+def test_each_reception_of_a_list_is_a_row(spark, tmp_path):
+    one, two = {"gatewayId": "g2", "rssi": -80}, {"gatewayId": "g9", "rssi": -90}
+    lines = [v4("c", one), v4("d", [one, two, two]), v4("e", []), v4("f", None)]
+    rows = dumps.read_packet_dump(spark, write_lines(tmp_path / "v4", lines), "v4").drop("_corrupt")
+    lists = rows.where("_id = 'd'").withColumn("rxInfo", F.expr(f"try_variant_get(rxInfo, '$', 'array<{schema.RX}>')"))
+    want = [("d", "g2"), ("d#1", "g9"), ("d#2", "g9")]
+    for df, others in ((rows, [("c", "g2"), ("e", None), ("f", None)]), (lists, [])):
+        got = M.normalise_v4(df, explode=True).select("_id", "rxInfo.gatewayId", "src_version").collect()
+        assert sorted((r[0], r[1]) for r in got) == sorted(want + others) and {r[2] for r in got} == {4}
+    assert tuple(M.dropped_receptions(rows).first()) == (4, 4, 2) and tuple(M.dropped_receptions(lists).first()) == (1, 3, 2)
+    assert M.normalise_v4(rows, explode=True).schema["rxInfo"].dataType == M.normalise_v4(rows).schema["rxInfo"].dataType
+
+
 def test_monthly_export_reads_back(spark, packets, tmp_path):
     path = str(tmp_path / "out")
     dumps.export_monthly(packets, path)
