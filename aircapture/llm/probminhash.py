@@ -161,6 +161,15 @@ def verify(pairs: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFram
 BLOCK = 512
 
 
+def least_agreement(least: float) -> float:
+    """The share of equal registers below which a pair of one band is not compared exactly: six standard errors under.
+
+    At the threshold 0.8 a link falls below with a probability of 3e-8, far
+    less than that of sharing no band at all (5e-5).
+    """
+    return least - 6 * (least * (1 - least) / REGISTERS) ** 0.5
+
+
 def _remaining(members: DataFrame, agree: float) -> DataFrame:
     """Pairs of one band and of different components whose registers agree in a share of ``agree`` at least.
 
@@ -173,12 +182,13 @@ def _remaining(members: DataFrame, agree: float) -> DataFrame:
     ij = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, "block").alias("i"), F.greatest(o, "block").alias("j"))
     )
-    dealt = dealt.withColumn("ij", F.explode(ij)).select("band", "nth", "ij.i", "ij.j", "block", "id", "component", "registers")
+    dealt = dealt.withColumn("ij", F.explode(ij)).select("band", "nth", "ij.i", "ij.j", "block", "id", "component", "bands", "registers")
 
     def compare(rows: pa.Table) -> pa.RecordBatch | None:
         i, j, block = rows["i"][0].as_py(), rows["j"][0].as_py(), rows["block"].to_numpy()
         ids, comp = rows["id"].to_numpy(), rows["component"].to_numpy()
         regs = np.frombuffer(b"".join(rows["registers"].to_pylist()), np.uint16).reshape(len(ids), -1)
+        bands = rows["bands"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
         a, b = np.flatnonzero(block == i), np.flatnonzero(block == j)
         us, vs = [], []
         nth = rows["nth"][0].as_py()
@@ -187,10 +197,9 @@ def _remaining(members: DataFrame, agree: float) -> DataFrame:
             if i == j:
                 apart = apart[apart > r]
             if len(apart):
-                same = regs[apart] == regs[r]
                 # a pair leaves in the first band that it shares, and in no other
-                first = same.reshape(len(apart), BANDS, ROWS).all(2).argmax(1)
-                close = apart[(same.mean(1) >= agree) & (first == nth)]
+                apart = apart[(bands[apart] == bands[r]).argmax(1) == nth]
+                close = apart[(regs[apart] == regs[r]).mean(1) >= agree]
                 us += [min(ids[r], ids[c]) for c in close]
                 vs += [max(ids[r], ids[c]) for c in close]
         return pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["center", "other"]) if us else None
@@ -260,11 +269,12 @@ def groups(docs: DataFrame, least: float = LEAST, rounds: int = 2, agree: float
     In each band, members are first verified against a center (``rounds``
     times against another one not joined to it yet). Members still in different
     components are then compared with each other, by their registers, and
-    exactly if a share of ``agree`` or more is equal (by default the threshold
-    less three standard errors). So a band full of copies costs one comparison
-    each, and no link of texts that share a band is left out.
+    exactly if a share of ``agree`` or more is equal (by default that of
+    :func:`least_agreement`). So a band full of copies costs one comparison
+    each, and a link of texts that share a band is left out with a probability
+    of 3e-8 at most.
     """
-    agree = least - 3 * (least * (1 - least) / REGISTERS) ** 0.5 if agree is None else agree
+    agree = least_agreement(least) if agree is None else agree
     signed = cut(signatures(docs))
     # ids of classes are dealt out once and then stored
     classes = (
@@ -289,7 +299,7 @@ def groups(docs: DataFrame, least: float = LEAST, rounds: int = 2, agree: float
         new = cut(verify(_candidates(members, labels), texts, least))
         found = new if found is None else found.union(new)
         labels = cut(components(found))
-    apart = _remaining(_labelled(members, labels).join(classes.select("id", "registers"), "id"), agree)
+    apart = _remaining(_labelled(members, labels).join(classes.select("id", "bands", "registers"), "id"), agree)
     labels = components(found.union(cut(verify(apart, texts, least))))
 
     named = classes.join(labels, classes["id"] == labels["node"], "left").select(

@@ -259,6 +259,21 @@ def test_groups_equal_brute_force(spark, rounds, block, monkeypatch):
     assert probminhash.groups(docs.limit(0)).count() == 0
 
 
+def test_remaining_pairs_of_a_band_leave_once(spark):
+    rng = np.random.default_rng(3)
+    one = rng.integers(0, 2**16, probminhash.REGISTERS).astype(np.uint16)
+    some = one.copy()
+    some[80:] += 1  # 80 of 125 registers agree, as they do now and then at a similarity of 0.8
+    apart = [list(range(25)), [*range(100, 103), 3, *range(104, 125)], [*range(200, 203), 3, 4, *range(205, 225)]]
+    rows = [
+        (band, band, k, k, apart[k], bytearray((some if k == 2 else one).tobytes()))
+        for band in (3, 4) for k in range(3) if apart[k][band] == band
+    ]
+    members = spark.createDataFrame(rows, "band long, nth int, id long, component long, bands array<long>, registers binary")
+    got = probminhash._remaining(members, probminhash.least_agreement(0.8)).collect()
+    assert sorted(tuple(r) for r in got) == [(0, 1), (0, 2), (1, 2)]
+
+
 # ---------------------------------------------------------------- passages
 
 
