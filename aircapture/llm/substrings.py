@@ -19,6 +19,8 @@ WINDOW = 20
 ANCHOR = 6  # a window of 20 has 15 runs of 6, at most 16 for four bits
 #: Words of a shard that are indexed at a time.
 INDEXED = 600_000
+#: Occurrences of an anchor above which its windows are dealt out one by one.
+HOT = 20_000
 #: Stands for a null doc_id, which comes before all others.
 NO_ID = -(2**63)
 
@@ -79,7 +81,8 @@ def _index(snippets: DataFrame, window: int) -> DataFrame:
 
     ``firsts`` is null where that is the snippet's own first place ``p`` throughout.
     Snippets are dealt out by their anchor, so all that have a window in common
-    are in one shard. A task indexes a shard in parts of whole anchors.
+    are in one shard. A task indexes a shard in parts of whole anchors, of which
+    none has more than ``HOT`` snippets.
     """
 
     def first_places(rows: list[dict]) -> pa.RecordBatch:
@@ -173,41 +176,55 @@ def _packed(rows: DataFrame) -> DataFrame:
 def _prepared(docs: DataFrame) -> DataFrame:
     """Each document, once joined with its anchors that occur more than once: digest, and its text if it has such.
 
-    ``at`` has the first windows of those anchors. Rows of one doc_id share
-    them, so a row may have some of another text; they only add to what is
-    looked up.
+    ``at`` has the first windows of those anchors and ``hot`` the numbers of
+    those that occur more than ``HOT`` times. Rows of one doc_id share them, so
+    a row may have some of another text; they only add to what is looked up.
     """
     rows = _keyed(docs)
-    counts = _anchor_rows(rows, place=False).groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
+    counts = _anchor_rows(rows, place=False).groupBy("a").agg(F.count("*").alias("n")).where("n > 1")
     again = _anchor_rows(rows, place=True).join(counts, "a")
-    by_doc = again.groupBy("d").agg(F.collect_set("s").alias("at"))
+    by_doc = again.groupBy("d").agg(
+        F.collect_set("s").alias("at"), F.collect_set(F.when(F.col("n") > HOT, F.col("a"))).alias("hot")
+    )
     joined = _packed(rows).join(by_doc, "d", "left")
     return cut(joined.withColumn("packed", F.when(F.col("at").isNotNull(), F.col("packed"))))
 
 
 def _snippets(prepared: DataFrame, window: int, texts: bool) -> DataFrame:
-    """The passages around repeated anchors: (a, sid, d, h, s), with their text or without."""
+    """The passages around repeated anchors: (a, sid, d, h, s), with their text or without.
+
+    Those of a hot anchor come window by window, each under the number of the
+    whole window instead of the anchor's. Equal windows agree in both, so they
+    still meet, but the many different ones do not have to.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
             for part in (b.slice(at, 500) for at in range(0, b.num_rows, 500)):
                 out: tuple[list, ...] = ([], [], [], [], [], [])
-                for d, h, packed, at in zip(*(part.column(c).to_pylist() for c in ("d", "h", "packed", "at")), strict=True):
+                for d, h, packed, at, hot in zip(*(part.column(c).to_pylist() for c in ("d", "h", "packed", "at", "hot")), strict=True):
                     raw = unpack(packed)
-                    found, wanted = raw.split(), set(at)
+                    found, wanted, dealt = raw.split(), set(at), set(hot)
                     for a, s, n in zip(*(x.tolist() for x in anchors(raw, window)[:3]), strict=True):
-                        if s in wanted:
-                            snippet = b" ".join(found[s : s + n + window - 1])
-                            row = (a, xxh3_64_intdigest(snippet) - 2**63, d, h, s, snippet)
-                            for held, v in zip(out, row, strict=True):
+                        if a not in dealt:
+                            pieces = [(s, n)] if s in wanted else []
+                        elif texts:  # wanted are the starts of pieces
+                            pieces = [(o, 1) for o in range(s, s + n) if o in wanted]
+                        else:
+                            pieces = [(o, 1) for o in range(s, s + n)] if s in wanted else []
+                        for start, length in pieces:
+                            snippet = b" ".join(found[start : start + length + window - 1])
+                            sid = xxh3_64_intdigest(snippet) - 2**63
+                            key = xxh3_64_intdigest(snippet, seed=1) - 2**63 if a in dealt else a
+                            for held, v in zip(out, (key, sid, d, h, start, snippet), strict=True):
                                 held.append(v)
                 kinds = (*[pa.int64()] * 4, pa.int32(), pa.binary())
                 arrays = [pa.array(v, k) for v, k in zip(out, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays[: len(names)], names)
 
     names = ["a", "sid", "d", "h", "s", *(["text"] if texts else [])]
-    affected = prepared.where("at is not null").select("d", "h", "packed", "at").dropDuplicates(["d", "h"])
+    affected = prepared.where("at is not null").select("d", "h", "packed", "at", "hot").dropDuplicates(["d", "h"])
     return affected.mapInArrow(run, "a long, sid long, d long, h long, s int" + ", text binary" * texts)
 
 
@@ -217,7 +234,7 @@ def _repeats(prepared: DataFrame, window: int) -> DataFrame:
     distinct = _snippets(prepared, window, texts=False).groupBy("a", "sid").agg(least)
     # the text of a snippet is sent once, by the document that has it first
     owners = distinct.groupBy("p.d", "p.h").agg(F.collect_set("p.s").alias("at"))
-    owners = prepared.where("at is not null").select("d", "h", "packed").join(owners, ["d", "h"])
+    owners = prepared.where("at is not null").select("d", "h", "packed", "hot").join(owners, ["d", "h"])
     firsts = cut(_index(_snippets(owners, window, texts=True), window))
     release(prepared.sparkSession)
     # a snippet's own first place is the first of all its windows unless the index knows an earlier one

@@ -332,3 +332,20 @@ def test_passages_equal_brute_force(spark, monkeypatch):
     nulls = substrings.spans(documents(spark, [(None, "b " * 25), (7, "b " * 20), (7, "c")])).collect()
     assert {(r["doc_id"], r["n_words"], r["n_removed"]) for r in nulls} == {(None, 25, 24), (7, 20, 20), (7, 1, 0)}
     assert substrings.spans(docs.limit(0)).count() == 0
+
+
+def test_a_frequent_phrase_is_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "HOT", 4)
+    rnd = random.Random(9)
+    phrase = [f"of{k}" for k in range(12)]
+    rows = []
+    for i in range(60):
+        left, right = ([f"x{rnd.randrange(10**6)}" for _ in range(30)] for _ in range(2))
+        rows.append((i, " ".join(left + phrase + (right if i % 7 else [f"same{k}" for k in range(30)]))))
+    rows += [(60, rows[3][1]), (61, rows[3][1] + " end"), (62, "a " * 90)]
+    docs = documents(spark, rows)
+    shared = substrings._snippets(substrings._prepared(docs), 20, texts=False)
+    assert shared.groupBy("a").agg(F.countDistinct("sid").alias("n")).agg(F.max("n")).first()[0] <= 4
+    got = substrings.spans(docs).collect()
+    found = [(r["n_words"], r["n_removed"], r["kept_sha256"]) for r in sorted(got, key=lambda r: r["doc_id"])]
+    assert found == [x[1:] for x in plain_removal(rows, 20)]
