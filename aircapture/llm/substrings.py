@@ -53,12 +53,12 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.xxhash64("text").alias("h"), "text")
 
 
-def _anchor_rows(rows: DataFrame, place: bool) -> DataFrame:
+def _anchor_rows(rows: DataFrame, place: bool, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
-                found = [anchors((t or "").encode()) for t in part.column("text").to_pylist()]
+                found = [anchors((t or "").encode(), window) for t in part.column("text").to_pylist()]
                 if not place:
                     # one that its text has again counts twice, since one snippet may hold both
                     twice = [f[0][f[3]] for f in found]
@@ -173,7 +173,7 @@ def _packed(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "d long, h long, n_words long, sha binary, packed binary")
 
 
-def _prepared(docs: DataFrame) -> DataFrame:
+def _prepared(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Each document, once joined with its anchors that occur more than once: digest, and its text if it has such.
 
     ``at`` has the first windows of those anchors and ``hot`` the numbers of
@@ -181,8 +181,8 @@ def _prepared(docs: DataFrame) -> DataFrame:
     a row may have some of another text; they only add to what is looked up.
     """
     rows = _keyed(docs)
-    counts = _anchor_rows(rows, place=False).groupBy("a").agg(F.count("*").alias("n")).where("n > 1")
-    again = _anchor_rows(rows, place=True).join(counts, "a")
+    counts = _anchor_rows(rows, place=False, window=window).groupBy("a").agg(F.count("*").alias("n")).where("n > 1")
+    again = _anchor_rows(rows, place=True, window=window).join(counts, "a")
     by_doc = again.groupBy("d").agg(
         F.collect_set("s").alias("at"), F.collect_set(F.when(F.col("n") > HOT, F.col("a"))).alias("hot")
     )
@@ -269,7 +269,9 @@ def spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     Only documents that share an anchor (see :func:`anchors`) reach the index:
     a window that occurs twice has the same anchor twice.
     """
-    prepared = _prepared(docs)
+    if not ANCHOR <= window <= ANCHOR + 15:
+        raise ValueError(f"a window has {ANCHOR} to {ANCHOR + 15} words, whose places four bits can tell")
+    prepared = _prepared(docs, window)
     release(docs.sparkSession)
     repeats = _repeats(prepared, window)
 

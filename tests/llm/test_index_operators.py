@@ -349,3 +349,23 @@ def test_a_frequent_phrase_is_dealt_out(spark, monkeypatch):
     got = substrings.spans(docs).collect()
     found = [(r["n_words"], r["n_removed"], r["kept_sha256"]) for r in sorted(got, key=lambda r: r["doc_id"])]
     assert found == [x[1:] for x in plain_removal(rows, 20)]
+
+
+@pytest.mark.parametrize("window", [6, 9, 21])
+def test_windows_of_other_sizes(spark, window):
+    rnd = random.Random(10)
+    shared = [f"p{k}" for k in range(30)]
+    rows = []
+    for i in range(40):
+        at = rnd.randrange(22)
+        words = [f"d{i}w{k}" for k in range(12)]
+        rows.append((i, " ".join(words + shared[at : at + rnd.randrange(4, 30)] + words[:8])))
+    got = substrings.spans(documents(spark, rows), window).collect()
+    found = [(r["n_words"], r["n_removed"], r["kept_sha256"]) for r in sorted(got, key=lambda r: r["doc_id"])]
+    assert found == [x[1:] for x in plain_removal(rows, window)]
+
+
+@pytest.mark.parametrize("window", [5, 22])
+def test_windows_beyond_the_place_bits_are_refused(spark, window):
+    with pytest.raises(ValueError):
+        substrings.spans(documents(spark, [(1, "a")]), window)
