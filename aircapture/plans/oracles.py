@@ -576,3 +576,12 @@ _add(
 _add("t1_stream_decode", EN, "SELECT id AS _id, mtype, dev AS dev_addr, fcnt FROM en")
 _add("t2_stream_collapse", _messages(300), "SELECT id AS _id, message_id FROM msg")
 ORACLES["t3_stream_traffic"] = ORACLES["a2_weekly_by_sf"]
+ORACLES["t3_stream_weeks"] = ORACLES["a2_weekly_by_sf"]
+ORACLES["t2_stream_collapse_rows"] = ORACLES["d2_collapse_receptions"]
+_STRICT = PK + "," + _flags("pk", "payload, sf, bw, cr, freq", "")
+_add("t4_stream_flags", FL, "SELECT id AS _id, dup AS is_duplicate, copy_of FROM fl")
+_add("t4_stream_flags_strict", _STRICT, "SELECT id AS _id, dup AS is_duplicate, copy_of FROM fl")
+_add(
+    "t4_stream_chains", _STRICT,
+    "SELECT copy_of, count(*) - 1 AS nb_duplicates, min(t) AS first_time, max(t) AS last_time FROM fl GROUP BY 1",
+)

@@ -456,10 +456,9 @@ def _(spark, sf):
     return _message_rows(D.assign_messages(R.gateway_rx(spark, sf), hot_min_rows=3, slice_rows=2))
 
 
-@query("d2_collapse_receptions")
-def _(spark, sf):
+def _collapsed(messages: DataFrame) -> DataFrame:
     rx = F.col("rxInfo")
-    return D.collapse_receptions(R.gateway_rx(spark, sf)).select(
+    return messages.select(
         "_id", "phyPayload", "frequency", F.col("codeRate").alias("code_rate"),
         F.size(rx).alias("receptions"),
         F.array_join(F.transform(rx, lambda x: x["mac"]), ",").alias("gateways"),
@@ -467,6 +466,11 @@ def _(spark, sf):
     )
 
 
+@query("d2_collapse_receptions")
+def _(spark, sf):
+    return _collapsed(D.collapse_receptions(R.gateway_rx(spark, sf)))
+
+
 @query("d2_receptions")
 def _(spark, sf):
     rows = D.message_receptions(R.gateway_rx(spark, sf))
@@ -932,6 +936,11 @@ def _finished(spark: SparkSession, stream: DataFrame) -> DataFrame:
     return spark.read.parquet(f"{out}/table")
 
 
+def _finished_keyed(spark: SparkSession, stream: DataFrame) -> DataFrame:
+    with jobs.state_on_disk(spark):
+        return _finished(spark, stream)
+
+
 @query("t1_stream_decode")
 def _(spark, sf):
     return _finished(spark, jobs.stream_decode(R.packets.stream(spark, sf))).select(
@@ -951,6 +960,37 @@ def _(spark, sf):
     return _message_rows(_finished(spark, jobs.stream_collapse(receptions)))
 
 
+@query("t2_stream_collapse_rows")
+def _(spark, sf):
+    receptions = R.as_gateway_rx(_with_clock(spark, R.packets, sf, F.lit(True)))
+    return _collapsed(_finished_keyed(spark, jobs.stream_messages(receptions))).where("_id <> 'clock'")
+
+
+def _flag_rows(flags: DataFrame) -> DataFrame:
+    return flags.where("_id <> 'clock'").select("_id", "is_duplicate", "copy_of")
+
+
+@query("t4_stream_flags")
+def _(spark, sf):
+    return _flag_rows(_finished_keyed(spark, jobs.stream_flags(_with_clock(spark, R.packets, sf, F.lit(True)))))
+
+
+@query("t4_stream_flags_strict")
+def _(spark, sf):
+    return _flag_rows(_finished_keyed(spark, jobs.stream_flags(_with_clock(spark, R.packets, sf, F.lit(True)), strict_keys=True)))
+
+
+@query("t4_stream_chains")
+def _(spark, sf):
+    chains = _finished(spark, jobs.stream_chains(_with_clock(spark, R.packets, sf, F.lit(True))))
+    return chains.where("copy_of <> 'clock'")
+
+
+@query("t3_stream_weeks")
+def _(spark, sf):
+    return _finished(spark, jobs.stream_weekly(_with_clock(spark, R.enriched, sf, P.all_ok_nodup()), P.SF, "SF"))
+
+
 @query("t3_stream_traffic")
 def _(spark, sf):
     hours = _finished(spark, jobs.stream_hourly(_with_clock(spark, R.enriched, sf, P.all_ok_nodup()), P.SF, "SF"))

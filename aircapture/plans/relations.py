@@ -66,8 +66,13 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gateway_rx(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw reception log shape of the same packets."""
+    return as_gateway_rx(packets(spark, sf_dir))
+
+
+def as_gateway_rx(df: DataFrame) -> DataFrame:
+    """Common packets in the shape of the raw reception log."""
     rx, tx = F.col("rxInfo"), F.col("txInfo")
-    return packets(spark, sf_dir).select(
+    return df.select(
         "_id",
         "phyPayload",
         F.struct(
