@@ -78,15 +78,25 @@ def assign_flows(
     Packets without a time are in no flow; ``untimed_packets`` returns them.
     Pass ``hot`` (see ``heavy_devices``) where the packets come from a long plan.
     """
-    originals = packets.where(~F.col("is_duplicate") & F.col("time").isNotNull()).select(
-        "devAddr", "fCnt", "SF", "time", "phyPayload", "_id", F.unix_micros("time").alias("_us")
-    ).withColumn("_ms", F.unix_millis("time"))
+    originals = _originals(packets)
     if hot is None:
         hot = heavy_hashes(originals, ["devAddr"], hot_min_rows)
-    folded = ordered_fold(
-        originals, "devAddr", ["_ms", "_id"], ["_us", "fCnt"], _ADDED, flow_fold(max_fcnt, max_gap_ms),
-        "time", hot, epoch_rows,
-    )
+    return _told(
+        ordered_fold(
+            originals, "devAddr", ["_ms", "_id"], ["_us", "fCnt"], _ADDED, flow_fold(max_fcnt, max_gap_ms),
+            "time", hot, epoch_rows,
+        )
+    )
+
+
+def _originals(packets: DataFrame) -> DataFrame:
+    """The packets that make flows, with the instants they are ordered by."""
+    return packets.where(~F.col("is_duplicate") & F.col("time").isNotNull()).select(
+        "devAddr", "fCnt", "SF", "time", "phyPayload", "_id", F.unix_micros("time").alias("_us")
+    ).withColumn("_ms", F.unix_millis("time"))
+
+
+def _told(folded: DataFrame) -> DataFrame:
     return folded.withColumn("time_1st", F.timestamp_micros("_since_us")).select(
         "devAddr", "flow_id", "time_1st", "interpkt_time_ms", "fCnt_diff", "fCnt", "SF", "time", "phyPayload", "_id"
     )

@@ -272,6 +272,8 @@ def ordered_fold(
     time: str,
     hot: list[int] | None = None,
     epoch_rows: int | None = None,
+    states: DataFrame | None = None,
+    keep_states: bool = False,
 ) -> DataFrame:
     """Append the columns ``added`` computed by a sequential fold over each key's rows.
 
@@ -285,6 +287,11 @@ def ordered_fold(
     folder once, split by epoch; each epoch is a job whose result, with the closing state of every key, is a table that the next epoch
     reads.  No task sorts or holds more than an epoch of a key and a lost executor
     repeats at most its part of one epoch.  ``time`` must not be null.
+
+    ``states`` (``key``, ``_state``) are closing states of an earlier fold, to go
+    on from. With ``keep_states`` the result has a column ``_state`` and one more
+    row per key, of the rows or of ``states``: the key and its closing state,
+    where ``_state`` is null in all other rows.
     """
     columns, names = df.columns, [f.name for f in added.fields]
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in [*df.schema.fields, *added.fields]])
@@ -297,8 +304,17 @@ def ordered_fold(
         worker = arrow_folder(columns, key, inputs, arrow_added, fold, carry)
         return ordered.mapInArrow(worker, carry_schema if carry else schema)
 
+    carried = keep_states or states is not None
+
+    def begin(rows: DataFrame, earlier: DataFrame | None) -> DataFrame:
+        rows = rows.withColumn("_state", F.lit(None).cast("binary"))
+        return rows if earlier is None else rows.unionByName(earlier, allowMissingColumns=True)
+
+    def done_with(told: DataFrame) -> DataFrame:
+        return told if keep_states else told.where("_state is null").drop("_state")
+
     if not hot:
-        return fold_all(df, False)
+        return done_with(fold_all(begin(df, states), True)) if carried else fold_all(df, False)
 
     spark, root = df.sparkSession, scratch_path(df.sparkSession, "fold")
     cuts = time_cuts(df, [key], time, hot, EPOCH_ROWS if epoch_rows is None else epoch_rows)
@@ -311,16 +327,20 @@ def ordered_fold(
     written = T.StructType([*schema.fields[: len(columns)], T.StructField("_epoch", T.IntegerType())])
     heavy = spark.read.schema(written).parquet(f"{root}/input")
     epochs = sorted(r["_epoch"] for r in heavy.select("_epoch").distinct().collect())
-    states, paths = None, []
+    cold_states, paths = None, []
+    if states is not None:
+        cold_states, states = states.where(~is_heavy([key], hot)), states.where(is_heavy([key], hot))
     for e in epochs:
-        rows = heavy.where(F.col("_epoch") == e).drop("_epoch").withColumn("_state", F.lit(None).cast("binary"))
-        if states is not None:
-            rows = rows.unionByName(states)
+        rows = begin(heavy.where(F.col("_epoch") == e).drop("_epoch"), states)
         paths.append(f"{root}/epoch-{e}")
         fold_all(rows, True).write.parquet(paths[-1])
-        states = spark.read.schema(carry_schema).parquet(paths[-1]).where("_state is not null").drop(*names)
-    result = fold_all(df.where(~is_heavy([key], hot)), False)
+        states = spark.read.schema(carry_schema).parquet(paths[-1]).where("_state is not null").select(key, "_state")
+    cold = df.where(~is_heavy([key], hot))
+    result = done_with(fold_all(begin(cold, cold_states), True)) if carried else fold_all(cold, False)
     if not paths:
         return result
-    done = spark.read.schema(carry_schema).parquet(*paths)
-    return result.unionByName(done.where("_state is null").drop("_state"))
+    done = spark.read.schema(carry_schema).parquet(*paths).where("_state is null")
+    if not keep_states:
+        return result.unionByName(done.drop("_state"))
+    # each epoch passes all states on, so the last one has those of all heavy keys
+    return result.unionByName(done).unionByName(begin(df.limit(0), states).withColumns({f.name: F.lit(None).cast(f.dataType) for f in added.fields}))

@@ -390,6 +390,17 @@ _add(
     """SELECT dev AS "devAddr", count(*) AS doc_count FROM en WHERE mtype = 2 AND dev IS NOT NULL AND dev NOT IN (
   SELECT dev FROM en WHERE mtype = 2 AND dev IS NOT NULL AND t < TIMESTAMP '2024-01-02') GROUP BY 1""",
 )
+ORACLES["w2_continued_flows"] = ORACLES["w4_attach_duplicates"]
+_add(
+    "w2_late_packets", EN,
+    """SELECT dev AS "devAddr", id AS _id FROM en WHERE mtype = 2 AND dev IS NOT NULL AND NOT dup AND t < TIMESTAMP '2024-01-16' AND dev IN (
+  SELECT dev FROM en WHERE mtype = 2 AND NOT dup AND t >= TIMESTAMP '2024-01-16')""",
+)
+_add(
+    "w6_changed_flows", FS,
+    f"""SELECT {_FLOW} FROM fs WHERE (dev, flow_id) IN (SELECT (dev, flow_id) FROM fp WHERE t >= TIMESTAMP '2024-01-16')
+  OR (dev, flow_id) IN (SELECT (fp.dev, fp.flow_id) FROM fp JOIN en ON en.copy_of = fp.id WHERE en.dup AND en.t >= TIMESTAMP '2024-01-16')""",
+)
 _add("w7_flow_lookup", FP, f"SELECT {_PACKET}, nd AS nb_duplicates FROM fp WHERE {DEV}")
 _add(
     "w7_flow_lookup_first", FP,

@@ -19,6 +19,7 @@ from aircapture.operators import joins as J
 from aircapture.operators import maintenance as M
 from aircapture.operators import sampling as K
 from aircapture.operators import statistics as X
+from aircapture.operators.flowruns import FlowRuns
 from aircapture.plans import relations as R
 from aircapture.session import scratch_path
 from aircapture.sources import dumps, flowstore
@@ -540,6 +541,30 @@ def _(spark, sf):
     return W.assign_flows(packets, hot_min_rows=int(mean), epoch_rows=int(mean / 2) + 1).select("devAddr", "_id", "flow_id")
 
 
+def _in_two_runs(spark: SparkSession, sf: str, first: str, second: str) -> FlowRuns:
+    runs, packets = FlowRuns(spark, scratch_path(spark, "flow-runs")), W.flow_input(R.enriched(spark, sf))
+    for part in (first, second):
+        runs.add(packets.where(f"time {part} timestamp '{SPLIT}'"))
+    return runs
+
+
+@query("w2_continued_flows")
+def _(spark, sf):
+    # two deliveries, the second of which goes on from the states of the first
+    return _packet_columns(_in_two_runs(spark, sf, "<", ">=").flow_packets())
+
+
+@query("w2_late_packets")
+def _(spark, sf):
+    # the later delivery comes first, so what its devices have sent before is late
+    return _in_two_runs(spark, sf, ">=", "<").late_packets().select("devAddr", "_id")
+
+
+@query("w6_changed_flows")
+def _(spark, sf):
+    return _flow_columns(_in_two_runs(spark, sf, "<", ">=").changed_flows())
+
+
 @query("w3_flow_packets")
 def _(spark, sf):
     told = W.assign_flows(W.flow_input(R.enriched(spark, sf)))
