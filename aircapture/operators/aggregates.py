@@ -114,6 +114,52 @@ def per_mtype(df: DataFrame) -> DataFrame:
     )
 
 
+def traffic_cube(df: DataFrame, lo: str | None = None, hi: str | None = None) -> DataFrame:
+    """Eight of the traffic charts at once: chart, key, at, count.
+
+    ``weekly_by_modulation``, ``per_weekday_per_day``, ``per_hour_per_day`` (of
+    good original packets; ``at`` is the week or day), ``per_weekday``,
+    ``per_hour``, ``am_pm``, ``day_night`` (of packets with a good checksum from
+    ``lo`` to ``hi``) and ``per_mtype`` (of packets with a device address). The
+    charts are grouping sets of one scan with one exchange. Each set counts the
+    rows of its own condition.
+    """
+    hour = F.hour("time")
+    good = predicates.all_ok_nodup()
+    rows = df.select(
+        F.when(good & F.col("rxInfo.time").isNotNull(), F.col("txInfo.modulation.type")).alias("modulation"),
+        week_start(F.col("rxInfo.time"), ZONE).alias("week"),
+        F.to_date("time").alias("day"),
+        F.weekday("time").alias("weekday"),
+        hour.alias("hour"),
+        F.when(hour < 12, "AM").when(hour.isNotNull(), "PM").alias("half"),
+        F.when((hour <= 7) | (hour >= 19), "night").when(hour.isNotNull(), "day").alias("period"),
+        F.when(F.col(predicates.DEVADDR).isNotNull(), F.struct(F.col(predicates.MTYPE).alias("mType"))).alias("mtype"),
+        good.alias("good"),
+        (predicates.crc_ok() & predicates.time_between(lo, hi)).alias("ok"),
+    )
+    sets = {
+        "weekly_by_modulation": ["modulation", "week"], "per_weekday_per_day": ["weekday", "day"], "per_hour_per_day": ["hour", "day"],
+        "per_weekday": ["weekday"], "per_hour": ["hour"], "am_pm": ["half"], "day_night": ["period"], "per_mtype": ["mtype"],
+    }
+    columns = ["modulation", "week", "day", "weekday", "hour", "half", "period", "mtype"]
+    # a bit per column, the last one lowest, set where the column is not in the set
+    ids = {chart: sum(1 << (len(columns) - 1 - i) for i, c in enumerate(columns) if c not in mine) for chart, mine in sets.items()}
+    counts = rows.groupingSets(list(sets.values()), *columns).agg(
+        F.grouping_id().alias("set"), F.count_if("good").alias("good"), F.count_if("ok").alias("ok"), F.count("mtype").alias("addressed")
+    )
+    chart = F.lit(None).cast("string")
+    for name, number in ids.items():
+        chart = F.when(F.col("set") == number, name).otherwise(chart)
+    name_of = day_name(F.col("weekday"), SHORT_DAYS)
+    key = F.coalesce("modulation", name_of, F.col("hour").cast("string"), "half", "period", F.col("mtype.mType").cast("string"))
+    of_good = F.col("chart").isin("weekly_by_modulation", "per_weekday_per_day", "per_hour_per_day")
+    count = F.when(of_good, F.col("good")).when(F.col("chart") == "per_mtype", F.col("addressed")).otherwise(F.col("ok"))
+    told = counts.withColumn("chart", chart).select("chart", key.alias("key"), F.coalesce("week", F.col("day").cast("timestamp")).alias("at"), count.alias("count"))
+    unkeyed = (F.col("chart") == "weekly_by_modulation") & F.col("key").isNull()
+    return told.where((F.col("count") > 0) & ~unkeyed)
+
+
 def gateway_first_seen(df: DataFrame) -> DataFrame:
     """Earliest decoded packet of each gateway, newest gateway first."""
     return (

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, VariantType
@@ -128,29 +130,65 @@ def delete_period(df: DataFrame, lo: str | None, hi: str | None) -> DataFrame:
 def delete_period_from_table(spark: SparkSession, path: str, lo: str, hi: str) -> None:
     """Delete a period from a parquet table partitioned by ``year``, ``month``.
 
-    Only partitions that lose rows are rewritten; those that lose all rows are
-    removed.
+    What stays of the months that lose rows is written aside first, in a folder
+    that readers of the table skip; then each month's folder is swapped for the
+    new one, or taken out if nothing stays. A failure before the swap leaves the
+    table as it was. One during the swap is made good by :func:`finish_delete`,
+    which the next delete calls by itself: no row that stays is ever in one
+    place only that is about to be removed.
     """
+    finish_delete(spark, path)
     table = spark.read.parquet(path)
     inside = F.coalesce(predicates.time_between(lo, hi), F.lit(False))
-    months = (
-        table.groupBy("year", "month")
-        .agg(F.count_if(inside).alias("gone"), F.count("*").alias("all"))
-        .where("gone > 0")
-        .collect()  # one small row per touched month
-    )
-    partial = [m for m in months if m["gone"] < m["all"]]
-    if partial:
-        touched = F.lit(False)
-        for m in partial:
-            touched = touched | ((F.col("year") == m["year"]) & (F.col("month") == m["month"]))
-        kept = table.where(touched & ~inside).repartitionByRange("year", "month", "time")
-        kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year", "month").parquet(path)
+    gone = table.groupBy("year", "month").agg(F.count_if(inside).alias("gone")).where("gone > 0")
+    months = [(m["year"], m["month"]) for m in gone.collect()]  # one small row per touched month
+    if not months:
+        return
+    touched = F.lit(False)
+    for year, month in months:
+        touched = touched | (F.col("year").eqNullSafe(F.lit(year)) & F.col("month").eqNullSafe(F.lit(month)))
+    aside = f"{path}/_delete-{uuid.uuid4().hex}"
+    kept = table.where(touched & ~inside).repartitionByRange("year", "month", "time")
+    kept.write.partitionBy("year", "month").parquet(f"{aside}/new")
+    files, hadoop = _files(spark, path)
+    for year, month in months:  # a folder to swap in also for months that nothing stays of
+        files.mkdirs(hadoop(f"{aside}/new/{_month_folder(year, month)}"))
+    files.create(hadoop(f"{aside}/_ready")).close()
+    finish_delete(spark, path)
+
+
+def finish_delete(spark: SparkSession, path: str) -> int:
+    """Finish the swaps of a delete that was interrupted, and clear away one that never got so far; returns the months swapped."""
+    files, hadoop = _files(spark, path)
+    swapped = 0
+    for found in files.globStatus(hadoop(f"{path}/_delete-*")):
+        aside = found.getPath().toString()
+        if files.exists(hadoop(f"{aside}/_ready")):
+            for month in files.globStatus(hadoop(f"{aside}/new/year=*/month=*")):
+                new = month.getPath()
+                name = f"{new.getParent().getName()}/{new.getName()}"
+                current, old = hadoop(f"{path}/{name}"), hadoop(f"{aside}/old/{name}")
+                files.mkdirs(old.getParent())
+                # the current folder is the old one as long as that has not been moved
+                if files.exists(current) and not files.exists(old):
+                    files.rename(current, old)
+                if files.listStatus(new):
+                    files.mkdirs(current.getParent())
+                    files.rename(new, current)
+                else:
+                    files.delete(new, True)
+                swapped += 1
+        files.delete(found.getPath(), True)
+    return swapped
+
+
+def _files(spark: SparkSession, path: str):
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    files = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    for m in months:
-        if m["gone"] == m["all"]:
-            files.delete(hadoop(f"{path}/year={m['year']}/month={m['month']}"), True)
+    return hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
+
+
+def _month_folder(year: int | None, month: int | None) -> str:
+    return "/".join(f"{n}={'__HIVE_DEFAULT_PARTITION__' if v is None else v}" for n, v in (("year", year), ("month", month)))
 
 
 def upsert(base: DataFrame, updates: DataFrame, key: str = "_id", order: str | None = None) -> DataFrame:

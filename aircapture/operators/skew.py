@@ -195,50 +195,41 @@ def gap_chains(
 # ---------------------------------------------------------------- cumulative weights
 
 
-#: Stretches that the distinct values of a facet are cut into.
-_STRETCHES = 1024
-
-
-def running_total(df: DataFrame, value: str, weight: Column | None = None, by: list[str] | None = None) -> DataFrame:
+def running_total(
+    df: DataFrame, value: str, weight: Column | None = None, by: list[str] | None = None, partitions: int | None = None
+) -> DataFrame:
     """Rows ``(by, value, weight, cumulative, total)``, one per distinct value, in value order.
 
-    Values are summed first.  Quantiles of a facet's distinct values then cut it
-    into stretches of about equal numbers of them, wherever they lie.  Only the
-    sums of the stretches go through a window of one facet; the values run
-    inside their stretch.
+    A prefix scan. Values are summed first and dealt to ranges of (facet,
+    value), as many as the shuffle has partitions unless ``partitions`` says
+    otherwise. Only the sum of each range goes through a window of one facet;
+    values run inside their range. The ranges are stored, with their number in
+    each row, so that both steps, and a task done again, see the same ones.
     """
-    by = by or []
+    by, spark = by or [], df.sparkSession
     weight = F.lit(1) if weight is None else weight
-    v = F.col(value).cast("double")
-    keep = F.col(value).isNotNull() & ~F.isnan(v)
+    keep = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
     for name in by:
         keep = keep & F.col(name).isNotNull()
-    facet = by or ["_all"]
     sums = df.where(keep).groupBy(*by, value).agg(F.sum(weight).alias("weight"))
-    if not by:
-        sums = sums.withColumn("_all", F.lit(0))
-    quantiles = [i / _STRETCHES for i in range(1, _STRETCHES)]
-    ends = sums.groupBy(*facet).agg(F.array_distinct(F.percentile_approx(v, quantiles, 4 * _STRETCHES)).alias("_ends"))
-    # binary search: jump ahead by falling powers of two while the end there is below the value
-    jumps = F.lit([1 << k for k in reversed(range(_STRETCHES.bit_length()))])
-    stretch = F.aggregate(
-        jumps, F.lit(0), lambda at, jump: F.when(F.get("_ends", at + jump - 1) < v, at + jump).otherwise(at)
-    )
-    # few numbers for each facet, so the planner sends them to the values rather than the values to them
-    sums = sums.join(ends, facet, "left").withColumn("_stretch", stretch).drop("_ends")
-    in_order = Window.partitionBy(*facet).orderBy("_stretch")
+    ranges = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = sums.repartitionByRange(ranges, *by, value).withColumn("_range", F.spark_partition_id())
+    path = scratch_path(spark, "ranges")
+    ranged.write.parquet(path)
+    ranged = spark.read.schema(ranged.schema).parquet(path)
+    in_order = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        sums.groupBy(*facet, "_stretch")
+        ranged.groupBy(*by, "_range")
         .agg(F.sum("weight").alias("_w"))
-        .withColumn("_before", F.sum("_w").over(in_order.rowsBetween(Window.unboundedPreceding, -1)))
-        .withColumn("total", F.sum("_w").over(Window.partitionBy(*facet)))
+        .withColumn("_before", F.sum("_w").over(in_order))
+        .withColumn("total", F.sum("_w").over(Window.partitionBy(*by)))
         .drop("_w")
     )
-    inside = Window.partitionBy(*facet, "_stretch").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        # a left join adds no filter to one side only, so both sides read the same exchange
-        sums.join(offsets, [*facet, "_stretch"], "left")
-        .withColumn("cumulative", F.sum("weight").over(inside) + F.coalesce("_before", F.lit(0)))
+        ranged.withColumn("_inside", F.sum("weight").over(inside))
+        .join(offsets, [*by, "_range"])
+        .withColumn("cumulative", F.col("_inside") + F.coalesce("_before", F.lit(0)))
         .select(*by, value, "weight", "cumulative", "total")
     )
 

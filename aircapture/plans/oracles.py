@@ -5,6 +5,8 @@ Written independently of the operators: nothing here is generated from them.
 
 from __future__ import annotations
 
+from math import exp, factorial, floor
+
 from aircapture.sources.operators import PACKAGED
 
 # ---------------------------------------------------------------- shared relations
@@ -224,6 +226,7 @@ _add(
     "SELECT id AS _id, t AS time, CAST((ord(gw[1]) * 31 + ord(gw[2])) * 31 + ord(gw[3]) AS BIGINT) AS gateway_hash, rssi FROM pk",
 )
 _add("s7_subset_period", PK, f"SELECT {RAW4} FROM pk WHERE {PERIOD}")
+_add("s8_delete_from_table", PK, f"SELECT {RAW4} FROM pk WHERE NOT ({PERIOD})")
 _add("s8_delete_period", PK, f"SELECT {RAW4} FROM pk WHERE NOT ({PERIOD})")
 _add(
     "s12_upsert", PK,
@@ -453,6 +456,18 @@ _add("a6_per_hour", PK, f"SELECT CAST(hour(t) AS INTEGER) AS hour, count(*) AS c
 _add("a7_am_pm", PK, f"SELECT CASE WHEN hour(t) < 12 THEN 'AM' ELSE 'PM' END AS half, count(*) AS count FROM pk WHERE {_OKP} GROUP BY 1")
 _add("a8_day_night", PK, f"SELECT CASE WHEN hour(t) <= 7 OR hour(t) >= 19 THEN 'night' ELSE 'day' END AS period, count(*) AS count FROM pk WHERE {_OKP} GROUP BY 1")
 _add("a9_per_mtype", EN, "SELECT mtype AS \"mType\", count(*) AS count FROM en WHERE dev IS NOT NULL GROUP BY 1")
+_CHARTS = {
+    "weekly_by_modulation": ("modt", _WEEK, f"{_GOOD}"), "per_weekday_per_day": ("strftime(t, '%a')", "CAST(CAST(t AS DATE) AS TIMESTAMP)", _GOOD),
+    "per_hour_per_day": ("CAST(hour(t) AS VARCHAR)", "CAST(CAST(t AS DATE) AS TIMESTAMP)", _GOOD),
+    "per_weekday": ("strftime(t, '%a')", "CAST(NULL AS TIMESTAMP)", _OKP), "per_hour": ("CAST(hour(t) AS VARCHAR)", "CAST(NULL AS TIMESTAMP)", _OKP),
+    "am_pm": ("CASE WHEN hour(t) < 12 THEN 'AM' ELSE 'PM' END", "CAST(NULL AS TIMESTAMP)", _OKP),
+    "day_night": ("CASE WHEN hour(t) <= 7 OR hour(t) >= 19 THEN 'night' ELSE 'day' END", "CAST(NULL AS TIMESTAMP)", _OKP),
+    "per_mtype": ("CAST(mtype AS VARCHAR)", "CAST(NULL AS TIMESTAMP)", "dev IS NOT NULL"),
+}
+_add(
+    "a_traffic_cube", EN,
+    " UNION ALL ".join(f"SELECT '{c}' AS chart, {k} AS key, {at} AS at, count(*) AS count FROM en WHERE {rows} GROUP BY ALL" for c, (k, at, rows) in _CHARTS.items()),
+)
 _add("a10_gateway_first_seen", EN, "SELECT gw AS \"gatewayId\", min(t) AS min_time FROM en WHERE modt = 'LORA' GROUP BY 1")
 _NODUP = "en WHERE modt = 'LORA' AND NOT dup"
 _PER_DEVICE = "SELECT dev AS \"devAddr\", gw AS \"gatewayId\", count(*) AS count FROM en WHERE modt = 'LORA' AND NOT dup AND dev IS NOT NULL GROUP BY 1, 2"
@@ -525,7 +540,7 @@ _add(
     )
     + ")",
 )
-_add("x9_pearson", FS, "SELECT round(r, 6) AS r, n, round(r * sqrt((n - 2) / (1 - r * r)), 4) AS t FROM (SELECT corr(mean_ipt, nb) AS r, count(*) AS n FROM fq WHERE mean_ipt IS NOT NULL)")
+_add("x9_pearson", FS, "SELECT round(r, 6) AS r, n, round(t, 4) AS t, round(1 - 2 * abs(t) / 3000 * (SELECT sum(CASE WHEN i IN (0, 1000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(lgamma((n - 1) / 2.0) - lgamma((n - 2) / 2.0)) / sqrt((n - 2) * pi()) * pow(1 + pow(t * i / 1000.0, 2) / (n - 2), -(n - 1) / 2.0)) FROM generate_series(0, 1000) AS g(i)), 6) AS p FROM (SELECT r, n, r * sqrt((n - 2) / (1 - r * r)) AS t FROM (SELECT corr(mean_ipt, nb) AS r, count(*) AS n FROM fq WHERE mean_ipt IS NOT NULL))")
 _COLS = {
     "mean_fCnt_diff": "mean_fd", "median_fCnt_diff": "median_fd", "max_fCnt_diff": "max_fd",
     "mean_interpkt_time_ms": "mean_ipt", "median_interpkt_time_ms": "median_ipt", "nb_pkts": "nb",
@@ -549,6 +564,41 @@ _add("x10_histogram", PK, f"SELECT {_bin('rssi', 16)} AS bin, count(*) AS count
 _add("x10_density_grid", PK, f"SELECT {_bin('rssi', 8)} AS x_bin, {_bin('snr', 8)} AS y_bin, count(*) AS count FROM pk GROUP BY 1, 2")
 
 
+def _matrix(rows: str, columns: dict[str, str], bins: int) -> str:
+    """Cells of all histograms and lower grids, one SELECT each."""
+    cell = lambda c: (
+        f"CASE WHEN (SELECT max({c}) = min({c}) FROM {rows}) THEN 0 ELSE CAST(least(floor(({c} - (SELECT min({c}) FROM {rows})::DOUBLE) * {bins} / "
+        f"(SELECT max({c})::DOUBLE - min({c}) FROM {rows})), {bins - 1}) AS INTEGER) END"
+    )
+    names, parts = list(columns), []
+    for i, x in enumerate(names):
+        parts.append(f"SELECT '{x}' AS x, '{x}' AS y, {cell(columns[x])} AS x_bin, CAST(NULL AS INTEGER) AS y_bin, count(*) AS count FROM {rows} WHERE {columns[x]} IS NOT NULL GROUP BY ALL")
+        for y in names[:i]:
+            parts.append(
+                f"SELECT '{x}' AS x, '{y}' AS y, {cell(columns[x])} AS x_bin, {cell(columns[y])} AS y_bin, count(*) AS count FROM {rows} "
+                f"WHERE {columns[x]} IS NOT NULL AND {columns[y]} IS NOT NULL GROUP BY ALL"
+            )
+    return " UNION ALL ".join(parts)
+
+
+_add("x10_pair_matrix", FS, _matrix("fq", _COLS, 10))
+_add("x10_pair_matrix_links", PK, _matrix("pk", {"rssi": "rssi", "loRaSNR": "snr", "channel": "channel"}, 8))
+# a Poisson(1) number of a uniform one below 2^32: how many of the cumulative shares it has passed
+_SHARES = [floor(2**32 * exp(-1) * sum(1 / factorial(j) for j in range(k + 1))) for k in range(9)]
+_DRAWN = "CAST('0x' || substr(md5(k || '|' || d || '|' || replica), 1, 8) AS BIGINT)"
+_DAILY = FL + f", dc AS (SELECT CAST(hour(t) AS INTEGER) AS k, CAST(t AS DATE) AS d, count(*) AS c FROM fl WHERE {_GOOD} GROUP BY 1, 2)"
+_add(
+    "x11_bootstrap_hour", _DAILY,
+    f"""SELECT a.k AS hour, round(mean, 5) AS mean, round(quantile_cont(m, 0.025), 5) AS low, round(quantile_cont(m, 0.975), 5) AS high, any_value(n) AS n
+FROM (SELECT k, avg(c) AS mean, count(*) AS n FROM dc GROUP BY k) a JOIN (
+  SELECT k, replica, CAST(sum(w * c) AS DOUBLE) / sum(w) AS m FROM (
+    SELECT k, c, replica, {" + ".join(f"CAST({_DRAWN} >= {s} AS INTEGER)" for s in _SHARES)} AS w FROM dc, generate_series(1, 200) AS g(replica))
+  GROUP BY k, replica HAVING sum(w) > 0) b ON a.k = b.k
+GROUP BY a.k, mean""",
+)
+ORACLES["x1_merged_sketches"] = "SELECT unnest([0.1, 0.25, 0.5, 0.75, 0.9])::DOUBLE AS q, true AS within"
+
+
 def _ci(key: str, name: str) -> str:
     half = "1.959963984540054 * sd / sqrt(n)"
     return f"""SELECT k AS {name}, round(m, 5) AS mean, round(m - {half}, 5) AS low, round(m + {half}, 5) AS high, n FROM (

@@ -139,6 +139,14 @@ def _(spark, sf):
     return _flat(M.subset_period(R.packets(spark, sf), LO, HI))
 
 
+@query("s8_delete_from_table")
+def _(spark, sf):
+    path = scratch_path(spark, "months")
+    dumps.with_month(R.packets(spark, sf)).write.partitionBy("year", "month").parquet(path)
+    M.delete_period_from_table(spark, path, LO, HI)
+    return _flat(spark.read.parquet(path))
+
+
 @query("s8_delete_period")
 def _(spark, sf):
     return _flat(M.delete_period(R.packets(spark, sf), LO, HI))
@@ -734,6 +742,11 @@ def _(spark, sf):
     return A.per_mtype(R.enriched(spark, sf))
 
 
+@query("a_traffic_cube")
+def _(spark, sf):
+    return A.traffic_cube(R.enriched(spark, sf), LO, HI)
+
+
 @query("a10_gateway_first_seen")
 def _(spark, sf):
     return A.gateway_first_seen(R.enriched(spark, sf))
@@ -845,7 +858,9 @@ def _(spark, sf):
 @query("x9_pearson")
 def _(spark, sf):
     rows = X.mean_interpkt(R.flows(spark, sf).where(P.flow_quality(5)))
-    return X.pearson(rows, "mean_interpkt_time_ms", "nb_pkts").select(_r("r").alias("r"), "n", _r("t", 4).alias("t"))
+    return X.pearson(rows, "mean_interpkt_time_ms", "nb_pkts").select(
+        _r("r").alias("r"), "n", _r("t", 4).alias("t"), _r("p").alias("p")
+    )
 
 
 _PAIR = ["mean_fCnt_diff", "median_fCnt_diff", "max_fCnt_diff", "mean_interpkt_time_ms", "median_interpkt_time_ms", "nb_pkts"]
@@ -867,6 +882,32 @@ def _(spark, sf):
     return X.density_grid(K.flatten_fields(R.packets(spark, sf)), "rssi", "loRaSNR", 8)
 
 
+@query("x10_pair_matrix")
+def _(spark, sf):
+    return X.pair_matrix(X.mean_interpkt(R.flows(spark, sf).where(P.flow_quality(5))), _PAIR)
+
+
+@query("x10_pair_matrix_links")
+def _(spark, sf):
+    return X.pair_matrix(K.flatten_fields(R.packets(spark, sf)), ["rssi", "loRaSNR", "channel"], 8)
+
+
+@query("x11_bootstrap_hour")
+def _(spark, sf):
+    return _rounded_ci(X.bootstrap_ci(A.per_hour_per_day(R.enriched(spark, sf)), "hour", "day"))
+
+
+@query("x1_merged_sketches")
+def _(spark, sf):
+    # stored month by month and merged; told is whether each value lies where the exact distribution has its share
+    path, packets = scratch_path(spark, "sketches"), R.packets(spark, sf).withColumn("size", frame.payload_size(F.col("phyPayload")))
+    X.monthly_sketches(packets, "size").write.parquet(path)
+    found = X.merged_quantiles(spark.read.parquet(path), [0.1, 0.25, 0.5, 0.75, 0.9])
+    exact = X.ecdf(packets, "size").select("size", "ecdf", (F.col("ecdf") - F.col("weight") / F.col("total")).alias("below"))
+    near = (F.col("ecdf") >= F.col("q") - 0.02) & (F.col("below") <= F.col("q") + 0.02)
+    return found.join(exact, found["value"] == exact["size"]).select("q", near.alias("within"))
+
+
 @query("x11_mean_ci_weekday")
 def _(spark, sf):
     return _rounded_ci(X.mean_ci(A.per_weekday_per_day(R.enriched(spark, sf)), "day_of_week"))

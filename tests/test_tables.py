@@ -136,6 +136,38 @@ def test_delete_from_partitioned_table(spark, packets, tmp_path):
     assert sum(before.values()) - sum(after.values()) == gone
 
 
+def test_interrupted_delete_is_finished(spark, packets, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    months = packets.withColumn("time", F.expr("time + make_ym_interval(0, int(abs(hash(_id)) % 3))")).transform(dumps.with_month)
+    months.write.partitionBy("year", "month").parquet(path)
+    rows = lambda: sorted(r[0] for r in spark.read.parquet(path).select("_id").collect())
+    before = rows()
+    want = sorted(r[0] for r in M.delete_period(months, "2024-01-20", "2024-03-10").select("_id").collect())
+    real, calls = M.finish_delete, []
+
+    def dies(spark, path):
+        calls.append(path)
+        if len(calls) == 2:
+            raise OSError("lost")
+        return real(spark, path)
+
+    monkeypatch.setattr(M, "finish_delete", dies)
+    with pytest.raises(OSError):
+        M.delete_period_from_table(spark, path, "2024-01-20", "2024-03-10")
+    assert rows() == before  # written aside, not swapped
+    aside = next(tmp_path.glob("t/_delete-*"))
+    # one month was already moved out when the swap died
+    (aside / "old" / "year=2024").mkdir(parents=True)
+    (tmp_path / "t" / "year=2024" / "month=1").rename(aside / "old" / "year=2024" / "month=1")
+    assert real(spark, path) == 3
+    spark.catalog.refreshByPath(path)
+    assert rows() == want and not list(tmp_path.glob("t/_delete-*"))
+    # one that died while writing aside is cleared away
+    (tmp_path / "t" / "_delete-x" / "new").mkdir(parents=True)
+    M.delete_period_from_table(spark, path, "1999-01-01", "1999-02-01")
+    assert rows() == want and not list(tmp_path.glob("t/_delete-*"))
+
+
 def test_upsert(spark):
     base = spark.createDataFrame([("a", 1), ("b", 2)], "_id string, v int")
     new = spark.createDataFrame([("b", 3, 1), ("b", 5, 2), ("c", 4, 1)], "_id string, v int, n int")
