@@ -275,6 +275,8 @@ def merged_quantiles(sketches: DataFrame, at: list[float]) -> DataFrame:
     The rank of a value differs from its share by less than 0.01 with a
     probability of 99 % at k = 400, however many sketches are merged.
     """
-    whole = sketches.agg(F.kll_merge_agg_bigint("sketch").alias("sketch"))
-    told = [F.struct(F.lit(float(q)).alias("q"), F.kll_sketch_get_quantile_bigint("sketch", F.lit(float(q))).alias("value")) for q in at]
-    return whole.where("sketch is not null").select(F.inline(F.array(*told)))
+    whole = sketches.agg(F.kll_merge_agg_bigint("sketch").alias("sketch"), F.sum("n").alias("n"))
+    # a merged sketch of nothing has no quantiles to ask for
+    found = [F.when(F.col("n") > 0, F.kll_sketch_get_quantile_bigint("sketch", F.lit(float(q)))) for q in at]
+    told = [F.struct(F.lit(float(q)).alias("q"), value.alias("value")) for q, value in zip(at, found, strict=True)]
+    return whole.select(F.inline(F.array(*told))).where("value is not null")
