@@ -10,6 +10,7 @@ from aircapture.functions import predicates
 from aircapture.functions.frame import DUP_VERSION
 from aircapture.operators.folds import anchor_fold
 from aircapture.operators.skew import gap_chains, heavy_hashes, ordered_fold
+from aircapture.session import scratch_path
 
 # Receptions up to an hour apart are copies; a message gathers receptions for 300 ms.
 GAP_MINUTES = 60
@@ -106,9 +107,13 @@ def flag_incremental(
     The first row of a payload in the window lies before every change, and so
     does the row before it: if it was a duplicate, it still is, of the original
     recorded for it. All later rows are chained anew.  Put the result back with
-    ``upsert``.
+    ``upsert``. The window is written to the shared folder first, since three
+    steps read it.
     """
+    path = scratch_path(df.sparkSession, "window")
     window = candidate_window(df, version, gap_minutes)
+    window.write.parquet(path)
+    window = df.sparkSession.read.schema(window.schema).parquet(path)
     known = (F.col("dup_infos.version") == version) & F.col("dup_infos.is_duplicate")
     first = window.where("time is not null").groupBy("phyPayload").agg(
         F.min_by(

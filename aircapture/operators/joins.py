@@ -20,10 +20,12 @@ def with_operator(df: DataFrame, operators: DataFrame, dev_addr: str = "devAddr"
     Ranges are spread over blocks of 2^25 addresses, so the range join has an
     equality to hash on; whether the table is broadcast is left to its size.
     Where ranges overlap, the last row of the table wins: they are made
-    disjoint first, so a packet never matches twice.
+    disjoint first, so a packet never matches twice. That is done in one
+    partition, without exchanges: the table has a row per prefix of a network,
+    a few thousand at most, in the order of its one file.
     """
     address = F.conv(F.col(dev_addr), 16, 10).cast("long")
-    ranges = _disjoint(operators).select(F.col("name").alias("operator"), "lo", "hi", "_block")
+    ranges = _disjoint(operators.coalesce(1)).select(F.col("name").alias("operator"), "lo", "hi", "_block")
     keyed = df.withColumn("_addr", address).withColumn("_in", F.shiftright("_addr", _BLOCK_BITS))
     inside = (F.col("_in") == F.col("_block")) & F.col("_addr").between(F.col("lo"), F.col("hi"))
     return (

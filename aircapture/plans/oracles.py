@@ -257,6 +257,8 @@ ORACLES["f13_match_any_token"] = (
     "SELECT doc_id FROM documents WHERE list_has_any(regexp_split_to_array(lower(text), '[^\\pL\\pN]+'), ['license', 'network'])"
 )
 _add("f14_device_packets", EN, f"SELECT dev AS \"devAddr\", payload AS \"phyPayload\", t AS time, fcnt AS \"fCnt\" FROM en WHERE {DEV} AND NOT dup")
+for _indexed, _plain in (("f12_indexed_id", "f12_lookup_id"), ("f12_indexed_payload", "f12_lookup_payload"), ("f13_indexed_tokens", "f13_match_any_token"), ("f14_indexed_device", "f14_device_packets")):
+    ORACLES[_indexed] = ORACLES[_plain]
 _add("f15_first_unflagged_payload", PK, "SELECT min(payload) AS \"phyPayload\" FROM pk WHERE channel = 3")
 _add("f15_undecoded", PK, "SELECT id AS _id, t AS time, payload AS \"phyPayload\" FROM pk WHERE modt <> 'LORA'")
 _add("f17_drop_incomplete", PK, "SELECT id AS _id, rssi, snr AS \"loRaSNR\", channel, sf AS \"spreadingFactor\" FROM pk WHERE channel <> 2 AND sf <> 9")

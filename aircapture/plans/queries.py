@@ -23,6 +23,7 @@ from aircapture.operators.flowruns import FlowRuns
 from aircapture.plans import relations as R
 from aircapture.session import scratch_path
 from aircapture.sources import dumps, flowstore
+from aircapture.sources.lookup import Lookup, write_lookup
 from aircapture.sources.operators import packaged_operators, read_operators
 from aircapture.streaming import jobs
 
@@ -257,6 +258,34 @@ def _(spark, sf):
     return K.device_packets(R.enriched(spark, sf), DEVICE)
 
 
+def _packet_lookup(spark: SparkSession, sf: str) -> Lookup:
+    keys = {"payload": F.array("phyPayload"), "device": F.array(P.DEVADDR)}
+    return write_lookup(R.enriched(spark, sf), scratch_path(spark, "lookup"), "_id", keys, 16)
+
+
+@query("f12_indexed_id")
+def _(spark, sf):
+    return _flat(_packet_lookup(spark, sf).by_id(LOOKUP_EVENT))
+
+
+@query("f12_indexed_payload")
+def _(spark, sf):
+    one = R.packets(spark, sf).agg(F.min("phyPayload")).first()[0]
+    return _flat(_packet_lookup(spark, sf).by_key("payload", one))
+
+
+@query("f13_indexed_tokens")
+def _(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    index = write_lookup(docs, scratch_path(spark, "lookup"), "doc_id", {"text": text.tokens(F.col("text"))}, 16)
+    return index.by_any_token("text", "License, network!").select("doc_id")
+
+
+@query("f14_indexed_device")
+def _(spark, sf):
+    return K.device_packets(_packet_lookup(spark, sf).by_key("device", DEVICE), DEVICE)
+
+
 @query("f15_first_unflagged_payload")
 def _(spark, sf):
     rows = R.enriched(spark, sf)

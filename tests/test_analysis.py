@@ -73,8 +73,9 @@ def test_progress_adds_up(spark, rows):
 
 
 @pytest.mark.parametrize("r, n, p", [(0.5, 10, 0.14111), (0.1, 50, 0.489586), (0.9, 5, 0.037386), (0.0, 20, 1.0), (-0.3, 100, 0.002422)])
-def test_p_value(r, n, p):
-    assert math.isclose(X.pearson_p_value(r, n), p, abs_tol=2e-4)
+def test_p_value(spark, r, n, p):
+    got = spark.range(1).select(X.correlation_p_value(F.lit(r), F.lit(n)).alias("p")).first()["p"]
+    assert math.isclose(got, p, abs_tol=2e-4)
 
 
 def test_pearson(spark):
