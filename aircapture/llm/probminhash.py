@@ -16,6 +16,8 @@ SHINGLE = 5
 LEAST = 0.8
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
+#: Texts that are signed together.
+SIGNED = 200
 _SEED = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -31,33 +33,38 @@ def shingles(text: bytes, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     return found, n.astype(np.float64)
 
 
-def signature(elements: np.ndarray, weights: np.ndarray, registers: int = REGISTERS) -> np.ndarray:
-    """ProbMinHash: two sets agree in a register with the probability of their probability Jaccard similarity.
+def signatures_of(sets: list[tuple[np.ndarray, np.ndarray]], registers: int = REGISTERS) -> np.ndarray:
+    """ProbMinHash of each set (elements, weights), none empty, one row per set.
 
-    Each element has a Poisson process of arrivals at the rate of its weight,
-    drawn from its own number, and each arrival goes to a random register,
-    which keeps the element that came first. An element stops once its next
-    arrival is later than the latest of all registers: nothing it sends can
-    win any more.
+    Two sets agree in a register with the probability of their probability
+    Jaccard similarity. Each element has a Poisson process of arrivals at the
+    rate of its weight, drawn from its own number, and each arrival goes to a
+    random register, which keeps the element that came first. An element stops
+    once its next arrival is later than the latest of all registers of its set:
+    nothing it sends can win any more. All sets take their n-th arrivals together.
     """
-    first = np.full(registers, np.inf)
-    winner = np.zeros(registers, np.uint64)
-    state, rate, clock = mix(elements ^ _SEED), weights, np.zeros(len(elements))
-    who = elements
+    of = np.repeat(np.arange(len(sets)), [len(e) for e, _ in sets])
+    who, rate = (np.concatenate(x) for x in zip(*sets, strict=True))
+    first = np.full(len(sets) * registers, np.inf)
+    winner = np.zeros(len(first), np.uint64)
+    state, clock = mix(who ^ _SEED), np.zeros(len(who))
     while len(who):
         state = mix(state + np.uint64(0x9E3779B97F4A7C15))
         clock = clock - np.log1p(-((state >> np.uint64(11)).astype(np.float64) / 2.0**53)) / rate
-        place = (mix(state ^ _SEED) % np.uint64(registers)).astype(np.int64)
-        alive = clock < first.max()
+        alive = clock < first.reshape(len(sets), registers).max(1)[of]
         if not alive.all():
-            who, state, rate, clock, place = who[alive], state[alive], rate[alive], clock[alive], place[alive]
-            if not len(who):
-                break
-        order = np.lexsort((clock, place))
-        lead = order[np.concatenate([[True], place[order][1:] != place[order][:-1]])]
-        better = lead[clock[lead] < first[place[lead]]]
-        first[place[better]], winner[place[better]] = clock[better], who[better]
-    return winner
+            who, state, rate, clock, of = who[alive], state[alive], rate[alive], clock[alive], of[alive]
+        place = of * registers + (mix(state ^ _SEED) % np.uint64(registers)).astype(np.int64)
+        early = np.flatnonzero(clock < first[place])
+        np.minimum.at(first, place[early], clock[early])
+        won = early[clock[early] == first[place[early]]]
+        winner[place[won]] = who[won]
+    return winner.reshape(len(sets), registers)
+
+
+def signature(elements: np.ndarray, weights: np.ndarray, registers: int = REGISTERS) -> np.ndarray:
+    """The signature of one set."""
+    return signatures_of([(elements, weights)], registers)[0]
 
 
 def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -87,15 +94,12 @@ def signatures(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
-                keys, found = [], []
-                for t in part.column("text").to_pylist():
-                    raw = (t or "").encode()
-                    elements, weights = shingles(raw)
-                    keys.append(xxh3_128_digest(raw))
-                    found.append(signature(elements, weights) if len(elements) else None)
-                yield _signed(part, keys, found)
+            for at in range(0, b.num_rows, SIGNED):
+                part = b.slice(at, SIGNED)
+                raw = [(t or "").encode() for t in part.column("text").to_pylist()]
+                sets = [shingles(r) for r in raw]
+                rows = iter(signatures_of(some) if (some := [x for x in sets if len(x[0])]) else [])
+                yield _signed(part, [xxh3_128_digest(r) for r in raw], [next(rows) if len(x[0]) else None for x in sets])
 
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     kind = rows.schema["doc_id"].dataType.simpleString()
