@@ -174,11 +174,61 @@ def least_agreement(least: float) -> float:
     return least - 6 * (least * (1 - least) / REGISTERS) ** 0.5
 
 
-def _remaining(members: DataFrame, agree: float) -> DataFrame:
-    """Pairs of one band and of different components whose registers agree in a share of ``agree`` at least.
+#: Pairs of a block per member of it, above which the members are compared where they are and the pairs do not leave.
+SPARSE = 2
+_BLOCK_KEYS = ["band", "i", "j"]
+
+
+def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of one block after the other, from rows sorted by block."""
+    held, last = [], None
+    for b in batches:
+        group = np.stack([b.column(c).to_numpy() for c in _BLOCK_KEYS], axis=1)
+        cuts = [0, *(np.flatnonzero((group[1:] != group[:-1]).any(1)) + 1).tolist(), b.num_rows]
+        for s, e in zip(cuts, cuts[1:], strict=False):
+            if e > s:
+                if last is not None and last != tuple(group[s]):
+                    yield pa.Table.from_batches(held)
+                    held = []
+                last = tuple(group[s])
+                held.append(b.slice(s, e - s))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _close_pairs(rows: pa.Table, agree: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the rows of a block of its pairs that may be links.
+
+    They are of different components, have no band in common before this one,
+    and a share of ``agree`` or more of their registers is equal.
+    """
+    i, j, nth, block = rows["i"][0].as_py(), rows["j"][0].as_py(), rows["nth"][0].as_py(), rows["block"].to_numpy()
+    comp = rows["component"].to_numpy()
+    regs = np.frombuffer(b"".join(rows["registers"].to_pylist()), np.uint16).reshape(len(comp), -1)
+    bands = rows["bands"].combine_chunks().flatten().to_numpy().reshape(len(comp), -1)
+    a, b = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    one, two = [], []
+    for r in a:
+        apart = b[comp[b] != comp[r]]
+        if i == j:
+            apart = apart[apart > r]
+        if len(apart):
+            # a pair is looked at in the first band that it shares, and in no other
+            apart = apart[(bands[apart] == bands[r]).argmax(1) == nth]
+            close = apart[(regs[apart] == regs[r]).mean(1) >= agree]
+            one.append(np.full(len(close), r))
+            two.append(close)
+    none = np.empty(0, np.int64)
+    return np.concatenate([none, *one]), np.concatenate([none, *two])
+
+
+def _screened(members: DataFrame, agree: float) -> DataFrame:
+    """(center, other, band, i, j, nth, block): what is left to compare exactly of each band.
 
     Works on blocks of a band's members, so that a large band is many pieces of
-    work. Only pairs that may be links leave the task.
+    work. Of a block with few pairs for its members, the pairs leave. Of one
+    with many, the members that are in pairs leave (``other`` is null), with
+    their block: rows grow with members and blocks, never with pairs.
     """
     sizes = members.groupBy("band").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi"))
     sizes = sizes.where("lo <> hi").select("band", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
@@ -188,46 +238,67 @@ def _remaining(members: DataFrame, agree: float) -> DataFrame:
     )
     dealt = dealt.withColumn("ij", F.explode(ij)).select("band", "nth", "ij.i", "ij.j", "block", "id", "component", "bands", "registers")
 
-    def compare(rows: pa.Table) -> pa.RecordBatch | None:
-        i, j, block = rows["i"][0].as_py(), rows["j"][0].as_py(), rows["block"].to_numpy()
-        ids, comp = rows["id"].to_numpy(), rows["component"].to_numpy()
-        regs = np.frombuffer(b"".join(rows["registers"].to_pylist()), np.uint16).reshape(len(ids), -1)
-        bands = rows["bands"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-        a, b = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        us, vs = [], []
-        nth = rows["nth"][0].as_py()
-        for r in a:
-            apart = b[comp[b] != comp[r]]
-            if i == j:
-                apart = apart[apart > r]
-            if len(apart):
-                # a pair leaves in the first band that it shares, and in no other
-                apart = apart[(bands[apart] == bands[r]).argmax(1) == nth]
-                close = apart[(regs[apart] == regs[r]).mean(1) >= agree]
-                us += [min(ids[r], ids[c]) for c in close]
-                vs += [max(ids[r], ids[c]) for c in close]
-        return pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["center", "other"]) if us else None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_block(batches):
+            one, two = _close_pairs(rows, agree)
+            if not len(one):
+                continue
+            ids = rows["id"].to_numpy()
+            within = np.unique(np.concatenate([one, two]))
+            if len(one) <= SPARSE * len(within):
+                center, other = np.minimum(ids[one], ids[two]), pa.array(np.maximum(ids[one], ids[two]))
+                block = np.zeros(len(one), np.int32)
+            else:
+                center, other, block = ids[within], pa.nulls(len(within), pa.int64()), rows["block"].to_numpy()[within]
+            same = [pa.array(np.full(len(center), rows[c][0].as_py()), rows[c].type) for c in (*_BLOCK_KEYS, "nth")]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(center), other, *same, pa.array(block, pa.int32())], ["center", "other", *_BLOCK_KEYS, "nth", "block"]
+            )
+
+    told = "center long, other long, band long, i int, j int, nth int, block int"
+    return dealt.repartition(*_BLOCK_KEYS).sortWithinPartitions(*_BLOCK_KEYS).mapInArrow(run, told)
+
+
+def _remaining(members: DataFrame, agree: float) -> DataFrame:
+    """Pairs (center, other) that leave their blocks."""
+    return _screened(members, agree).where("other is not null").select("center", "other").distinct()
+
+
+def _linked_inside(dense: DataFrame, texts: DataFrame, agree: float, least: float) -> DataFrame:
+    """(u, v): links between members of one block, compared there: enough of them to connect what is linked.
+
+    ``dense`` has the members with their block, component, bands and registers.
+    Each member's text goes to its blocks once. A pair that links found before
+    already connect is not compared.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, last = [], None
-        for b in batches:
-            group = np.stack([b.column(c).to_numpy() for c in ("band", "i", "j")], axis=1)
-            cuts = [0, *(np.flatnonzero((group[1:] != group[:-1]).any(1)) + 1).tolist(), b.num_rows]
-            for s, e in zip(cuts, cuts[1:], strict=False):
-                if e > s:
-                    if last is not None and last != tuple(group[s]):
-                        if found := compare(pa.Table.from_batches(held)):
-                            yield found
-                        held = []
-                    last = tuple(group[s])
-                    held.append(b.slice(s, e - s))
-        if held and (found := compare(pa.Table.from_batches(held))):
-            yield found
-
-    return (
-        dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-        .mapInArrow(run, "center long, other long").distinct()
-    )
+        for rows in _by_block(batches):
+            one, two = _close_pairs(rows, agree)
+            ids, text, known = rows["id"].to_numpy(), rows["text"], {}
+            root = list(range(len(ids)))
+
+            def find(x: int) -> int:
+                while root[x] != x:
+                    root[x] = root[root[x]]
+                    x = root[x]
+                return x
+
+            def shingled(x: int) -> tuple[np.ndarray, np.ndarray]:
+                if x not in known:
+                    known[x] = shingles(text[x].as_py().encode())
+                return known[x]
+
+            us, vs = [], []
+            for a, b in zip(one.tolist(), two.tolist(), strict=True):
+                if find(a) != find(b) and probability_jaccard(shingled(a), shingled(b)) >= least - 1e-12:
+                    root[find(a)] = find(b)
+                    us.append(ids[a])
+                    vs.append(ids[b])
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+
+    full = dense.join(texts, "id").select(*_BLOCK_KEYS, "nth", "block", "id", "component", "bands", "registers", "text")
+    return full.repartition(*_BLOCK_KEYS).sortWithinPartitions(*_BLOCK_KEYS).mapInArrow(run, "u long, v long")
 
 
 def _candidates(members: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -303,8 +374,13 @@ def groups(docs: DataFrame, least: float = LEAST, rounds: int = 2, agree: float
         new = cut(verify(_candidates(members, labels), texts, least))
         found = new if found is None else found.union(new)
         labels = cut(components(found))
-    apart = _remaining(_labelled(members, labels).join(classes.select("id", "bands", "registers"), "id"), agree)
-    labels = components(found.union(cut(verify(apart, texts, least))))
+    signs = classes.select("id", "bands", "registers")
+    left = cut(_screened(_labelled(members, labels).join(signs, "id"), agree))
+    pairs = left.where("other is not null").select("center", "other").distinct()
+    dense = left.where("other is null").drop("other").withColumnRenamed("center", "id").join(signs, "id")
+    dense = dense.join(labels, dense["id"] == labels["node"], "left").withColumn("component", F.coalesce("component", "id"))
+    found = found.union(cut(verify(pairs, texts, least))).union(cut(_linked_inside(dense, texts, agree, least)))
+    labels = components(found)
 
     named = classes.join(labels, classes["id"] == labels["node"], "left").select(
         "key", "of", F.coalesce("component", "id").alias("component")

@@ -223,9 +223,10 @@ def near_copies(rnd):
     return rows + [(n, None), (n + 1, ""), (n + 2, " \n"), (n + 3, None), (n + 4, "one two"), (n + 5, "one two"), (n + 6, "one"), (None, rows[0][1]), (3, rows[3][1])]
 
 
-@pytest.mark.parametrize("rounds, block", [(2, 512), (1, 2)])
-def test_groups_equal_brute_force(spark, rounds, block, monkeypatch):
+@pytest.mark.parametrize("rounds, block, sparse", [(2, 512, 2), (1, 2, 0)])
+def test_groups_equal_brute_force(spark, rounds, block, sparse, monkeypatch):
     monkeypatch.setattr(probminhash, "BLOCK", block)
+    monkeypatch.setattr(probminhash, "SPARSE", sparse)
     rows = near_copies(random.Random(4))
     docs = documents(spark, rows)
     got = probminhash.groups(docs, rounds=rounds).collect()
@@ -369,3 +370,37 @@ def test_windows_of_other_sizes(spark, window):
 def test_windows_beyond_the_place_bits_are_refused(spark, window):
     with pytest.raises(ValueError):
         substrings.spans(documents(spark, [(1, "a")]), window)
+
+
+def test_many_variants_each_too_far_from_the_others_stay_apart_without_pairs(spark):
+    # 240 variants of one text, most pairs between 0.6 and 0.8: blocks are dense, so members leave them, not pairs
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for k in range(240):
+        words = base.copy()
+        for at in rng.sample(range(200), 4 if k % 8 else 2):
+            words[at] = f"x{k}-{at}"
+        rows.append((k, " ".join(words)))
+    docs = documents(spark, rows)
+    got = {r["doc_id"]: r["group_id"] for r in probminhash.groups(docs).collect()}
+    sets = [probminhash.shingles(t.encode()) for _, t in rows]
+    root = list(range(240))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(240):
+        for j in range(i):
+            if probminhash.probability_jaccard(sets[i], sets[j]) >= 0.8:
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    assert got == {k: find(k) for k in range(240)} and 20 < len(set(got.values())) < 240
+
+
+def test_texts_signed_together_have_the_signature_of_each():
+    rng = np.random.default_rng(9)
+    sets = [(rng.integers(0, 2**63, n).astype(np.uint64), rng.integers(1, 50, n).astype(float)) for n in (1, 3, 500, 40, 2)]
+    together = probminhash.signatures_of(sets)
+    assert all((probminhash.signature(*s) == together[k]).all() for k, s in enumerate(sets))
