@@ -164,7 +164,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end_id: int | N
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder = kept_in_worker("addressable", lambda: TextEncoder(path))
+        encoder = kept_in_worker("addressable", path, TextEncoder)
         shard, segment = TaskContext.get().partitionId(), 0
         end = b"" if end_id is None else np.uint32(end_id).tobytes()
         names, parts, held = [], [], 0

@@ -128,9 +128,14 @@ def rolling(numbers: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
-def kept_in_worker(name: str, make):
-    """The object that ``make`` gave this Python worker process first; it outlives the task."""
+def kept_in_worker(name: str, path: str, make):
+    """The object that ``make(path)`` gave this Python worker process first for this path; it outlives the task.
+
+    One object a name is kept: that of the last path.
+    """
     store = sys.modules.setdefault("corpus_worker_store", types.ModuleType("corpus_worker_store"))
-    if not hasattr(store, name):
-        setattr(store, name, make())
-    return getattr(store, name)
+    kept = getattr(store, name, None)
+    if kept is None or kept[0] != path:
+        kept = (path, make(path))
+        setattr(store, name, kept)
+    return kept[1]

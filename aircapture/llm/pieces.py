@@ -221,7 +221,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or model_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = kept_in_worker("pieces", lambda: Encoder(path))
+        encoder = kept_in_worker("pieces", path, Encoder)
         for b in batches:
             texts = b.column("text")
             for at in range(0, len(texts), 500):
@@ -248,7 +248,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     path = path or model_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = kept_in_worker("pieces", lambda: Encoder(path))
+        encoder = kept_in_worker("pieces", path, Encoder)
         for b in batches:
             texts = [
                 None if i is None else encoder.decode(np.array(i, np.int32).tobytes()).decode("utf-8", "replace")

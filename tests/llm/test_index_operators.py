@@ -404,3 +404,10 @@ def test_texts_signed_together_have_the_signature_of_each():
     sets = [(rng.integers(0, 2**63, n).astype(np.uint64), rng.integers(1, 50, n).astype(float)) for n in (1, 3, 500, 40, 2)]
     together = probminhash.signatures_of(sets)
     assert all((probminhash.signature(*s) == together[k]).all() for k, s in enumerate(sets))
+
+
+def test_an_encoder_is_that_of_its_path():
+    from aircapture.llm.common import kept_in_worker
+
+    made = [kept_in_worker("test", path, lambda p: [p]) for path in ("a", "a", "b", "a")]
+    assert made == [["a"], ["a"], ["b"], ["a"]] and made[0] is made[1]
