@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from aircapture.llm.common import cut, release, rolling, word_numbers
+from aircapture.llm.common import cut, mix, release, rolling, word_numbers
 from aircapture.llm.fmindex import FmIndex
 
 WINDOW = 20
@@ -21,6 +21,10 @@ ANCHOR = 6  # a window of 20 has 15 runs of 6, at most 16 for four bits
 INDEXED = 600_000
 #: Occurrences of an anchor above which its windows are dealt out one by one.
 HOT = 20_000
+#: Texts and bytes of text whose anchors are sent together.
+CHUNK, CHUNK_BYTES = 2000, 8_000_000
+#: Anchors that one task counts together.
+COUNTED = 500_000
 #: Stands for a null doc_id, which comes before all others.
 NO_ID = -(2**63)
 
@@ -53,27 +57,101 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.xxhash64("text").alias("h"), "text")
 
 
-def _anchor_rows(rows: DataFrame, place: bool, window: int) -> DataFrame:
+def _chunks(docs: DataFrame, window: int) -> DataFrame:
+    """Some documents a row: digests, compressed texts and anchors, which are computed here and nowhere else.
+
+    ``found`` is how many anchors each text has; ``a``, ``s`` and ``n`` are
+    their scrambled numbers, first windows and windows, and ``twice`` the
+    numbers that their text has again, since one snippet may hold both.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        chunk = TaskContext.get().partitionId() << 32
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
-                found = [anchors((t or "").encode(), window) for t in part.column("text").to_pylist()]
-                if not place:
-                    # one that its text has again counts twice, since one snippet may hold both
-                    twice = [f[0][f[3]] for f in found]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[0] for f in found] + twice))], ["a"])
-                    continue
-                numbers = pa.array(np.concatenate([f[0] for f in found]))
-                d = pa.array(np.repeat(part.column("d").to_numpy(), [len(f[0]) for f in found]))
-                lows = pa.array(np.concatenate([f[1] for f in found]), pa.int32())
-                yield pa.RecordBatch.from_arrays([numbers, d, lows], ["a", "d", "s"])
+            texts = [(t or "").encode() for t in b.column("text").to_pylist()]
+            ids = [b.column(c).to_pylist() for c in ("d", "h")]
+            bytes_before, at = np.cumsum([0] + [len(t) for t in texts]), 0
+            while at < len(texts):
+                full = int(np.searchsorted(bytes_before, bytes_before[at] + CHUNK_BYTES, "right")) - 1
+                part = slice(at, max(at + 1, min(at + CHUNK, full)))
+                told = [anchors(t, window) for t in texts[part]]
+                split = [t.split() for t in texts[part]]
+                numbers, firsts, sizes, again = (np.concatenate(x) for x in zip(*told, strict=True))
+                numbers = mix(numbers.view(np.uint64))
+                row = {
+                    "chunk": chunk, "d": ids[0][part], "h": ids[1][part], "n_words": [len(w) for w in split],
+                    "sha": [hashlib.sha256(b" ".join(w)).digest() for w in split],
+                    "packed": [squeeze(t) for t in texts[part]], "found": [len(x[0]) for x in told],
+                    "a": numbers.tobytes(), "s": firsts.astype(np.int32).tobytes(), "n": sizes.astype(np.int32).tobytes(),
+                    "twice": numbers[again].tobytes(), "total": len(numbers) + int(again.sum()),
+                }
+                yield pa.RecordBatch.from_arrays([pa.array([row[c]], k) for c, k in _CHUNK], [c for c, _ in _CHUNK])
+                chunk, at = chunk + 1, part.stop
+
+    kinds = "chunk long, d array<long>, h array<long>, n_words array<long>, sha array<binary>, packed array<binary>, found array<int>"
+    return _keyed(docs).mapInArrow(run, f"{kinds}, a binary, s binary, n binary, twice binary, total long")
+
+
+_CHUNK = (
+    ("chunk", pa.int64()), ("d", pa.list_(pa.int64())), ("h", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int64())),
+    ("sha", pa.list_(pa.binary())), ("packed", pa.list_(pa.binary())), ("found", pa.list_(pa.int32())), ("a", pa.binary()),
+    ("s", pa.binary()), ("n", pa.binary()), ("twice", pa.binary()), ("total", pa.int64()),
+)
+
+
+def _ranges(a: bytes, twice: bytes, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct anchors of a chunk in order, how often each occurs, and where each of the 2^bits ranges begins."""
+    numbers, counts = np.unique(np.frombuffer(a + twice, np.uint64), return_counts=True)
+    return numbers, counts, np.searchsorted(numbers >> np.uint64(64 - bits), np.arange((1 << bits) + 1))
+
+
+def _repeated(chunks: DataFrame, bits: int) -> DataFrame:
+    """For each chunk, (p, again, hot) of each range of numbers: bitmaps of its anchors that come again anywhere.
+
+    A chunk sends each of its anchors once, with its count, so a frequent one
+    is added up before the exchange, and gets one bit back for it.
+    """
 
-    rows = rows.select("d", "text") if place else rows.select("text")
-    return rows.mapInArrow(run, "a long, d long, s int" if place else "a long")
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for chunk, a, twice in zip(*(b.column(c).to_pylist() for c in ("chunk", "a", "twice")), strict=True):
+                numbers, counts, borders = _ranges(a, twice, bits)
+                ps = np.flatnonzero(np.diff(borders))
+                parts = [slice(borders[p], borders[p + 1]) for p in ps]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(ps, pa.int64()),
+                        pa.array([chunk] * len(ps), pa.int64()),
+                        pa.array([numbers[x].tobytes() for x in parts], pa.binary()),
+                        pa.array([counts[x].astype(np.uint32).tobytes() for x in parts], pa.binary()),
+                    ],
+                    ["p", "chunk", "numbers", "counts"],
+                )
 
+    def add_up(rows: pa.Table) -> pa.Table:
+        parts = rows.column("numbers").to_pylist()
+        numbers = np.frombuffer(b"".join(parts), np.uint64)
+        counts = np.frombuffer(b"".join(rows.column("counts").to_pylist()), np.uint32)
+        order = np.argsort(numbers, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], np.diff(numbers[order]) != 0]))
+        totals = np.empty(len(numbers), np.int64)
+        totals[order] = np.repeat(np.add.reduceat(counts[order].astype(np.int64), first), np.diff(np.append(first, len(numbers))))
+        split = np.split(totals, np.cumsum([len(x) // 8 for x in parts])[:-1])
+        return pa.table(
+            {
+                "chunk": rows.column("chunk"),
+                "p": rows.column("p"),
+                "again": pa.array([np.packbits(t > 1).tobytes() for t in split], pa.binary()),
+                "hot": pa.array([np.packbits(t > HOT).tobytes() for t in split], pa.binary()),
+            }
+        )
 
-_PLACE = (("d", pa.int64()), ("h", pa.int64()), ("s", pa.int32()))
+    sent = chunks.select("chunk", "a", "twice").mapInArrow(send, "p long, chunk long, numbers binary, counts binary")
+    told = sent.groupBy("p").applyInArrow(add_up, "chunk long, p long, again binary, hot binary")
+    return told.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("p", "again", "hot"))).alias("told"))
 
 
 def _index(snippets: DataFrame, window: int) -> DataFrame:
@@ -82,61 +160,66 @@ def _index(snippets: DataFrame, window: int) -> DataFrame:
     ``firsts`` is null where that is the snippet's own first place ``p`` throughout.
     Snippets are dealt out by their anchor, so all that have a window in common
     are in one shard. A task indexes a shard in parts of whole anchors, of which
-    none has more than ``HOT`` snippets.
+    none has more than ``HOT`` snippets, and streams the snippets through it:
+    where the matching statistics reach a whole window, the least place in its
+    suffix interval is the window's first.
     """
 
-    def first_places(rows: list[dict]) -> pa.RecordBatch:
+    def first_places(rows: list[tuple]) -> pa.RecordBatch:
+        a, sid, d, h, s, texts = zip(*rows, strict=True)
         words, symbols = {}, [np.zeros(1, np.int64)]
-        for r in rows:
-            symbols.append(np.array([words.setdefault(w, len(words) + 1) for w in r["text"].split()] + [0], np.int64))
-        lengths = np.array([len(s) for s in symbols[1:]])
-        begins = np.cumsum(np.concatenate([[1], lengths[:-1]]))
+        for t in texts:
+            symbols.append(np.array([words.setdefault(w, len(words) + 1) for w in t.split()] + [0], np.int64))
+        lengths = np.array([len(x) for x in symbols[1:]]) - 1
+        begins = np.cumsum(np.concatenate([[1], lengths[:-1] + 1]))
         symbols = np.concatenate(symbols)
-        index = FmIndex(symbols, len(words) + 1)
-        n = lengths - window  # windows of each snippet; a length counts the separator
+        index = FmIndex(symbols, len(words) + 1, window)
+        matched, lo, hi = index.statistics(symbols, begins, lengths, window)
+        n = lengths - window + 1  # windows of each passage
         of = np.repeat(np.arange(len(rows)), n)
         offset = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-        lo, hi = index.search(symbols, begins[of] + offset, window)
+        at = begins[of] + offset
         # first place of all, as one number that orders by document, then by start
-        names = sorted({(r["d"], r["h"]) for r in rows})
-        number = {name: k for k, name in enumerate(names)}
-        doc = np.array([number[r["d"], r["h"]] for r in rows], np.int64)
-        start = np.array([r["s"] for r in rows], np.int64)
+        d, h, start = np.array(d, np.int64), np.array(h, np.int64), np.array(s, np.int64)
+        order = np.lexsort((h, d))
+        new = np.concatenate([[True], (np.diff(d[order]) != 0) | (np.diff(h[order]) != 0)])
+        doc = np.empty(len(rows), np.int64)
+        doc[order] = np.cumsum(new) - 1
         place = np.full(len(symbols), np.iinfo(np.int64).max)
-        place[begins[of] + offset] = (doc[of] << 32) + start[of] + offset
+        place[at] = (doc[of] << 32) + start[of] + offset
         ordered = np.append(place[index.suffixes], np.iinfo(np.int64).max)
-        # windows of one length have equal or disjoint intervals
-        spans, which = np.unique(lo, return_inverse=True)
-        ends = np.zeros(len(spans), np.int64)
-        ends[which] = hi
-        least = np.minimum.reduceat(ordered, np.stack([spans, ends], 1).ravel())[::2]
-        first = least[which]
-        d = np.array([x[0] for x in names], np.int64)[first >> 32]
-        h = np.array([x[1] for x in names], np.int64)[first >> 32]
-        s = (first & 0xFFFFFFFF).astype(np.int32)
-        places = pa.StructArray.from_arrays([pa.array(d), pa.array(h), pa.array(s)], ["d", "h", "s"])
-        # null where every window is first at the snippet's own first place
-        own = np.logical_and.reduceat(first == place[begins[of] + offset], np.cumsum(n) - n)
+        # intervals of whole windows are equal or disjoint
+        first = place[at]
+        whole = np.flatnonzero(matched[at] >= window)
+        begin, where, which = np.unique(lo[at[whole]], return_index=True, return_inverse=True)
+        end = hi[at[whole]][where]
+        if len(whole):
+            first[whole] = np.minimum.reduceat(ordered, np.stack([begin, end], 1).ravel())[::2][which]
+        own = np.logical_and.reduceat(first == place[at], np.cumsum(n) - n)
         keep = np.repeat(~own, n)
-        offsets = pa.array(np.concatenate([[0], np.cumsum(np.where(own, 0, n))]), pa.int32())
-        mine = pa.StructArray.from_arrays([pa.array([r[c] for r in rows], k) for c, k in _PLACE], [c for c, _ in _PLACE])
+        first = first[keep]
+        names = order[new]
+        places = pa.StructArray.from_arrays(
+            [pa.array(d[names][first >> 32]), pa.array(h[names][first >> 32]), pa.array((first & 0xFFFFFFFF).astype(np.int32))],
+            ["d", "h", "s"],
+        )
+        offsets = pa.array(np.cumsum(np.concatenate([[0], np.where(own, 0, n)])), pa.int32())
+        mine = pa.StructArray.from_arrays([pa.array(d), pa.array(h), pa.array(start.astype(np.int32))], ["d", "h", "s"])
+        # null where every window is first at the snippet's own first place
+        listed = pa.ListArray.from_arrays(offsets, places, mask=pa.array(own))
         return pa.RecordBatch.from_arrays(
-            [
-                pa.array([r["a"] for r in rows], pa.int64()),
-                pa.array([r["sid"] for r in rows], pa.int64()),
-                mine,
-                pa.array(n, pa.int32()),
-                pa.ListArray.from_arrays(offsets, places.filter(pa.array(keep)), mask=pa.array(own)),
-            ],
+            [pa.array(a, pa.int64()), pa.array(sid, pa.int64()), mine, pa.array(n, pa.int32()), listed],
             ["a", "sid", "p", "n", "firsts"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
+        held: list[tuple] = []
         size = 0
         for b in batches:
-            for r in b.to_pylist():
-                if size >= INDEXED and r["a"] != held[-1]["a"]:
+            for r in zip(*(b.column(c).to_pylist() for c in ("a", "sid", "d", "h", "s", "text")), strict=True):
+                if held and r[:2] == held[-1][:2]:
+                    continue  # a repeated row of its document sent it too
+                if size >= INDEXED and r[0] != held[-1][0]:
                     yield first_places(held)
                     held, size = [], 0
                 held.append(r)
@@ -145,49 +228,56 @@ def _index(snippets: DataFrame, window: int) -> DataFrame:
             yield first_places(held)
 
     return (
-        snippets.repartition("a").sortWithinPartitions("a")
+        snippets.repartition("a").sortWithinPartitions("a", "sid")
         .mapInArrow(run, "a long, sid long, p struct<d: long, h: long, s: int>, n int, firsts array<struct<d: long, h: long, s: int>>")
     )
 
 
-def _packed(rows: DataFrame) -> DataFrame:
-    """d, h and each text compressed, with its number of words and digest."""
+def _prepared(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Each document: d, h, n_words and digest, and its text and anchors that occur more than once if it has such.
+
+    ``a``, ``s`` and ``n`` are their numbers, first windows and windows, and
+    ``hot`` tells those that occur more than ``HOT`` times.
+    """
+    chunks = cut(_chunks(docs, window))
+    total = chunks.agg(F.sum("total")).first()[0] or 0
+    bits = max(4, (total // COUNTED).bit_length())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=3).compress
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
-                n, sha, packed = [], [], []
-                for t in part.column("text").to_pylist():
-                    raw = (t or "").encode()
-                    found = raw.split()
-                    n.append(len(found))
-                    sha.append(hashlib.sha256(b" ".join(found)).digest())
-                    packed.append(squeeze(raw))
+            for r in range(b.num_rows):
+                row = {c: b.column(c)[r] for c in b.schema.names}
+                a, twice = row["a"].as_py(), row["twice"].as_py()
+                numbers, _, borders = _ranges(a, twice, bits)
+                flags = {c: np.zeros(len(numbers), bool) for c in ("again", "hot")}
+                for x in row["told"].as_py() or []:
+                    part = slice(borders[x["p"]], borders[x["p"] + 1])
+                    for c, flag in flags.items():
+                        flag[part] = np.unpackbits(np.frombuffer(x[c], np.uint8), count=part.stop - part.start)
+                a = np.frombuffer(a, np.uint64)
+                which = np.searchsorted(numbers, a)
+                again = flags["again"][which]
+                kept = [
+                    a[again], np.frombuffer(row["s"].as_py(), np.int32)[again],
+                    np.frombuffer(row["n"].as_py(), np.int32)[again], flags["hot"][which][again],
+                ]
+                counts = np.add.reduceat(np.append(again, False).astype(np.int64), _begins(found := np.array(row["found"].as_py())))
+                counts = np.where(found > 0, counts, 0)
+                ends = np.cumsum(counts)
+                parts = [[x[e - k : e].tobytes() if k else None for e, k in zip(ends, counts, strict=True)] for x in kept]
+                packed = [t if k else None for t, k in zip(row["packed"].as_py(), counts, strict=True)]
+                same = [row[c].values for c in ("d", "h", "n_words", "sha")]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("d"), part.column("h"), pa.array(n, pa.int64()), pa.array(sha), pa.array(packed)],
-                    ["d", "h", "n_words", "sha", "packed"],
+                    [*same, pa.array(packed, pa.binary()), *(pa.array(x, pa.binary()) for x in parts)],
+                    ["d", "h", "n_words", "sha", "packed", "a", "s", "n", "hot"],
                 )
 
-    return rows.mapInArrow(run, "d long, h long, n_words long, sha binary, packed binary")
-
+    joined = chunks.drop("total").join(_repeated(chunks, bits), "chunk", "left")
+    return cut(joined.mapInArrow(run, "d long, h long, n_words long, sha binary, packed binary, a binary, s binary, n binary, hot binary"))
 
-def _prepared(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Each document, once joined with its anchors that occur more than once: digest, and its text if it has such.
 
-    ``at`` has the first windows of those anchors and ``hot`` the numbers of
-    those that occur more than ``HOT`` times. Rows of one doc_id share them, so
-    a row may have some of another text; they only add to what is looked up.
-    """
-    rows = _keyed(docs)
-    counts = _anchor_rows(rows, place=False, window=window).groupBy("a").agg(F.count("*").alias("n")).where("n > 1")
-    again = _anchor_rows(rows, place=True, window=window).join(counts, "a")
-    by_doc = again.groupBy("d").agg(
-        F.collect_set("s").alias("at"), F.collect_set(F.when(F.col("n") > HOT, F.col("a"))).alias("hot")
-    )
-    joined = _packed(rows).join(by_doc, "d", "left")
-    return cut(joined.withColumn("packed", F.when(F.col("at").isNotNull(), F.col("packed"))))
+def _begins(lengths: np.ndarray) -> np.ndarray:
+    return np.cumsum(lengths) - lengths
 
 
 def _snippets(prepared: DataFrame, window: int, texts: bool) -> DataFrame:
@@ -203,20 +293,18 @@ def _snippets(prepared: DataFrame, window: int, texts: bool) -> DataFrame:
         for b in batches:
             for part in (b.slice(at, 500) for at in range(0, b.num_rows, 500)):
                 out: tuple[list, ...] = ([], [], [], [], [], [])
-                for d, h, packed, at, hot in zip(*(part.column(c).to_pylist() for c in ("d", "h", "packed", "at", "hot")), strict=True):
-                    raw = unpack(packed)
-                    found, wanted, dealt = raw.split(), set(at), set(hot)
-                    for a, s, n in zip(*(x.tolist() for x in anchors(raw, window)[:3]), strict=True):
-                        if a not in dealt:
-                            pieces = [(s, n)] if s in wanted else []
-                        elif texts:  # wanted are the starts of pieces
-                            pieces = [(o, 1) for o in range(s, s + n) if o in wanted]
-                        else:
-                            pieces = [(o, 1) for o in range(s, s + n)] if s in wanted else []
+                columns = (part.column(c).to_pylist() for c in ("d", "h", "packed", "a", "s", "n", "hot", "at"))
+                for d, h, packed, *told, at in zip(*columns, strict=True):
+                    found, wanted = unpack(packed).split(), set(at or ())
+                    told = [np.frombuffer(x, k).tolist() for x, k in zip(told, (np.int64, np.int32, np.int32, bool), strict=True)]
+                    for a, s, n, dealt in zip(*told, strict=True):
+                        pieces = [(o, 1) for o in range(s, s + n)] if dealt else [(s, n)]
+                        if texts:  # of the pieces that this document has first
+                            pieces = [x for x in pieces if x[0] in wanted]
                         for start, length in pieces:
                             snippet = b" ".join(found[start : start + length + window - 1])
                             sid = xxh3_64_intdigest(snippet) - 2**63
-                            key = xxh3_64_intdigest(snippet, seed=1) - 2**63 if a in dealt else a
+                            key = xxh3_64_intdigest(snippet, seed=1) - 2**63 if dealt else a
                             for held, v in zip(out, (key, sid, d, h, start, snippet), strict=True):
                                 held.append(v)
                 kinds = (*[pa.int64()] * 4, pa.int32(), pa.binary())
@@ -224,7 +312,10 @@ def _snippets(prepared: DataFrame, window: int, texts: bool) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(arrays[: len(names)], names)
 
     names = ["a", "sid", "d", "h", "s", *(["text"] if texts else [])]
-    affected = prepared.where("at is not null").select("d", "h", "packed", "at", "hot").dropDuplicates(["d", "h"])
+    affected = prepared.where("a is not null")
+    if not texts:
+        affected = affected.withColumn("at", F.lit(None).cast("array<int>"))
+    affected = affected.select("d", "h", "packed", "a", "s", "n", "hot", "at")
     return affected.mapInArrow(run, "a long, sid long, d long, h long, s int" + ", text binary" * texts)
 
 
@@ -234,7 +325,7 @@ def _repeats(prepared: DataFrame, window: int) -> DataFrame:
     distinct = _snippets(prepared, window, texts=False).groupBy("a", "sid").agg(least)
     # the text of a snippet is sent once, by the document that has it first
     owners = distinct.groupBy("p.d", "p.h").agg(F.collect_set("p.s").alias("at"))
-    owners = prepared.where("at is not null").select("d", "h", "packed", "hot").join(owners, ["d", "h"])
+    owners = prepared.where("a is not null").select("d", "h", "packed", "a", "s", "n", "hot").join(owners, ["d", "h"])
     firsts = cut(_index(_snippets(owners, window, texts=True), window))
     release(prepared.sparkSession)
     # a snippet's own first place is the first of all its windows unless the index knows an earlier one
@@ -250,7 +341,7 @@ def _repeats(prepared: DataFrame, window: int) -> DataFrame:
     told = told.where(F.exists("before", lambda x: x))
     # one flag stands for all windows of a snippet without variants
     whole = F.when(F.size("before") < F.col("n"), F.array_repeat(F.get("before", F.lit(0)), F.col("n"))).otherwise(F.col("before"))
-    return told.groupBy("d", "h").agg(F.collect_list(F.struct("s", whole.alias("before"))).alias("again"))
+    return told.groupBy("d", "h").agg(F.collect_set(F.struct("s", whole.alias("before"))).alias("again"))
 
 
 def spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:

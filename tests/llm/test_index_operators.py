@@ -289,6 +289,38 @@ def test_backward_search_finds_all_places():
         assert set(index.suffixes[a:b].tolist()) == want
 
 
+def longest(index, text, most):
+    """By trying: the words from each place of a text on that occur together in the index, and where."""
+    places = []
+    for i in range(len(text)):
+        n, found = 0, list(range(len(index)))
+        while n < min(most, len(text) - i):
+            more = [p for p in found if p + n < len(index) and index[p + n] == text[i + n]]
+            if not more:
+                break
+            n, found = n + 1, more
+        places.append((n, set(found)))
+    return places
+
+
+@pytest.mark.parametrize("order, letters", [(8, 3), (20, 2), (5, 6)])
+def test_matching_statistics_equal_brute_force(order, letters):
+    rng = np.random.default_rng(order)
+    known = np.concatenate([[0], rng.integers(1, letters + 1, 400), [0]])
+    texts = [rng.integers(1, letters + 2, n) for n in (0, 1, 7, 40, 60)]  # one symbol is not in the index
+    texts += [known[30:75], np.concatenate([known[5:40], known[100:130]])]
+    index = FmIndex(known, letters + 1, order)
+    symbols = np.concatenate(texts)
+    lengths = np.array([len(t) for t in texts])
+    begins = np.cumsum(lengths) - lengths
+    matched, lo, hi = index.statistics(symbols, begins, lengths, order)
+    for b, t in zip(begins, texts, strict=True):
+        for i, (n, found) in enumerate(longest(known.tolist(), t.tolist(), order)):
+            assert matched[b + i] == n
+            if n:
+                assert set(index.suffixes[lo[b + i] : hi[b + i]].tolist()) == found
+
+
 def plain_removal(rows, window):
     seen, out = set(), []
     for i, _, t in sorted((i is not None, i or 0, t) for i, t in {(i, t or "") for i, t in rows}):
