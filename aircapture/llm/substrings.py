@@ -60,9 +60,10 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def _chunks(docs: DataFrame, window: int) -> DataFrame:
     """Some documents a row: digests, compressed texts and anchors, which are computed here and nowhere else.
 
-    ``found`` is how many anchors each text has; ``a``, ``s`` and ``n`` are
-    their scrambled numbers, first windows and windows, and ``twice`` the
-    numbers that their text has again, since one snippet may hold both.
+    ``found`` is how many anchors each text has; ``a`` and ``n`` are their
+    scrambled numbers and how many windows each stands for (15 at most, and the
+    next begins where one ends), and ``twice`` the numbers that their text has
+    again, since one snippet may hold both.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,26 +80,26 @@ def _chunks(docs: DataFrame, window: int) -> DataFrame:
                 part = slice(at, max(at + 1, min(at + CHUNK, full)))
                 told = [anchors(t, window) for t in texts[part]]
                 split = [t.split() for t in texts[part]]
-                numbers, firsts, sizes, again = (np.concatenate(x) for x in zip(*told, strict=True))
+                numbers, _, sizes, again = (np.concatenate(x) for x in zip(*told, strict=True))
                 numbers = mix(numbers.view(np.uint64))
                 row = {
                     "chunk": chunk, "d": ids[0][part], "h": ids[1][part], "n_words": [len(w) for w in split],
                     "sha": [hashlib.sha256(b" ".join(w)).digest() for w in split],
                     "packed": [squeeze(t) for t in texts[part]], "found": [len(x[0]) for x in told],
-                    "a": numbers.tobytes(), "s": firsts.astype(np.int32).tobytes(), "n": sizes.astype(np.int32).tobytes(),
+                    "a": numbers.tobytes(), "n": sizes.astype(np.uint8).tobytes(),
                     "twice": numbers[again].tobytes(), "total": len(numbers) + int(again.sum()),
                 }
                 yield pa.RecordBatch.from_arrays([pa.array([row[c]], k) for c, k in _CHUNK], [c for c, _ in _CHUNK])
                 chunk, at = chunk + 1, part.stop
 
     kinds = "chunk long, d array<long>, h array<long>, n_words array<long>, sha array<binary>, packed array<binary>, found array<int>"
-    return _keyed(docs).mapInArrow(run, f"{kinds}, a binary, s binary, n binary, twice binary, total long")
+    return _keyed(docs).mapInArrow(run, f"{kinds}, a binary, n binary, twice binary, total long")
 
 
 _CHUNK = (
     ("chunk", pa.int64()), ("d", pa.list_(pa.int64())), ("h", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int64())),
     ("sha", pa.list_(pa.binary())), ("packed", pa.list_(pa.binary())), ("found", pa.list_(pa.int32())), ("a", pa.binary()),
-    ("s", pa.binary()), ("n", pa.binary()), ("twice", pa.binary()), ("total", pa.int64()),
+    ("n", pa.binary()), ("twice", pa.binary()), ("total", pa.int64()),
 )
 
 
@@ -257,12 +258,12 @@ def _prepared(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 a = np.frombuffer(a, np.uint64)
                 which = np.searchsorted(numbers, a)
                 again = flags["again"][which]
-                kept = [
-                    a[again], np.frombuffer(row["s"].as_py(), np.int32)[again],
-                    np.frombuffer(row["n"].as_py(), np.int32)[again], flags["hot"][which][again],
-                ]
-                counts = np.add.reduceat(np.append(again, False).astype(np.int64), _begins(found := np.array(row["found"].as_py())))
-                counts = np.where(found > 0, counts, 0)
+                found = np.array(row["found"].as_py())
+                n = np.frombuffer(row["n"].as_py(), np.uint8)
+                before = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+                first = before[:-1] - np.repeat(before[_begins(found)], found)
+                kept = [a[again], first[again].astype(np.int32), n[again], flags["hot"][which][again]]
+                counts = np.diff(np.concatenate([[0], np.cumsum(again)])[np.append(_begins(found), len(a))])
                 ends = np.cumsum(counts)
                 parts = [[x[e - k : e].tobytes() if k else None for e, k in zip(ends, counts, strict=True)] for x in kept]
                 packed = [t if k else None for t, k in zip(row["packed"].as_py(), counts, strict=True)]
@@ -296,7 +297,7 @@ def _snippets(prepared: DataFrame, window: int, texts: bool) -> DataFrame:
                 columns = (part.column(c).to_pylist() for c in ("d", "h", "packed", "a", "s", "n", "hot", "at"))
                 for d, h, packed, *told, at in zip(*columns, strict=True):
                     found, wanted = unpack(packed).split(), set(at or ())
-                    told = [np.frombuffer(x, k).tolist() for x, k in zip(told, (np.int64, np.int32, np.int32, bool), strict=True)]
+                    told = [np.frombuffer(x, k).tolist() for x, k in zip(told, (np.int64, np.int32, np.uint8, bool), strict=True)]
                     for a, s, n, dealt in zip(*told, strict=True):
                         pieces = [(o, 1) for o in range(s, s + n)] if dealt else [(s, n)]
                         if texts:  # of the pieces that this document has first
