@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import sys
 import tempfile
+import time
 import types
 
 import numpy as np
@@ -42,13 +43,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def release(spark: SparkSession) -> None:
+def release(spark: SparkSession, wait: float = 0) -> None:
     """Let Spark's cleaner delete the shuffle files of finished jobs that nothing refers to any more.
 
     It does so when the driver collects its garbage, which a long chain of
-    checkpoints may not reach before the files fill the disks.
+    checkpoints may not reach before the files fill the disks. What Python has
+    just given up is told to the JVM by a thread that looks once a second:
+    ``wait`` are the seconds to give it.
     """
     gc.collect()
+    time.sleep(wait)
     spark.sparkContext._jvm.System.gc()
 
 

@@ -320,15 +320,20 @@ def _snippets(prepared: DataFrame, window: int, texts: bool) -> DataFrame:
     return affected.mapInArrow(run, "a long, sid long, d long, h long, s int" + ", text binary" * texts)
 
 
-def _repeats(prepared: DataFrame, window: int) -> DataFrame:
-    """d, h and ``again``: of each of a document's anchors (first window, whether each window occurs before)."""
+def _first_places(prepared: DataFrame, window: int) -> DataFrame:
+    """What :func:`_index` tells of all snippets."""
     least = F.min(F.struct("d", "h", "s")).alias("p")
     distinct = _snippets(prepared, window, texts=False).groupBy("a", "sid").agg(least)
     # the text of a snippet is sent once, by the document that has it first
     owners = distinct.groupBy("p.d", "p.h").agg(F.collect_set("p.s").alias("at"))
     owners = prepared.where("a is not null").select("d", "h", "packed", "a", "s", "n", "hot").join(owners, ["d", "h"])
-    firsts = cut(_index(_snippets(owners, window, texts=True), window))
-    release(prepared.sparkSession)
+    return cut(_index(_snippets(owners, window, texts=True), window))
+
+
+def _repeats(prepared: DataFrame, window: int) -> DataFrame:
+    """d, h and ``again``: of each of a document's anchors (first window, whether each window occurs before)."""
+    firsts = _first_places(prepared, window)
+    release(prepared.sparkSession, wait=2)
     # a snippet's own first place is the first of all its windows unless the index knows an earlier one
     told = _snippets(prepared, window, texts=False).join(firsts, ["a", "sid"]).select(
         "d", "h", "s",
@@ -364,7 +369,7 @@ def spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     if not ANCHOR <= window <= ANCHOR + 15:
         raise ValueError(f"a window has {ANCHOR} to {ANCHOR + 15} words, whose places four bits can tell")
     prepared = _prepared(docs, window)
-    release(docs.sparkSession)
+    release(docs.sparkSession, wait=2)
     repeats = _repeats(prepared, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
