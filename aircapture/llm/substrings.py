@@ -414,15 +414,18 @@ def spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def cleaned(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents with their repeating passages removed; columns as given, ``n_chars`` of the new text.
 
-    Texts without one stay as they are.
+    Texts without one stay as they are, null and empty ones too, and each
+    repeated row stays a row. Other columns may have any names.
     """
     told = spans(docs, window).where("n_removed > 0").select(
-        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"), F.col("kept_text").alias("_kept")
-    ).dropDuplicates(["_id", "_h"])
-    both = docs.join(told, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_h")), "left")
-    text = F.coalesce("_kept", "text")
-    changed = {"text": text.alias("text")}
+        F.col("doc_id").alias("id"), F.col("text_hash").alias("h"), F.col("kept_text").alias("kept")
+    ).dropDuplicates(["id", "h"])
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.xxhash64("text").alias("row_hash"))
+    same = F.col("row")["doc_id"].eqNullSafe(F.col("id")) & (F.col("row_hash") == F.col("h"))
+    both = rows.join(told, same, "left")
+    given = {c: F.col("row").getField(c).alias(c) for c in docs.columns}
+    given["text"] = F.coalesce("kept", F.col("row")["text"]).alias("text")
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        changed["n_chars"] = F.when(F.col("_kept").isNotNull(), F.length("_kept")).otherwise(F.col("n_chars")).cast(kind).alias("n_chars")
-    return both.select(*(changed.get(c, F.col(f"`{c}`")) for c in docs.columns))
+        given["n_chars"] = F.when(F.col("kept").isNotNull(), F.length("kept")).otherwise(F.col("row")["n_chars"]).cast(kind).alias("n_chars")
+    return both.select(*(given[c] for c in docs.columns))

@@ -336,6 +336,36 @@ def plain_removal(rows, window):
     return out
 
 
+def test_cleaned_keeps_odd_columns_and_rows(spark):
+    story = " ".join(f"w{k}" for k in range(30))
+    rows = [(None, f"head {story}"), (None, f"{story} tail"), (None, f"{story} tail"), (3, None), (4, ""), (5, story)]
+    docs = documents(spark, rows)
+    for name in ("id", "h", "kept", "row", "_id", "d", "again"):
+        docs = docs.withColumn(name, docs["doc_id"] * 2)
+    docs = docs.withColumn("a.b", docs["doc_id"])
+    got = substrings.cleaned(docs)
+    assert got.columns == docs.columns and got.schema.simpleString() == docs.schema.simpleString()
+    texts = collections.Counter((r["doc_id"], r["text"]) for r in got.collect())
+    # of rows without an id, the order of a hash tells which text comes first
+    first = collections.Counter({(None, f"head {story}"): 1, (None, "tail"): 2})
+    other = collections.Counter({(None, "head"): 1, (None, f"{story} tail"): 2})
+    assert texts - collections.Counter({(3, None): 1, (4, ""): 1, (5, ""): 1}) in (first, other)
+    assert all(r["id"] == (None if r["doc_id"] is None else 2 * r["doc_id"]) for r in got.collect())
+
+
+@pytest.mark.parametrize("least", [1, 3])
+def test_counts_by_many_ranges_and_chunks(spark, least, monkeypatch):
+    monkeypatch.setattr(substrings, "COUNTED", least)  # more ranges than anchors
+    monkeypatch.setattr(substrings, "CHUNK", 2)
+    monkeypatch.setattr(substrings, "CHUNK_BYTES", 300)
+    rnd = random.Random(least)
+    line = [f"w{rnd.randrange(9)}" for _ in range(200)]
+    rows = [(i, " ".join(line[(k := rnd.randrange(150)) : k + rnd.randrange(10, 50)])) for i in range(25)]
+    got = substrings.spans(documents(spark, rows)).collect()
+    want = [x[1:] for x in plain_removal(rows, 20)]
+    assert collections.Counter((r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == collections.Counter(want)
+
+
 def test_passages_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(substrings, "INDEXED", 300)
     rnd = random.Random(8)
