@@ -22,7 +22,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that an earlier document has."""
+    """Texts without the passages that an earlier document has.
+
+    Every row stays, also one whose text is null, empty or wholly removed (then
+    empty), and repeated rows stay repeated. A null doc_id is earlier than all
+    others. An empty table gives an empty one.
+    """
     return substrings.cleaned(docs)
 
 
