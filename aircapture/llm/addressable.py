@@ -9,11 +9,12 @@ k, so any id is read by a few look-ups, without decoding those around it.
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,8 @@ from aircapture.llm.common import kept_in_worker, shared_folder
 
 LEVELS = 4  # 8 bits each: any unsigned 32-bit id
 SEGMENT = 1 << 19  # ids of a row of the file, but for longer documents
-MEMORY = 700_000
+#: Pieces that a worker remembers, and characters of the longest one it does.
+MEMORY, LONG = 700_000, 64
 
 
 def pack(ids: np.ndarray) -> list[tuple[bytes, bytes, bytes]]:
@@ -82,70 +84,121 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-#: A space between two characters that no tokenizer takes for white space: the
-#: byte-level pre-tokenizer always starts a new token there.
-_BETWEEN = re.compile("(?<=[^\\s᠎​﻿]) (?=[^\\s᠎​﻿])")
+#: White space of any tokenizer's reading but the space and the line feed.
+_OTHER_SPACE = tuple(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n") + ("\u180e", "\u200b", "\ufeff")
+_INK = f"[^\\s{''.join(_OTHER_SPACE[-3:])}]"
+#: A space between two characters that are no white space, and the place before a line feed between two such:
+#: the byte-level pre-tokenizer always starts a new token there.
+_BETWEEN = re.compile(f"(?<={_INK}) (?={_INK})|(?<={_INK})(?=\n{_INK})")
+
+
+def cut_text(text: str) -> list[str]:
+    """The text in pieces: those after the first have a space before them in the text, unless they begin with a line feed."""
+    if text[-1:] == " " or any(c in text for c in ("  ", " \n", "\n ", "\n\n", *_OTHER_SPACE)):
+        return _BETWEEN.split(text)
+    return text.replace("\n", " \n").split(" ")  # only single spaces and line feeds
 
 
 class TextEncoder:
-    """Ids of whole texts by the tokenizers library, remembering what stands between single spaces."""
+    """Ids of whole texts by the tokenizers library, remembering the pieces between single spaces and line feeds.
+
+    Pieces of more than ``LONG`` characters are not remembered, so what is
+    remembered is bounded in bytes, too. Where the vocabulary file does not say
+    that texts are cut as :data:`_BETWEEN` takes for granted, whole texts are
+    encoded.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        before = told.get("pre_tokenizer") or {}
+        self.in_pieces = (
+            told["model"].get("type") == "BPE"
+            and not told["model"].get("dropout")
+            and before.get("type") == "ByteLevel"
+            and before.get("use_regex", True)
+            and not before.get("add_prefix_space")
+            and told.get("normalizer") is None
+            and not any(
+                t["lstrip"] or t["rstrip"] or t["single_word"] or any(c.isspace() for c in t["content"])
+                for t in told.get("added_tokens") or []
+            )
+        )
         tokens = (self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size()))
-        self.starts = np.array([t.startswith("Ġ") for t in tokens])
+        self.starts = np.array([t.startswith(("Ġ", "Ċ")) for t in tokens])
         self.known: dict[str, bytes] = {}
+        if not self.in_pieces:
+            return
         # how the byte-level vocabulary shows the bytes of Latin letters outside ASCII
         hidden = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
         self.shown = {b: 256 + i for i, b in enumerate(hidden)}
         self.ends = {c: self._ids([c])[0].tobytes() for c in ".,"}
+        self.line = self._ids(["\n"])[0].tobytes()
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, np.uint32) for e in found]
 
-    def _word(self, letters: str) -> bytes:
-        """Ids of a space and letters: one pre-token, so the merges alone decide."""
-        ids = self.known.get(letters)
-        if ids is None:
-            shown = letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.shown)
-            ids = array("I", [t.id for t in self.tokenizer.model.tokenize("Ġ" + shown)]).tobytes()
-            self.known[letters] = ids
-        return ids
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Each piece has a space before it in its text. Words of Latin letters, also with a full stop or
-        comma behind, are pre-tokens whose merges are asked for directly. Other pieces without a space inside
-        are encoded side by side: of their tokens just the first ones begin with a space."""
+    def _merged(self, letters: str, before: str) -> bytes:
+        """Ids of letters, with a space before them or not: one pre-token, so the merges alone decide."""
+        shown = letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.shown)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(before + shown)]).tobytes()
+
+    def _learn(self, pieces: Iterable[str]) -> None:
+        """Words of Latin letters, also with a full stop or comma behind, are pre-tokens whose merges are asked
+        for directly; what begins a line comes after the line feed's own token. Other pieces without white
+        space inside are encoded side by side: of their tokens just the first ones begin with white space."""
+        known, ends = self.known, self.ends
         plain, odd = [], []
         for p in pieces:
-            end = self.ends.get(p[-1:])
+            end = ends.get(p[-1:])
             word = p[:-1] if end else p
-            if word.isalpha() and max(word) < "ɐ":
-                self.known[p] = self._word(word) + (end or b"")
+            begins = word[:1] == "\n"
+            if begins:
+                word = word[1:]
+            if word.isalpha() and (word.isascii() or max(word) < "ɐ"):
+                if begins:
+                    known[p] = self.line + self._merged(word, "") + (end or b"")
+                else:
+                    same = known.get(word) if end else None
+                    known[p] = (same or self._merged(word, "Ġ")) + (end or b"")
+            elif len(p.split()) == 1:
+                plain.append(p if begins else f" {p}")
             else:
-                (odd if " " in p else plain).append(p)
-        joined = ["".join([f" {p}" for p in plain[a : a + 500]]) for a in range(0, len(plain), 500)]
-        for k, ids in enumerate(self._ids(joined)):
-            mine = plain[k * 500 : k * 500 + 500]
-            at = np.flatnonzero(self.starts[ids])
-            parts = np.split(ids, at[1:]) if len(at) == len(mine) else self._ids([f" {p}" for p in mine])
-            self.known.update((p, i.tobytes()) for p, i in zip(mine, parts, strict=True))
-        self.known.update((p, i.tobytes()) for p, i in zip(odd, self._ids([f" {p}" for p in odd]), strict=True))
+                odd.append(p if begins else f" {p}")
+        for at in range(0, len(plain), 500):
+            mine = plain[at : at + 500]
+            ids = self._ids(["".join(mine)])[0]
+            first = np.flatnonzero(self.starts[ids])
+            if len(first) == len(mine):
+                data, ends_at = ids.tobytes(), [*(first * 4).tolist(), len(ids) * 4]
+                parts = [data[a:b] for a, b in zip(ends_at, ends_at[1:], strict=False)]
+            else:
+                parts = [i.tobytes() for i in self._ids(mine)]
+            known.update(zip((p.removeprefix(" ") for p in mine), parts, strict=True))
+        known.update(zip((p.removeprefix(" ") for p in odd), (i.tobytes() for i in self._ids(odd)), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [_BETWEEN.split(t) for t in texts]
-        new = {p for s in split for p in s[1:]}.difference(self.known)
+        if not self.in_pieces:
+            return [i.tobytes() for i in self._ids(texts)]
+        split = [cut_text(t) for t in texts]
         heads = self._ids([s[0] for s in split])
-        if len(new) + len(self.known) > MEMORY:
-            self.known.clear()
-            new = {p for s in split for p in s[1:]}
-        if new:
-            self._learn(sorted(new))
+        tails = [s[1:] for s in split]
         known = self.known
-        return [h.tobytes() + b"".join([known[p] for p in s[1:]]) for h, s in zip(heads, split, strict=True)]
+        wanted = set().union(*tails)
+        new = wanted.difference(known)
+        if len(new) + len(known) > MEMORY:  # what these texts use stays
+            known = self.known = {p: known[p] for p in wanted.difference(new)}
+        if new:
+            self._learn(new)
+        out = [h.tobytes() + b"".join(map(known.__getitem__, s)) for h, s in zip(heads, tails, strict=True)]
+        for p in new:
+            if len(p) > LONG:
+                del known[p]
+        return out
 
 
 _LEVEL = "struct<chunks: binary, bits: binary, ranks: binary>"

@@ -112,6 +112,20 @@ def test_files_hold_the_ids_of_the_library(spark, sf_dir, monkeypatch):
     assert addressable.round_trip(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_equals_the_library_on_any_text(name, monkeypatch):
+    monkeypatch.setattr(addressable, "MEMORY", 200)
+    encoder = addressable.TextEncoder(addressable.tokenizer_path(name))
+    draw = random.Random(7)
+    bits = [" ", "\n", "  ", "\n\n", "\t", "a", "Foo", "bar.", "1", "...", "!?,", "\r\n", "é", "中", "\u200b", "\ufeff", "\u180e", "'s"]
+    bits += ["<|endoftext|>", "\x1c", "\u3000", "\xa0", "Ġ", "Ċ", "x" * 70, " \n", "\n "]
+    texts = ["".join(draw.choices(bits, k=draw.randint(0, 14))) for _ in range(4000)]
+    for at in range(0, len(texts), 100):
+        part = texts[at : at + 100]
+        assert encoder.encode(part) == [i.tobytes() for i in encoder._ids(part)]
+        assert max(map(len, encoder.known), default=0) <= addressable.LONG
+
+
 # ---------------------------------------------------------------- components
 
 
