@@ -149,6 +149,7 @@ def learn(
     of a sample without rows of both labels.
     """
     names = list(FEATURES)
+    sample = cut(sample)  # read twice: for the quantiles and for the bins
     probs = [i / bins for i in range(1, bins)]
     low = (F.col("quality") == 0).cast("int")
     found = sample.agg(
@@ -163,7 +164,7 @@ def learn(
             low.alias("low"),
             (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)) < 2).alias("grow"),
             F.array(*(F.when(F.expr(FEATURES[n]).isNotNull(), bin_of(n)) for n in names)).alias("bin"),
-        ).coalesce(4)
+        ).repartition(4)  # of a sample of bounded size
     )
     place = {n: i for i, n in enumerate(names)}
 
