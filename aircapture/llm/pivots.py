@@ -18,54 +18,74 @@ NEAREST = 5
 BLOCK = 1024
 
 
-def fit_pivots(vectors: DataFrame, n_pivots: int = PIVOTS, sample: int = 4096, apart: float = 0.5) -> np.ndarray:
-    """Reference points, from at most ``sample`` valid vectors, those whose ids hash lowest.
+def fit_pivots(vectors: DataFrame, n_pivots: int = PIVOTS, sample: int = 4096, apart: float = 0.5) -> list[np.ndarray]:
+    """Reference points for each length of vector, shortest first, one small job a length.
 
-    A vector becomes a pivot if its cosine to every pivot before it is below
-    ``apart``: among pivots close to each other, noise would decide which of
-    them are nearest to the vectors of one dense group.
+    They come from at most ``sample`` valid vectors of the length, those whose
+    ids hash lowest. A vector becomes a pivot if its cosine to every pivot
+    before it is below ``apart``: among pivots close to each other, noise would
+    decide which of them are nearest to the vectors of one dense group.
     """
-    rows = vectors.where("unit is not null").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
-    chosen: list[list[float]] = []
-    for r in rows:
-        if len(chosen) == n_pivots:
-            break
-        if not chosen or (np.array(chosen) @ np.array(r["unit"])).max() < apart:
-            chosen.append(r["unit"])
-    return np.array(chosen, np.float64)
+    valid = vectors.where("unit is not null")
+    lengths = sorted(r["d"] for r in valid.select(F.size("unit").alias("d")).distinct().collect())
+    found = []
+    for d in lengths:
+        rows = valid.where(F.size("unit") == d).orderBy(F.xxhash64("vec_id"), "vec_id", "unit").limit(sample).collect()
+        chosen: list[list[float]] = []
+        for r in rows:
+            if len(chosen) == n_pivots:
+                break
+            if not chosen or (np.array(chosen) @ np.array(r["unit"])).max() < apart:
+                chosen.append(r["unit"])
+        found.append(np.array(chosen, np.float64))
+    return found
 
 
 def units(vectors: DataFrame) -> DataFrame:
     """vec_id and ``unit``: the vector over its length in double precision.
 
     Null where the vector is null, empty, zero or holds a null, NaN or infinity.
+    Components are first divided by a power of two near the largest, which is
+    exact, so that no square overflows or vanishes.
     """
     v = F.col("embedding").cast("array<double>")
+    largest = F.array_max(F.transform(v, F.abs))
+    power = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(largest)) - 1, F.lit(-1070)))
+    v = F.transform(v, lambda x: x / F.when((largest > 0) & (largest < float("inf")), power))
     size = F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)
     ok = F.coalesce((F.size(v) > 0) & (size > 0) & (size < float("inf")), F.lit(False))
     return vectors.select("vec_id", F.when(ok, F.transform(v, lambda x: x / F.sqrt(size))).alias("unit"))
 
 
-def postings(vectors: DataFrame, pivots: np.ndarray, nearest: int = NEAREST) -> DataFrame:
-    """(vec_id, n, unit, near, key): a vector's nearest pivots and, one row each, its pairs of them.
+def postings(vectors: DataFrame, pivots: list[np.ndarray], nearest: int = NEAREST) -> DataFrame:
+    """(vec_id, near, key): a vector's nearest pivots and, one row each, its pairs of them.
 
     The posting list of a pair of pivots holds the vectors that have both among
-    their nearest, so two vectors of a list share at least two pivots.
+    their nearest, so two vectors of a list share at least two pivots. Pivots
+    are numbered through all lengths of vector: a list holds vectors of one.
     """
+    total = sum(map(len, pivots))
+    first = {p.shape[1]: sum(map(len, pivots[:i])) for i, p in enumerate(pivots)}
+    of = {p.shape[1]: p for p in pivots}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = _matrix(b.column("unit"))
-            k = min(nearest, len(pivots))
-            near = np.sort(np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, :k], axis=1).astype(np.int32)
-            pairs = list(combinations(range(k), 2)) or [(0, 0)]
-            keys = np.stack([near[:, i] * len(pivots) + near[:, j] for i, j in pairs], axis=1)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("vec_id"), b.column("n"), _lists(near, pa.int32()), _lists(keys, pa.int32())],
-                ["vec_id", "n", "near", "keys"],
-            )
-
-    rows = vectors.select("vec_id", "n", "unit").mapInArrow(run, "vec_id long, n long, near array<int>, keys array<int>")
+            lengths = b.column("unit").value_lengths().to_numpy()
+            for d in np.unique(lengths).tolist():
+                if d not in of:  # given pivots may lack a length
+                    continue
+                part = b.filter(pa.array(lengths == d))
+                x = _matrix(part.column("unit"))
+                k = min(nearest, len(of[d]))
+                near = np.sort(np.argsort(-(x @ of[d].T), axis=1, kind="stable")[:, :k], axis=1) + first[d]
+                pairs = list(combinations(range(k), 2)) or [(0, 0)]
+                keys = np.stack([near[:, i] * total + near[:, j] for i, j in pairs], axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("vec_id"), _lists(near.astype(np.int32), pa.int32()), _lists(keys, pa.int64())],
+                    ["vec_id", "near", "keys"],
+                )
+
+    rows = vectors.select("vec_id", "unit").mapInArrow(run, "vec_id long, near array<int>, keys array<long>")
     return rows.select("vec_id", "near", F.explode("keys").alias("key"))
 
 
@@ -92,7 +112,8 @@ def _compare(a: dict[str, np.ndarray], b: dict[str, np.ndarray], key: int, n_piv
         linked = np.triu(linked, 1)
     if not linked.any():
         return None
-    below = lambda near: (near[:, :, None] == np.arange(high)[None, None, :]).any(1).astype(np.float32)
+    before = np.arange(min(a["near"].min(), b["near"].min()), high)
+    below = lambda near: (near[:, :, None] == before[None, None, :]).any(1).astype(np.float32)
     linked &= (below(a["near"]) @ below(b["near"]).T) < 1.5  # the smaller pivot of the key, and no other below
     if not linked.any():
         return None
@@ -125,29 +146,32 @@ def _compare(a: dict[str, np.ndarray], b: dict[str, np.ndarray], key: int, n_piv
     return in_a, in_b, edges
 
 
-def links(vectors: DataFrame, least: float = 0.95, pivots: np.ndarray | None = None, nearest: int = NEAREST) -> DataFrame:
+def links(vectors: DataFrame, least: float = 0.95, pivots: list[np.ndarray] | None = None, nearest: int = NEAREST) -> DataFrame:
     """One row per input row: vec_id, n_links, component_id, kept.
 
-    Equal vectors are compared once, with their number. Long posting lists are
-    dealt out in blocks, and each pair of blocks is one piece of work; a task
-    emits, per block pair, a count for each linked vector and the edges of a
-    spanning forest, never the pairs. Vectors that are null, zero or not finite
-    link with nothing and are components of their own; so is one with a null
-    vec_id, except that equal vectors share their class. The component of rows
-    is the smallest vec_id of it. Extra columns are not read.
+    Equal vectors are compared once, with their number, and vectors of each
+    length among themselves. Long posting lists are dealt out in blocks, and
+    each pair of blocks is one piece of work; a task emits, per block pair, a
+    count for each linked vector and the edges of a spanning forest, never the
+    pairs. Vectors that are null, zero or not finite link with nothing and are
+    components of their own; so is one with a null vec_id, except that equal
+    vectors share their class. The component of rows is the smallest vec_id of
+    it. An empty table has no rows. Extra columns are not read.
     """
-    rows = cut(units(vectors.select("vec_id", "embedding")).repartition(F.col("unit")))
-    # vectors of another length than most have no cosine to these and link with nothing
-    most = rows.where("unit is not null").groupBy(F.size("unit").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    rows = rows.withColumn("unit", F.when(F.size("unit") == (most["d"] if most else 0), F.col("unit")))
+    rows = cut(units(vectors.select("vec_id", "embedding")))
+    valid = rows.where("unit is not null")
+    alone = rows.where("unit is null").select(
+        "vec_id",
+        F.lit(0).cast("long").alias("n_links"),
+        F.col("vec_id").alias("component_id"),
+        (F.col("vec_id") == F.col("vec_id")).alias("kept"),
+    )
     if pivots is None:
         pivots = fit_pivots(rows)
-    classes = rows.where("unit is not null").groupBy("unit").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n"))
+    if not pivots:
+        return alone
+    classes = valid.groupBy("unit").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n"))
     classes = cut(classes.where("vec_id is not null").select("vec_id", "n", "unit"))
-    if not len(pivots):
-        return rows.select(
-            "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept")
-        )
     posted = cut(postings(classes, pivots, nearest))
     # blocks of each list; lists of one vector have no pair
     sizes = posted.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
@@ -165,7 +189,7 @@ def links(vectors: DataFrame, least: float = 0.95, pivots: np.ndarray | None = N
         "key", "vec_id", "near", "block", "pair.i", "pair.j"
     )
     full = dealt.join(classes, "vec_id")
-    n_pivots = len(pivots)
+    n_pivots = sum(map(len, pivots))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -224,9 +248,10 @@ def links(vectors: DataFrame, least: float = 0.95, pivots: np.ndarray | None = N
             F.coalesce("component", classes["vec_id"]).alias("component_id"),
         )
     )
-    return rows.join(per_class, "unit", "left").select(
+    linked = valid.join(per_class, "unit", "left").select(
         "vec_id",
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component_id", "vec_id").alias("component_id"),
         (F.col("vec_id") == F.coalesce("component_id", "vec_id")).alias("kept"),
     )
+    return linked.union(alone)

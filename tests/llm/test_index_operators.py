@@ -183,6 +183,18 @@ def test_links_equal_brute_force(spark, block, monkeypatch):
     assert pivots.links(df.limit(0)).count() == 0 and pivots.links(df.where("vec_id >= 1000 and vec_id < 1006")).count() == 6
 
 
+def test_vectors_of_each_length_and_of_any_size_link(spark):
+    draw = np.random.default_rng(8)
+    rows = [(i, draw.normal(size=3).tolist()) for i in range(20)] + [(100 + i, [1.0, 2.0, 3.0, 4.0 + 0.01 * i]) for i in range(3)]
+    rows += [(200, [1e200, 1e200]), (201, [2e200, 2e200]), (202, [1.7e308, 1.7e308]), (203, [5e-324, 5e-324]), (204, [-1e200, 1e200])]
+    rows += [(300, None), (301, [0.0, 0.0]), (302, [float("inf"), 1.0]), (303, [1.0, None]), (304, [7.0]), (305, [9.0]), (306, [-9.0])]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in pivots.links(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert [got[i] for i in (100, 101, 102)] == [(2, 100)] * 3
+    assert [got[i] for i in (200, 201, 202, 203, 204)] == [(3, 200)] * 4 + [(0, 204)]
+    assert [got[i] for i in range(300, 304)] == [(0, i) for i in range(300, 304)]
+    assert [got[i] for i in (304, 305, 306)] == [(1, 304), (1, 304), (0, 306)] and len(got) == len(rows)
+
+
 DENSE = "/root/testdata/check_h"
 
 
