@@ -7,7 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aircapture.llm.common import components, cut
@@ -51,10 +51,19 @@ def units(vectors: DataFrame) -> DataFrame:
     v = F.col("embedding").cast("array<double>")
     largest = F.array_max(F.transform(v, F.abs))
     power = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(largest)) - 1, F.lit(-1070)))
-    v = F.transform(v, lambda x: x / F.when((largest > 0) & (largest < float("inf")), power))
-    size = F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)
-    ok = F.coalesce((F.size(v) > 0) & (size > 0) & (size < float("inf")), F.lit(False))
-    return vectors.select("vec_id", F.when(ok, F.transform(v, lambda x: x / F.sqrt(size))).alias("unit"))
+    power = F.when((largest > 0) & (largest < float("inf")), power)
+    scaled = _once(power, lambda m: F.transform(v, lambda x: x / m))
+
+    def unit(s: Column) -> Column:
+        size = F.aggregate(s, F.lit(0.0), lambda a, x: a + x * x)
+        return _once(size, lambda z: F.when((z > 0) & (z < float("inf")), F.transform(s, lambda x: x / F.sqrt(z))))
+
+    return vectors.select("vec_id", _once(scaled, unit).alias("unit"))
+
+
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once a row, not once for each element of an array."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def postings(vectors: DataFrame, pivots: list[np.ndarray], nearest: int = NEAREST) -> DataFrame:
