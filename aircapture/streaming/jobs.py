@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from contextlib import contextmanager
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupStateTimeout
@@ -22,7 +23,7 @@ from aircapture.streaming.collapse import MESSAGE_COLUMNS, MESSAGE_SCHEMA, STATE
 cloudpickle.register_pickle_by_value(collapse)
 cloudpickle.register_pickle_by_value(keyed)
 
-# Fixed value: the class of the state store that keyed state with timers needs.
+# Fixed value: the class of the state store on disk.
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _STORE = "spark.sql.streaming.stateStore.providerClass"
 
@@ -64,14 +65,41 @@ def stream_collapse(
     )
 
 
-def stream_messages(receptions: DataFrame, window_ms: float = WINDOW_MS, delay: str = "10 seconds") -> DataFrame:
+def _as_text(*names: str) -> Column:
+    """Columns as one text, exact and null-safe, that ``_from_text`` reads back."""
+    return F.to_json(F.struct(*(F.col(n).cast("string").alias(n) for n in names)), {"ignoreNullFields": "true"})
+
+
+def _from_text(texts: Column, fields: dict[str, str]) -> Column:
+    """Each of an array of texts as a struct."""
+    # parsed in an inner step, so that a text is parsed once and not once a field
+    read = F.transform(texts, lambda t: F.from_json(t, ", ".join(f"{n} string" for n in fields)))
+    return F.transform(read, lambda r: F.struct(*(r[n].cast(t).alias(n) for n, t in fields.items())))
+
+
+def _by_bucket(rows: DataFrame, updater: Callable, schema: str, buckets: int | None) -> DataFrame:
+    """A stream of ``key, time, us, _id, said`` through an updater of ``keyed``, whose state is kept per bucket of keys."""
+    if buckets is None:
+        buckets = 16 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (
+        rows.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
+        .groupBy("bucket")
+        .applyInPandasWithState(updater, schema, keyed.STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    )
+
+
+def stream_messages(
+    receptions: DataFrame, window_ms: float = WINDOW_MS, delay: str = "10 seconds", buckets: int | None = None
+) -> DataFrame:
     """The stream twin of ``collapse_receptions``: one row per message, with header and array of receptions.
 
-    Input as for the batch: ``_id, phyPayload, rxInfo``. State is kept per
-    message key in the store on disk: its receptions, until the watermark is a
-    window past the first of them. A message goes out once, complete; receptions
-    that come later than ``delay`` after it are dropped. One without a time is a
-    message of its own at once.
+    Input as for the batch: ``_id, phyPayload, rxInfo``. State holds the
+    receptions of a message until the watermark is a window past the first of
+    them. A message goes out once, complete; receptions that come later than
+    ``delay`` after it are dropped. One without a time is a message of its own
+    at once. State is kept per hash bucket of message keys, of which there are
+    16 times the shuffle partitions unless ``buckets`` is given; it must stay
+    the same over restarts of a stream.
     """
     rx = F.col("rxInfo")
     flat = {
@@ -81,11 +109,13 @@ def stream_messages(receptions: DataFrame, window_ms: float = WINDOW_MS, delay:
     }
     fields = {**keyed.KEY, **keyed.HEADER, **keyed.RECEPTION}
     rows = receptions.select(rx["time"].alias("time"), *(flat.get(n, F.col(n)).cast(t).alias(n) for n, t in fields.items()))
-    told = (
-        rows.where("time is not null").withWatermark("time", delay)
-        .groupBy(*keyed.KEY)
-        .transformWithState(keyed.Messages(int(window_ms * 1000)), keyed.MESSAGE, "append", "eventTime")
-    )
+    timed = rows.where("time is not null").withWatermark("time", delay)
+    timed = timed.select(_as_text(*keyed.KEY).alias("key"), "time", "us", "_id", _as_text(*keyed.RECEPTION, *keyed.HEADER).alias("said"))
+    told = _by_bucket(timed, keyed.message_updater(int(window_ms * 1000)), keyed.MESSAGE, buckets).select(
+        F.get(_from_text(F.array("key"), keyed.KEY), F.lit(0)).alias("key"),
+        F.get(_from_text(F.slice("receptions", 1, 1), keyed.HEADER), F.lit(0)).alias("head"),
+        _from_text(F.col("receptions"), keyed.RECEPTION).alias("rx"),
+    ).select("key.*", "head.*", "rx")
     alone = rows.where("time is null").withColumn("rx", F.array(F.struct(*keyed.RECEPTION)))
     both = told.unionByName(alone.select(*told.columns))
     names = ("_id", "channel", "rfChain", "loRaSNR", "timestamp", "mac", "rssi", "crcStatus")
@@ -98,7 +128,11 @@ def stream_messages(receptions: DataFrame, window_ms: float = WINDOW_MS, delay:
 
 
 def stream_flags(
-    packets: DataFrame, gap_minutes: float = GAP_MINUTES, strict_keys: bool = False, delay: str = "10 seconds"
+    packets: DataFrame,
+    gap_minutes: float = GAP_MINUTES,
+    strict_keys: bool = False,
+    delay: str = "10 seconds",
+    buckets: int | None = None,
 ) -> DataFrame:
     """The stream twin of ``flag_duplicates``: ``_id, time, is_duplicate, copy_of`` of each packet.
 
@@ -106,7 +140,8 @@ def stream_flags(
     ``strict_keys``, of a payload and its radio parameters): the packets that
     wait, and the last one that went out with the head of its chain, which is
     forgotten after a gap. Packets without a payload or a time are originals at
-    once; those later than ``delay`` are dropped.
+    once; those later than ``delay`` are dropped. State is kept per hash bucket
+    of keys as in ``stream_messages``, with ``buckets`` as there.
     """
     radio = dict(zip(keyed.RADIO, _RADIO.values(), strict=True))
     rows = packets.select(
@@ -114,15 +149,10 @@ def stream_flags(
         *(F.col(path).cast(keyed.RADIO[n]).alias(n) for n, path in radio.items()),
     )
     ordered = F.col("phyPayload").isNotNull() & F.col("time").isNotNull()
-    keys = ["phyPayload"]
-    if strict_keys:
-        keys += [f"key_{n}" for n in radio]
-        rows = rows.withColumns({f"key_{n}": F.col(n) for n in radio})
-    told = (
-        rows.where(ordered).withWatermark("time", delay)
-        .groupBy(*keys)
-        .transformWithState(keyed.Flags(int(gap_minutes * 60_000_000), not strict_keys), keyed.FLAG, "append", "eventTime")
-    )
+    keys = ["phyPayload", *radio] if strict_keys else ["phyPayload"]
+    timed = rows.where(ordered).withWatermark("time", delay)
+    timed = timed.select(_as_text(*keys).alias("key"), "time", "us", "_id", _as_text(*radio).alias("said"))
+    told = _by_bucket(timed, keyed.flag_updater(int(gap_minutes * 60_000_000)), keyed.FLAG, buckets)
     alone = rows.where(~ordered).select("_id", "us", F.lit(False).alias("is_duplicate"), F.col("_id").alias("copy_of"))
     return told.unionByName(alone).select("_id", F.timestamp_micros("us").alias("time"), "is_duplicate", "copy_of")
 
@@ -183,7 +213,7 @@ def stream_weekly(packets: DataFrame, key: str, name: str, zone: str = ZONE, del
 
 @contextmanager
 def state_on_disk(spark):
-    """Streams started inside keep their state in RocksDB, as ``stream_messages`` and ``stream_flags`` need."""
+    """Streams started inside keep their state in RocksDB, that of ``stream_messages`` and ``stream_flags`` out of memory."""
     before = spark.conf.get(_STORE)
     spark.conf.set(_STORE, _ROCKSDB)
     try:

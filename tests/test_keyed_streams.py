@@ -85,6 +85,26 @@ def test_flags_equal_the_batch_over_restarts(spark, tmp_path, strict):
     assert sum(d for d, _ in want.values()) > 20
 
 
+@pytest.mark.parametrize("strict", [None, False, True])
+def test_state_is_kept_by_bucket_and_not_by_key(spark, tmp_path, strict):
+    # 300 payloads, with text that must come back as it was
+    rows = [(f"r{i}", i * 1000, f'p "{i}" \\ |-', 1, 7) for i in range(300)] + [("a|", 5, "-", None, None), (None, 7, "", 1, 7), CLOCK]
+    make = gateway_rows if strict is None else packet_rows
+    make(spark, rows).coalesce(1).write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(make(spark, []).schema).parquet(str(tmp_path / "in"))
+    stream = jobs.stream_messages(source, buckets=4) if strict is None else jobs.stream_flags(source, strict_keys=strict, buckets=4)
+    with jobs.state_on_disk(spark):
+        query = jobs.run_available(stream, str(tmp_path / "out"), str(tmp_path / "check"))
+    kept = [s["numRowsTotal"] for p in query.recentProgress for s in p["stateOperators"]]
+    assert 1 <= max(kept) <= 4
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    if strict is None:
+        assert {(r["_id"], r["phyPayload"], r["rxInfo"][0]["mac"]) for r in got} == {(i, p, i and f"gw{i}") for i, _, p, _, _ in rows[:-1]}
+    else:
+        assert {(r["_id"], r["copy_of"], r["is_duplicate"]) for r in got if r["_id"]} == {(r[0], r[0], False) for r in rows[:-1] if r[0]}
+        assert len(got) == 302
+
+
 def test_chains_equal_strict_flags(spark, tmp_path):
     rows = crowd(6, 400, span_s=4 * 3600)
     flags = duplicates.flag_duplicates(packet_rows(spark, rows), gap_minutes=10, strict_keys=True)
