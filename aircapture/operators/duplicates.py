@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from aircapture.functions import predicates
 from aircapture.functions.frame import DUP_VERSION
 from aircapture.operators.folds import anchor_fold
-from aircapture.operators.skew import gap_chains, heavy_hashes, ordered_fold
+from aircapture.operators.skew import gap_chains, heavy_keys, ordered_fold
 from aircapture.session import scratch_path
 
 # Receptions up to an hour apart are copies; a message gathers receptions for 300 ms.
@@ -44,8 +44,8 @@ def flag_duplicates(
     flat = _flat(df)
     keys = ["phyPayload", "_solo", *_RADIO] if strict_keys else ["phyPayload", "_solo"]
     same = [] if strict_keys else list(_RADIO)
-    hot = heavy_hashes(flat, keys, hot_min_rows)
-    chained = gap_chains(flat, keys, "time", "_id", int(gap_minutes * 60_000_000), same, hot, slice_rows)
+    hot, rows = heavy_keys(flat, keys, hot_min_rows)
+    chained = gap_chains(flat, keys, "time", "_id", int(gap_minutes * 60_000_000), same, hot, slice_rows, rows)
     return chained.withColumn("dup_infos", _dup_infos(version)).drop(*_RADIO, "_solo", "chain_id", "chain_time")
 
 
@@ -125,8 +125,8 @@ def flag_incremental(
     )
     flat = _flat(window.drop("_first")).withColumn("_label", F.struct(F.col("_id"), F.col("_earlier")))
     keys = ["phyPayload", "_solo"]
-    hot = heavy_hashes(flat, keys, hot_min_rows)
-    chained = gap_chains(flat, keys, "time", "_label", int(gap_minutes * 60_000_000), list(_RADIO), hot, slice_rows)
+    hot, rows = heavy_keys(flat, keys, hot_min_rows)
+    chained = gap_chains(flat, keys, "time", "_label", int(gap_minutes * 60_000_000), list(_RADIO), hot, slice_rows, rows)
     head = F.coalesce(F.col("chain_id._earlier"), F.col("chain_id._id"))
     return chained.withColumn(
         "dup_infos",
@@ -175,14 +175,14 @@ def assign_messages(
         "_at", F.col("rxInfo.time")
     )
     keys = ["phyPayload", *_MESSAGE_KEYS]
-    hot = heavy_hashes(flat, keys, hot_min_rows)
-    chained = gap_chains(flat, keys, "_at", "_id", window_us, [], hot, slice_rows).withColumn(
+    hot, rows = heavy_keys(flat, keys, hot_min_rows)
+    chained = gap_chains(flat, keys, "_at", "_id", window_us, [], hot, slice_rows, rows).withColumn(
         "_us", F.unix_micros("_at")
     )
     late = F.col("_us") - F.unix_micros("chain_time") > window_us
     first = chained.where(~F.coalesce(late, F.lit(False))).withColumn("message_id", F.col("chain_id"))
     rest = chained.where(late)
-    hot_chains = heavy_hashes(rest, ["chain_id"], hot_min_rows) if hot else []
+    hot_chains = None if hot is None else heavy_keys(rest, ["chain_id"], hot_min_rows)[0]
     folded = ordered_fold(
         rest,
         "chain_id",

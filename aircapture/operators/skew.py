@@ -1,6 +1,8 @@
 """Order-dependent building blocks that hold when one key owns a large share of the rows.
 
 ``heavy_hashes``   which keys are too big for one task (an exact count, partial before its shuffle)
+``heavy_keys``     the same as a table, and the number of rows
+``dealt``          rows by key in tasks small enough to sort in memory
 ``time_cuts``      instants that cut heavy keys into slices of even size
 ``gap_chains``     consecutive rows of a key closer than a gap form a chain
 ``running_total``  cumulative weight in value order, without a one-task window
@@ -11,7 +13,7 @@ from __future__ import annotations
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -25,6 +27,7 @@ cloudpickle.register_pickle_by_value(folds)
 
 HOT_MIN_ROWS = 2_000_000
 EPOCH_ROWS = 20_000_000
+TASK_ROWS = 150_000
 
 
 def heavy_hashes(df: DataFrame, keys: list[str], min_rows: int | None = None) -> list[int]:
@@ -45,42 +48,97 @@ def is_heavy(keys: list[str], hashes: list[int]) -> Column:
     return F.xxhash64(*keys).isin(hashes)
 
 
+def heavy_keys(df: DataFrame, keys: list[str], min_rows: int | None = None) -> tuple[DataFrame | None, int]:
+    """The heavy keys of ``heavy_hashes`` as a stored table (h, n), or None if there is none; and how many rows there are.
+
+    For limits so low that very many keys count as heavy: the driver gets two numbers only.
+    """
+    min_rows, seen = HOT_MIN_ROWS if min_rows is None else min_rows, Observation()
+    path = scratch_path(df.sparkSession, "heavy")
+    counts = df.select(F.xxhash64(*keys).alias("h")).groupBy("h").agg(F.count("*").alias("n"))
+    told = counts.observe(seen, F.sum("n").alias("rows"), F.count_if(F.col("n") >= min_rows).alias("heavy"))
+    told.where(F.col("n") >= min_rows).write.parquet(path)
+    if not seen.get["heavy"]:
+        return None, seen.get["rows"] or 0
+    return df.sparkSession.read.schema("h long, n long").parquet(path), seen.get["rows"]
+
+
+def heavy_rows(df: DataFrame, keys: list[str], hot: list[int] | DataFrame) -> DataFrame:
+    if isinstance(hot, list):
+        return df.where(is_heavy(keys, hot))
+    return df.join(hot.select(F.col("h").alias("_h")), F.xxhash64(*keys) == F.col("_h"), "left_semi")
+
+
+def other_rows(df: DataFrame, keys: list[str], hot: list[int] | DataFrame) -> DataFrame:
+    if isinstance(hot, list):
+        return df.where(~is_heavy(keys, hot))
+    return df.join(hot.select(F.col("h").alias("_h")), F.xxhash64(*keys) == F.col("_h"), "left_anti")
+
+
+def dealt(df: DataFrame, rows: int | None, keys: list[str]) -> DataFrame:
+    """Rows by key over so many tasks that one sorts about ``TASK_ROWS`` of ``rows`` without spilling.
+
+    Adaptive execution sizes tasks by compressed bytes, and packets are several times larger in a sort.
+    """
+    tasks = -(-(rows or 0) // TASK_ROWS)
+    return df.repartition(tasks, *keys) if tasks > df.sparkSession.sparkContext.defaultParallelism else df
+
+
+def _cuts(df: DataFrame, keys: list[str], time: str, heavy: DataFrame, rows: int) -> DataFrame:
+    """(h, cuts) of the keys in ``heavy`` (h, n) that need cuts; see ``time_cuts``."""
+    parts = heavy.withColumn("parts", F.ceil(F.col("n") / rows).cast("int")).where("parts > 1")
+    # keys of like size share a sketch, so that small keys do not get one as fine as the biggest needs
+    size = F.ceil(F.log2("parts")).cast("int")
+    most_of = {r["size"]: r["most"] for r in parts.groupBy(size.alias("size")).agg(F.max("parts").alias("most")).collect()}
+    known = df.where(F.col(time).isNotNull()).select(F.xxhash64(*keys).alias("h"), F.unix_micros(F.col(time)).alias("us"))
+    found = df.sparkSession.createDataFrame([], "h long, cuts array<long>")
+    for of, most in sorted(most_of.items()):
+        quantiles = [i / most for i in range(1, most)]
+        sketch = known.join(parts.where(size == of).select("h", "parts"), "h").groupBy("h", "parts")
+        sketch = sketch.agg(F.percentile_approx("us", quantiles, 4 * max(most, 500)).alias("q"))
+        at = F.transform(F.sequence(F.lit(1), F.col("parts") - 1), lambda i: (i * most / F.col("parts")).cast("int"))
+        cut = F.transform(at, lambda i: F.get("q", F.greatest(i - 1, F.lit(0))))
+        whole = F.array_sort(F.array_distinct(F.transform(cut, lambda c: c - F.pmod(c, F.lit(1000)))))
+        found = found.unionByName(sketch.select("h", whole.alias("cuts")))
+    return found
+
+
 def time_cuts(df: DataFrame, keys: list[str], time: str, hot: list[int], rows: int) -> dict[int, list[int]]:
     """For each heavy key (by hash) the instants that cut it into slices of about ``rows`` rows.
 
-    From a quantile sketch per key, as fine as the biggest key needs, so no
-    slice grows with the input; the driver gets the slices' ends.  Instants are
-    µs at whole milliseconds: rows of one millisecond stay together, so an order
-    by milliseconds is kept.
+    From a quantile sketch per key, as fine as its size needs, so no slice grows
+    with the input; the driver gets the slices' ends.  Instants are µs at whole
+    milliseconds: rows of one millisecond stay together, so an order by
+    milliseconds is kept.
     """
     heavy = df.where(is_heavy(keys, hot) & F.col(time).isNotNull())
-    h = F.xxhash64(*keys).alias("h")
-    biggest = heavy.groupBy(h).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    most = max(2, -(-biggest // rows))
-    quantiles = [i / most for i in range(1, most)]
-    us = F.unix_micros(F.col(time))
-    sketch = (
-        heavy.groupBy(h)
-        .agg(F.count("*").alias("n"), F.percentile_approx(us, quantiles, 4 * max(most, 500)).alias("q"))
-        .withColumn("parts", F.ceil(F.col("n") / rows).cast("int"))
-        .where(F.col("parts") > 1)
-    )
-    at = F.transform(F.sequence(F.lit(1), F.col("parts") - 1), lambda i: (i * most / F.col("parts")).cast("int"))
-    cut = F.transform(at, lambda i: F.get("q", F.greatest(i - 1, F.lit(0))))
-    whole = F.array_sort(F.array_distinct(F.transform(cut, lambda c: c - F.pmod(c, F.lit(1000)))))
-    return {r["h"]: r["cuts"] for r in sketch.select("h", whole.alias("cuts")).collect()}
+    counts = heavy.groupBy(F.xxhash64(*keys).alias("h")).agg(F.count("*").alias("n"))
+    return {r["h"]: r["cuts"] for r in _cuts(heavy, keys, time, counts, rows).collect()}
+
+
+def cut_table(df: DataFrame, keys: list[str], time: str, hot: DataFrame, rows: int) -> DataFrame:
+    """The cuts of ``time_cuts`` as a stored table (h, cuts) of all keys in ``hot``; none passes the driver."""
+    path = scratch_path(df.sparkSession, "cuts")
+    cuts = _cuts(df, keys, time, hot, rows)
+    hot.join(cuts, "h", "left").select("h", F.coalesce("cuts", F.array().cast("array<long>")).alias("cuts")).write.parquet(path)
+    return df.sparkSession.read.schema("h long, cuts array<long>").parquet(path)
 
 
-def with_slice(df: DataFrame, keys: list[str], time: str, cuts: dict[int, list[int]], name: str) -> DataFrame:
+def with_slice(df: DataFrame, keys: list[str], time: str, cuts: dict[int, list[int]] | DataFrame, name: str) -> DataFrame:
     """Add the number of the key's cuts at or before the row's instant (null for a null instant)."""
     known = F.col(time).isNotNull()
-    if not cuts:
+    if isinstance(cuts, DataFrame):
+        table = cuts.select(F.col("h").alias("_h"), F.col("cuts").alias("_cuts"))
+        most = table.agg(F.max(F.size("_cuts"))).first()[0] or 0
+    else:
+        # from Arrow, so that it is a local relation whose size the planner knows
+        rows = pa.table({"_h": pa.array(list(cuts), pa.int64()), "_cuts": pa.array(list(cuts.values()), pa.list_(pa.int64()))})
+        table = df.sparkSession.createDataFrame(rows) if cuts else None
+        most = max(map(len, cuts.values()), default=0)
+    if not most:
         return df.withColumn(name, F.when(known, F.lit(0)))
-    # from Arrow, so that it is a local relation whose size the planner knows
-    rows = pa.table({"_h": pa.array(list(cuts), pa.int64()), "_cuts": pa.array(list(cuts.values()), pa.list_(pa.int64()))})
-    table = df.sparkSession.createDataFrame(rows)
     # binary search: jump ahead by falling powers of two while the cut there is not later
-    jumps = F.lit([1 << k for k in reversed(range(max(map(len, cuts.values())).bit_length()))])
+    jumps = F.lit([1 << k for k in reversed(range(most.bit_length()))])
     us = F.unix_micros(F.col(time))
     found = F.aggregate(
         jumps,
@@ -123,17 +181,19 @@ def gap_chains(
     row_id: str,
     gap_us: int,
     same: list[str] | None = None,
-    hot: list[int] | None = None,
+    hot: DataFrame | None = None,
     slice_rows: int | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """Add ``chain_id``, ``chain_time`` (row id and time of the chain's first row).
 
     Rows of one key are ordered by (time, row_id); a row continues its chain when
     the row just before it is at most ``gap_us`` older and agrees on ``same``.
-    Keys in ``hot`` are cut into time slices of about ``slice_rows`` rows that are
+    Keys in ``hot`` (a table of ``heavy_keys``) are cut into time slices of about ``slice_rows`` rows that are
     chained in parallel; a small table with one row per slice then joins the
     slices together, so no task sees more than one slice of a heavy key.  A row
     without a time is a chain of its own; those of heavy keys pass the windows by.
+    ``rows``, if known, sets how many tasks there are.
     """
     same = same or []
     final = [*df.columns, "chain_id", "chain_time"]
@@ -141,15 +201,15 @@ def gap_chains(
     def finish(chained: DataFrame) -> DataFrame:
         return chained.withColumns({"chain_id": F.col("_chain.id"), "chain_time": F.col("_chain.time")}).select(*final)
 
-    if not hot:
-        return finish(_chains_by_window(df, keys, time, row_id, gap_us, same))
+    if hot is None:
+        return finish(_chains_by_window(dealt(df, rows, keys), keys, time, row_id, gap_us, same))
 
-    cold = _chains_by_window(df.where(~is_heavy(keys, hot)), keys, time, row_id, gap_us, same)
-    cuts = time_cuts(df, keys, time, hot, HOT_MIN_ROWS if slice_rows is None else slice_rows)
-    heavy = df.where(is_heavy(keys, hot))
+    cold = _chains_by_window(dealt(other_rows(df, keys, hot), rows, keys), keys, time, row_id, gap_us, same)
+    cuts = cut_table(df, keys, time, hot, HOT_MIN_ROWS if slice_rows is None else slice_rows)
+    heavy = heavy_rows(df, keys, hot)
     untimed = heavy.where(F.col(time).isNull()).withColumns({"chain_id": F.col(row_id), "chain_time": F.col(time)})
     sliced = with_slice(heavy.where(F.col(time).isNotNull()), keys, time, cuts, "_slice")
-    parts = _chains_by_window(sliced, [*keys, "_slice"], time, row_id, gap_us, same)
+    parts = _chains_by_window(dealt(sliced, rows, [*keys, "_slice"]), [*keys, "_slice"], time, row_id, gap_us, same)
 
     position = F.struct(time, row_id)
     edge = F.struct(F.col(row_id).alias("id"), F.col(time).alias("time"), *same)
@@ -261,10 +321,11 @@ def ordered_fold(
     added: T.StructType,
     fold: Fold,
     time: str,
-    hot: list[int] | None = None,
+    hot: list[int] | DataFrame | None = None,
     epoch_rows: int | None = None,
     states: DataFrame | None = None,
     keep_states: bool = False,
+    n_rows: int | None = None,
 ) -> DataFrame:
     """Append the columns ``added`` computed by a sequential fold over each key's rows.
 
@@ -282,7 +343,8 @@ def ordered_fold(
     ``states`` (``key``, ``_state``) are closing states of an earlier fold, to go
     on from. With ``keep_states`` the result has a column ``_state`` and one more
     row per key, of the rows or of ``states``: the key and its closing state,
-    where ``_state`` is null in all other rows.
+    where ``_state`` is null in all other rows. ``n_rows``, if known, sets how many
+    tasks there are.
     """
     columns, names = df.columns, [f.name for f in added.fields]
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in [*df.schema.fields, *added.fields]])
@@ -291,7 +353,8 @@ def ordered_fold(
 
     def fold_all(rows: DataFrame, carry: bool) -> DataFrame:
         first = [F.col("_state").isNull()] if carry else []
-        ordered = rows.repartition(key).sortWithinPartitions(key, *first, *order)
+        tasks = [t] if (t := -(-(n_rows or 0) // TASK_ROWS)) > df.sparkSession.sparkContext.defaultParallelism else []
+        ordered = rows.repartition(*tasks, key).sortWithinPartitions(key, *first, *order)
         worker = arrow_folder(columns, key, inputs, arrow_added, fold, carry)
         return ordered.mapInArrow(worker, carry_schema if carry else schema)
 
@@ -304,13 +367,13 @@ def ordered_fold(
     def done_with(told: DataFrame) -> DataFrame:
         return told if keep_states else told.where("_state is null").drop("_state")
 
-    if not hot:
+    if hot is None or hot == []:
         return done_with(fold_all(begin(df, states), True)) if carried else fold_all(df, False)
 
     spark, root = df.sparkSession, scratch_path(df.sparkSession, "fold")
-    cuts = time_cuts(df, [key], time, hot, EPOCH_ROWS if epoch_rows is None else epoch_rows)
+    cuts = (time_cuts if isinstance(hot, list) else cut_table)(df, [key], time, hot, EPOCH_ROWS if epoch_rows is None else epoch_rows)
     (
-        with_slice(df.where(is_heavy([key], hot)), [key], time, cuts, "_epoch")
+        with_slice(heavy_rows(df, [key], hot), [key], time, cuts, "_epoch")
         .repartitionByRange("_epoch", time)
         .write.partitionBy("_epoch")
         .parquet(f"{root}/input")
@@ -320,13 +383,13 @@ def ordered_fold(
     epochs = sorted(r["_epoch"] for r in heavy.select("_epoch").distinct().collect())
     cold_states, paths = None, []
     if states is not None:
-        cold_states, states = states.where(~is_heavy([key], hot)), states.where(is_heavy([key], hot))
+        cold_states, states = other_rows(states, [key], hot), heavy_rows(states, [key], hot)
     for e in epochs:
         rows = begin(heavy.where(F.col("_epoch") == e).drop("_epoch"), states)
         paths.append(f"{root}/epoch-{e}")
         fold_all(rows, True).write.parquet(paths[-1])
         states = spark.read.schema(carry_schema).parquet(paths[-1]).where("_state is not null").select(key, "_state")
-    cold = df.where(~is_heavy([key], hot))
+    cold = other_rows(df, [key], hot)
     result = done_with(fold_all(begin(cold, cold_states), True)) if carried else fold_all(cold, False)
     if not paths:
         return result

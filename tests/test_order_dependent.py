@@ -251,6 +251,25 @@ def test_slices_are_even_and_in_order(spark):
     assert with_slice(empty, ["k"], "t", cuts, "s").first()["s"] is None
 
 
+def test_heavy_keys_pass_the_driver_by(spark, monkeypatch):
+    rows = [(f"r{i}-{j}", i * 10_000_000 + j * 200_000, f"p{i}", 1, 7) for i in range(400) for j in range(4)]
+    frame = type(spark.range(1))
+    told, collect = [], frame.collect
+
+    def counted(df):
+        told.append(collect(df))
+        return told[-1]
+
+    monkeypatch.setattr(frame, "collect", counted)
+    flags = D.flag_duplicates(as_packets(spark, rows), hot_min_rows=3, slice_rows=2)
+    messages = D.assign_messages(as_receptions(spark, rows), hot_min_rows=3, slice_rows=2)
+    assert 0 < sum(map(len, told)) < 40
+    monkeypatch.undo()
+    assert told_flags(flags) == model.flags([(p, us, i, (f, s)) for i, us, p, f, s in rows])
+    want = model.messages([((p, f, s), us, i) for i, us, p, f, s in rows])
+    assert {r["_id"]: r["message_id"] for r in messages.select("_id", "message_id").collect()} == want
+
+
 def test_heavy_keys_are_found(spark):
     df = spark.createDataFrame([("a",)] * 500 + [(f"k{i}",) for i in range(800)] + [(None,)] * 300, "k string")
     found = heavy_hashes(df, ["k"], 200)
