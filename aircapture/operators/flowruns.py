@@ -11,7 +11,7 @@ from pyspark.sql.utils import AnalysisException
 from aircapture import schema
 from aircapture.operators.flows import MAX_FCNT_STEP, MAX_SILENCE_MS, _ADDED, _originals, _told, summarise_flows
 from aircapture.operators.folds import flow_fold
-from aircapture.operators.skew import heavy_hashes, ordered_fold
+from aircapture.operators.skew import dealt, heavy_keys, ordered_fold
 
 _COMMIT = "run int, packets long, late long, copies long"
 _STATE = "devAddr string, _state binary, last struct<ms: bigint, _id: string>"
@@ -68,16 +68,16 @@ class FlowRuns:
             originals = placed.where(~late).drop("last")
         else:
             self._write(originals.limit(0).drop("_us", "_ms"), "late", run)
-        hot = heavy_hashes(originals, ["devAddr"], hot_min_rows)
+        hot, rows = heavy_keys(originals, ["devAddr"], hot_min_rows)
         folded = ordered_fold(
             originals, "devAddr", ["_ms", "_id"], ["_us", "fCnt"], _ADDED, flow_fold(max_fcnt, max_gap_ms),
-            "time", hot, epoch_rows, states, keep_states=True,
+            "time", hot, epoch_rows, states, keep_states=True, n_rows=rows,
         )
         # rows and closing states come out of one fold, so they are stored together and parted afterwards
         folded = self._write(folded, "folded", run)
-        rows = folded.where("_state is null")
-        told = self._write(_told(rows), "packets", run)
-        ends = rows.groupBy("devAddr").agg(F.max(F.struct(F.col("_ms").alias("ms"), "_id")).alias("last"))
+        placed = folded.where("_state is null")
+        told = self._write(_told(placed), "packets", run)
+        ends = placed.groupBy("devAddr").agg(F.max(F.struct(F.col("_ms").alias("ms"), "_id")).alias("last"))
         if last is not None:
             ends = ends.unionByName(last).groupBy("devAddr").agg(F.max("last").alias("last"))
         self._write(folded.where("_state is not null").select("devAddr", "_state").join(ends, "devAddr"), "states", run)
@@ -96,7 +96,8 @@ class FlowRuns:
     def flow_packets(self) -> DataFrame:
         """Packets of the flows of all runs (all columns of ``schema.FLOW_PACKET``)."""
         copies = self._runs("copies").groupBy("_id").agg(F.sum("nb_duplicates").alias("_n"))
-        told = self._runs("packets").join(copies, "_id", "left")
+        rows = self.commits().agg(F.sum("packets")).first()[0]
+        told = dealt(self._runs("packets"), rows, ["_id"]).join(dealt(copies, rows, ["_id"]), "_id", "left")
         return told.withColumn("nb_duplicates", F.coalesce("_n", F.lit(0).cast("long"))).select(*schema.FLOW_PACKET_COLUMNS)
 
     def late_packets(self) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from aircapture import schema
 from aircapture.functions import predicates
 from aircapture.operators.folds import flow_fold
-from aircapture.operators.skew import heavy_hashes, ordered_fold
+from aircapture.operators.skew import dealt, heavy_hashes, heavy_keys, ordered_fold
 
 # Limits of the counter step and of the silence inside one flow.
 MAX_FCNT_STEP = 10_000
@@ -65,7 +65,8 @@ def assign_flows(
     max_gap_ms: int = MAX_SILENCE_MS,
     hot_min_rows: int | None = None,
     epoch_rows: int | None = None,
-    hot: list[int] | None = None,
+    hot: list[int] | DataFrame | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """Split the non-duplicate packets of ``flow_input`` into flows.
 
@@ -76,15 +77,16 @@ def assign_flows(
     earlier choices, so this is a fold, one key per device, in bounded memory;
     devices with at least ``hot_min_rows`` packets are folded epoch by epoch.
     Packets without a time are in no flow; ``untimed_packets`` returns them.
-    Pass ``hot`` (see ``heavy_devices``) where the packets come from a long plan.
+    Pass ``hot`` (see ``heavy_devices``) where the packets come from a long plan,
+    and ``rows``, how many they are about, so that tasks are small enough.
     """
     originals = _originals(packets)
     if hot is None:
-        hot = heavy_hashes(originals, ["devAddr"], hot_min_rows)
+        hot, rows = heavy_keys(originals, ["devAddr"], hot_min_rows)
     return _told(
         ordered_fold(
             originals, "devAddr", ["_ms", "_id"], ["_us", "fCnt"], _ADDED, flow_fold(max_fcnt, max_gap_ms),
-            "time", hot, epoch_rows,
+            "time", hot, epoch_rows, n_rows=rows,
         )
     )
 
@@ -107,11 +109,11 @@ def untimed_packets(packets: DataFrame) -> DataFrame:
     return packets.where(~F.col("is_duplicate") & F.col("time").isNull())
 
 
-def attach_duplicates(flow_packets: DataFrame, packets: DataFrame) -> DataFrame:
-    """Add ``nb_duplicates``: the flagged copies of each packet, counted before the join."""
+def attach_duplicates(flow_packets: DataFrame, packets: DataFrame, rows: int | None = None) -> DataFrame:
+    """Add ``nb_duplicates``: the flagged copies of each packet, counted before the join; ``rows`` as in ``assign_flows``."""
     copies = packets.where("is_duplicate").groupBy(F.col("copy_of").alias("_id")).agg(F.count("*").alias("_n"))
     return (
-        flow_packets.join(copies, "_id", "left")
+        dealt(flow_packets, rows, ["_id"]).join(dealt(copies, rows, ["_id"]), "_id", "left")
         .withColumn("nb_duplicates", F.coalesce("_n", F.lit(0)))
         .drop("_n")
     )
@@ -126,7 +128,10 @@ def unmatched_duplicates(flow_packets: DataFrame, packets: DataFrame) -> DataFra
 def infer_flow_packets(df: DataFrame, **options) -> DataFrame:
     """Flagged, decoded packets to flow packets (all columns of ``schema.FLOW_PACKET``)."""
     packets = flow_input(df)
-    told = attach_duplicates(assign_flows(packets, **options), packets)
+    if options.get("hot") is None:
+        hot, rows = heavy_keys(_originals(packets), ["devAddr"], options.get("hot_min_rows"))
+        options |= {"hot": [] if hot is None else hot, "rows": rows}
+    told = attach_duplicates(assign_flows(packets, **options), packets, options.get("rows"))
     return told.select(*schema.FLOW_PACKET_COLUMNS)
 
 

@@ -34,7 +34,7 @@ class Stored:
         key = (spark.sparkContext.applicationId, self.name, sf_dir.rstrip("/"))
         if key not in _STORED:
             path = scratch_path(use_utc(spark), self.name)
-            self.build(spark, sf_dir).write.parquet(path)
+            self.build(spark, sf_dir).write.option("compression", "zstd").parquet(path)
             _STORED[key] = path
         return _STORED[key]
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aircapture import schema
+from aircapture.operators.skew import TASK_ROWS
 
 
 def write_flows(flows: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -31,12 +32,16 @@ def address_block(dev_addr: Column) -> Column:
 def write_flow_packets(flow_packets: DataFrame, path: str, mode: str = "overwrite") -> None:
     """One table for all flows, in address blocks, sorted by device within each file.
 
-    The range exchange splits a busy block or device over several files.
+    The range exchange splits a busy block or device over several files, and
+    tasks are small enough to sort in memory; so packets are counted first,
+    which reads no more than the footers where they are stored.
     """
+    tasks = -(-flow_packets.count() // TASK_ROWS)
+    number = [tasks] if tasks > flow_packets.sparkSession.sparkContext.defaultParallelism else []
     (
         flow_packets.select(*schema.FLOW_PACKET_COLUMNS)
         .withColumn("addr_block", address_block(F.col("devAddr")))
-        .repartitionByRange("addr_block", "devAddr", "time")
+        .repartitionByRange(*number, "addr_block", "devAddr", "time")
         .sortWithinPartitions("addr_block", "devAddr", "flow_id", "time")
         .write.mode(mode)
         .partitionBy("addr_block")

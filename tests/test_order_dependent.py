@@ -270,6 +270,24 @@ def test_heavy_keys_pass_the_driver_by(spark, monkeypatch):
     assert {r["_id"]: r["message_id"] for r in messages.select("_id", "message_id").collect()} == want
 
 
+def test_tasks_grow_with_the_rows(spark, monkeypatch, tmp_path):
+    from aircapture.operators import skew
+    from aircapture.sources import flowstore
+
+    rows = crowd(12, 1200, span_s=400_000)
+    want = told_flags(D.flag_duplicates(as_packets(spark, rows)))
+    plain = W.infer_flow_packets(decode_frames(D.flag_duplicates(R.packets(spark, "/root/testdata/sf0.001"))))
+    expected = sorted(map(repr, plain.collect()))
+    for module in (skew, flowstore):
+        monkeypatch.setattr(module, "TASK_ROWS", 50)
+    flags = D.flag_duplicates(as_packets(spark, rows))
+    assert flags.rdd.getNumPartitions() == 24 and told_flags(flags) == want
+    flows = W.infer_flow_packets(decode_frames(D.flag_duplicates(R.packets(spark, "/root/testdata/sf0.001"))))
+    assert flows.rdd.getNumPartitions() > 8 and sorted(map(repr, flows.collect())) == expected
+    flowstore.write_flow_packets(flows, str(tmp_path / "flows"))
+    assert len(list((tmp_path / "flows").rglob("*.parquet"))) > 8
+
+
 def test_heavy_keys_are_found(spark):
     df = spark.createDataFrame([("a",)] * 500 + [(f"k{i}",) for i in range(800)] + [(None,)] * 300, "k string")
     found = heavy_hashes(df, ["k"], 200)
