@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import uuid
+from collections.abc import Hashable, Iterable, Iterator
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from aircapture.llm.common import cut
+from aircapture.llm.common import cut, release, shared_folder
 
 # Names of HTML elements by their part in a page: fixed values.
 RAW = frozenset("script style iframe textarea head".split())
@@ -24,6 +26,7 @@ INLINE = frozenset(
     "strong sub sup time tt u var wbr".split()
 )
 CONTENT = frozenset("article main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 header".split())
 BOILERPLATE = frozenset("nav footer aside button dialog menu".split())
 #: Elements that are outside the main text unless they hold it, as containers with a word of MARKS are.
 DOUBTFUL = frozenset("form fieldset header".split())
@@ -60,6 +63,8 @@ class Page:
         #: path, in a boilerplate element, numbers of the doubtful containers around it, text, linked characters
         self.blocks: list[tuple[tuple[str, ...], bool, tuple[int, ...], str, int]] = []
         self.paths: dict[tuple[str, ...], list[int]] = {}  # occurrences, first position
+        #: path and None where an element opens, path and number of the block where a text stands
+        self.events: list[tuple[tuple[str, ...], int | None]] = []
         self.doubtful: list[tuple[str, ...]] = []  # paths of containers that may be boilerplate
         self.holding: set[int] = set()  # numbers of those with an article or main inside
         self._read(html, places or {})
@@ -78,6 +83,7 @@ class Page:
             if said:
                 path = tuple(s[1] for s in stack)
                 doubts = tuple(s[3] for s in stack if s[3] is not None)
+                self.events.append((path, len(self.blocks)))
                 self.blocks.append((path, any(s[2] for s in stack), doubts, said, linked))
             text.clear()
             linked = 0
@@ -162,6 +168,7 @@ class Page:
             stack.append((tag, name, tag in BOILERPLATE, number))
             path = tuple(s[1] for s in stack)
             position += 1
+            self.events.append((path, None))
             self.paths.setdefault(path, [0, position])[0] += 1
         if hidden is not None:
             del stack[hidden:]
@@ -177,8 +184,8 @@ class Page:
         whole = below.get((), 0) or 1
         return {path: n / whole for path, n in below.items()}
 
-    def unmarked(self, template: dict[tuple[str, ...], dict] | None = None) -> list[tuple]:
-        """The blocks that are in no container of menus, notices and the like.
+    def unmarked(self, elements: dict[tuple[str, ...], dict] | None = None) -> list[int]:
+        """Numbers of the blocks that are in no container of menus, notices and the like.
 
         A name that marks a container counts only if the container holds no
         article or main and little of the text: of the host's pages where the
@@ -189,37 +196,122 @@ class Page:
         content = any(not b[1] and any(p.split(".")[0] in CONTENT for p in b[0]) for b in self.blocks)
         out = set()
         for k, path in enumerate(self.doubtful):
-            told = (template or {}).get(path)
+            told = (elements or {}).get(path)
             share = own.get(path, 0.0) if told is None else told["share"]
-            if k not in self.holding and (share < 0.5 or (not template and content)):
+            if k not in self.holding and (share < 0.5 or (not elements and content)):
                 out.add(k)
-        return [b for b in self.blocks if not b[1] and not out.intersection(b[2])]
+        return [k for k, b in enumerate(self.blocks) if not b[1] and not out.intersection(b[2])]
 
-    def text(self, template: dict[tuple[str, ...], dict] | None = None) -> str:
+    def text(self, elements: dict[tuple[str, ...], dict] | None = None, slots: dict[int, dict] | None = None) -> str:
         """The blocks that are main text.
 
-        The template decides: what fills its slots is main text wherever it
-        stands, what belongs to its classes is not, also in an article. Without
-        a template the blocks inside an article or main are, or all if there is
-        none. Slots of links count only inside an article or main, and what is
-        in a container of menus, notices and the like does not.
+        The template decides: the page is read as instances of the host's
+        classes (``elements`` by path), and what fills a slot between their
+        members is main text wherever it stands, what belongs to the classes
+        (the texts of ``slots``) is not, also in an article. Without a template
+        the blocks inside an article or main are, or all if there is none.
+        Slots of links count only inside an article or main, and what is in a
+        container of menus, notices and the like does not.
         """
-        good = self.unmarked(template)
-        if not template:
-            inside = [b for b in good if any(p.split(".")[0] in CONTENT for p in b[0])]
-            return " ".join(b[3] for b in inside or good)
+        good = self.unmarked(elements)
+        if not elements:
+            inside = [k for k in good if any(p.split(".")[0] in CONTENT for p in self.blocks[k][0])]
+            return " ".join(self.blocks[k][3] for k in inside or good)
+        numbers = {path: e["slot"] for path, e in elements.items()}
+        classes = {e["slot"]: e["class"] for e in elements.values()}
+        events = [(len(path), None if k is not None else numbers.get(path, path)) for path, k in self.events]
+        gaps, _ = instances(events, classes)
         said = []
-        for b in good:
-            told = template.get(b[0])
+        for k in good:
+            path, _, _, text, _ = self.blocks[k]
+            told = elements.get(path)
             if told is not None:
-                if told["linked"] >= 0.6 and not any(p.split(".")[0] in CONTENT for p in b[0]):
+                slot = (slots or {}).get(slot_number(gaps[k], told["slot"]))
+                linked = (slot or told)["linked"]
+                if linked >= 0.6 and not any(p.split(".")[0] in CONTENT for p in path):
                     continue
-                if told["texts"] and text_number(b[3]) in told["texts"]:
+                if slot and text_number(text) in slot["texts"]:
                     continue
-            said.append(b[3])
+            said.append(text)
         return " ".join(said)
 
 
+#: A tag: its element (any key) and whether it is the end tag.
+Tag = tuple[Hashable, bool]
+
+
+def instances(events: Iterable[tuple[int, Hashable | None]], classes: dict[Hashable, int]) -> tuple[list[tuple], dict[int, tuple[Tag, ...]]]:
+    """Reads a page as instances of classes: the gap of each text, and the order of each class.
+
+    ``events`` are depths with the element that opens there, or None for a text
+    in the element of that depth. Members of a class are the start and end tags
+    of its elements; a class is ordered if its tags come in one order, again
+    and again, and nested if no tag of an outer class comes within an instance
+    other than around it. The elements of a class that is not ordered here
+    stand each for itself, and its order is (), as that of one not nested.
+    The gap of a text is the member before it in the instance around it, and
+    that in the next instance around that one.
+    """
+    tags: list[Tag | None] = []
+    runs: dict[int, list[Tag]] = {}
+    standing: list[tuple[int, Hashable]] = []
+
+    def add(element: Hashable, end: bool) -> None:
+        c = classes.get(element)
+        if c is not None:
+            tag = (element, end)
+            tags.append(tag)
+            if c in runs:
+                runs[c].append(tag)
+            else:
+                runs[c] = [tag]
+
+    for depth, element in events:
+        if element is None:
+            while standing and standing[-1][0] > depth:
+                add(standing.pop()[1], True)
+            tags.append(None)
+        else:
+            while standing and standing[-1][0] >= depth:
+                add(standing.pop()[1], True)
+            standing.append((depth, element))
+            add(element, False)
+    while standing:
+        add(standing.pop()[1], True)
+
+    orders: dict[int, tuple[Tag, ...]] = {}
+    for c, run in runs.items():
+        times = run.count(run[0])
+        period = run[: len(run) // times]
+        orders[c] = tuple(period) if period * times == run else ()
+    length = {c: len(order) for c, order in orders.items()}
+
+    gaps: list[tuple] = []
+    around: list[list] = []  # class (or element in a tuple, if for itself), members yet to come, the last of them
+    for tag in tags:
+        if tag is None:
+            gaps.append((around[-1][2] if around else None, around[-2][2] if len(around) > 1 else None))
+            continue
+        c = classes[tag[0]]
+        name = c if length[c] else (tag[0],)
+        at = len(around) - 1
+        while at >= 0 and around[at][0] != name:
+            at -= 1
+        if at < 0:
+            around.append([name, length[c] or 2, None])
+        elif at < len(around) - 1:
+            for crossed, _, _ in around[at + 1 :]:
+                if crossed in orders:
+                    orders[crossed] = ()
+            del around[at + 1 :]
+        inner = around[-1]
+        inner[1] -= 1
+        inner[2] = tag
+        if not inner[1]:
+            around.pop()
+    return gaps, orders
+
+
 def host(url):
     """Lower-case host of an address; empty if there is none."""
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.\-]*://([^/?#]*)", 1)), F.lit(""))
@@ -229,68 +321,245 @@ def text_number(text: str) -> int:
     return xxh3_64_intdigest(text.encode()) - 2**63
 
 
+@lru_cache(maxsize=50_000)
+def slot_number(gap: tuple, element: int) -> int:
+    """A number for texts in ``element`` that stand in ``gap``: the element's role there."""
+    return text_number(f"{gap} {element}")
+
+
 def _tokens(pages: DataFrame) -> DataFrame:
-    """host, page (a number for the html) and ``tokens``, one row per different page of a host.
+    """host, page (a number for the html), ``tokens`` and ``sequence``, one row per different page of a host.
 
     A token is an element's path ("" for the page itself) or a text, which has
     no path but ``said``, its number; ``slot`` is a number for host and path.
+    The sequence has the number of the token for each start tag, and -1 less
+    that of the token for each text.
     """
-    columns = ("path", "slot", "said", "n", "at", "chars", "linked", "share")
-    kinds = (pa.string(), pa.int64(), pa.int64(), *[pa.int32()] * 4, pa.float32())
+    columns = ("path", "slot", "said", "depth", "n", "at", "chars", "linked", "share")
+    kinds = (pa.string(), pa.int64(), pa.int64(), *[pa.int32()] * 5, pa.float32())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
-            numbers, ends, out = [], [0], [[] for _ in columns]
+            numbers, ends, out, sequences = [], [0], [[] for _ in columns], []
             for h, html in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
                 read = Page(html)
                 numbers.append(text_number(html))
                 shares = read.shares()
-                texts: dict[tuple[str, ...], list] = {}
-                for path, _, _, said, linked in read.blocks:
-                    t = texts.setdefault(path, [0, 0, {}])
-                    t[0] += len(said)
-                    t[1] += linked
-                    t[2][text_number(said)] = t[2].get(text_number(said), 0) + len(said)
+                texts: dict[tuple[str, ...], dict[int, list[int]]] = {}
+                blocks = [(path, text_number(said)) for path, _, _, said, _ in read.blocks]
+                for (path, number), (_, _, _, said, linked) in zip(blocks, read.blocks, strict=True):
+                    t = texts.setdefault(path, {}).setdefault(number, [0, 0, 0])
+                    t[0] += 1
+                    t[1] += len(said)
+                    t[2] += linked
+                rows, where = [], {}
                 for path, (n, at) in {(): [1, 0], **read.paths}.items():
-                    chars, linked, said = texts.get(path, (0, 0, {}))
-                    name = "/".join(path)
+                    name, inside = "/".join(path), texts.get(path, {})
                     slot = text_number(f"{h}\n{name}")
-                    rows = [(name, slot, None, n, at, chars, linked, shares.get(path, 0.0))]
-                    rows += [(None, slot, number, 1, 0, size, 0, 0.0) for number, size in said.items()]
-                    for r in rows:
-                        for held, v in zip(out, r, strict=True):
-                            held.append(v)
+                    chars, linked = (sum(t[k] for t in inside.values()) for k in (1, 2))
+                    where[path] = len(rows)
+                    rows.append((name, slot, None, len(path), n, at, chars, linked, shares.get(path, 0.0)))
+                    for number, (times, size, ties) in inside.items():
+                        where[path, number] = -1 - len(rows)
+                        rows.append((None, slot, number, len(path), times, 0, size, ties, 0.0))
+                for held, v in zip(out, zip(*rows, strict=True), strict=True):
+                    held.extend(v)
+                sequences.append([where[path] if k is None else where[blocks[k]] for path, k in read.events])
                 ends.append(len(out[0]))
             flat = pa.StructArray.from_arrays([pa.array(v, k) for v, k in zip(out, kinds, strict=True)], columns)
             tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([b.column("host"), pa.array(numbers, pa.int64()), tokens], ["host", "page", "tokens"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column("host"), pa.array(numbers, pa.int64()), tokens, pa.array(sequences, pa.list_(pa.int32()))],
+                ["host", "page", "tokens", "sequence"],
+            )
+
+    token = "path: string, slot: long, said: long, depth: int, n: int, at: int, chars: int, linked: int, share: float"
+    read = pages.select("host", "html").mapInArrow(run, f"host string, page long, tokens array<struct<{token}>>, sequence array<int>")
+    first = read.groupBy("host", "page").agg(F.first(F.struct("tokens", "sequence")).alias("t"))
+    return first.select("host", "page", "t.tokens", "t.sequence")
+
+
+def _survey(pages: DataFrame) -> DataFrame:
+    """What the pages say of their host's classes, added up over each batch of pages.
+
+    From host, ``page`` (tokens without paths), ``sequence`` and ``known``
+    (slot, class and candidate texts of the host's elements). Rows with a
+    ``class`` tell in how many pages its tags come in the order ``about``
+    (slot and side of each; none if not ordered or not nested). Rows without
+    tell of a slot, ``key``: ``about`` is the element, then slot and side of
+    the members before, and the sums are those of all that is said there, or of
+    one text of it, ``said``.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, classes, candidates = None, {}, {}
+
+        def read(b: pa.RecordBatch, first: int, orders: dict[tuple, int], slots: dict[tuple, list[int]]) -> None:
+            nonlocal last, classes, candidates
+            page, sequence = b.column("page"), b.column("sequence")
+            slot, said, depth, n, chars, linked = (page.flatten().field(f).to_pylist() for f in ("slot", "said", "depth", "n", "chars", "linked"))
+            starts, steps = page.offsets.to_pylist(), sequence.flatten().to_pylist()
+            starts, ends = [v - starts[0] for v in starts], sequence.offsets.to_pylist()
+            ends = [v - ends[0] for v in ends]
+            for k, (h, known) in enumerate(zip(b.column("host").to_pylist(), b.column("known"), strict=True)):
+                if h != last:
+                    last, known = h, known.as_py()
+                    classes = {e["slot"]: e["class"] for e in known}
+                    candidates = {e["slot"]: frozenset(e["texts"] or ()) for e in known}
+                at, mine = starts[k], steps[ends[k] : ends[k + 1]]
+                gaps, found = instances([(depth[at + e], slot[at + e]) if e >= 0 else (depth[at - 1 - e], None) for e in mine], classes)
+                for c, order in found.items():
+                    orders[h, c, order] = orders.get((h, c, order), 0) + 1
+                for i, gap in zip((at - 1 - e for e in mine if e < 0), gaps, strict=True):
+                    some = candidates.get(slot[i])
+                    if some is None:
+                        continue
+                    for text in (None, said[i]) if said[i] in some else (None,):
+                        held = slots.setdefault((h, gap, slot[i], text), [0, 0, 0, -1])
+                        if held[3] != first + k:
+                            held[0] += 1
+                            held[3] = first + k
+                        held[1] += chars[i] // n[i]
+                        held[2] += linked[i] // n[i]
+
+        for b in batches:
+            orders: dict[tuple, int] = {}  # pages by host, class and order
+            slots: dict[tuple, list[int]] = {}  # pages, chars, linked and the last page by host, gap, element and text
+            for first in range(0, b.num_rows, 500):
+                read(b.slice(first, 500), first, orders, slots)
+            out = []
+            for (h, c, order), times in orders.items():
+                about = [int(v) for tag in order for v in tag]
+                out.append((h, c, text_number(str(about)), None, about, times, 0, 0))
+            for (h, gap, element, text), (times, size, ties, _) in slots.items():
+                about = [element, *(int(v) for tag in gap if tag for v in tag)]
+                out.append((h, None, slot_number(gap, element), text, about, times, size, ties))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], [f.split()[0] for f in fields.split(", ")]
+            )
+
+    kinds = (pa.string(), *[pa.int64()] * 3, pa.list_(pa.int64()), *[pa.int64()] * 3)
+    fields = "host string, class long, key long, said long, about array<long>, pages long, chars long, linked long"
+    return (
+        pages.mapInArrow(run, fields)
+        .groupBy("host", "class", "key", "said")
+        .agg(F.first("about").alias("about"), *(F.sum(c).alias(c) for c in ("pages", "chars", "linked")))
+    )
 
-    token = "path: string, slot: long, said: long, n: int, at: int, chars: int, linked: int, share: float"
-    read = pages.select("host", "html").mapInArrow(run, f"host string, page long, tokens array<struct<{token}>>")
-    return read.groupBy("host", "page").agg(F.first("tokens").alias("tokens"))
+
+def ordered_members(orders: list[tuple[list[Tag], int]], pages: int, always: float) -> list[Hashable]:
+    """Elements of a class in order, without those that break it.
+
+    Of the commonest order of tags, the elements that stand to each other as
+    there in a share of ``always`` of the pages of the class.
+    """
+    orders = [(order, n) for order, n in orders if order]
+    if not orders:
+        return []
+    best, most = max(orders, key=lambda o: (o[1], str(o[0])))
+    members = [element for element, end in best if not end]
+    if most >= pages * always:
+        return members
+    places = [({tag: k for k, tag in enumerate(order)}, n) for order, n in orders]
+
+    def stands(at: dict[Tag, int], a: Hashable, b: Hashable) -> tuple[bool, bool]:
+        return at[a, True] < at[b, False], at[b, True] < at[a, True]
+
+    first = {tag: k for k, tag in enumerate(best)}
+    bad: dict[Hashable, set] = {m: set() for m in members}
+    for i, a in enumerate(members):
+        for b in members[i + 1 :]:
+            agreed = sum(n for at, n in places if at[a, False] < at[b, False] and stands(at, a, b) == stands(first, a, b))
+            if agreed < pages * always:
+                bad[a].add(b)
+                bad[b].add(a)
+    while bad and (worst := max(bad, key=lambda m: (len(bad[m]), str(m)))) and bad[worst]:
+        for other in bad.pop(worst):
+            bad[other].discard(worst)
+    return [m for m in members if m in bad]
+
+
+def constant_slots(elements: list[dict], slots: list[dict], stale: float) -> set[int]:
+    """Keys of the slots whose recurring texts belong to the template; the other ones are filled with main text.
+
+    Slots have key, path, chars (of all texts there). What a slot's siblings say
+    decides: the innermost element that holds the slot and also texts that vary.
+    If no more than headings vary there, or the recurring texts are more than a
+    share of ``stale`` of it, its pages have one body in common, and it stays.
+    Menus, notices and links, which never are main text, do not count.
+    """
+    shares = {e["path"]: e["share"] for e in elements}
+
+    def parts(path: str) -> list[str]:
+        return path.split("/") if path else []
+
+    def outside(path: str) -> bool:
+        names = parts(path)
+        for k, name in enumerate(names, 1):
+            tag, *words = name.split(".")
+            if tag in BOILERPLATE or (MARKS.intersection(words) and shares.get("/".join(names[:k]), 0.0) < 0.5):
+                return True
+        return False
+
+    held: dict[str, int] = {}
+    for s in slots:
+        held[s["path"]] = held.get(s["path"], 0) + s["chars"]
+    varied = {e["path"]: e["chars"] - held.get(e["path"], 0) for e in elements if e["linked"] < 0.6 and not outside(e["path"])}
+    open_slots, gone = {s["key"]: s for s in slots}, {}
+    above = {"/".join(parts(s["path"])[:k]) for s in slots for k in range(len(parts(s["path"])))}
+
+    def below(path: str, region: str) -> bool:
+        return not region or path.startswith(f"{region}/")
+
+    for region in sorted(above, key=lambda r: (-len(parts(r)), r)):
+        said = {p: n for p, n in varied.items() if n > 0 and (p == region or below(p, region))}
+        mine = [s for s in open_slots.values() if below(s["path"], region)]
+        if not said or not mine:
+            continue
+        same = sum(s["chars"] for s in (*mine, *gone.values()) if s["path"] in varied and below(s["path"], region))
+        bodiless = all(HEADINGS.intersection(n.split(".")[0] for n in parts(p)) for p in said)
+        for s in mine:
+            del open_slots[s["key"]]
+            if bodiless or same > stale * (same + sum(said.values())):
+                if s["path"] in varied:
+                    varied[s["path"]] += s["chars"]
+            else:
+                gone[s["key"]] = s
+    return set(gone)
 
 
 def templates(pages: DataFrame, support: float = 0.5, least_pages: int = 3, always: float = 0.8, stale: float = 0.8) -> DataFrame:
-    """host and ``template``: its elements in order, each with path, class, once, linked, share and constant texts.
+    """host, ``template``: its elements in order, and ``slots``: what stands between them.
 
     Only different pages count: all copies of one html are one page. The
     occurrence vector of an element is how often each page of the host has it;
     elements of one vector form an equivalence class. Vectors are compared by
     the xor of hashes of (page, count), which adds up in partial aggregates, so
-    a host of any size needs no list of its pages. A class is valid if its
-    vector is positive in a share of ``support`` of the pages; what is above
-    its elements is then valid, too.
-
-    A text goes with the class of its element, and is part of the template, if
-    it is in a share of ``always`` of the pages that have the element (not in
-    all, since pages may be cut off) and in ``least_pages`` at least: these are
-    the element's ``texts``, if they are a share of ``always`` of all that is
-    said there. Else the element is a slot that varies, with all its texts:
-    what a story's paragraphs have in common stays. Where more than a share of
-    ``stale`` of a host's text would be template, its pages are near copies of
-    one, and no text is.
+    a host of any size needs no list of its pages. Classes count whose vector
+    is positive in a share of ``support`` of the pages; what is above their
+    elements then does, too.
+
+    The pages are read again with these classes (:func:`instances`). A class
+    must be ordered and nested in a share of ``always`` of its pages; elements
+    that break its order leave it (``place`` -1, else the place in the order)
+    and stand for themselves.
+    A slot is what stands in an element after a member of the class around it,
+    so one element has several roles if it comes in several gaps.
+
+    A text is a member of the class around its slot if it is in a share of
+    ``always`` of the pages with the slot (not in all, since pages may be cut
+    off), in ``least_pages`` at least, and if such texts are a share of
+    ``always`` of all that is said there. Else the slot varies, with all its
+    texts: what a story's paragraphs have in common stays. What is said around
+    it decides whether they are dropped (:func:`constant_slots`). ``slots`` has
+    the slots of a share of ``support`` of the pages, with these texts.
     """
-    each = _tokens(pages).select("host", "page", F.explode("tokens").alias("t")).select("host", "page", "t.*")
+    spark = pages.sparkSession
+    folder = f"{shared_folder(spark)}/templates-{uuid.uuid4().hex}"
+    _tokens(pages).write.parquet(folder)
+    stored = spark.read.schema("host string, page long, tokens array<struct<path: string, slot: long, said: long, depth: int, n: int, at: int, "
+                               "chars: int, linked: int, share: float>>, sequence array<int>").parquet(folder)
+    each = stored.select("host", "page", F.explode("tokens").alias("t")).select("host", "page", "t.*")
     told = (
         each.withColumn("host", F.when(F.col("said").isNull(), F.col("host")))
         .groupBy("host", "path", "slot", "said")
@@ -309,37 +578,79 @@ def templates(pages: DataFrame, support: float = 0.5, least_pages: int = 3, alwa
     elements = told.where("said is null").drop("said")
     sizes = elements.where("path = ''").select("host", F.col("with").alias("pages"))
     valid = elements.join(sizes, "host").where((F.col("pages") >= least_pages) & (F.col("with") >= F.col("pages") * support))
-    texts = told.where("said is not null").select("slot", "said", F.col("with").alias("within"), F.col("chars").alias("size"))
-    constant = (
-        texts.join(valid.select("slot", "with", F.col("chars").alias("all")), "slot")
-        .where(F.col("within") >= F.col("with") * always)
-        .groupBy("slot", "all")
-        .agg(F.collect_list("said").alias("texts"), F.sum("size").alias("size"))
-        .where(F.col("size") >= F.col("all") * always)
-        .drop("all")
+    texts = told.where("said is not null").select("slot", "said", F.col("with").alias("within"))
+    # a text that fills a slot of enough pages is in these shares of them
+    candidates = (
+        texts.join(valid.select("slot", "pages"), "slot")
+        .where(F.col("within") >= F.col("pages") * (support * always))
+        .groupBy("slot")
+        .agg(F.collect_list("said").alias("texts"))
     )
-    listed = (
-        valid.join(constant, "slot", "left")
-        .groupBy("host")
-        .agg(
-            F.sort_array(
-                F.collect_list(
-                    F.struct(
-                        "at",
-                        "path",
-                        "class",
-                        (F.col("total") == F.col("with")).alias("once"),
-                        F.coalesce(F.try_divide("linked", "chars"), F.lit(0.0)).alias("linked"),
-                        "share",
-                        F.coalesce("texts", F.array().cast("array<long>")).alias("texts"),
-                    )
-                )
-            ).alias("template"),
-            F.coalesce(F.try_divide(F.sum("size"), F.sum("chars")), F.lit(0.0)).alias("same"),
-        )
+    linked = F.coalesce(F.try_divide("linked", "chars"), F.lit(0.0)).alias("linked")
+    element = F.struct(
+        "at", "path", "slot", "class", "with", (F.col("total") == F.col("with")).alias("once"), "chars", linked, "share", "texts"
+    )
+    known = cut(valid.join(candidates, "slot", "left").groupBy("host", "pages").agg(F.sort_array(F.collect_list(element)).alias("known")))
+    bare = F.transform("tokens", lambda t: t.dropFields("path", "at", "share")).alias("page")
+    asked = F.transform("known", lambda e: F.struct(e["slot"].alias("slot"), e["class"].alias("class"), e["texts"].alias("texts")))
+    found = _survey(stored.select("host", bare, "sequence").join(known.select("host", asked.alias("known")), "host"))
+    # orders of few pages tell no more than that these disagree
+    often = F.when(F.col("class").isNotNull(), F.lit(0.05)).when(F.col("said").isNull(), F.lit(support)).otherwise(F.lit(support * always))
+    found = found.join(known.select("host", "pages", F.col("pages").alias("all")).drop("pages"), "host").where(
+        (F.col("pages") >= F.col("all") * often) & (F.col("class").isNotNull() | (F.col("pages") >= least_pages))
+    )
+    row = F.struct("class", "key", "said", "about", "pages", "chars", "linked")
+    lists = found.groupBy("host").agg(F.collect_list(row).alias("found"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [
+                _template(*v, always, least_pages, stale)
+                for v in zip(b.column("known").to_pylist(), b.column("found").to_pylist(), strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("host"), pa.array([o[0] for o in out], members), pa.array([o[1] for o in out], gaps)], ["host", "template", "slots"]
+            )
+
+    members = pa.list_(pa.struct([("at", pa.float64()), ("path", pa.string()), ("slot", pa.int64()), ("class", pa.int64()),
+                                  ("place", pa.int32()), ("once", pa.bool_()), ("linked", pa.float64()), ("share", pa.float64())]))
+    gaps = pa.list_(pa.struct([("slot", pa.int64()), ("linked", pa.float64()), ("texts", pa.list_(pa.int64()))]))
+    shape = (
+        "host string, template array<struct<at: double, path: string, slot: long, class: long, place: int, once: boolean, linked: double, "
+        "share: double>>, slots array<struct<slot: long, linked: double, texts: array<long>>>"
     )
-    none = F.transform("template", lambda t: t.withField("texts", F.array().cast("array<long>")))
-    return listed.select("host", F.when(F.col("same") > stale, none).otherwise(F.col("template")).alias("template"))
+    return cut(known.join(lists, "host", "left").select("host", "known", "found").mapInArrow(run, shape))
+
+
+def _template(known: list[dict], found: list[dict] | None, always: float, least_pages: int, stale: float) -> tuple[list[dict], list[dict]]:
+    """The elements and slots of one host, from its elements and what its pages say of their classes."""
+    paths = {e["slot"]: e["path"] for e in known}
+    orders: dict[int, list] = {}
+    slots, texts = [], {}
+    for f in found or ():
+        if f["class"] is not None:
+            about = f["about"]
+            orders.setdefault(f["class"], []).append(([(e, bool(end)) for e, end in zip(about[::2], about[1::2], strict=True)], f["pages"]))
+        elif f["said"] is None:
+            slots.append(f)
+        else:
+            texts.setdefault(f["key"], []).append(f)
+    of_class = {e["class"]: e["with"] for e in known}
+    places = {m: k for c, o in orders.items() for k, m in enumerate(ordered_members(o, of_class[c], always))}
+    # an element that broke its class stands for itself: it has what is inside it, and nothing follows it
+    slots = [f for f in slots if all(not end or m in places for m, end in zip(f["about"][1::2], f["about"][2::2], strict=True))]
+    constant: dict[int, list[int]] = {}
+    for f in slots:
+        same = [t for t in texts.get(f["key"], ()) if t["pages"] >= max(least_pages, f["pages"] * always)]
+        if same and sum(t["chars"] for t in same) >= f["chars"] * always:
+            constant[f["key"]] = sorted(t["said"] for t in same)
+    judged = [{"key": f["key"], "path": paths[f["about"][0]], "chars": f["chars"]} for f in slots if f["key"] in constant]
+    gone = constant_slots(known, judged, stale)
+    template = [{**{k: e[k] for k in ("at", "path", "slot", "class", "once", "linked", "share")}, "place": places.get(e["slot"], -1)} for e in known]
+    return template, [
+        {"slot": f["key"], "linked": f["linked"] / f["chars"] if f["chars"] else 0.0, "texts": constant[f["key"]] if f["key"] in gone else []}
+        for f in sorted(slots, key=lambda f: f["key"])
+    ]
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -353,6 +664,7 @@ def extract(pages: DataFrame) -> DataFrame:
         "page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host(F.col("url")).alias("host")
     )
     found = templates(rows.select("host", "html"))
+    release(pages.sparkSession, 1)
     kind = rows.schema["page_id"].dataType.simpleString()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,11 +674,12 @@ def extract(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("page_id", "url", "host")), packed], ["page_id", "url", "host", "packed"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, places, slots = None, {}, {}
+        last, places, elements, slots = None, {}, {}, {}
         unpack = zstandard.ZstdDecompressor().decompress
         for b in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
             texts = []
-            for h, packed, template in zip(b.column("host").to_pylist(), b.column("packed").to_pylist(), b.column("template"), strict=True):
+            columns = [b.column(c) for c in ("host", "packed", "template", "slots")]
+            for h, packed, template, gaps in zip(*(c.to_pylist() for c in columns[:2]), *columns[2:], strict=True):
                 html = unpack(packed).decode()
                 if h != last:
                     last, tokens = h, template.as_py() or []
@@ -376,14 +689,15 @@ def extract(pages: DataFrame) -> DataFrame:
                             path = tuple(t["path"].split("/"))
                             once.setdefault(path[-1], []).append(path[:-1])
                     places = {name: p[0] for name, p in once.items() if len(p) == 1}
-                    slots = {tuple(t["path"].split("/")) if t["path"] else (): t for t in tokens}
-                texts.append(Page(html, places).text(slots))
+                    elements = {tuple(t["path"].split("/")) if t["path"] else (): t for t in tokens}
+                    slots = {t["slot"]: {**t, "texts": frozenset(t["texts"])} for t in gaps.as_py() or []}
+                texts.append(Page(html, places).text(elements, slots))
             yield pa.RecordBatch.from_arrays(
                 [b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"]
             )
 
     # pages meet their host's template compressed
     sent = rows.mapInArrow(pack, f"page_id {kind}, url string, host string, packed binary")
-    joined = sent.join(found, "host", "left").select("page_id", "url", "host", "packed", "template")
+    joined = sent.join(found, "host", "left").select("page_id", "url", "host", "packed", "template", "slots")
     out = joined.mapInArrow(run, f"page_id {kind}, url string, text string")
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

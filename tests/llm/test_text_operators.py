@@ -1,6 +1,9 @@
 """Quality rules, toxicity, mixing, chat and HTML on small cases."""
 
+import random
 import zlib
+from collections import Counter
+from html.parser import HTMLParser
 
 import pytest
 from pyspark.sql import functions as F
@@ -260,3 +263,155 @@ def test_the_template_decides_in_articles_too(spark):
     text = {r["page_id"]: r["text"] for r in templates.extract(pages(spark, rows)).collect()}
     for i in range(8):
         assert f"Long story {i} told here" in text[i] and text[10 + i] == f"Head {i} Story {i}."
+
+
+class PlainTags(HTMLParser):
+    """Tags of a well-formed page: path and whether it is the end tag."""
+
+    def __init__(self, html):
+        super().__init__()
+        self.stack, self.tags = [], []
+        self.feed(html)
+
+    def handle_starttag(self, tag, attrs):
+        self.stack.append(".".join([tag, *(v for _, v in attrs)]))
+        self.tags.append(("/".join(self.stack), False))
+
+    def handle_endtag(self, tag):
+        self.tags.append(("/".join(self.stack), True))
+        self.stack.pop()
+
+
+def plain_classes(htmls, support=0.5, always=0.8):
+    """Sets of paths with one occurrence vector: the order of each ([] if it has none), and whether it ever crosses another."""
+    read = [PlainTags(h).tags for h in dict.fromkeys(htmls)]
+    counts = [Counter(p for p, end in r if not end) for r in read]
+    by = {}
+    for path in {p for c in counts for p in c}:
+        by.setdefault(tuple(c[path] for c in counts), set()).add(path)
+    by = {v: paths for v, paths in by.items() if sum(map(bool, v)) >= support * len(v)}
+    orders, crossing = {v: Counter() for v in by}, set()
+    for k, tags in enumerate(read):
+        spans = []  # class, places of an instance's tags
+        for v, paths in by.items():
+            if v[k]:
+                at = [i for i, (p, _) in enumerate(tags) if p in paths]
+                size = len(at) // v[k]
+                each = [at[i : i + size] for i in range(0, len(at), size)]
+                period = [tuple(tags[i] for i in e) for e in each]
+                orders[v][tuple(p for p, end in period[0] if not end) if len(set(period)) == 1 else ()] += 1
+                if len(set(period)) > 1:
+                    each = [[i for i in at if tags[i][0] == p][j : j + 2] for p in paths for j in range(0, 2 * v[k], 2)]
+                spans += [(v, e) for e in each]
+        for v, x in spans:
+            for w, y in spans:
+                if v != w and any(x[0] < i < x[-1] for i in y) and not (x[0] < y[0] and y[-1] < x[-1]):
+                    crossing |= {v, w}
+    best = {v: next((o for o, n in orders[v].items() if n >= always * sum(map(bool, v))), ()) for v in by}
+    return {frozenset(paths): (list(best[v]), v in crossing) for v, paths in by.items()}
+
+
+def test_classes_equal_a_plain_deduction(spark):
+    rng = random.Random(5)
+    rows, hosts = [], {}
+    for h in range(12):
+        kinds = [f"<div class={c}>{{}}</div>" for c in "klmno"]
+        for n in range(9):
+            some = [k.format("".join(f"<p>{rng.random()}</p>" for _ in range(rng.choice([1, 2, n])))) for k in kinds if rng.random() < 0.9]
+            rows_of = "<table>" + "<tr><td class=q>x</td><td class=r>y</td></tr>" * (n % 4) + "</table>"
+            if h % 3 == 0:
+                rng.shuffle(some)
+            html = f"<html><body>{''.join(some)}{rows_of if h % 2 else ''}</body></html>"
+            hosts.setdefault(f"{h}.example", []).append(html)
+            rows += [(len(rows), f"http://{h}.example/", html)] * (1 + n % 2)
+    df = pages(spark, rows).select(templates.host(F.col("url")).alias("host"), "html")
+    found = {r["host"]: r["template"] for r in templates.templates(df).collect()}
+    wholly = 0
+    for h, htmls in hosts.items():
+        classes = {}
+        for t in found[h]:
+            if t["path"]:
+                classes.setdefault(t["class"], []).append((t["place"], t["path"]))
+        plain = plain_classes(htmls)
+        assert {frozenset(p for _, p in c) for c in classes.values()} == set(plain)
+        for c in classes.values():
+            order, crosses = plain[frozenset(p for _, p in c)]
+            if order and not crosses:
+                assert sorted(c) == list(enumerate(order))
+                wholly += len(c) > 1
+            elif not order:
+                assert len(c) > 1 and any(k < 0 for k, _ in c)
+    assert wholly > 12
+
+
+def test_elements_that_break_the_order_leave_the_class():
+    a, b, c = "abc"
+
+    def order(text):
+        return [(t, end) for t in text for end in (False, True)]
+
+    assert templates.ordered_members([(order("abc"), 8), (order("bac"), 2)], 10, 0.8) == [a, b, c]
+    kept = templates.ordered_members([(order("abc"), 6), (order("cab"), 4)], 10, 0.8)
+    assert kept == [a, b]
+    assert templates.ordered_members([([], 10)], 10, 0.8) == []
+
+
+def test_gaps_lie_between_members_of_ordered_and_nested_classes():
+    # x opens twice and holds y each time; z has their vector, too, but breaks the order
+    events = [(1, "html"), (2, "x"), (3, "y"), (3, None), (2, None), (2, "x"), (3, "y"), (3, None), (1, None)]
+    gaps, orders = templates.instances(events, {"html": 0, "x": 1, "y": 1})
+    assert orders == {0: (("html", False), ("html", True)), 1: (("x", False), ("y", False), ("y", True), ("x", True))}
+    start = ("html", False)
+    assert gaps == [(("y", False), start), (("y", True), start), (("y", False), start), (start, None)]
+    gaps, orders = templates.instances([*events, (2, "z"), (2, "z")], {"html": 0, "x": 1, "y": 1, "z": 1})
+    assert orders[1] == () and gaps[1] == (("x", False), start)
+    # b's second member comes when the instance of a around its first has gone on
+    crossing = [(1, "a"), (1, "b"), (1, "c"), (1, "d")]
+    _, orders = templates.instances(crossing, {"a": 0, "c": 0, "b": 1, "d": 1})
+    assert orders[0] and orders[1] == ()
+
+
+def test_a_common_body_stays_where_only_headings_vary(spark):
+    page = (
+        "<html><body><div class=top>Our house of news</div><article><h1>In memory of {n}</h1><p>Died at home, as the family says.</p></article>"
+        "<div class=story><p>Long told story {n} of the town and all its people</p></div></body></html>"
+    )
+    rows = [(i, "http://a.example/", page.replace("{n}", str(i))) for i in range(9)]
+    text = {r["page_id"]: r["text"] for r in templates.extract(pages(spark, rows)).collect()}
+    for i in range(9):
+        assert text[i] == f"In memory of {i} Died at home, as the family says. Long told story {i} of the town and all its people"
+
+
+def test_the_gap_of_a_class_tells_constant_texts_from_a_story(spark):
+    page = (
+        "<html><body><h1>Head {n}</h1>{story}<div class=mid>Read by {n} people</div><p>All rights are ours</p></body></html>"
+    )
+    rows = []
+    for i in range(9):
+        story = "".join(f"<p>Part {k} of story {i} is here</p>" for k in range(2 + i % 3)) + "<p>All rights are ours</p>"
+        rows.append((i, "http://a.example/", page.replace("{n}", str(i)).replace("{story}", story)))
+    df = pages(spark, rows)
+    text = {r["page_id"]: r["text"] for r in templates.extract(df).collect()}
+    for i in range(9):  # said among the paragraphs it is the story's, after the last member it is the template's
+        parts = " ".join(f"Part {k} of story {i} is here" for k in range(2 + i % 3))
+        assert text[i] == f"Head {i} {parts} All rights are ours Read by {i} people"
+    (found,) = templates.templates(df.select(F.lit("a.example").alias("host"), "html")).collect()
+    slots = {s["slot"]: s.asDict() for s in found["slots"]}
+    for by, same in ((lambda t: t["class"], True), (lambda t: 0, False)):
+        elements = {tuple(t["path"].split("/")): {**t.asDict(), "class": by(t)} for t in found["template"] if t["path"]}
+        assert (templates.Page(rows[0][2]).text(elements, slots) == text[0]) == same
+
+
+def test_constants_are_dropped_in_whatever_order_their_elements_come(spark):
+    rows = []
+    for i in range(10):
+        two = ["<div class=k>Our house</div>", "<div class=l>Our town</div>"]
+        rows.append((i, "http://a.example/", f"<html><body>{''.join(two[:: 1 - 2 * (i % 2)])}<div class=story><p>A long story {i} told</p></div></body></html>"))
+    assert [r["text"] for r in templates.extract(pages(spark, rows)).orderBy("page_id").collect()] == [f"A long story {i} told" for i in range(10)]
+
+
+def test_long_menus_do_not_make_pages_copies(spark):
+    menu = "".join(f"<li><a href=x>Menu entry number {k}</a></li>" for k in range(20))
+    page = f"<html><body><nav><ul>{menu}</ul></nav><div class=top>Our house</div><div class=story><p>Short story {{n}}</p></div></body></html>"
+    rows = [(i, "http://a.example/", page.replace("{n}", str(i))) for i in range(9)]
+    assert [r["text"] for r in templates.extract(pages(spark, rows)).orderBy("page_id").collect()] == [f"Short story {i}" for i in range(9)]
